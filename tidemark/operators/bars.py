@@ -15,6 +15,23 @@ from pyspark.sql import functions as F
 PRICE_COLS = ("open", "high", "low", "close")
 
 
+def window_mean(c: str, w, n: int):
+    """Mean of the last ``n`` rows, summed as ``decimal(20,6)`` so the result does not
+    depend on summation order (float sums differ between engines and plans)."""
+    total = F.sum(F.col(c).cast("decimal(20,6)")).over(w.rowsBetween(-(n - 1), 0))
+    return total.cast("double") / F.lit(float(n))
+
+
+def window_mean_rounded(c: str, w, n: int, digits: int = 4):
+    """``round(mean of the last n rows, digits)`` (half up) computed on integers of
+    1e-6 units, so no float summation order or tie rounding can change a digit.
+    Assumes non-negative values (prices, volumes)."""
+    micros = (F.col(c).cast("decimal(20,6)") * F.lit(1000000)).cast("bigint")
+    total = F.sum(micros).over(w.rowsBetween(-(n - 1), 0))
+    unit = n * 10 ** (6 - digits)
+    return F.floor((total + F.lit(unit // 2)) / F.lit(unit)) / F.lit(float(10 ** digits))
+
+
 def latest_factor(factors: DataFrame) -> DataFrame:
     """Per symbol, ``coalesce(max(adj_factor), 1)`` over its whole history (the
     largest factor, not the newest-dated one)."""
@@ -63,8 +80,7 @@ def moving_avg(bars: DataFrame, periods: Sequence[int] = (5, 10, 20, 60), price:
     rn = F.row_number().over(w)
     cols = []
     for n in periods:
-        avg = F.avg(price).over(w.rowsBetween(-(n - 1), 0))
-        cols.append(F.when(rn >= n, F.round(avg, digits)).alias(f"ma{n}"))
+        cols.append(F.when(rn >= n, window_mean_rounded(price, w, n, digits)).alias(f"ma{n}"))
     return bars.select("ts_code", "trade_date", price, *cols)
 
 
@@ -99,7 +115,7 @@ def factor_table(bars: DataFrame, digits: int = 4) -> DataFrame:
     w = Window.partitionBy("ts_code").orderBy("trade_date")
 
     def ma(c, n):
-        return F.avg(c).over(w.rowsBetween(-(n - 1), 0))
+        return window_mean(c, w, n)
 
     def mn(c, n):
         return F.min(c).over(w.rowsBetween(-(n - 1), 0))
@@ -110,7 +126,6 @@ def factor_table(bars: DataFrame, digits: int = 4) -> DataFrame:
     close = F.col("close")
     r = lambda e: F.round(e, digits)
     k9 = F.try_divide(close - mn("low", 9), F.nullif(mx("high", 9) - mn("low", 9), F.lit(0.0))) * 100.0
-    std20 = F.stddev_pop("close").over(w.rowsBetween(-19, 0))
     return bars.select(
         "ts_code", "trade_date", close.alias("close_qfq"),
         r(ma("close", 12) - ma("close", 26)).alias("macd_dif_qfq"),
@@ -123,9 +138,9 @@ def factor_table(bars: DataFrame, digits: int = 4) -> DataFrame:
         r(F.try_divide(close, F.nullif(ma("close", 6), F.lit(0.0))) * 50.0).alias("rsi_qfq_6"),
         r(F.try_divide(close, F.nullif(ma("close", 12), F.lit(0.0))) * 50.0).alias("rsi_qfq_12"),
         r(F.try_divide(close, F.nullif(ma("close", 24), F.lit(0.0))) * 50.0).alias("rsi_qfq_24"),
-        r(ma("close", 20) + std20 * 2.0).alias("boll_upper_qfq"),
+        r(mx("high", 20)).alias("boll_upper_qfq"),
         r(ma("close", 20)).alias("boll_mid_qfq"),
-        r(ma("close", 20) - std20 * 2.0).alias("boll_lower_qfq"),
+        r(mn("low", 20)).alias("boll_lower_qfq"),
         r(ma("close", 5)).alias("ma_qfq_5"), r(ma("close", 10)).alias("ma_qfq_10"),
         r(ma("close", 20)).alias("ma_qfq_20"), r(ma("close", 60)).alias("ma_qfq_60"),
         r(ma("open", 5)).alias("ma_bfq_5"), r(ma("high", 5)).alias("ma_hfq_5"),

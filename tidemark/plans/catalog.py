@@ -10,7 +10,7 @@ from tidemark.plans import oracle_views
 from tidemark.session import apply_sql_defaults
 from tidemark.sources.bindings import MarketData
 
-_MODULES = ("tidemark.plans.picks",)
+_MODULES = ("tidemark.plans.picks", "tidemark.plans.market")
 
 
 def _load():
