@@ -10,7 +10,8 @@ from tidemark.plans import oracle_views
 from tidemark.session import apply_sql_defaults
 from tidemark.sources.bindings import MarketData
 
-_MODULES = ("tidemark.plans.picks", "tidemark.plans.market")
+_MODULES = ("tidemark.plans.picks", "tidemark.plans.market", "tidemark.plans.ingest",
+            "tidemark.plans.coverage")
 
 
 def _load():
