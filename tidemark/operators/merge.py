@@ -97,6 +97,18 @@ def append_rows(base: DataFrame, batch: DataFrame) -> DataFrame:
     return base.unionByName(batch.select(*base.columns))
 
 
+def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The parquet table at ``path`` (any file system URI), or None if there is none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        df = spark.read.parquet(path)
+        df.schema  # noqa: B018 - forces the listing
+        return df
+    except AnalysisException:
+        return None
+
+
 def upsert_to_path(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str],
                    order_by: Sequence[str | Column], partition_col: str | None = None) -> DataFrame:
     """Upsert ``batch`` into the parquet table at ``path``.
@@ -106,10 +118,9 @@ def upsert_to_path(spark: SparkSession, path: str, batch: DataFrame, keys: Seque
     shared checkpoint directory and then published, so a failure midway never
     leaves the target half-written. Returns the published table.
     """
-    import os
-
-    exists = os.path.exists(path) if "://" not in path else True
-    if not exists:
+    if batch.isEmpty():
+        return _read_or_none(spark, path)
+    if _read_or_none(spark, path) is None:
         out = latest_per_key(batch, keys, order_by)
         w = out.write.mode("overwrite")
         (w.partitionBy(partition_col) if partition_col else w).parquet(path)

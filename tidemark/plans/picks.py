@@ -220,6 +220,24 @@ def first_bar_semi(md: MarketData) -> DataFrame:
     return md.bars().join(firsts, ["ts_code", "trade_date"], "left_semi").select("ts_code", "trade_date", "close")
 
 
+def _report_requests(md: MarketData) -> DataFrame:
+    return md.report_rc().select("ts_code", "report_date").distinct()
+
+
+def asof_forward(md: MarketData) -> DataFrame:
+    """For every (symbol, report date): the first bar on or after the report date."""
+    from tidemark.operators.asof import asof_join
+    return asof_join(_report_requests(md), md.bars(), ["ts_code"], "report_date", "trade_date", ["close"],
+                     direction="forward", inclusive=True)
+
+
+def asof_backward(md: MarketData) -> DataFrame:
+    """For every (symbol, report date): the last bar strictly before the report date."""
+    from tidemark.operators.asof import asof_join
+    return asof_join(_report_requests(md), md.bars(), ["ts_code"], "report_date", "trade_date", ["close"],
+                     direction="backward", inclusive=False)
+
+
 # ---------------------------------------------------------------------------
 # registry: query name -> callable(md) and the equivalent DuckDB SQL
 QUERIES = {
@@ -239,9 +257,19 @@ QUERIES = {
     "rec_brokers": rec_brokers,
     "recs": recs,
     "first_bar_semi": first_bar_semi,
+    "asof_forward": asof_forward,
+    "asof_backward": asof_backward,
 }
 
 ORACLE = {
+    "asof_forward": """
+SELECT r.ts_code, r.report_date, b.trade_date, b.close
+FROM (SELECT DISTINCT ts_code, report_date FROM v_report_rc) r
+ASOF LEFT JOIN v_bars b ON r.ts_code = b.ts_code AND r.report_date <= b.trade_date""",
+    "asof_backward": """
+SELECT r.ts_code, r.report_date, b.trade_date, b.close
+FROM (SELECT DISTINCT ts_code, report_date FROM v_report_rc) r
+ASOF LEFT JOIN v_bars b ON r.ts_code = b.ts_code AND r.report_date > b.trade_date""",
     "broker_rank": """
 WITH counts AS (SELECT month, broker, count(*) AS rec_cnt, count(DISTINCT ts_code) AS stock_cnt
                 FROM v_recs GROUP BY month, broker),
