@@ -114,3 +114,32 @@ def backfill_plan(missing: DataFrame, key: str, date_col: str = "missing_date",
     c = missing.select(key, date_col, F.floor((F.row_number().over(w) - 1) / chunk).cast("bigint").alias("chunk"))
     return c.groupBy(key, "chunk").agg(F.min(date_col).alias("start_date"), F.max(date_col).alias("end_date"),
                                        F.count(F.lit(1)).alias("n_dates"))
+
+
+def period_plan(ranges: DataFrame, threshold: int = 60, keys=("range_id",)) -> DataFrame:
+    """Split each ``[start_date, end_date]`` range into load periods: one per day if it
+    spans at most ``threshold`` days, else one per calendar quarter clipped to the
+    range. A range whose start is after its end yields nothing."""
+    keys = list(keys)
+    span = F.datediff("end_date", "start_date")
+    ok = F.col("start_date") <= F.col("end_date")
+    by_day = F.when(ok & (span <= threshold), F.sequence("start_date", "end_date"))
+    q0 = F.trunc("start_date", "quarter")
+    by_q = F.when(ok & (span > threshold), F.sequence(q0, "end_date", F.expr("INTERVAL 3 MONTHS")))
+    days = ranges.select(*keys, F.explode(by_day).alias("d")).select(
+        *keys, F.col("d").alias("period_start"), F.col("d").alias("period_end"), F.lit("day").alias("mode"))
+    quarters = ranges.select(*keys, "start_date", "end_date", F.explode(by_q).alias("q")).select(
+        *keys, F.greatest("q", "start_date").alias("period_start"),
+        F.least(F.date_sub(F.add_months("q", 3), 1), "end_date").alias("period_end"),
+        F.lit("quarter").alias("mode"))
+    return days.unionByName(quarters)
+
+
+def month_plan(ranges: DataFrame, keys=("range_id",)) -> DataFrame:
+    """Every month touched by ``[start_date, end_date]``: ``YYYYMM``, month start, month end."""
+    keys = list(keys)
+    lo, hi = F.trunc("start_date", "month"), F.trunc("end_date", "month")
+    m = ranges.select(*keys, F.explode(F.when(lo <= hi, F.sequence(lo, hi, F.expr("INTERVAL 1 MONTH"))))
+                      .alias("ms"))
+    return m.select(*keys, F.date_format("ms", "yyyyMM").alias("month"), F.col("ms").alias("month_start"),
+                    F.last_day("ms").alias("month_end"))

@@ -116,33 +116,17 @@ def requested_ranges(md: MarketData) -> DataFrame:
 
 
 def period_plan(md: MarketData, threshold: int = RESEARCH_DAILY_THRESHOLD_DAYS) -> DataFrame:
-    """Each range split by day if it spans <= ``threshold`` days, else by calendar
-    quarter clipped to the range; an empty range (start after end) gives nothing."""
-    r = requested_ranges(md)
-    span = F.datediff("end_date", "start_date")
-    ok = F.col("start_date") <= F.col("end_date")
-    by_day = F.when(ok & (span <= threshold), F.sequence("start_date", "end_date"))
-    q0 = F.trunc("start_date", "quarter")
-    by_q = F.when(ok & (span > threshold), F.sequence(q0, "end_date", F.expr("INTERVAL 3 MONTHS")))
-    days = r.select("org_name", "range_id", F.explode(by_day).alias("d")).select(
-        "org_name", "range_id", F.col("d").alias("period_start"), F.col("d").alias("period_end"),
-        F.lit("day").alias("mode"))
-    quarters = r.select("org_name", "range_id", "start_date", "end_date", F.explode(by_q).alias("q")).select(
-        "org_name", "range_id", F.greatest("q", "start_date").alias("period_start"),
-        F.least(F.date_sub(F.add_months("q", 3), 1), "end_date").alias("period_end"),
-        F.lit("quarter").alias("mode"))
-    return days.unionByName(quarters)
+    """Each research range split by day if it spans <= ``threshold`` days, else by
+    calendar quarter clipped to the range; an empty range gives nothing."""
+    return C.period_plan(requested_ranges(md), threshold, keys=("org_name", "range_id"))
 
 
 def month_plan(md: MarketData) -> DataFrame:
     """Per broker: every month from its first to its last recommendation month, with
     month start and month end."""
-    b = md.broker_recommend().groupBy("broker").agg(month_start(F.min("month")).alias("lo"),
-                                                   month_start(F.max("month")).alias("hi"))
-    m = b.select("broker", F.explode(F.when(F.col("lo") <= F.col("hi"),
-                                            F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH")))).alias("ms"))
-    return m.select("broker", F.date_format("ms", "yyyyMM").alias("month"), F.col("ms").alias("month_start"),
-                    F.last_day("ms").alias("month_end"))
+    b = md.broker_recommend().groupBy("broker").agg(month_start(F.min("month")).alias("start_date"),
+                                                   month_start(F.max("month")).alias("end_date"))
+    return C.month_plan(b, keys=("broker",))
 
 
 def open_day_plan(md: MarketData, as_of: str = AS_OF) -> DataFrame:
