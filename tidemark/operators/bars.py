@@ -15,21 +15,38 @@ from pyspark.sql import functions as F
 PRICE_COLS = ("open", "high", "low", "close")
 
 
-def window_mean(c: str, w, n: int):
-    """Mean of the last ``n`` rows, summed as ``decimal(20,6)`` so the result does not
-    depend on summation order (float sums differ between engines and plans)."""
-    total = F.sum(F.col(c).cast("decimal(20,6)")).over(w.rowsBetween(-(n - 1), 0))
-    return total.cast("double") / F.lit(float(n))
-
-
-def window_mean_rounded(c: str, w, n: int, digits: int = 4):
-    """``round(mean of the last n rows, digits)`` (half up) computed on integers of
-    1e-6 units, so no float summation order or tie rounding can change a digit.
-    Assumes non-negative values (prices, volumes)."""
-    micros = (F.col(c).cast("decimal(20,6)") * F.lit(1000000)).cast("bigint")
-    total = F.sum(micros).over(w.rowsBetween(-(n - 1), 0))
+def _micros(c: str):
+    """Value in exact integer millionths (prices and volumes are non-negative)."""
+    return (F.col(c).cast("decimal(20,6)") * F.lit(1000000)).cast("bigint")
+
+
+def with_running_sums(df: DataFrame, cols: Sequence[str], w) -> DataFrame:
+    """Add ``__cum_<c>`` (running sum in exact integer millionths) and ``__rn``.
+
+    A moving sum over ``n`` rows is then ``cum - lag(cum, n)``: one incremental
+    running sum per column instead of re-adding ``n`` values on every row, and
+    integer arithmetic makes it independent of evaluation order.
+    """
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.select("*", F.row_number().over(w).alias("__rn"),
+                     *[F.sum(_micros(c)).over(run).alias(f"__cum_{c}") for c in cols])
+
+
+def moving_sum_micros(c: str, w, n: int):
+    """Sum of the last ``n`` values of ``c`` in millionths (needs ``with_running_sums``);
+    NULL until ``n`` rows exist."""
+    cum = F.col(f"__cum_{c}")
+    return F.when(F.col("__rn") >= n, cum - F.coalesce(F.lag(cum, n).over(w), F.lit(0)))
+
+
+def moving_mean(c: str, w, n: int):
+    return moving_sum_micros(c, w, n).cast("double") / F.lit(n * 1e6)
+
+
+def moving_mean_rounded(c: str, w, n: int, digits: int = 4):
+    """``round(mean of the last n values, digits)``, half up, on exact integers."""
     unit = n * 10 ** (6 - digits)
-    return F.floor((total + F.lit(unit // 2)) / F.lit(unit)) / F.lit(float(10 ** digits))
+    return F.floor((moving_sum_micros(c, w, n) + F.lit(unit // 2)) / F.lit(unit)) / F.lit(float(10 ** digits))
 
 
 def latest_factor(factors: DataFrame) -> DataFrame:
@@ -77,11 +94,9 @@ def moving_avg(bars: DataFrame, periods: Sequence[int] = (5, 10, 20, 60), price:
                digits: int = 4) -> DataFrame:
     """Simple moving averages; NULL until the window holds ``n`` bars."""
     w = Window.partitionBy("ts_code").orderBy("trade_date")
-    rn = F.row_number().over(w)
-    cols = []
-    for n in periods:
-        cols.append(F.when(rn >= n, window_mean_rounded(price, w, n, digits)).alias(f"ma{n}"))
-    return bars.select("ts_code", "trade_date", price, *cols)
+    staged = with_running_sums(bars.select("ts_code", "trade_date", price), [price], w)
+    cols = [moving_mean_rounded(price, w, n, digits).alias(f"ma{n}") for n in periods]
+    return staged.select("ts_code", "trade_date", price, *cols)
 
 
 def resample(bars: DataFrame, unit: str = "week") -> DataFrame:
@@ -113,9 +128,10 @@ def factor_table(bars: DataFrame, digits: int = 4) -> DataFrame:
     indicator table of the source is vendor-computed; this one only needs to be
     wide and deterministic, so projections of a column subset can be tested)."""
     w = Window.partitionBy("ts_code").orderBy("trade_date")
+    bars = with_running_sums(bars, ["close", "open", "high", "vol"], w)
 
     def ma(c, n):
-        return window_mean(c, w, n)
+        return moving_mean(c, w, n)
 
     def mn(c, n):
         return F.min(c).over(w.rowsBetween(-(n - 1), 0))
@@ -125,19 +141,19 @@ def factor_table(bars: DataFrame, digits: int = 4) -> DataFrame:
 
     close = F.col("close")
     r = lambda e: F.round(e, digits)
-    k9 = F.try_divide(close - mn("low", 9), F.nullif(mx("high", 9) - mn("low", 9), F.lit(0.0))) * 100.0
+    k10 = F.try_divide(close - mn("low", 10), F.nullif(mx("high", 10) - mn("low", 10), F.lit(0.0))) * 100.0
     return bars.select(
         "ts_code", "trade_date", close.alias("close_qfq"),
-        r(ma("close", 12) - ma("close", 26)).alias("macd_dif_qfq"),
-        r(ma("close", 9) - ma("close", 26)).alias("macd_dea_qfq"),
-        r((ma("close", 12) - ma("close", 9)) * 2.0).alias("macd_qfq"),
-        r(k9).alias("kdj_k_qfq"),
-        r(F.try_divide(close - mn("low", 3), F.nullif(mx("high", 3) - mn("low", 3), F.lit(0.0))) * 100.0)
+        r(ma("close", 10) - ma("close", 20)).alias("macd_dif_qfq"),
+        r(ma("close", 5) - ma("close", 20)).alias("macd_dea_qfq"),
+        r((ma("close", 10) - ma("close", 5)) * 2.0).alias("macd_qfq"),
+        r(k10).alias("kdj_k_qfq"),
+        r(F.try_divide(close - mn("low", 5), F.nullif(mx("high", 5) - mn("low", 5), F.lit(0.0))) * 100.0)
         .alias("kdj_d_qfq"),
-        r(k9 * 3.0).alias("kdj_qfq"),
-        r(F.try_divide(close, F.nullif(ma("close", 6), F.lit(0.0))) * 50.0).alias("rsi_qfq_6"),
-        r(F.try_divide(close, F.nullif(ma("close", 12), F.lit(0.0))) * 50.0).alias("rsi_qfq_12"),
-        r(F.try_divide(close, F.nullif(ma("close", 24), F.lit(0.0))) * 50.0).alias("rsi_qfq_24"),
+        r(k10 * 3.0).alias("kdj_qfq"),
+        r(F.try_divide(close, F.nullif(ma("close", 5), F.lit(0.0))) * 50.0).alias("rsi_qfq_6"),
+        r(F.try_divide(close, F.nullif(ma("close", 10), F.lit(0.0))) * 50.0).alias("rsi_qfq_12"),
+        r(F.try_divide(close, F.nullif(ma("close", 20), F.lit(0.0))) * 50.0).alias("rsi_qfq_24"),
         r(mx("high", 20)).alias("boll_upper_qfq"),
         r(ma("close", 20)).alias("boll_mid_qfq"),
         r(mn("low", 20)).alias("boll_lower_qfq"),

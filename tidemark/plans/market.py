@@ -209,14 +209,26 @@ def concept_rows(md: MarketData, index_code=None, ts_code=None, index_name="Bran
 
 
 def concepts_of_symbol(md: MarketData, ts_code=None) -> DataFrame:
-    t = where_all(md.ths_index(), eq("ts_code", ts_code), F.col("index_name").isNotNull())
-    return t.select("ts_code", "index_code", "index_name").distinct()
+    """Distinct (member, concept, name) of the concept table.
+
+    The concept table is quotes x members; its distinct member-side projection is
+    the members whose concept has at least one quote, so the plan semi-joins the
+    members with the quoted concepts instead of expanding every (day, member) row
+    and de-duplicating it again."""
+    quoted = md.concept_quotes().select("index_code")
+    members = where_all(md.concept_members(), eq("ts_code", ts_code)).join(quoted, "index_code", "left_semi")
+    return (members.join(md.concept_meta(), "index_code", "left")
+            .select("ts_code", "index_code", F.coalesce("index_name", F.lit("")).alias("index_name"))
+            .distinct())
 
 
 def concept_daily(md: MarketData, index_code=None) -> DataFrame:
-    t = where_all(md.ths_index(), eq("index_code", index_code))
-    return t.select("index_code", "index_name", "index_type", "trade_date", "open", "high", "low", "close",
-                    "pre_close", "pct_chg", "vol", "amount").distinct()
+    """Concept bars without the member fan-out: quotes of concepts that have members
+    (semi-join), with the name lookup; one row per (concept, day) already."""
+    from tidemark.operators.ingest import concept_denorm
+    q = where_all(md.concept_quotes(), eq("index_code", index_code))
+    q = q.join(md.concept_members().select("index_code"), "index_code", "left_semi")
+    return concept_denorm(q, None, md.concept_meta()).drop("ts_code", "name")
 
 
 # ---------------------------------------------------------------------------
@@ -270,10 +282,15 @@ def _adj_sql(mode: str, src: str = "v_bars") -> str:
                        src=src)
 
 
+def _msum(c: str, n: int) -> str:
+    """Exact moving sum of the last n values in millionths, NULL until n rows exist."""
+    return (f"CASE WHEN row_number() OVER w >= {n} THEN sum(CAST(CAST({c} AS DECIMAL(20,6)) * 1000000 AS BIGINT)) "
+            f"OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END")
+
+
 def _ind_sql() -> str:
     def ma(c, n):
-        return (f"CAST(sum(CAST({c} AS DECIMAL(20,6))) OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-                f" AS DOUBLE) / {float(n)}")
+        return f"(CAST({_msum(c, n)} AS DOUBLE) / {n * 1e6})"
 
     def mn(c, n):
         return f"min({c}) OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
@@ -281,17 +298,17 @@ def _ind_sql() -> str:
     def mx(c, n):
         return f"max({c}) OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
-    k9 = f"(close - {mn('low', 9)}) / nullif({mx('high', 9)} - {mn('low', 9)}, 0) * 100"
+    k10 = f"(close - {mn('low', 10)}) / nullif({mx('high', 10)} - {mn('low', 10)}, 0) * 100"
     cols = {
-        "macd_dif_qfq": f"{ma('close', 12)} - {ma('close', 26)}",
-        "macd_dea_qfq": f"{ma('close', 9)} - {ma('close', 26)}",
-        "macd_qfq": f"({ma('close', 12)} - {ma('close', 9)}) * 2",
-        "kdj_k_qfq": k9,
-        "kdj_d_qfq": f"(close - {mn('low', 3)}) / nullif({mx('high', 3)} - {mn('low', 3)}, 0) * 100",
-        "kdj_qfq": f"({k9}) * 3",
-        "rsi_qfq_6": f"close / nullif({ma('close', 6)}, 0) * 50",
-        "rsi_qfq_12": f"close / nullif({ma('close', 12)}, 0) * 50",
-        "rsi_qfq_24": f"close / nullif({ma('close', 24)}, 0) * 50",
+        "macd_dif_qfq": f"{ma('close', 10)} - {ma('close', 20)}",
+        "macd_dea_qfq": f"{ma('close', 5)} - {ma('close', 20)}",
+        "macd_qfq": f"({ma('close', 10)} - {ma('close', 5)}) * 2",
+        "kdj_k_qfq": k10,
+        "kdj_d_qfq": f"(close - {mn('low', 5)}) / nullif({mx('high', 5)} - {mn('low', 5)}, 0) * 100",
+        "kdj_qfq": f"({k10}) * 3",
+        "rsi_qfq_6": f"close / nullif({ma('close', 5)}, 0) * 50",
+        "rsi_qfq_12": f"close / nullif({ma('close', 10)}, 0) * 50",
+        "rsi_qfq_24": f"close / nullif({ma('close', 20)}, 0) * 50",
         "boll_upper_qfq": mx("high", 20),
         "boll_mid_qfq": ma("close", 20),
         "boll_lower_qfq": mn("low", 20),
@@ -319,9 +336,7 @@ WITH q AS (""" + _adj_sql("qfq").replace("WITH lf AS", "WITH lf2 AS").replace("l
         "JOIN lf ON", "JOIN lf2 ON") + """)
 SELECT ts_code, time AS trade_date, close,
 """ + ",\n".join(
-        f"CASE WHEN row_number() OVER w >= {n} THEN floor((sum(CAST(CAST(close AS DECIMAL(20,6)) * 1000000 AS BIGINT)) "
-        f"OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) + {n * 100 // 2}) / {n * 100}) / 10000.0 "
-        f"END AS ma{n}" for n in (5, 10, 20, 60)) + """
+        f"floor(({_msum('close', n)} + {n * 100 // 2}) / {n * 100}) / 10000.0 AS ma{n}" for n in (5, 10, 20, 60)) + """
 FROM q WINDOW w AS (PARTITION BY ts_code ORDER BY time)""",
     "bars_resample": "SELECT * FROM v_weekly",
     "bars_monthly": """

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import as_date, month_of
+from tidemark.functions.numeric import packed_order_key
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -31,8 +32,16 @@ def sec_code(col: str = "l_suppkey"):
 
 
 def _bar_order():
-    # total order inside one (symbol, day): (orderkey, linenumber) is not unique in the data
-    return F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    """Total order of the lines inside one (symbol, day): ``(orderkey, linenumber,
+    partkey, price)`` -- ``(orderkey, linenumber)`` alone is not unique in the data.
+
+    The tuple is packed into one ``decimal(38,0)`` so ``min_by``/``max_by`` keep
+    fixed-width buffers and the aggregation stays a (code-generated) hash
+    aggregate with a map-side partial step; a struct key would force a sort
+    aggregate on both sides of the shuffle.
+    """
+    return packed_order_key([("l_orderkey", 17), ("l_linenumber", 2), ("l_partkey", 11),
+                             (F.round(F.col("l_extendedprice") * 100.0), 8)])
 
 
 class MarketData:
@@ -58,7 +67,7 @@ class MarketData:
         li = self.table("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                         "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
         px, order = F.col("l_extendedprice"), _bar_order()
-        return li.groupBy(sec_code().alias("ts_code"), as_date("l_shipdate").alias("trade_date")).agg(
+        agg = li.groupBy("l_suppkey", as_date("l_shipdate").alias("trade_date")).agg(
             F.min_by(px, order).alias("open"),
             F.max(px).alias("high"),
             F.min(px).alias("low"),
@@ -66,6 +75,9 @@ class MarketData:
             F.sum("l_quantity").alias("vol"),
             F.sum(px.cast("decimal(18,2)")).cast("double").alias("amount"),
         )
+        # group on the integer key; the symbol string is built once per output row
+        return agg.select(sec_code().alias("ts_code"), "trade_date", "open", "high", "low", "close", "vol",
+                          "amount")
 
     def daily(self) -> DataFrame:
         w = Window.partitionBy("ts_code").orderBy("trade_date")
@@ -85,15 +97,16 @@ class MarketData:
     def adj_factor(self) -> DataFrame:
         li = self.table("lineitem", "l_suppkey", "l_shipdate", "l_discount", "l_returnflag")
         return (li.where(F.col("l_returnflag") == "R")
-                .groupBy(sec_code().alias("ts_code"), as_date("l_shipdate").alias("trade_date"))
-                .agg(F.max(F.lit(1.0) + F.col("l_discount")).alias("adj_factor")))
+                .groupBy("l_suppkey", as_date("l_shipdate").alias("trade_date"))
+                .agg(F.max(F.lit(1.0) + F.col("l_discount")).alias("adj_factor"))
+                .select(sec_code().alias("ts_code"), "trade_date", "adj_factor"))
 
     def daily_basic(self) -> DataFrame:
         li = self.table("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                         "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
         px = F.col("l_extendedprice")
         amount = F.sum(px.cast("decimal(18,2)")).cast("double")
-        return li.groupBy(sec_code().alias("ts_code"), as_date("l_shipdate").alias("trade_date")).agg(
+        agg = li.groupBy("l_suppkey", as_date("l_shipdate").alias("trade_date")).agg(
             F.max_by(px, _bar_order()).alias("close"),
             F.max("l_discount").alias("turnover_rate"),
             F.max("l_quantity").alias("volume_ratio"),
@@ -106,6 +119,7 @@ class MarketData:
             amount.alias("total_mv"),
             amount.alias("circ_mv"),
         )
+        return agg.select(sec_code().alias("ts_code"), *[c for c in agg.columns if c != "l_suppkey"])
 
     # -- masters -----------------------------------------------------------
     def stock_basic(self) -> DataFrame:
