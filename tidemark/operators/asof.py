@@ -137,16 +137,14 @@ def month_closes(bars: DataFrame, requests: DataFrame, horizons: Sequence[int] =
     """
     req = requests.select("ts_code", "month").distinct().withColumn("m", month_start(F.col("month")))
     edges = monthly_edges(bars, price)
-    # spine rows: k = 0 asks for the forward value at m, k > 0 for the backward value at m + k - 1
-    asks = [req.select("ts_code", "month", F.col("m").alias("m"), F.lit(0).alias("k"))]
-    for k in horizons:
-        asks.append(req.select("ts_code", "month", F.add_months("m", k - 1).alias("m"), F.lit(k).alias("k")))
-    spine = asks[0]
-    for a in asks[1:]:
-        spine = spine.unionByName(a)
-    spine = spine.withColumn("__first", F.lit(None).cast("double")) \
-                 .withColumn("__first_date", F.lit(None).cast("date")) \
-                 .withColumn("__last", F.lit(None).cast("double"))
+    # spine rows from one pass over the requests: k = 0 asks for the forward value at m,
+    # k > 0 for the backward value at m + k - 1
+    ks = F.explode(F.array(*[F.lit(k) for k in (0, *horizons)])).alias("k")
+    spine = req.select("ts_code", "month", "m", ks).select(
+        "ts_code", "month", F.when(F.col("k") == 0, F.col("m")).otherwise(F.add_months("m", F.col("k") - 1))
+        .alias("m"), "k",
+        F.lit(None).cast("double").alias("__first"), F.lit(None).cast("date").alias("__first_date"),
+        F.lit(None).cast("double").alias("__last"))
     allrows = edges.withColumn("month", F.lit(None).cast("string")).withColumn("k", F.lit(None).cast("int")) \
         .unionByName(spine)
     w = Window.partitionBy("ts_code").orderBy("m")

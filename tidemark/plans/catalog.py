@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,13 +29,21 @@ def _load():
     return queries, oracle
 
 
+def market_data(spark: SparkSession, sf_dir: str) -> MarketData:
+    """Stored logical tables (materialised once per session) unless TIDEMARK_STORE=0."""
+    if os.environ.get("TIDEMARK_STORE", "1") == "0":
+        return MarketData(spark, sf_dir)
+    from tidemark.sources.store import StoredMarketData
+    return StoredMarketData(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     raw, _ = _load()
 
     def bind(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             apply_sql_defaults(spark)
-            return fn(MarketData(spark, sf_dir))
+            return fn(market_data(spark, sf_dir))
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
         return run

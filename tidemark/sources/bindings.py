@@ -81,7 +81,7 @@ class MarketData:
 
     def daily(self) -> DataFrame:
         w = Window.partitionBy("ts_code").orderBy("trade_date")
-        d = self._daily_agg()
+        d = self.bars()
         pre = F.lag("close").over(w)
         return d.select(
             "ts_code", "trade_date", "open", "high", "low", "close",
