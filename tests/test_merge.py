@@ -110,3 +110,21 @@ def test_events_upsert_matches_distinct_keys(md):
     out = upsert_merge_q(md)
     keys = event_rows(md).select("user_id", "event_type", "day").distinct().count()
     assert out.count() == keys
+
+
+def test_unknown_key_is_rejected(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        upsert_merge(_bars(spark, []), _bars(spark, []), ["ts_code", "nope"], ["vol"])
+
+
+def test_watchlist_sink_roundtrip(spark, md):
+    from tidemark.plans.watchlist import watchlist_tags, write_watchlist
+    path = staging_path(spark, "t-watch")
+    tags = watchlist_tags(md)
+    write_watchlist(tags, path)
+    back = spark.read.json(path)
+    assert back.count() == tags.count()
+    r = back.orderBy("ts_code").first()
+    assert r["tags"] == sorted(r["tags"])

@@ -36,6 +36,17 @@ def align_schema(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, list[s
     return df.select(*cols), dropped
 
 
+def check_keys(df: DataFrame, keys: Sequence[str]) -> list[str]:
+    """Key validation: every key column must exist (raises ValueError otherwise)."""
+    keys = list(keys)
+    if not keys:
+        raise ValueError("at least one key column is required")
+    missing = [k for k in keys if k not in df.columns]
+    if missing:
+        raise ValueError(f"key column(s) {missing} not in {df.columns}")
+    return keys
+
+
 def _order_cols(order_by: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order_by]
 
@@ -43,7 +54,7 @@ def _order_cols(order_by: Sequence[str | Column]) -> list[Column]:
 def latest_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column]) -> DataFrame:
     """One row per key: the row with the greatest ``order_by`` (ties broken by the
     whole row, so the result is deterministic). NULL key parts form one key."""
-    keys = list(keys)
+    keys = check_keys(df, keys)
     if not order_by:
         raise ValueError("order_by is required: it decides which duplicate wins")
     rest = [c for c in df.columns if c not in keys]
@@ -65,7 +76,8 @@ def upsert_merge(base: DataFrame, batch: DataFrame, keys: Sequence[str],
     Inside the batch, duplicates of one key are resolved by ``order_by`` (the
     greatest wins); the batch always beats the base.
     """
-    keys = list(keys)
+    keys = check_keys(base, keys)
+    check_keys(batch, keys)
     b = base.select(*base.columns).withColumn("__prio", F.lit(0))
     n = batch.select(*base.columns).withColumn("__prio", F.lit(1))
     merged = latest_per_key(b.unionByName(n), keys, [F.col("__prio"), *_order_cols(order_by)])

@@ -25,6 +25,14 @@ def watchlist_tags(md: MarketData) -> DataFrame:
                                     F.count_distinct("tag").alias("n_tags"))
 
 
+def write_watchlist(tags: DataFrame, path: str) -> str:
+    """File sink of the watchlist: one JSON object per symbol with its sorted tag list,
+    written by the executors (replaces the hand-written YAML file)."""
+    (tags.select("ts_code", F.split("tags", ",").alias("tags"))
+     .write.mode("overwrite").json(path))
+    return path
+
+
 def watchlist_markets(md: MarketData) -> DataFrame:
     """('kept', suffix, symbols) and ('skipped', market, rows)."""
     m = _mapped(md)
