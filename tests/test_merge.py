@@ -128,3 +128,12 @@ def test_watchlist_sink_roundtrip(spark, md):
     assert back.count() == tags.count()
     r = back.orderBy("ts_code").first()
     assert r["tags"] == sorted(r["tags"])
+
+
+def test_init_tables_declared_schemas(spark):
+    from tidemark.sources.schemas import SPECS, init_tables
+    root = staging_path(spark, "t-init")
+    paths = init_tables(spark, root, ["daily", "trade_cal"])
+    for n, p in paths.items():
+        df = spark.read.parquet(p)
+        assert df.count() == 0 and df.columns == SPECS[n].columns

@@ -54,3 +54,12 @@ def concept_denorm(quotes: DataFrame, members: DataFrame | None, meta: DataFrame
         key, F.coalesce("index_name", F.lit("")).alias("index_name"),
         F.coalesce("index_type", F.lit("")).alias("index_type"),
         "trade_date", "open", "high", "low", "close", "pre_close", "pct_chg", "vol", "amount", "ts_code", "name")
+
+
+def join_row_count(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Row count of ``left JOIN right USING (key)`` without building the join:
+    ``sum over keys of n_left(k) * n_right(k)`` from two partial aggregates."""
+    lc = left.groupBy(key).agg(F.count(F.lit(1)).alias("__l"))
+    rc = right.groupBy(key).agg(F.count(F.lit(1)).alias("__r"))
+    return lc.join(rc, key).agg(F.coalesce(F.sum(F.col("__l") * F.col("__r")), F.lit(0)).cast("bigint")
+                                .alias("rows"))

@@ -93,6 +93,27 @@ def high_water(md: MarketData) -> DataFrame:
     return md.bars().groupBy("ts_code").agg(F.max("trade_date").alias("high_water"))
 
 
+def high_water_marks(md: MarketData) -> DataFrame:
+    """All high-water marks the loader uses, as (kind, key, mark) strings: newest bar per
+    symbol, newest calendar day per exchange, newest date per dated table and the newest
+    recommendation month."""
+    fmt = lambda c: F.date_format(c, "yyyy-MM-dd")
+    sym = md.bars().groupBy(F.col("ts_code").alias("key")).agg(fmt(F.max("trade_date")).alias("mark")) \
+        .select(F.lit("symbol").alias("kind"), "key", "mark")
+    exch = md.trade_cal().groupBy(F.col("exchange").alias("key")).agg(fmt(F.max("cal_date")).alias("mark")) \
+        .select(F.lit("exchange").alias("kind"), "key", "mark")
+    tables = [("daily", md.bars(), "trade_date"), ("adj_factor", md.adj_factor(), "trade_date"),
+              ("report_rc", md.report_rc(), "report_date"), ("stk_surv", md.stk_surv(), "surv_date")]
+    tabs = [df.agg(fmt(F.max(c)).alias("mark")).select(F.lit("table").alias("kind"), F.lit(n).alias("key"), "mark")
+            for n, df, c in tables]
+    month = md.broker_recommend().agg(F.max("month").alias("mark")).select(
+        F.lit("month").alias("kind"), F.lit("broker_recommend").alias("key"), "mark")
+    out = sym.unionByName(exch)
+    for t in tabs:
+        out = out.unionByName(t)
+    return out.unionByName(month)
+
+
 def load_ranges(md: MarketData, as_of: str = AS_OF) -> DataFrame:
     """Next load range per symbol of the master: after the high-water mark minus
     the look-back, or the full look-back for a symbol with no data."""
@@ -162,6 +183,7 @@ QUERIES = {
     "backfill_plan": backfill_plan,
     "backfill_apply": backfill_apply,
     "high_water": high_water,
+    "high_water_marks": high_water_marks,
     "load_ranges": load_ranges,
     "period_plan": period_plan,
     "month_plan": month_plan,
@@ -236,6 +258,14 @@ SELECT user_id, day, arg_max(src, prio) AS src
 FROM (SELECT user_id, day, 'stored' AS src, 0 AS prio FROM stored
       UNION ALL SELECT user_id, day, 'filled', 1 FROM fill) GROUP BY user_id, day""",
     "high_water": "SELECT ts_code, max(trade_date) AS high_water FROM v_bars GROUP BY ts_code",
+    "high_water_marks": """
+SELECT 'symbol' AS kind, ts_code AS key, strftime(max(trade_date), '%Y-%m-%d') AS mark FROM v_bars GROUP BY ts_code
+UNION ALL SELECT 'exchange', exchange, strftime(max(cal_date), '%Y-%m-%d') FROM v_trade_cal GROUP BY exchange
+UNION ALL SELECT 'table', 'daily', strftime(max(trade_date), '%Y-%m-%d') FROM v_bars
+UNION ALL SELECT 'table', 'adj_factor', strftime(max(trade_date), '%Y-%m-%d') FROM v_adj
+UNION ALL SELECT 'table', 'report_rc', strftime(max(report_date), '%Y-%m-%d') FROM v_report_rc
+UNION ALL SELECT 'table', 'stk_surv', strftime(max(surv_date), '%Y-%m-%d') FROM v_stk_surv
+UNION ALL SELECT 'month', 'broker_recommend', max(month) FROM v_recs""",
     "load_ranges": """
 SELECT s.ts_code, h.high_water,
        coalesce(CAST(h.high_water - INTERVAL 5 DAY AS DATE), CAST(DATE '2001-12-31' - INTERVAL 3650 DAY AS DATE))

@@ -34,6 +34,13 @@ def logical_table(md: MarketData, name: str) -> DataFrame:
 
 
 def _overview_row(md: MarketData, name: str) -> DataFrame:
+    if name == "ths_index":
+        # quotes x members: count the fan-out without materialising it
+        from tidemark.operators.ingest import join_row_count
+        n = join_row_count(md.concept_quotes().select("index_code"), md.concept_members().select("index_code"),
+                           "index_code")
+        return n.select(F.lit(name).alias("table"), "rows", F.lit(None).cast("string").alias("min_date"),
+                        F.lit(None).cast("string").alias("max_date"), F.lit(None).cast("bigint").alias("stock_count"))
     df = logical_table(md, name)
     aggs = [F.count(F.lit(1)).alias("rows")]
     if name in DATE_COL:

@@ -103,3 +103,15 @@ BASE_TABLE_PRIORITY = ("stock_basic", "trade_cal", "hk_us_basic")
 
 def spec(name: str) -> TableSpec:
     return SPECS[name]
+
+
+def init_tables(spark, root: str, names=None, drop_existing: bool = False) -> dict[str, str]:
+    """Create empty Parquet tables with the declared schemas under ``root``
+    (``drop_existing`` replaces them, which is how a schema upgrade is done)."""
+    paths = {}
+    for name in names or SPECS:
+        path = f"{root.rstrip('/')}/{name}"
+        mode = "overwrite" if drop_existing else "ignore"
+        spark.createDataFrame([], SPECS[name].schema).write.mode(mode).parquet(path)
+        paths[name] = path
+    return paths
