@@ -92,12 +92,17 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
     in_bucket = (unioned.select("*", found.alias("__m"))
                  .where(F.col("__rid").isNotNull()))
 
-    # 2. cross-bucket fallback on bucket summaries
+    # 2. cross-bucket fallback on bucket summaries: the first (last) row of every
+    # (key, bucket), one min_by/max_by per field so fixed-width fields keep a hash
+    # aggregate (the series is assumed to hold one row per key and time)
     pick = F.min_by if fwd else F.max_by
     summary = (right.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-                            _bucket_index(rt, bucket).alias("__b"),
-                            F.struct(*[F.col(f) for f in payload_fields]).alias("__p"), rt.alias("__t"))
-               .groupBy(*kcols, "__b").agg(pick("__p", "__t").alias("__p")))
+                            _bucket_index(rt, bucket).alias("__b"), rt.alias("__t"),
+                            *[F.col(f).alias(f"__v{j}") for j, f in enumerate(payload_fields)])
+               .groupBy(*kcols, "__b")
+               .agg(*[pick(f"__v{j}", "__t").alias(f"__v{j}") for j in range(len(payload_fields))])
+               .select(*kcols, "__b", F.struct(*[F.col(f"__v{j}").alias(f) for j, f in enumerate(payload_fields)])
+                       .alias("__p")))
     wanted = req.select(*kcols, "__b").distinct().withColumn("__p", F.lit(None).cast(summary.schema["__p"].dataType))
     wb = Window.partitionBy(*kcols).orderBy("__b")
     if fwd:
