@@ -378,7 +378,7 @@ GROUP BY industry""",
 WITH d AS (SELECT industry, count(*) AS cnt FROM v_stock_basic WHERE industry IS NOT NULL AND industry <> ''
            GROUP BY industry),
 r AS (SELECT *, row_number() OVER (ORDER BY cnt DESC, industry) AS rn FROM d)
-SELECT CASE WHEN rn <= 10 THEN industry ELSE 'other' END AS industry, sum(cnt) AS cnt FROM r GROUP BY 1""",
+SELECT CASE WHEN rn <= 10 THEN industry ELSE 'other' END AS industry, CAST(sum(cnt) AS BIGINT) AS cnt FROM r GROUP BY 1""",
     "reports": "SELECT * FROM v_report_rc WHERE org_name LIKE '%NATION_1%'",
     "eps_trend": """
 SELECT ts_code, report_date, org_name, quarter, eps, pe, rating, max_price FROM v_report_rc

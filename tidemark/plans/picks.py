@@ -311,7 +311,7 @@ GROUP BY br.broker, br.month""",
 WITH ps AS (SELECT broker, month, ts_code, count(*) AS n FROM v_recs GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY broker, month ORDER BY n DESC, ts_code) AS rn,
              min(month) OVER (PARTITION BY broker, ts_code) AS first_m FROM ps)
-SELECT broker, month, sum(n) AS total, count(*) AS unique_stocks,
+SELECT broker, month, CAST(sum(n) AS BIGINT) AS total, count(*) AS unique_stocks,
        round(CAST(sum(CASE WHEN rn <= 3 THEN n ELSE 0 END) AS DOUBLE) / nullif(CAST(sum(n) AS DOUBLE), 0) * 100, 1)
            AS top3_ratio,
        round(CAST(sum(CASE WHEN first_m < month THEN n ELSE 0 END) AS DOUBLE) / nullif(CAST(sum(n) AS DOUBLE), 0)

@@ -178,7 +178,7 @@ GROUP BY ts_code"""
 ORACLE = {
     "table_overview": "WITH v_hkus AS (" + _HKUS_VIEW + ")\nSELECT * FROM (" + _ov_sql() + ")",
     "overview_totals": "WITH v_hkus AS (" + _HKUS_VIEW + "), o AS (" + _ov_sql() + """)
-SELECT count(*) AS table_count, sum(rows) AS total_rows,
+SELECT count(*) AS table_count, CAST(sum(rows) AS BIGINT) AS total_rows,
        max(CASE WHEN "table" = 'stock_basic' THEN stock_count END) AS stock_count,
        count(*) FILTER (WHERE "table" IN ('daily','weekly','adj_factor','daily_basic','stk_factor_pro'))
            AS time_series_tables,
