@@ -93,3 +93,19 @@ def test_trading_days_per_exchange_and_flag(spark):
     assert C.trading_days(cal, "X", is_open=False).count() == 4
     assert C.trading_days(cal, "X", is_open=None, start="20240102", end="2024-01-03").count() == 2
     assert C.trading_days(cal, "NOPE").count() == 0
+
+
+def test_empty_exchange_has_null_range(md):
+    from tidemark.plans.coverage import calendar_range
+    r = {x["exchange"]: x for x in calendar_range(md).collect()}
+    assert r["NOWHERE"]["min_date"] is None and r["NOWHERE"]["max_date"] is None
+    assert r["ASIA"]["min_date"] is not None
+
+
+def test_pretrade_date_is_previous_open_day(md):
+    cal = md.trade_cal().where("exchange = 'ASIA'").orderBy("cal_date").collect()
+    last_open = None
+    for r in cal:
+        assert r["pretrade_date"] == last_open
+        if r["is_open"]:
+            last_open = r["cal_date"]

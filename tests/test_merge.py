@@ -137,3 +137,28 @@ def test_init_tables_declared_schemas(spark):
     for n, p in paths.items():
         df = spark.read.parquet(p)
         assert df.count() == 0 and df.columns == SPECS[n].columns
+
+
+def test_split_detail_keeps_only_non_empty_text(spark):
+    from tidemark.operators.ingest import split_detail
+    df = spark.createDataFrame([("A", D1, "o1", "text"), ("A", D1, "o2", ""), ("A", D1, "o3", None)],
+                               "ts_code string, surv_date date, rece_org string, content string")
+    narrow, detail = split_detail(df, ["ts_code", "surv_date", "rece_org"], "content")
+    assert narrow.count() == 3 and "content" not in narrow.columns
+    assert rows(detail) == [("A", D1, "o1", "text")]
+
+
+def test_concept_denorm_defaults_and_missing_members(spark):
+    from tidemark.operators.ingest import concept_denorm
+    q = spark.createDataFrame([("C1", D1, 1.0, 2.0, 0.5, 1.5, None, None, 10.0, 100.0),
+                               ("C2", D1, 1.0, 2.0, 0.5, 1.5, None, None, 10.0, 100.0)],
+                              "index_code string, trade_date date, open double, high double, low double, "
+                              "close double, pre_close double, pct_chg double, vol double, amount double")
+    meta = spark.createDataFrame([("C1", "One", "T")], "index_code string, index_name string, index_type string")
+    mem = spark.createDataFrame([("C1", "P1", "p1"), ("C1", "P2", "p2"), ("C2", "P3", "p3")],
+                                "index_code string, ts_code string, name string")
+    out = concept_denorm(q, mem, meta)
+    assert out.count() == 3
+    assert {r["index_name"] for r in out.where("index_code = 'C2'").collect()} == {""}
+    no_members = concept_denorm(q, None, meta).collect()
+    assert len(no_members) == 2 and all(r["ts_code"] is None for r in no_members)
