@@ -97,19 +97,25 @@ def broker_history(md: MarketData, months: int = 12) -> DataFrame:
 
 def broker_profile(md: MarketData) -> DataFrame:
     """Per (broker, month): picks, unique stocks, top-3 concentration and repeat rate
-    (share of picks the broker already recommended in an earlier month)."""
+    (share of picks the broker already recommended in an earlier month).
+
+    The top-3 is a ``row_number() <= 3`` filter, which Spark turns into a partial
+    per-partition limit before the shuffle (``WindowGroupLimit``), so a broker-month
+    with very many stocks is never sorted whole in one task."""
     recs = md.broker_recommend().select("month", "broker", "ts_code")
     per_stock = recs.groupBy("broker", "month", "ts_code").agg(F.count(F.lit(1)).alias("n"))
     ws = Window.partitionBy("broker", "month").orderBy(F.col("n").desc(), F.col("ts_code"))
-    first_seen = Window.partitionBy("broker", "ts_code")
-    ranked = per_stock.select("*", F.row_number().over(ws).alias("__r"),
-                              F.min("month").over(first_seen).alias("__first"))
-    return ranked.groupBy("broker", "month").agg(
-        F.sum("n").alias("total"),
-        F.count(F.lit(1)).alias("unique_stocks"),
-        safe_ratio_pct(F.sum(F.when(F.col("__r") <= 3, F.col("n")).otherwise(0)), F.sum("n"), 1).alias("top3_ratio"),
-        safe_ratio_pct(F.sum(F.when(F.col("__first") < F.col("month"), F.col("n")).otherwise(0)), F.sum("n"), 1)
-        .alias("repeat_rate"))
+    top3 = (per_stock.withColumn("__r", F.row_number().over(ws)).where(F.col("__r") <= 3)
+            .groupBy("broker", "month").agg(F.sum("n").alias("__top")))
+    first = per_stock.groupBy("broker", "ts_code").agg(F.min("month").alias("__first"))
+    totals = (per_stock.join(first, ["broker", "ts_code"])
+              .groupBy("broker", "month").agg(
+                  F.sum("n").alias("total"), F.count(F.lit(1)).alias("unique_stocks"),
+                  F.sum(F.when(F.col("__first") < F.col("month"), F.col("n")).otherwise(0)).alias("__rep")))
+    return totals.join(top3, ["broker", "month"]).select(
+        "broker", "month", "total", "unique_stocks",
+        safe_ratio_pct("__top", "total", 1).alias("top3_ratio"),
+        safe_ratio_pct("__rep", "total", 1).alias("repeat_rate"))
 
 
 def repeat_rate(md: MarketData) -> DataFrame:
