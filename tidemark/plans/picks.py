@@ -144,11 +144,15 @@ def benchmark_excess(md: MarketData, benchmark: str = BENCHMARK_CODE) -> DataFra
     excess; rank puts missing excess last."""
     recs = md.broker_recommend().select("month", "broker", "ts_code")
     months = recs.select("month").distinct()
-    b = _returns(md, months.select(F.lit(benchmark).alias("ts_code"), "month"))
-    bench = b.select("month", F.when(F.col("first_close").isNotNull() & F.col("last_close_1").isNotNull(),
-                                     F.round(pct_change("first_close", "last_close_1"), 2))
-                     .alias("benchmark_return"))
-    perf = (recs.join(pick_returns(md, recs), ["ts_code", "month"])
+    # one as-of pass for the picks and the benchmark of every month; both consumers
+    # read the same plan, so its shuffles are reused
+    req = recs.select("ts_code", "month").unionByName(months.select(F.lit(benchmark).alias("ts_code"), "month"))
+    r = _returns(md, req)
+    priced = F.col("first_close").isNotNull() & F.col("last_close_1").isNotNull()
+    bench = r.where(F.col("ts_code") == benchmark).select(
+        "month", F.when(priced, F.round(pct_change("first_close", "last_close_1"), 2)).alias("benchmark_return"))
+    rets = r.where(priced).select("ts_code", "month", pct_change("first_close", "last_close_1").alias("ret"))
+    perf = (recs.join(rets, ["ts_code", "month"])
             .groupBy("month", "broker").agg(F.round(F.avg("ret"), 2).alias("avg_return")))
     # one benchmark row per month: bounded by the calendar, safe to broadcast
     j = (recs.select("month", "broker").distinct().join(perf, ["month", "broker"], "left")
@@ -171,16 +175,19 @@ def consensus_scatter(md: MarketData) -> DataFrame:
 
 def consensus_groups(md: MarketData) -> DataFrame:
     """Per month: stocks in each consensus bin (1 / 2-4 / 5+ brokers) and the mean of
-    their non-NULL returns. All three bins appear for every month."""
+    their non-NULL returns. All three bins appear for every month that has a priced
+    pick: one conditional aggregation per month, exploded into the three bins."""
     sc = consensus_scatter(md)
     cnt = F.col("broker_cnt")
-    label = F.when(cnt == 1, "1").when(cnt <= 4, "2-4").otherwise("5+")
-    agg = sc.groupBy("month", label.alias("group")).agg(F.count(F.lit(1)).alias("count"),
-                                                        F.round(F.avg("avg_return"), 2).alias("avg_return"))
-    spine = sc.select("month").distinct().select(
-        "month", F.explode(F.array(*[F.lit(b[0]) for b in CONSENSUS_BINS])).alias("group"))
-    return spine.join(agg, ["month", "group"], "left").select(
-        "month", "group", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"), "avg_return")
+    aggs, bins = [], []
+    for i, (label, lo, hi) in enumerate(CONSENSUS_BINS):
+        inside = (cnt >= lo) if hi is None else cnt.between(lo, hi)
+        aggs += [F.count_if(inside).alias(f"__c{i}"),
+                 F.round(F.avg(F.when(inside, F.col("avg_return"))), 2).alias(f"__a{i}")]
+        bins.append(F.struct(F.lit(label).alias("group"), F.col(f"__c{i}").alias("count"),
+                             F.col(f"__a{i}").alias("avg_return")))
+    per_month = sc.groupBy("month").agg(*aggs)
+    return per_month.select("month", F.explode(F.array(*bins)).alias("__g")).select("month", "__g.*")
 
 
 def lagged_returns(md: MarketData, horizons=(1, 3, 6)) -> DataFrame:
