@@ -111,8 +111,13 @@ def append_rows(base: DataFrame, batch: DataFrame) -> DataFrame:
 
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     """The parquet table at ``path`` (any file system URI), or None if there is none."""
+    import os
+
     from pyspark.errors import AnalysisException
 
+    local = "/" + path[5:].lstrip("/") if path.startswith("file:") else (None if "://" in path else path)
+    if local is not None and not os.path.exists(local):
+        return None
     try:
         df = spark.read.parquet(path)
         df.schema  # noqa: B018 - forces the listing

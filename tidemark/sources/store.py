@@ -65,6 +65,13 @@ def _fingerprint(sf_dir: str) -> str:
     return h.hexdigest()[:16]
 
 
+def _local_path(uri: str) -> str | None:
+    """Local file-system path of ``uri`` (``file:`` or a bare path), else None."""
+    if uri.startswith("file:"):
+        return "/" + uri[5:].lstrip("/")
+    return None if "://" in uri else uri
+
+
 class StoredMarketData(MarketData):
     """``MarketData`` whose derived tables are materialised once per session and source."""
 
@@ -81,8 +88,12 @@ class StoredMarketData(MarketData):
             return _PUBLISHED[key]
         from pyspark.errors import AnalysisException
 
+        manifest = self._manifest(name)
+        local = _local_path(manifest)
+        if local is not None and not os.path.exists(local):
+            return None
         try:
-            rows = self.spark.read.json(self._manifest(name)).collect()  # one row
+            rows = self.spark.read.json(manifest).collect()  # one row
         except AnalysisException:
             return None
         if not rows:
