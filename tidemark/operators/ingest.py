@@ -44,12 +44,18 @@ def concept_denorm(quotes: DataFrame, members: DataFrame | None, meta: DataFrame
 
     ``meta`` has one row per concept, so the lookup join never fans out; it is
     left to the optimizer to broadcast it when its size allows.
+
+    The fan-out join is keyed by the concept code, which has few distinct values
+    while the member list can be very large: a shuffle join would put each
+    concept's members into one task. The quote side holds one row per concept
+    per trading day (bounded by the concept dimension times the calendar), so it
+    is the side that is broadcast and the members stream through unshuffled.
     """
     q = quotes.join(meta, key, "left")
     if members is None:
         q = q.withColumn("ts_code", F.lit(None).cast("string")).withColumn("name", F.lit(None).cast("string"))
     else:
-        q = q.join(members, key, "inner")
+        q = members.join(F.broadcast(q), key, "inner")
     return q.select(
         key, F.coalesce("index_name", F.lit("")).alias("index_name"),
         F.coalesce("index_type", F.lit("")).alias("index_type"),
