@@ -37,6 +37,14 @@ def split_detail(df: DataFrame, keys: Sequence[str], text_col: str) -> tuple[Dat
     return narrow, detail
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """The streamed side of a large fan-out, spread over the cluster's cores when it
+    arrives in fewer partitions than that (a small table whose every row expands
+    into many output rows); a large input keeps its own partitioning."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def concept_denorm(quotes: DataFrame, members: DataFrame | None, meta: DataFrame,
                    key: str = "index_code") -> DataFrame:
     """Concept quotes x members (many-to-many on the concept code) + a name/type
@@ -55,7 +63,7 @@ def concept_denorm(quotes: DataFrame, members: DataFrame | None, meta: DataFrame
     if members is None:
         q = q.withColumn("ts_code", F.lit(None).cast("string")).withColumn("name", F.lit(None).cast("string"))
     else:
-        q = members.join(F.broadcast(q), key, "inner")
+        q = _spread(members).join(F.broadcast(q), key, "inner")
     return q.select(
         key, F.coalesce("index_name", F.lit("")).alias("index_name"),
         F.coalesce("index_type", F.lit("")).alias("index_type"),
