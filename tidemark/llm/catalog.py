@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from tidemark.llm import minhash
+from tidemark.llm import minhash, packing, quality, sharding
 
 QUERIES = {
     "op1_minhash_tensored": minhash.op1,
+    "op4_vector_packing": packing.op4,
+    "op7_jump_shards": sharding.op7,
+    "op8_quality_ledger": quality.op8,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_quality_ledger": quality.ORACLE,
+}

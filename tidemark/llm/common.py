@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import sys
+import types
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,14 @@ def texts(column: pa.Array) -> Iterator[bytes]:
         yield v.as_py() or b""
 
 
+def worker_cache(key: Hashable, build: Callable):
+    """One object per Python worker, shared by the tasks that it runs one after another."""
+    held = sys.modules.setdefault("tidemark_worker_cache", types.ModuleType("tidemark_worker_cache")).__dict__
+    if key not in held:
+        held[key] = build()
+    return held[key]
+
+
 class WordHash(dict):
     """word -> 64-bit hash, remembering at most ``keep`` words per worker."""
 
@@ -46,9 +56,6 @@ class WordHash(dict):
         super().__init__()
         self.keep = keep
 
-    def __reduce__(self):
-        return WordHash, (self.keep,)  # remembered words stay where they are
-
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.keep:
             self.clear()

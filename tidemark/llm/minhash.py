@@ -26,21 +26,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordHash, list_of_longs, mix, stage, texts
+from tidemark.llm.common import WordHash, list_of_longs, mix, stage, texts, worker_cache
 from tidemark.llm.components import connected_components
 
 HALF, TABLES = 3, 12
 #: Shingles that one verification block holds on either side.
 BLOCK_SHINGLES = 200_000
-_WORDS = WordHash()
 
 
-def shingle_set(text: bytes, words: int) -> np.ndarray:
+def shingle_set(text: bytes, words: int, known: WordHash) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; a shorter text is one shingle as a whole."""
     w = text.lower().split()
     if not w:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, w), np.uint64, len(w))
+    h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
     width = min(words, len(w))
     n = len(w) - width + 1
     with np.errstate(over="ignore"):
@@ -76,11 +75,12 @@ def half_keys(sets: list[np.ndarray], half: int, m: int, seed: int) -> np.ndarra
 
 def _profile(words: int, half: int, m: int, seed: int):
     def run(batches):
+        known = worker_cache("words", WordHash)
         for b in batches:
             ids = b.column(0)
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                sets = [shingle_set(t, words) for t in texts(part.column(1))]
+                sets = [shingle_set(t, words, known) for t in texts(part.column(1))]
                 full = [s for s in sets if len(s)]
                 keys = np.zeros((len(sets), 2 * m), np.uint64)
                 if full:
@@ -105,9 +105,10 @@ def _verify(words: int, percent: int):
     """One block of texts v of a component against one block of texts u: a link per (u, block)."""
 
     def run(_, members: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        known = worker_cache("words", WordHash)
         found: list[tuple[int, int]] = []
         if len(members) and len(asking):
-            sets = [shingle_set(t or b"", words) for t in members["body"]]
+            sets = [shingle_set(t or b"", words, known) for t in members["body"]]
             sizes = np.array([len(s) for s in sets])
             flat = np.concatenate(sets)
             owner = np.repeat(np.arange(len(sets)), sizes)
@@ -115,7 +116,7 @@ def _verify(words: int, percent: int):
             flat, owner = flat[order], owner[order]
             ids = members["v"].to_numpy()
             for u, body in zip(asking["u"], asking["body"], strict=True):
-                s = shingle_set(body or b"", words)
+                s = shingle_set(body or b"", words, known)
                 lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
                 lo, n = lo[hi > lo], (hi - lo)[hi > lo]
                 at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else lo
