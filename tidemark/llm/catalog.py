@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import minhash, packing, quality, sharding
+from tidemark.llm import licenses, minhash, packing, quality, secrets, sharding
 
 QUERIES = {
     "op1_minhash_tensored": minhash.op1,
     "op4_vector_packing": packing.op4,
+    "op5_license_rules": licenses.op5,
+    "op6_secret_worklist": secrets.op6,
     "op7_jump_shards": sharding.op7,
     "op8_quality_ledger": quality.op8,
 }
