@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import licenses, minhash, packing, quality, secrets, sharding
+from tidemark.llm import brown, licenses, minhash, packing, quality, secrets, sharding
 
 QUERIES = {
     "op1_minhash_tensored": minhash.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_secret_worklist": secrets.op6,
     "op7_jump_shards": sharding.op7,
     "op8_quality_ledger": quality.op8,
+    "op10_brown_classes": brown.op10,
 }
 
 ORACLE: dict[str, str] = {

@@ -41,12 +41,12 @@ def texts(column: pa.Array) -> Iterator[bytes]:
         yield v.as_py() or b""
 
 
-def worker_cache(key: Hashable, build: Callable):
-    """One object per Python worker, shared by the tasks that it runs one after another."""
+def worker_cache(kind: str, mark: Hashable, build: Callable):
+    """One object of a kind per Python worker, shared by its tasks until one comes with another mark."""
     held = sys.modules.setdefault("tidemark_worker_cache", types.ModuleType("tidemark_worker_cache")).__dict__
-    if key not in held:
-        held[key] = build()
-    return held[key]
+    if held.get(kind, (None, None))[0] != mark:
+        held[kind] = mark, build()
+    return held[kind][1]
 
 
 class WordHash(dict):

@@ -75,7 +75,7 @@ def half_keys(sets: list[np.ndarray], half: int, m: int, seed: int) -> np.ndarra
 
 def _profile(words: int, half: int, m: int, seed: int):
     def run(batches):
-        known = worker_cache("words", WordHash)
+        known = worker_cache("words", 1, WordHash)
         for b in batches:
             ids = b.column(0)
             for lo in range(0, b.num_rows, 512):
@@ -105,7 +105,7 @@ def _verify(words: int, percent: int):
     """One block of texts v of a component against one block of texts u: a link per (u, block)."""
 
     def run(_, members: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        known = worker_cache("words", WordHash)
+        known = worker_cache("words", 1, WordHash)
         found: list[tuple[int, int]] = []
         if len(members) and len(asking):
             sets = [shingle_set(t or b"", words, known) for t in members["body"]]

@@ -82,7 +82,7 @@ class TokenBytes(dict):
 
 def _tokenise(path: str, sequence: int, end_id: int):
     def run(batches):
-        code = worker_cache(("tokens", path), lambda: TokenBytes(path))
+        code = worker_cache("tokens", path, lambda: TokenBytes(path))
         end = array("I", [end_id]).tobytes()
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
