@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import brown, licenses, minhash, packing, quality, secrets, sharding
+from tidemark.llm import brown, kmtree, licenses, minhash, packing, quality, secrets, sharding
 
 QUERIES = {
     "op1_minhash_tensored": minhash.op1,
+    "op3_kmeans_tree": kmtree.op3,
     "op4_vector_packing": packing.op4,
     "op5_license_rules": licenses.op5,
     "op6_secret_worklist": secrets.op6,
