@@ -12,7 +12,9 @@ Links are confirmed without listing the pairs of a bucket:
    leader that it meets in most tables; confirmed links are joined to components;
 3. each text that still shares a bucket with another component is held against that whole
    component (the smaller component's texts against the larger one's, in blocks of bounded size),
-   and the components are joined again.
+   and the components are joined again. Where the components of many shared buckets form a dense
+   cluster, its texts are instead held against the whole cluster at once, which is the same
+   comparisons and more, without a row for each pair.
 
 After step 3 every two texts of one bucket are in one component or were compared in full.
 """
@@ -102,7 +104,8 @@ def profiles(docs: DataFrame, words: int, half: int = HALF, m: int = TABLES, see
 
 
 def _verify(words: int, percent: int):
-    """One block of texts v of a component against one block of texts u: a link per (u, block)."""
+    """One block of member texts v against one block of asking texts u: for each u, a link to each other
+    component that has a similar text in the block."""
 
     def run(_, members: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         known = worker_cache("words", 1, WordHash)
@@ -114,25 +117,24 @@ def _verify(words: int, percent: int):
             owner = np.repeat(np.arange(len(sets)), sizes)
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
-            ids = members["v"].to_numpy()
-            for u, body in zip(asking["u"], asking["body"], strict=True):
+            ids, parts = members["v"].to_numpy(), members["vc"].to_numpy()
+            for u, part, body in zip(asking["u"], asking["uc"], asking["body"], strict=True):
                 s = shingle_set(body or b"", words, known)
                 lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
                 lo, n = lo[hi > lo], (hi - lo)[hi > lo]
                 at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else lo
                 both = np.bincount(owner[at], minlength=len(sets))
-                hit = np.flatnonzero((100 * both >= percent * (sizes + len(s) - both)) & (ids != u))
-                if len(hit):
-                    found.append((u, ids[hit[0]]))
+                hit = np.flatnonzero((100 * both >= percent * (sizes + len(s) - both)) & (parts != part))
+                found += [(u, ids[hit[k]]) for k in np.unique(parts[hit], return_index=True)[1]]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
 
 def confirm(asking: DataFrame, members: DataFrame, bodies: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between texts u of asking(u, cid) and texts v of members(v, cid).
+    """Links (a, b) between texts u of asking(u, uc, cid) and texts v of members(v, vc, cid).
 
-    bodies(doc, n, body) has the texts. Both sides of a cid are cut into blocks by their shingle
+    uc and vc are the components that they are in already. bodies(doc, n, body) has the texts. Both sides of a cid are cut into blocks by their shingle
     counts; a block meets each block of the other side, so no task gets an unbounded group.
     """
     def blocks(col):
@@ -143,19 +145,56 @@ def confirm(asking: DataFrame, members: DataFrame, bodies: DataFrame, words: int
     nv = members.join(size.withColumnRenamed("doc", "v"), "v").groupBy("cid").agg(blocks("nv"))
     counts = nu.join(nv, "cid")
     left = (members.join(counts, "cid")
-            .select("cid", "v", F.pmod(F.xxhash64("v"), F.col("nv")).cast("int").alias("bv"),
+            .select("cid", "v", "vc", F.pmod(F.xxhash64("v"), F.col("nv")).cast("int").alias("bv"),
                     F.explode(F.sequence(F.lit(0), F.col("nu") - 1)).alias("bu"))
             .join(bodies.select(F.col("doc").alias("v"), "body"), "v"))
     right = (asking.join(counts, "cid")
-             .select("cid", "u", F.pmod(F.xxhash64("u"), F.col("nu")).cast("int").alias("bu"),
+             .select("cid", "u", "uc", F.pmod(F.xxhash64("u"), F.col("nu")).cast("int").alias("bu"),
                      F.explode(F.sequence(F.lit(0), F.col("nv") - 1)).alias("bv"))
              .join(bodies.select(F.col("doc").alias("u"), "body"), "u"))
-    left = left.select("cid", "bu", "bv", "v", "body").toDF("vcid", "vbu", "vbv", "v", "body")
-    right = right.select("cid", "bu", "bv", "u", "body").toDF("ucid", "ubu", "ubv", "u", "body")
+    left = left.select("cid", "bu", "bv", "v", "vc", "body").toDF("vcid", "vbu", "vbv", "v", "vc", "body")
+    right = right.select("cid", "bu", "bv", "u", "uc", "body").toDF("ucid", "ubu", "ubv", "u", "uc", "body")
     return (left.groupBy("vcid", "vbu", "vbv").cogroup(right.groupBy("ucid", "ubu", "ubv"))
             .applyInPandas(_verify(words, percent), "a long, b long"))
 
 
+def _cross(placed: DataFrame, whole: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """asking(u, uc, cid) and members(v, vc, cid) that hold every two components of a bucket together.
+
+    placed(bucket, node, component, members): buckets with several components; whole(component, v):
+    the texts of components of two and more.
+    """
+    parts = placed.select("bucket", "component", "members").distinct()
+    low = parts.groupBy("bucket").agg(F.min("component").alias("b"), F.count("*").alias("parts"))
+    cluster = stage(connected_components(parts.join(low, "bucket").select(F.col("component").alias("a"), "b"))
+                    .select(F.col("node").alias("component"), F.col("component").alias("cluster")), "minhash-clusters")
+    # rows that a join by bucket would make, against comparisons of the whole cluster
+    by_bucket = (placed.groupBy("bucket").agg(F.count("*").alias("texts"), F.min("component").alias("component")).join(low, "bucket")
+                 .join(cluster, "component").groupBy("cluster").agg(F.sum(F.col("texts") * (F.col("parts") - 1)).alias("rows")))
+    size = (parts.select("component", "members").distinct().join(cluster, "component").groupBy("cluster")
+            .agg(F.sum("members").alias("texts"), F.max(F.struct("members", "component")).alias("top")))
+    dense = (size.join(by_bucket, "cluster")
+             .where("CAST(texts AS DOUBLE) * (texts - top.members) <= 8 * CAST(rows AS DOUBLE)")
+             .select("cluster", F.col("top.component").alias("top")))
+    dense = stage(cluster.join(dense, "cluster"), "minhash-dense")
+
+    other = placed.select("bucket", F.col("component").alias("cid"), F.col("members").alias("cid_members")).distinct()
+    sparse = placed.join(dense.select("component"), "component", "left_anti")
+    by_pair = (sparse.join(other, "bucket").where("struct(members, component) < struct(cid_members, cid)")
+               .select(F.col("node").alias("u"), F.col("component").alias("uc"), "cid").distinct())
+    by_cluster = (placed.select("node", "component").distinct().join(dense, "component").where("component <> top")
+                  .select(F.col("node").alias("u"), F.col("component").alias("uc"), (-F.col("cluster") - 1).alias("cid")))
+    asking = stage(by_pair.unionByName(by_cluster), "minhash-asking")
+
+    def texts_of(targets):  # (component, cid); a component without a link is its one text
+        return (targets.join(whole, "component", "left")
+                .select(F.coalesce("v", "component").alias("v"), F.col("component").alias("vc"), "cid"))
+
+    members = (texts_of(by_pair.select(F.col("cid").alias("component"), "cid").distinct())
+               .unionByName(texts_of(dense.select("component", (-F.col("cluster") - 1).alias("cid")))))
+    return asking, stage(members, "minhash-members")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, half: int = HALF, m: int = TABLES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text; others unused).
 
@@ -190,8 +229,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, half: in
     bodies = stage(docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").cast("binary").alias("body"))
                    .join(wanted, "doc", "left_semi").dropDuplicates(["doc"])
                    .join(reps.select("doc", "n"), "doc"), "minhash-bodies")
-    links = stage(confirm(first, first.select(F.col("cid").alias("v"), "cid").distinct(), bodies, words, percent),
-                  "minhash-links1")
+    leaders = first.select(F.col("cid").alias("v"), F.col("cid").alias("vc"), "cid").distinct()
+    links = stage(confirm(first.withColumn("uc", F.col("u")), leaders, bodies, words, percent), "minhash-links1")
 
     # 3: what still shares a bucket with another component is held against the whole of it
     comp = connected_components(links)
@@ -202,12 +241,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, half: in
     present = placed.select("bucket", "component", "members").distinct()
     mixed = present.groupBy("bucket").agg(F.count("*").alias("parts")).where("parts > 1").select("bucket")
     placed = stage(placed.join(mixed, "bucket", "left_semi"), "minhash-mixed")
-    other = placed.select("bucket", F.col("component").alias("cid"), F.col("members").alias("cid_members")).distinct()
-    asking = stage(placed.join(other, "bucket").where("struct(members, component) < struct(cid_members, cid)")
-                   .select(F.col("node").alias("u"), "cid").distinct(), "minhash-asking")
-    members = (asking.select("cid").distinct()
-               .join(comp.select(F.col("component").alias("cid"), F.col("node")), "cid", "left")
-               .select("cid", F.coalesce("node", "cid").alias("v")))
+    whole = comp.select("component", F.col("node").alias("v"))
+    asking, members = _cross(placed, whole)
     late = stage(confirm(asking, members, bodies, words, percent), "minhash-links2")
     final = connected_components(links.unionByName(late))
 
