@@ -193,8 +193,9 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     gate = " OR ".join(f"contains(_low, {_quote(r)})" for r in ROOTS)
     df = df.withColumn("_low", F.when(F.expr(gate), ascii_lower("_raw")))
     df = df.withColumn("_keys", F.expr(f"CASE WHEN _low IS NOT NULL THEN filter(array({keys}), k -> contains(_low, k)) END"))
+    # _keys stands here twice so that it stays a column: inlined, it would be computed anew for every rule
     df = df.withColumn("_hits", F.expr(f"""
-        CASE WHEN _low IS NOT NULL THEN flatten(transform(
+        CASE WHEN size(_keys) > 0 THEN flatten(transform(
             filter(array({of_rule}), r -> arrays_overlap(_keys, r.keywords) AND rlike(_low, r.pattern)),
             r -> aggregate(arrays_zip(split(_low, r.pattern, -1), regexp_extract_all(_low, r.pattern, 0)),
                 struct(0 AS at, CAST(array() AS array<{hit}>) AS found),
