@@ -137,10 +137,10 @@ def _pack(limits: dict[str, int], group_rows: int):
 
     def flush(rows: pd.DataFrame, first: int):
         placed = fill(rows[names].to_numpy(np.int64), most)
-        rows = rows.assign(sequence_id=first + placed[:, 0], place=placed[:, 1]).sort_values(["sequence_id", "place"])
+        rows = rows.assign(sequence_id=first + placed[:, 0], _place=placed[:, 1]).sort_values(["sequence_id", "_place"])
         rows["offset"] = rows.groupby("sequence_id")[names[0]].cumsum() - rows[names[0]]
-        rows["sequence_id"] += rows.pop("task").to_numpy(np.int64) << 40
-        return rows.drop(columns="place"), first + int(placed[:, 0].max()) + 1
+        rows["sequence_id"] += rows.pop("_task").to_numpy(np.int64) << 40
+        return rows.drop(columns="_place"), first + int(placed[:, 0].max()) + 1
 
     def run(batches):
         held, size, first = [], 0, 0
@@ -162,14 +162,12 @@ def pack(examples: DataFrame, limits: dict[str, int], group_rows: int = GROUP_RO
     """``examples`` with sequence_id and offset: whole examples, within every limit of each sequence.
 
     ``limits`` names demand columns (not null, not negative) and their limits; the first is the one
-    that offsets count. An example that exceeds a limit on its own raises. Rows are dealt evenly
+    that offsets count. Columns named sequence_id or offset are replaced. An example that exceeds a limit on its own raises. Rows are dealt evenly
     (repeated rows too) into groups of about ``group_rows``; a group is one task's work.
     """
-    clash = {"sequence_id", "offset", "task", "place"} & set(examples.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are made here")
+    examples = examples.drop("sequence_id", "offset", "_task", "_place")
     groups = max(1, math.ceil(examples.count() / group_rows))
-    dealt = examples.repartition(groups).withColumn("task", F.spark_partition_id().cast("long"))
+    dealt = examples.repartition(groups).withColumn("_task", F.spark_partition_id().cast("long"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in examples.schema)
     return dealt.mapInPandas(_pack(limits, group_rows), f"{fields}, sequence_id long, offset long")
 

@@ -112,11 +112,8 @@ def fail_bits_sql() -> str:
 
 
 def ledger(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with measurements and fail_bits; columns of these names must not be there yet."""
-    clash = {*MEASURES, "fail_bits"} & set(df.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are made here")
-    return measure(df, text).withColumn("fail_bits", F.expr(f"CAST({fail_bits_sql()} AS BIGINT)"))
+    """``df`` with measurements and fail_bits; columns that have these names already are replaced."""
+    return measure(df.drop(*MEASURES, "fail_bits"), text).withColumn("fail_bits", F.expr(f"CAST({fail_bits_sql()} AS BIGINT)"))
 
 
 def apply_policies(rows: DataFrame, policies: list[Policy]) -> DataFrame:
