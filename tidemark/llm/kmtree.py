@@ -22,7 +22,7 @@ from tidemark.llm.common import stage
 #: Rows that the tree is fitted on, children per node, rows of the sample per leaf at most.
 SAMPLE, BRANCH, LEAF_ROWS = 20_000, 12, 100
 #: Queries with exact neighbours, and the mean recall that they must reach.
-CALIBRATION, RECALL = 64, 0.97
+CALIBRATION, RECALL = 128, 0.95
 #: Rows (vectors or queries) of one search block.
 BLOCK = 4096
 
@@ -103,9 +103,11 @@ def _matrix(column) -> np.ndarray:
     return np.array(column.tolist(), np.float64).reshape(len(column), -1)
 
 
-def nearest_block(ids, x, q_ids, q, k: int):
+def nearest_block(ids, x, q_ids, q, k: int, open_to=None):
     """(query, id, distance) of the k nearest of ``x`` to each query, the row of the query's id left out.
 
+    ``open_to(i)`` is the mask of the rows that query i may see.
+
     Candidates come from a product form whose error is bounded; distances are then taken of the
     differences themselves, so order and ties are those of the exact distances.
     """
@@ -118,6 +120,8 @@ def nearest_block(ids, x, q_ids, q, k: int):
         for i in range(len(part)):
             a = approx[i]
             a[ids == q_ids[at + i]] = np.inf
+            if open_to is not None:
+                a[~open_to(at + i)] = np.inf
             kth = np.partition(a, k - 1)[k - 1] if len(a) >= k else np.inf
             near = np.flatnonzero((a <= kth + slack[i]) & np.isfinite(a))
             d = np.sqrt(((x[near] - part[i]) ** 2).sum(axis=1))
@@ -133,8 +137,10 @@ def _search(k: int):
     def run(_, rows: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(asking):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+        leaves, of = np.unique(rows["leaf"].to_numpy(), return_inverse=True)
+        visited = [np.isin(leaves, seen) for seen in asking["leaves"]]
         return pd.concat(nearest_block(rows["vec_id"].to_numpy(), _matrix(rows["vec"]), asking["query_id"].to_numpy(),
-                                       _matrix(asking["qvec"]), k), ignore_index=True)
+                                       _matrix(asking["qvec"]), k, lambda i: visited[i][of]), ignore_index=True)
 
     return run
 
@@ -184,38 +190,47 @@ def nearest(rows: DataFrame, is_query, k: int = 10, recall: float = RECALL, samp
     index = stage(rows.mapInPandas(place, "vec_id long, vec array<double>, leaf long"), "ann-index")
     held = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # one row a leaf
     queries = index.where(is_query).select(F.col("vec_id").alias("query_id"), "vec").groupBy("query_id").agg(F.min("vec").alias("qvec"))
+    # neighbouring leaves share a block of about BLOCK rows; a leaf with more rows has a block of several parts
+    block_of, parts, block, size = {}, {}, 0, 0
+    for leaf in sorted(held):
+        if size and size + held[leaf] > BLOCK:
+            block, size = block + 1, 0
+        block_of[leaf], size = block, size + held[leaf]
+        parts[block] = math.ceil(size / BLOCK)
     visits = _calibrate(index, queries, tree, held, k, recall, calibration)
 
     def leaves(batches):
         for b in batches:
-            rows_of, order = [], []
+            rows_of, blocks, seen_in = [], [], []
             for q in _matrix(b["qvec"]):
-                seen, n = [], 0
+                seen, n, visited = {}, 0, 0
                 for leaf in tree.order(q):
-                    if len(seen) >= visits and n > k:
+                    if visited >= visits and n > k:
                         break
                     if held.get(leaf):
-                        seen.append(leaf)
-                        n += held[leaf]
+                        seen.setdefault(block_of[leaf], []).append(leaf)
+                        visited, n = visited + 1, n + held[leaf]
                 rows_of.append(len(seen))
-                order += seen
-            yield b.loc[b.index.repeat(rows_of)].assign(leaf=order)
-
-    asked = queries.mapInPandas(leaves, "query_id long, qvec array<double>, leaf long")
-    return _merge(_blocks(index, asked, held, k), k)
-
-
-def _blocks(index: DataFrame, asked: DataFrame, held: dict[int, int], k: int) -> DataFrame:
-    """Leaf by leaf, in blocks of about BLOCK rows and BLOCK queries; a crowded leaf is many blocks."""
-    sizes = index.sparkSession.createDataFrame([(leaf, math.ceil(n / BLOCK)) for leaf, n in held.items()], "leaf long, nv int")
-    asking = asked.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nq"))
-    counts = F.broadcast(sizes.join(asking, "leaf"))  # one row a leaf: bounded by the sample
-    left = (index.join(counts, "leaf").withColumn("bv", F.pmod(F.xxhash64("vec_id"), F.col("nv")).cast("int"))
-            .withColumn("bq", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).select("leaf", "bv", "bq", "vec_id", "vec"))
-    right = (asked.join(counts, "leaf").withColumn("bq", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int"))
+                blocks += seen
+                seen_in += seen.values()
+            yield b.loc[b.index.repeat(rows_of)].assign(block=blocks, leaves=seen_in)
+
+    asked = queries.mapInPandas(leaves, "query_id long, qvec array<double>, block long, leaves array<long>")
+    places = spark.createDataFrame([(leaf, blk, parts[blk]) for leaf, blk in block_of.items()], "leaf long, block long, nv int")
+    return _merge(_blocks(index, asked, places, k), k)
+
+
+def _blocks(index: DataFrame, asked: DataFrame, places: DataFrame, k: int) -> DataFrame:
+    """Block by block, BLOCK queries at a time; a crowded leaf is many parts."""
+    asking = asked.groupBy("block").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nq"))
+    places = stage(places.join(asking, "block"), "ann-blocks")  # one row a leaf: bounded by the sample
+    left = (index.join(F.broadcast(places), "leaf").withColumn("bv", F.pmod(F.xxhash64("vec_id"), F.col("nv")).cast("int"))
+            .withColumn("bq", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).select("block", "bv", "bq", "leaf", "vec_id", "vec"))
+    counts = F.broadcast(places.select("block", "nv", "nq").distinct())
+    right = (asked.join(counts, "block").withColumn("bq", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int"))
              .withColumn("bv", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)))
-             .select(F.col("leaf").alias("qleaf"), F.col("bv").alias("qbv"), F.col("bq").alias("qbq"), "query_id", "qvec"))
-    return (left.groupBy("leaf", "bv", "bq").cogroup(right.groupBy("qleaf", "qbv", "qbq"))
+             .select(F.col("block").alias("qblock"), F.col("bv").alias("qbv"), F.col("bq").alias("qbq"), "query_id", "qvec", "leaves"))
+    return (left.groupBy("block", "bv", "bq").cogroup(right.groupBy("qblock", "qbv", "qbq"))
             .applyInPandas(_search(k), _FOUND))
 
 
