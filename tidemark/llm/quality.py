@@ -70,6 +70,11 @@ POLICIES = {
 CURRENT = "v2"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, which is computed once wherever the optimizer puts the expression."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the MEASURES columns of its text column (null: empty, all measures 0).
 
@@ -79,22 +84,20 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn(t, F.coalesce(F.col(text).cast("string"), F.lit("")))
     df = (df.withColumn("_ws", F.expr(rf"array_remove(split({t}, '[{SPACE_CLASS.replace(chr(92), chr(92) * 2)}]+'), '')"))
           .withColumn("_lines", F.expr(rf"filter(split({t}, '\n'), l -> btrim(l, '{SPACES}') <> '')")))
-    df = df.withColumn("_grams", F.expr(
-        "CASE WHEN size(_ws) >= 3 THEN transform(sequence(0, size(_ws) - 3), "
-        "i -> xxhash64(get(_ws, i), get(_ws, i + 1), get(_ws, i + 2))) ELSE array() END"))
-    df = df.withColumn("_sorted", F.expr(
-        "CASE WHEN size(array_distinct(_grams)) < size(_grams) "
-        "THEN array_sort(transform(_grams, (g, i) -> struct(g AS g, i AS i))) END"))
-    df = df.withColumn("_twice", F.expr(
-        "CASE WHEN _sorted IS NULL THEN array() ELSE array_sort(transform(filter(_sorted, (x, k) -> "
-        "x.g <=> get(_sorted, k - 1).g OR x.g <=> get(_sorted, k + 1).g), x -> x.i)) END"))
     long = {
         "n_words": "size(_ws)",
         "word_chars": "length(array_join(_ws, ''))",
         "n_symbols": f"regexp_count({t}, '[#*$%&|<>]')",
         "n_dup_lines": "size(_lines) - size(array_distinct(_lines))",
-        "n_repeat_words": "aggregate(_twice, struct(0 AS total, -3 AS last), (a, p) -> "
-                          "struct(a.total + least(3, p - a.last) AS total, p AS last), a -> a.total)",
+        "n_repeat_words": _let(
+            "ws", "_ws", _let(
+                "grams", "CASE WHEN size(ws) >= 3 THEN transform(sequence(0, size(ws) - 3), "
+                "i -> xxhash64(get(ws, i), get(ws, i + 1), get(ws, i + 2))) ELSE array() END", _let(
+                    "pairs", "CASE WHEN size(array_distinct(grams)) < size(grams) "
+                    "THEN array_sort(transform(grams, (g, i) -> struct(g AS g, i AS i))) ELSE array() END",
+                    "aggregate(array_sort(transform(filter(pairs, (x, k) -> x.g <=> get(pairs, k - 1).g "
+                    "OR x.g <=> get(pairs, k + 1).g), x -> x.i)), struct(0 AS total, -3 AS last), "
+                    "(a, p) -> struct(a.total + least(3, p - a.last) AS total, p AS last), a -> a.total)"))),
         "n_lines": "size(_lines)",
         "n_shouted": f"regexp_count({t}, '[A-Z]{{2,}}')",
         "n_bangs": f"length({t}) - length(replace({t}, '!', ''))",
@@ -104,7 +107,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         "n_numbers": f"regexp_count({t}, '[0-9]+')",
     }
     df = df.withColumns({k: F.expr(f"CAST({v} AS BIGINT)") for k, v in long.items()})
-    return df.drop("_t", "_ws", "_lines", "_grams", "_sorted", "_twice")
+    return df.drop("_t", "_ws", "_lines")
 
 
 def fail_bits_sql() -> str:
