@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.conftest import EDGE
+from tests.llm.helpers import EDGE, docs_of, edge  # noqa: F401
 from tidemark.llm import brown, kmtree, minhash, mixing, warc
 from tidemark.llm.components import connected_components
 

@@ -3,6 +3,7 @@
 import corpus_pipeline as cp
 import pytest
 from tests.llm.test_corpus_operators import brute_components, corpus
+from tests.llm.helpers import docs_of  # noqa: F401
 from tidemark.llm import catalog, packing, secrets
 from tidemark.llm.common import stage
 
