@@ -162,3 +162,34 @@ def test_concept_denorm_defaults_and_missing_members(spark):
     assert {r["index_name"] for r in out.where("index_code = 'C2'").collect()} == {""}
     no_members = concept_denorm(q, None, meta).collect()
     assert len(no_members) == 2 and all(r["ts_code"] is None for r in no_members)
+
+
+def test_upsert_leaves_no_key_in_another_partition(spark):
+    path = staging_path(spark, "t-moved")
+    schema = "k string, ts int, part string"
+    upsert_to_path(spark, path, spark.createDataFrame([("a", 1, "p1"), ("b", 1, "p3"), ("c", 1, "p1")], schema), ["k"], ["ts"], "part")
+    out = upsert_to_path(spark, path, spark.createDataFrame([("a", 2, "p2"), ("b", 2, "p2")], schema), ["k"], ["ts"], "part")
+    assert rows(out, "k", "ts", "part") == [("a", 2, "p2"), ("b", 2, "p2"), ("c", 1, "p1")]
+
+
+def test_older_replay_does_not_beat_a_newer_row(spark):
+    schema = "k string, ts int, v string"
+    base = spark.createDataFrame([("a", 2, "new"), (None, 1, "x")], schema)
+    old = spark.createDataFrame([("a", 1, "old"), (None, 3, "y"), ("b", 0, "late")], schema)
+    assert rows(upsert_merge(base, old, ["k"], ["ts"], newest_wins=True)) == rows(
+        spark.createDataFrame([("a", 2, "new"), (None, 3, "y"), ("b", 0, "late")], schema))
+
+
+def test_insert_absent_has_a_stated_winner(spark):
+    schema = "k string, ts int, v string"
+    base = spark.createDataFrame([("a", 1, "x")], schema)
+    batch = spark.createDataFrame([("b", 1, "p"), ("b", 2, "q"), ("a", 9, "z")], schema)
+    assert rows(insert_absent(base, batch, ["k"], ["ts"])) == [("a", 1, "x"), ("b", 2, "q")]
+
+
+def test_open_and_close_order_is_exact_for_any_price(spark):
+    from tidemark.sources.bindings import _bar_order
+    df = spark.createDataFrame([(1, 100, 5, 2_000_000.0), (1, 100, 6, 1.0), (1, 99, None, 3.0)],
+                               "l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double")
+    r = df.agg(F.min_by("l_extendedprice", _bar_order()).alias("open"), F.max_by("l_extendedprice", _bar_order()).alias("close")).first()
+    assert (r.open, r.close) == (3.0, 1.0)

@@ -13,14 +13,21 @@ def test_latest_per_key_combines_before_the_shuffle(spark):
     assert "partial_max" in p  # map-side combine: a hot key never arrives whole in one task
 
 
-def test_bars_use_hash_aggregation(md):
+def test_bars_combine_before_the_shuffle(md):
     p = _plan(md.bars())
-    assert "HashAggregate" in p and "SortAggregate" not in p
+    assert "partial_min_by" in p and "partial_max_by" in p
 
 
-def test_concept_fan_out_broadcasts_the_bounded_side(md):
-    p = _plan(md.ths_index())
-    assert "BroadcastHashJoin" in p
+def test_concept_fan_out_is_keyed_by_concept_and_month_without_a_hint(md):
+    df = md.ths_index()
+    assert "__month" in _plan(df) and "ResolvedHint" not in df._jdf.queryExecution().analyzed().toString().split("Join Inner")[0]
+
+
+def test_upsert_aggregates_only_the_batch(spark):
+    from tidemark.operators.merge import upsert_merge
+    base = spark.range(1000).selectExpr("id AS k", "id AS ts")
+    p = _plan(upsert_merge(base, spark.range(5).selectExpr("id AS k", "id AS ts"), ["k"], ["ts"]))
+    assert "LeftAnti" in p
 
 
 def test_top_k_limits_before_the_shuffle(md):

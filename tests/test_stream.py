@@ -9,8 +9,7 @@ from tidemark.streaming.upsert_stream import start_upsert_stream
 
 
 def _run(spark, md, target, landing):
-    q = start_upsert_stream(spark, landing, event_batch(md).schema, target, EVENT_KEYS, "ts", ["ts"],
-                            id_cols=["event_id", "ts"], partition_col="day",
+    q = start_upsert_stream(spark, landing, event_batch(md).schema, target, EVENT_KEYS, ["ts"], partition_col="day",
                             checkpoint=staging_path(spark, "t-ckpt"))
     q.awaitTermination()
     return spark.read.parquet(target)

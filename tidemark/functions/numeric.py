@@ -24,24 +24,3 @@ def nan_to_null(c) -> Column:
 def safe_ratio_pct(num, den, digits: int = 1) -> Column:
     return F.round(F.try_divide(_c(num).cast("double"), F.nullif(_c(den).cast("double"), F.lit(0.0))) * 100.0, digits)
 
-
-def packed_order_key(parts) -> Column:
-    """Pack non-negative integer components into one ``decimal(38,0)`` whose order is
-    the lexicographic order of the components.
-
-    ``parts`` is a list of ``(column, digits)``; a component must be below
-    ``10**digits`` (the widths are chosen from the domains of the columns and may
-    total at most 38 digits).
-    """
-    from decimal import Decimal
-
-    total = sum(d for _, d in parts)
-    if total > 38:
-        raise ValueError(f"packed key needs {total} digits, decimal(38,0) holds 38")
-    key, shift = None, total
-    for c, d in parts:
-        shift -= d
-        comp = _c(c).cast("decimal(38,0)")
-        term = comp * F.lit(Decimal(10) ** shift) if shift else comp
-        key = term if key is None else key + term
-    return key

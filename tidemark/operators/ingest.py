@@ -37,14 +37,6 @@ def split_detail(df: DataFrame, keys: Sequence[str], text_col: str) -> tuple[Dat
     return narrow, detail
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """The streamed side of a large fan-out, spread over the cluster's cores when it
-    arrives in fewer partitions than that (a small table whose every row expands
-    into many output rows); a large input keeps its own partitioning."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
-
-
 def concept_denorm(quotes: DataFrame, members: DataFrame | None, meta: DataFrame,
                    key: str = "index_code") -> DataFrame:
     """Concept quotes x members (many-to-many on the concept code) + a name/type
@@ -53,17 +45,17 @@ def concept_denorm(quotes: DataFrame, members: DataFrame | None, meta: DataFrame
     ``meta`` has one row per concept, so the lookup join never fans out; it is
     left to the optimizer to broadcast it when its size allows.
 
-    The fan-out join is keyed by the concept code, which has few distinct values
-    while the member list can be very large: a shuffle join would put each
-    concept's members into one task. The quote side holds one row per concept
-    per trading day (bounded by the concept dimension times the calendar), so it
-    is the side that is broadcast and the members stream through unshuffled.
+    A concept has few quotes and may have very many members, so the fan-out runs by
+    (concept, month): members are repeated per month of quotes, a small part of the
+    member x day rows that follow, and one concept spreads over as many tasks.
     """
     q = quotes.join(meta, key, "left")
     if members is None:
         q = q.withColumn("ts_code", F.lit(None).cast("string")).withColumn("name", F.lit(None).cast("string"))
     else:
-        q = _spread(members).join(F.broadcast(q), key, "inner")
+        q = q.withColumn("__month", F.date_format("trade_date", "yyyyMM"))
+        months = q.select(key, "__month").distinct()
+        q = members.join(months, key).join(q, [key, "__month"])
     return q.select(
         key, F.coalesce("index_name", F.lit("")).alias("index_name"),
         F.coalesce("index_type", F.lit("")).alias("index_type"),

@@ -65,23 +65,36 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str |
     return out.select(*keys, *[F.col(f"__best.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def _keys_of(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).distinct()
+
+
+def _on_keys(df: DataFrame, keys: Sequence[str], key_rows: DataFrame, how: str) -> DataFrame:
+    on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(key_rows[f"__k{i}"]) for i, k in enumerate(keys)])
+    return df.join(key_rows, on, how)
+
+
+def _rest(df: DataFrame, keys: Sequence[str]) -> list[str]:
+    return [c for c in df.columns if c not in keys] or list(keys)
 
 
 def upsert_merge(base: DataFrame, batch: DataFrame, keys: Sequence[str],
-                 order_by: Sequence[str | Column] = ()) -> DataFrame:
+                 order_by: Sequence[str | Column] = (), newest_wins: bool = False) -> DataFrame:
     """Insert new keys, replace every non-key column of existing keys.
 
-    Inside the batch, duplicates of one key are resolved by ``order_by`` (the
-    greatest wins); the batch always beats the base.
+    Duplicates of one key inside the batch are resolved by ``order_by`` (the greatest
+    wins, ties by the whole row). The batch beats the base; with ``newest_wins`` the
+    greater ``order_by`` does, so an older batch never replaces a newer stored row.
+    Only the batch is aggregated: base rows of other keys pass an anti-join.
     """
     keys = check_keys(base, keys)
     check_keys(batch, keys)
-    b = base.select(*base.columns).withColumn("__prio", F.lit(0))
-    n = batch.select(*base.columns).withColumn("__prio", F.lit(1))
-    merged = latest_per_key(b.unionByName(n), keys, [F.col("__prio"), *_order_cols(order_by)])
-    return merged.drop("__prio")
+    order = list(order_by) or _rest(base, keys)
+    new = latest_per_key(batch.select(*base.columns), keys, order)
+    touched = _keys_of(new, keys)
+    if newest_wins:
+        new = latest_per_key(_on_keys(base, keys, touched, "left_semi").unionByName(new), keys, order)
+    return _on_keys(base, keys, touched, "left_anti").unionByName(new)
 
 
 def upsert_counts(base: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -96,13 +109,13 @@ def upsert_counts(base: DataFrame, batch: DataFrame, keys: Sequence[str]) -> Dat
                        F.count_if(F.col("__hit").isNotNull()).alias("updated"))
 
 
-def insert_absent(base: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``DO NOTHING`` semantics: add batch rows whose key is not yet present."""
-    keys = list(keys)
-    new = batch.select(*base.columns).dropDuplicates(keys)
-    b = base.select(*keys)
-    fresh = new.join(b, _null_safe_on(new, b, keys), "left_anti")
-    return base.unionByName(fresh)
+def insert_absent(base: DataFrame, batch: DataFrame, keys: Sequence[str],
+                  order_by: Sequence[str | Column] = ()) -> DataFrame:
+    """``DO NOTHING`` semantics: add batch rows whose key is not yet present; of batch rows
+    with one key the greatest ``order_by`` (ties, or none given: the greatest row)."""
+    keys = check_keys(base, keys)
+    new = latest_per_key(batch.select(*base.columns), keys, list(order_by) or _rest(base, keys))
+    return base.unionByName(_on_keys(new, keys, _keys_of(base, keys), "left_anti"))
 
 
 def append_rows(base: DataFrame, batch: DataFrame) -> DataFrame:
@@ -126,14 +139,20 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def upsert_to_path(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str],
-                   order_by: Sequence[str | Column], partition_col: str | None = None) -> DataFrame:
-    """Upsert ``batch`` into the parquet table at ``path``.
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
 
-    Only partitions the batch touches are read and rewritten (dynamic partition
-    overwrite). The merged result is first written to a staging folder under the
-    shared checkpoint directory and then published, so a failure midway never
-    leaves the target half-written. Returns the published table.
+def upsert_to_path(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str],
+                   order_by: Sequence[str | Column], partition_col: str | None = None,
+                   newest_wins: bool = False) -> DataFrame:
+    """Upsert ``batch`` into the parquet table at ``path``; returns the published table.
+
+    Read and rewritten are the partitions that the batch falls into and those that already
+    hold one of its keys, so a key never stays behind in another partition. The merged rows are
+    written to a staging folder of the shared checkpoint directory first and then copied over
+    the touched partitions; a failure while copying is mended by running the same batch again.
     """
     if batch.isEmpty():
         return _read_or_none(spark, path)
@@ -143,18 +162,28 @@ def upsert_to_path(spark: SparkSession, path: str, batch: DataFrame, keys: Seque
         (w.partitionBy(partition_col) if partition_col else w).parquet(path)
         return spark.read.parquet(path)
     base = spark.read.parquet(path)
+    touched = None
     if partition_col:
-        touched = batch.select(partition_col).distinct()
-        base = base.join(F.broadcast(touched), partition_col, "left_semi")
-    merged = upsert_merge(base, batch.select(*base.columns), keys, order_by)
+        holding = _on_keys(base.select(*dict.fromkeys([*keys, partition_col])), keys, _keys_of(batch, keys), "left_semi")
+        touched = [r[0] for r in batch.select(F.col(partition_col).cast(base.schema[partition_col].dataType))
+                   .unionByName(holding.select(partition_col)).distinct().collect()]  # partition names
+        base = base.where(F.col(partition_col).isin(touched) | (F.lit(None in touched) & F.col(partition_col).isNull()))
+    merged = upsert_merge(base, batch.select(*base.columns), keys, order_by, newest_wins)
     stage = staging_path(spark, "upsert")
-    w = merged.write.mode("overwrite")
-    (w.partitionBy(partition_col) if partition_col else w).parquet(stage)
-    staged = spark.read.parquet(stage)
-    w = staged.select(*base.columns).write.mode("overwrite")
     if partition_col:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        w.partitionBy(partition_col).parquet(path)
+        merged.repartition(partition_col).write.partitionBy(partition_col).parquet(stage)
+    else:
+        merged.write.parquet(stage)
+    staged = spark.read.schema(merged.schema).parquet(stage)
+    if partition_col:
+        left = {r[0] for r in staged.select(partition_col).distinct().collect()}
+        w = staged.select(*base.columns).repartition(partition_col).write.mode("overwrite")
+        w.option("partitionOverwriteMode", "dynamic").partitionBy(partition_col).parquet(path)
+        names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        for value in set(touched) - left:  # every key of it has moved
+            _delete(spark, f"{path}/{names.getPartitionPathString(partition_col, None if value is None else str(value))}")
     else:
-        w.parquet(path)
+        staged.select(*base.columns).write.mode("overwrite").parquet(path)
+    _delete(spark, stage)
+    spark.catalog.refreshByPath(path)
     return spark.read.parquet(path)

@@ -54,21 +54,19 @@ def json_records(md: MarketData) -> DataFrame:
 
 def stream_upsert(md: MarketData) -> DataFrame:
     """The event batch landed as files (twice, as a replay would), streamed through
-    watermark + de-duplication + foreachBatch upsert into the stored table."""
+    foreachBatch upsert into the stored table."""
     from tidemark.plans.ingest import EVENT_KEYS, event_base, event_batch
     from tidemark.streaming.upsert_stream import start_upsert_stream
 
     spark = md.spark
     target = staging_path(spark, "stream-target")
-    # the stored table is partitioned by day: a micro-batch rewrites only the days it
-    # touches, which the 5-day watermark bounds
+    # the stored table is partitioned by day: a micro-batch rewrites only the days it touches
     event_base(md).write.mode("overwrite").partitionBy("day").parquet(target)
     landing = staging_path(spark, "stream-landing")
     batch = event_batch(md)
     batch.write.mode("overwrite").parquet(landing)
     batch.write.mode("append").parquet(landing)  # replayed files
-    q = start_upsert_stream(spark, landing, batch.schema, target, EVENT_KEYS, "ts", ["ts"],
-                            id_cols=["event_id", "ts"], watermark="5 days", partition_col="day")
+    q = start_upsert_stream(spark, landing, batch.schema, target, EVENT_KEYS, ["ts"], partition_col="day")
     q.awaitTermination()
     return spark.read.parquet(target)
 

@@ -89,7 +89,7 @@ def preview(md: MarketData, n: int = 20) -> DataFrame:
     return md.daily().orderBy("ts_code", "trade_date").limit(n)
 
 
-def sql_param(md: MarketData, ts_code: str = "S1", start: str = "1996-01-01") -> DataFrame:
+def sql_param(md: MarketData, ts_code: str, start: str) -> DataFrame:
     """Bound-parameter SQL over a temp view (never string-built)."""
     md.bars().createOrReplaceTempView("tm_daily")
     return md.spark.sql(
@@ -139,7 +139,7 @@ def security_latest(md: MarketData) -> DataFrame:
         *[F.col(f"m.{c}").alias(c) for c in ("trade_date", "close", "pe", "pb", "turnover_rate", "total_mv")])
 
 
-def symbol_search(md: MarketData, q: str = "Customer#0000001") -> DataFrame:
+def symbol_search(md: MarketData, q: str) -> DataFrame:
     """Substring search over the main master; if it finds nothing, the second master.
 
     Both are searched in one plan; rows of the best source that matched are kept
@@ -170,7 +170,7 @@ def industry_top_other(md: MarketData, top: int = 10) -> DataFrame:
 
 
 # -- research ------------------------------------------------------------------
-def reports(md: MarketData, ts_code=None, start=None, end=None, org="NATION_1") -> DataFrame:
+def reports(md: MarketData, ts_code=None, start=None, end=None, org=None) -> DataFrame:
     return where_all(md.report_rc(), eq("ts_code", ts_code), date_range("report_date", start, end),
                      contains_like("org_name", org))
 
@@ -203,7 +203,7 @@ def surveys_with_content(md: MarketData, ts_code=None, start=None, end=None) ->
 
 
 # -- concepts ------------------------------------------------------------------
-def concept_rows(md: MarketData, index_code=None, ts_code=None, index_name="Brand#1", start=None, end=None):
+def concept_rows(md: MarketData, index_code=None, ts_code=None, index_name=None, start=None, end=None):
     return where_all(md.ths_index(), eq("index_code", index_code), eq("ts_code", ts_code),
                      contains_like("index_name", index_name), date_range("trade_date", start, end))
 
@@ -244,23 +244,23 @@ QUERIES = {
     "bars_monthly": bars_monthly,
     "bar_flags": bar_flags,
     "preview": preview,
-    "sql_param": sql_param,
+    "sql_param": lambda md: sql_param(md, "S1", "1996-01-01"),
     "daily_metrics": daily_metrics,
     "indicator_subset": indicator_subset,
     "securities": securities,
     "symbols": symbols,
     "securities_hk_us": securities_hk_us,
     "security_latest": security_latest,
-    "symbol_search": symbol_search,
+    "symbol_search": lambda md: symbol_search(md, "Customer#0000001"),
     "industry_dist": industry_dist,
     "industry_top_other": industry_top_other,
-    "reports": reports,
+    "reports": lambda md: reports(md, org="NATION_1"),
     "eps_trend": eps_trend,
     "research_orgs": research_orgs,
     "rating_class": rating_class,
     "surveys": surveys,
     "surveys_with_content": surveys_with_content,
-    "concept_rows": concept_rows,
+    "concept_rows": lambda md: concept_rows(md, index_name="Brand#1"),
     "concepts_of_symbol": concepts_of_symbol,
     "concept_daily": concept_daily,
 }

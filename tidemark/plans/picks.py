@@ -163,21 +163,26 @@ def benchmark_excess(md: MarketData, benchmark: str = BENCHMARK_CODE) -> DataFra
             .withColumn("rank", F.row_number().over(w).cast("bigint")))
 
 
-def consensus_scatter(md: MarketData) -> DataFrame:
-    """Per month and priced stock: distinct brokers, mean return, picks."""
+def _consensus(md: MarketData) -> DataFrame:
+    """Per month and priced stock: distinct brokers, mean return (unrounded), picks."""
     recs = md.broker_recommend()
     j = recs.join(pick_returns(md, recs.select("ts_code", "month")), ["ts_code", "month"])
     return j.groupBy("month", "ts_code", "name").agg(
         F.count_distinct("broker").alias("broker_cnt"),
-        F.round(F.avg("ret"), 4).alias("avg_return"),
+        F.avg("ret").alias("avg_return"),
         F.count(F.lit(1)).alias("total_rec"))
 
 
+def consensus_scatter(md: MarketData) -> DataFrame:
+    """Per month and priced stock; the mean is shown to 4 digits."""
+    return _consensus(md).withColumn("avg_return", F.round("avg_return", 4))
+
+
 def consensus_groups(md: MarketData) -> DataFrame:
     """Per month: stocks in each consensus bin (1 / 2-4 / 5+ brokers) and the mean of
     their non-NULL returns. All three bins appear for every month that has a priced
     pick: one conditional aggregation per month, exploded into the three bins."""
-    sc = consensus_scatter(md)
+    sc = _consensus(md)
     cnt = F.col("broker_cnt")
     aggs, bins = [], []
     for i, (label, lo, hi) in enumerate(CONSENSUS_BINS):
@@ -367,7 +372,7 @@ SELECT br.month, br.ts_code, br.name, count(DISTINCT br.broker) AS broker_cnt, r
 FROM v_recs br JOIN v_pick_ret p USING (ts_code, month) GROUP BY br.month, br.ts_code, br.name""",
     "consensus_groups": """
 WITH sc AS (SELECT br.month, br.ts_code, br.name, count(DISTINCT br.broker) AS broker_cnt,
-                   round(avg(p.ret), 4) AS avg_return
+                   avg(p.ret) AS avg_return
             FROM v_recs br JOIN v_pick_ret p USING (ts_code, month) GROUP BY br.month, br.ts_code, br.name),
 g AS (SELECT month, CASE WHEN broker_cnt = 1 THEN '1' WHEN broker_cnt <= 4 THEN '2-4' ELSE '5+' END AS "group",
              count(*) AS count, round(avg(avg_return), 2) AS avg_return FROM sc GROUP BY ALL),

@@ -75,10 +75,15 @@ def overview_totals(md: MarketData) -> DataFrame:
     )
 
 
-STATS_TABLES = OVERVIEW_TABLES[:-1] + ["stk_surv_detail"]
+STATS_TABLES = OVERVIEW_TABLES + ["stk_surv_detail"]
 
 
 def _stats_row(md: MarketData, name: str) -> DataFrame:
+    if name == "ths_index":  # counted without the members x days rows
+        rows = _overview_row(md, name).select(F.col("rows").alias("total_rows"))
+        return rows.select(F.lit(name).alias("table_name"), "total_rows", F.col("total_rows").alias("num_codes"),
+                           F.lit(None).cast("date").alias("min_date"), F.lit(None).cast("date").alias("max_date"),
+                           F.lit(None).cast("bigint").alias("actual_dates"))
     df = logical_table(md, name)
     n = F.count(F.lit(1)).alias("total_rows")
     if name in TIME_SERIES_TABLES or name in RESEARCH_TABLES or name == "stk_surv":
@@ -147,7 +152,7 @@ def _stats_sql() -> str:
     views = {"stock_basic": "v_stock_basic", "daily": "v_daily", "weekly": "v_weekly", "adj_factor": "v_adj",
              "daily_basic": "v_daily_basic", "trade_cal": "v_trade_cal", "report_rc": "v_report_rc",
              "stk_factor_pro": "v_bars", "broker_recommend": "v_recs", "stk_surv": "v_stk_surv",
-             "hk_us_basic": "v_hkus", "stk_surv_detail": "v_stk_surv_detail"}
+             "hk_us_basic": "v_hkus", "ths_index": "v_ths_index", "stk_surv_detail": "v_stk_surv_detail"}
     parts = []
     for t in STATS_TABLES:
         v = views[t]

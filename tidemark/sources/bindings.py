@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import as_date, month_of
-from tidemark.functions.numeric import packed_order_key
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -35,13 +34,9 @@ def _bar_order():
     """Total order of the lines inside one (symbol, day): ``(orderkey, linenumber,
     partkey, price)`` -- ``(orderkey, linenumber)`` alone is not unique in the data.
 
-    The tuple is packed into one ``decimal(38,0)`` so ``min_by``/``max_by`` keep
-    fixed-width buffers and the aggregation stays a (code-generated) hash
-    aggregate with a map-side partial step; a struct key would force a sort
-    aggregate on both sides of the shuffle.
+    Struct order is exact for every value; a NULL part sorts first.
     """
-    return packed_order_key([("l_orderkey", 17), ("l_linenumber", 2), ("l_partkey", 11),
-                             (F.round(F.col("l_extendedprice") * 100.0), 8)])
+    return F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
 
 
 class MarketData:

@@ -1,14 +1,9 @@
 """Landing-file stream -> keyed, idempotent upsert of a parquet table.
 
-``readStream`` over the landing directory (declared schema), event time cast
-to ``timestamp`` (watermarks reject ``timestamp_ntz``), a watermark equal to
-the loader's look-back, replayed input rows removed with
-``dropDuplicatesWithinWatermark``, and each micro-batch merged with
-``upsert_to_path``. The merge keeps the greatest ``order_by`` per key and the
-batch always beats the stored row, so replaying a micro-batch (after an
-executor or driver loss) leaves the table unchanged. State is bounded by the
-watermark. Rows later than the watermark are dropped by the stream; backfills
-go through the batch path.
+``readStream`` over the landing directory (declared schema), each micro-batch reduced to one row
+per key, written once and merged with ``upsert_to_path``. The merge keeps the greatest ``order_by`` per
+key, stored rows included, so neither a replayed nor a late micro-batch can replace a newer row and
+late rows of new keys are still stored. The stream itself keeps no state.
 """
 
 from __future__ import annotations
@@ -16,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.merge import latest_per_key, upsert_to_path
@@ -24,20 +18,18 @@ from tidemark.session import staging_path
 
 
 def start_upsert_stream(spark: SparkSession, landing: str, schema: T.StructType, target: str,
-                        keys: Sequence[str], event_time: str, order_by: Sequence[str], id_cols: Sequence[str],
-                        watermark: str = "5 days", checkpoint: str | None = None,
+                        keys: Sequence[str], order_by: Sequence[str], checkpoint: str | None = None,
                         partition_col: str | None = None, available_now: bool = True):
     """Start the stream; returns the ``StreamingQuery``."""
     keys, order_by = list(keys), list(order_by)
-    src = (spark.readStream.schema(schema).parquet(landing)
-           .withColumn(event_time, F.col(event_time).cast("timestamp"))
-           .withWatermark(event_time, watermark)
-           .dropDuplicatesWithinWatermark(list(id_cols)))
+    src = spark.readStream.schema(schema).parquet(landing)
 
     def merge_batch(batch: DataFrame, _epoch: int) -> None:
-        b = batch.withColumn(event_time, F.col(event_time).cast("timestamp_ntz"))
-        upsert_to_path(batch.sparkSession, target, latest_per_key(b, keys, order_by), keys, order_by,
-                       partition_col)
+        once = latest_per_key(batch, keys, order_by).persist()
+        try:
+            upsert_to_path(batch.sparkSession, target, once, keys, order_by, partition_col, newest_wins=True)
+        finally:
+            once.unpersist()
 
     w = (src.writeStream.foreachBatch(merge_batch)
          .option("checkpointLocation", checkpoint or staging_path(spark, "stream-ckpt")))
