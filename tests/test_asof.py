@@ -72,3 +72,27 @@ def test_asof_join_matches_brute_force(spark, fwd, inclusive):
     got = asof_join(L, R, ["k"], "t", "rt", ["v"], direction="forward" if fwd else "backward",
                     inclusive=inclusive)
     assert rows(got, "k", "t", "rt", "v") == _brute(left, right, fwd, inclusive)
+
+
+def test_asof_nulls_match_nothing_and_duplicates_have_a_winner(spark):
+    import pytest
+    from pyspark.sql import functions as F
+    left = spark.createDataFrame([(1, "a", "2024-01-10"), (2, None, "2024-01-10"), (3, "a", None), (4, "a", "2024-03-01")],
+                                 "id int, k string, t string").withColumn("t", F.to_date("t"))
+    right = spark.createDataFrame([("a", "2024-01-12", 5.0), ("a", "2024-01-12", 4.0), (None, "2024-01-12", 9.0), ("a", None, 8.0),
+                                   ("a", "2024-02-02", 1.0), ("a", "2024-02-02", 2.0)],
+                                  "k string, rt string, v double").withColumn("rt", F.to_date("rt"))
+    fwd = {r.id: r.v for r in asof_join(left, right, ["k"], "t", "rt", ["v"]).collect()}
+    assert fwd == {1: 4.0, 2: None, 3: None, 4: None}
+    back = {r.id: r.v for r in asof_join(left, right, ["k"], "t", "rt", ["v"], direction="backward").collect()}
+    assert back == {1: None, 2: None, 3: None, 4: 2.0}
+    with pytest.raises(ValueError):
+        asof_join(left.withColumnRenamed("id", "rt"), right, ["k"], "t", "rt", ["v"])
+
+
+def test_month_closes_take_a_null_close_alike_on_both_sides(spark):
+    from pyspark.sql import functions as F
+    bars = spark.createDataFrame([("A", "2024-01-05", 1.0), ("A", "2024-02-05", None)],
+                                 "ts_code string, trade_date string, close double").withColumn("trade_date", F.to_date("trade_date"))
+    r = month_closes(bars, spark.createDataFrame([("A", "202402")], "ts_code string, month string")).first()
+    assert r.first_close is None and r.last_close_1 is None and str(r.first_date) == "2024-02-05"

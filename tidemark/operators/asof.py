@@ -27,6 +27,7 @@ Two forms:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,7 +53,9 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
     forward:  first right row with ``right_time >= left_time`` (``>`` if not inclusive)
     backward: last right row with ``right_time <= left_time`` (``<`` if not inclusive)
     Left rows without a match keep NULLs (left-join semantics). Output columns:
-    all of ``left`` plus ``{prefix}{right_time}`` and ``{prefix}{v}`` for each value.
+    all of ``left`` plus ``{prefix}{right_time}`` and ``{prefix}{v}`` for each value (a name that
+    ``left`` has already raises). A NULL key or time matches nothing. Of several right rows of one key
+    and time the smallest ``(right_time, *values)`` is taken forward and the greatest backward.
     """
     if direction not in ("forward", "backward"):
         raise ValueError("direction must be 'forward' or 'backward'")
@@ -60,6 +63,11 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
     fwd = direction == "forward"
     payload_fields = [right_time, *values]
     lcols = left.columns
+    clash = {f"{prefix}{f}" for f in payload_fields} & set(lcols)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} exist already: choose a prefix")
+    valid = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, left_time)])
+    right = right.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, right_time)]))
 
     # tag decides the order of a request and a series row at the same instant:
     # forward+inclusive and backward+strict need the request first.
@@ -82,7 +90,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
 
     # 1. in-bucket scan
     unioned = req.unionByName(rows, allowMissingColumns=True)
-    w = Window.partitionBy(*kcols, "__b").orderBy("__t", "__tag")
+    w = Window.partitionBy(*kcols, "__b").orderBy("__t", "__tag", "__p")
     if fwd:
         frame = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
         found = F.first("__p", ignorenulls=True).over(frame)
@@ -92,17 +100,12 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
     in_bucket = (unioned.select("*", found.alias("__m"))
                  .where(F.col("__rid").isNotNull()))
 
-    # 2. cross-bucket fallback on bucket summaries: the first (last) row of every
-    # (key, bucket), one min_by/max_by per field so fixed-width fields keep a hash
-    # aggregate (the series is assumed to hold one row per key and time)
+    # 2. cross-bucket fallback on bucket summaries: the first (last) row of every (key, bucket)
     pick = F.min_by if fwd else F.max_by
+    payload = F.struct(*[F.col(f) for f in payload_fields])
     summary = (right.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-                            _bucket_index(rt, bucket).alias("__b"), rt.alias("__t"),
-                            *[F.col(f).alias(f"__v{j}") for j, f in enumerate(payload_fields)])
-               .groupBy(*kcols, "__b")
-               .agg(*[pick(f"__v{j}", "__t").alias(f"__v{j}") for j in range(len(payload_fields))])
-               .select(*kcols, "__b", F.struct(*[F.col(f"__v{j}").alias(f) for j, f in enumerate(payload_fields)])
-                       .alias("__p")))
+                            _bucket_index(rt, bucket).alias("__b"), rt.alias("__t"), payload.alias("__p"))
+               .groupBy(*kcols, "__b").agg(pick("__p", F.struct("__t", "__p")).alias("__p")))
     wanted = req.select(*kcols, "__b").distinct().withColumn("__p", F.lit(None).cast(summary.schema["__p"].dataType))
     wb = Window.partitionBy(*kcols).orderBy("__b")
     if fwd:
@@ -114,7 +117,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
                 .where("__w").drop("__w"))
 
     joined = in_bucket.join(fallback, [*kcols, "__b"], "left")
-    match = F.coalesce(F.col("__m"), F.col("__f"))
+    match = F.when(valid, F.coalesce(F.col("__m"), F.col("__f")))
     return joined.select(*[F.col(c) for c in lcols],
                          *[match[f].alias(f"{prefix}{f}") for f in payload_fields])
 
@@ -124,7 +127,8 @@ def monthly_edges(bars: DataFrame, price: str = "close") -> DataFrame:
     return (bars.groupBy("ts_code", F.trunc("trade_date", "month").alias("m"))
             .agg(F.min_by(price, "trade_date").alias("__first"),
                  F.min("trade_date").alias("__first_date"),
-                 F.max_by(price, "trade_date").alias("__last")))
+                 F.max_by(price, "trade_date").alias("__last"),
+                 F.max("trade_date").alias("__last_date")))
 
 
 def month_closes(bars: DataFrame, requests: DataFrame, horizons: Sequence[int] = (1,),
@@ -135,7 +139,8 @@ def month_closes(bars: DataFrame, requests: DataFrame, horizons: Sequence[int] =
     ``last_close_{k}``: last bar strictly before ``month start + k months`` (no lower bound).
 
     A suspended symbol therefore borrows bars from other months, as in the
-    source application. Rows whose symbol has no bar at all get NULLs.
+    source application. The bar itself decides, whatever its price: a NULL price is returned as
+    such on either side. Rows whose symbol has no bar at all get NULLs.
     Plan: one partial aggregate to month grain, one shuffle by symbol for the
     fill; the per-symbol window holds one row per month on the calendar plus
     the requests, independent of how many bars a symbol has.
@@ -149,7 +154,7 @@ def month_closes(bars: DataFrame, requests: DataFrame, horizons: Sequence[int] =
         "ts_code", "month", F.when(F.col("k") == 0, F.col("m")).otherwise(F.add_months("m", F.col("k") - 1))
         .alias("m"), "k",
         F.lit(None).cast("double").alias("__first"), F.lit(None).cast("date").alias("__first_date"),
-        F.lit(None).cast("double").alias("__last"))
+        F.lit(None).cast("double").alias("__last"), F.lit(None).cast("date").alias("__last_date"))
     allrows = edges.withColumn("month", F.lit(None).cast("string")).withColumn("k", F.lit(None).cast("int")) \
         .unionByName(spine)
     w = Window.partitionBy("ts_code").orderBy("m")
@@ -160,7 +165,8 @@ def month_closes(bars: DataFrame, requests: DataFrame, horizons: Sequence[int] =
         F.first(F.when(F.col("__first_date").isNotNull(),
                        F.struct(F.col("__first_date").alias("d"), F.col("__first").alias("p"))),
                 ignorenulls=True).over(fwd).alias("__fwd"),
-        F.last("__last", ignorenulls=True).over(bwd).alias("__bwd"),
+        F.last(F.when(F.col("__last_date").isNotNull(), F.struct(F.col("__last").alias("p"))),
+               ignorenulls=True).over(bwd)["p"].alias("__bwd"),
     ).where(F.col("k").isNotNull())
     aggs = [F.max(F.when(F.col("k") == 0, F.col("__fwd.d"))).alias("first_date"),
             F.max(F.when(F.col("k") == 0, F.col("__fwd.p"))).alias("first_close")]
