@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,6 +128,26 @@ def load_ranges(md: MarketData, as_of: str = AS_OF) -> DataFrame:
                     F.when(F.col("high_water").isNull(), "full").otherwise("incremental").alias("mode")))
 
 
+def table_load_ranges(md: MarketData, as_of: str = AS_OF, start: str | None = None) -> DataFrame:
+    """Next load range per dated table, up to ``as_of``: from ``start`` if one is given (explicit), else
+    from the day after the newest row (by_day; an empty table looks back a few days) and from the
+    newest row minus the look-back (lookback; an empty table takes the full look-back). A range that
+    would start after ``as_of`` is up to date and left out."""
+    tables = [("daily", md.bars(), "trade_date"), ("report_rc", md.report_rc(), "report_date"),
+              ("stk_surv", md.stk_surv(), "surv_date"), ("empty", md.bars().where(F.lit(False)), "trade_date")]
+    marks = [df.agg(F.max(day).alias("high_water")).select(F.lit(name).alias("table_name"), "high_water")
+             for name, df, day in tables]
+    end = F.lit(as_of).cast("date")
+    starts = {"explicit": F.lit(start).cast("date")} if start else {
+        "by_day": F.coalesce(F.date_add("high_water", 1), F.date_sub(end, INCREMENTAL_LOOKBACK_DAYS)),
+        "lookback": F.coalesce(F.date_sub("high_water", INCREMENTAL_LOOKBACK_DAYS),
+                               F.date_sub(end, 365 * FULL_LOOKBACK_YEARS))}
+    per = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), d.alias("start_date")) for m, d in starts.items()]))
+    return (reduce(DataFrame.unionByName, marks).select("table_name", "high_water", per.alias("r"))
+            .select("table_name", "high_water", "r.mode", "r.start_date", end.alias("end_date"))
+            .where(F.col("start_date") <= F.col("end_date")))
+
+
 def requested_ranges(md: MarketData) -> DataFrame:
     """Research load ranges: per (org, quarter) and per (org, year) of ``report_rc``."""
     r = md.report_rc().select("org_name", "report_date", "quarter")
@@ -159,16 +181,17 @@ def open_day_plan(md: MarketData, as_of: str = AS_OF) -> DataFrame:
     return days.join(F.broadcast(od), "trade_date", "left_semi")
 
 
-def incremental_apply(md: MarketData, cut: str = "2000-01-01") -> DataFrame:
+def incremental_apply(md: MarketData, cut: str = "2000-01-01", revised: float = 0.0) -> DataFrame:
     """Incremental load: stored bars before ``cut``; the landing batch is every bar
-    from each symbol's high-water mark minus the look-back on; upserted by key."""
+    from each symbol's high-water mark minus the look-back on, its close raised by
+    ``revised``; upserted by key, so the batch's rows replace the stored ones."""
     bars = md.bars()
     stored = bars.where(F.col("trade_date") < F.lit(cut).cast("date"))
     hw = stored.groupBy("ts_code").agg(F.max("trade_date").alias("__hw"))
     batch = (bars.join(hw, "ts_code", "left")
              .where(F.col("__hw").isNull() |
                     (F.col("trade_date") >= F.date_sub("__hw", INCREMENTAL_LOOKBACK_DAYS)))
-             .drop("__hw"))
+             .drop("__hw").withColumn("close", F.col("close") + F.lit(revised)))
     return upsert_merge(stored, batch, ["ts_code", "trade_date"], [])
 
 
@@ -185,10 +208,12 @@ QUERIES = {
     "high_water": high_water,
     "high_water_marks": high_water_marks,
     "load_ranges": load_ranges,
+    "table_load_ranges": lambda md: table_load_ranges(md).unionByName(table_load_ranges(md, start="2001-01-01")),
     "period_plan": period_plan,
     "month_plan": month_plan,
     "open_day_plan": open_day_plan,
     "incremental_apply": incremental_apply,
+    "incremental_revised": lambda md: incremental_apply(md, "1997-07-01", revised=1.0),
 }
 
 _EV_CAL = """
@@ -300,4 +325,22 @@ r AS (SELECT s.ts_code, coalesce(CAST(h.high_water - INTERVAL 5 DAY AS DATE),
 SELECT CAST(d AS DATE) AS trade_date, r.ts_code FROM r, generate_series(r.start_date, DATE '2001-12-31', INTERVAL 1 DAY) t(d)
 WHERE CAST(d AS DATE) IN (SELECT cal_date FROM v_trade_cal WHERE exchange = 'ASIA' AND is_open)""",
     "incremental_apply": "SELECT * FROM v_bars",
+    "incremental_revised": """
+SELECT b.* REPLACE (CASE WHEN h.hw IS NULL OR b.trade_date >= h.hw - INTERVAL 5 DAY THEN b.close + 1.0 ELSE b.close END
+                    AS close)
+FROM v_bars b LEFT JOIN (SELECT ts_code, max(trade_date) AS hw FROM v_bars WHERE trade_date < DATE '1997-07-01'
+                         GROUP BY ts_code) h USING (ts_code)""",
+    "table_load_ranges": """
+WITH m AS (SELECT 'daily' AS table_name, max(trade_date) AS high_water FROM v_bars
+           UNION ALL SELECT 'report_rc', max(report_date) FROM v_report_rc
+           UNION ALL SELECT 'stk_surv', max(surv_date) FROM v_stk_surv
+           UNION ALL SELECT 'empty', NULL),
+r AS (SELECT *, 'by_day' AS mode, CASE WHEN high_water IS NULL THEN DATE '2001-12-26' ELSE high_water + 1 END AS start_date
+      FROM m
+      UNION ALL
+      SELECT *, 'lookback', CASE WHEN high_water IS NULL THEN DATE '2001-12-31' - 3650 ELSE high_water - 5 END FROM m
+      UNION ALL
+      SELECT *, 'explicit', DATE '2001-01-01' FROM m)
+SELECT table_name, high_water, mode, start_date, DATE '2001-12-31' AS end_date FROM r
+WHERE start_date <= DATE '2001-12-31'""",
 }

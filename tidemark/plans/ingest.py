@@ -162,6 +162,9 @@ SELECT o_orderkey, raw_date, CAST(is_open AS BOOLEAN) AS is_open,
        CASE WHEN length(replace(trim(raw_date), '-', '')) = 8
             THEN CAST(try_strptime(replace(trim(raw_date), '-', ''), '%Y%m%d') AS DATE) END AS trade_date
 FROM ({_PARSE_IN})""",
+    "parse_dates_strict": f"""
+SELECT o_orderkey, raw_date, is_open, CAST(strptime(replace(raw_date, '-', ''), '%Y%m%d') AS DATE) AS trade_date
+FROM ({_PARSE_IN}) WHERE o_orderkey % 4 < 2""",
     "align_schema": """
 SELECT ts_code, NULL::VARCHAR AS symbol, name, NULL::VARCHAR AS fullname, NULL::VARCHAR AS cnspell,
        NULL::VARCHAR AS area, NULL::VARCHAR AS industry, NULL::VARCHAR AS market, NULL::VARCHAR AS exchange,

@@ -20,6 +20,7 @@ from tidemark.operators.merge import align_schema, latest_per_key
 from tidemark.sources.bindings import MarketData
 from tidemark.sources.schemas import spec
 
+# Column lists of the indicator and metrics lookups.
 INDICATOR_COLS = ["trade_date", "macd_dif_qfq", "macd_dea_qfq", "macd_qfq", "kdj_k_qfq", "kdj_d_qfq", "kdj_qfq",
                   "rsi_qfq_6", "rsi_qfq_12", "rsi_qfq_24", "boll_upper_qfq", "boll_mid_qfq", "boll_lower_qfq",
                   "ma_qfq_5", "ma_qfq_10", "ma_qfq_20", "ma_qfq_60"]
@@ -175,6 +176,17 @@ def reports(md: MarketData, ts_code=None, start=None, end=None, org=None) -> Dat
                      contains_like("org_name", org))
 
 
+def _latest(df: DataFrame, day: str, tie: str, limit: int) -> DataFrame:
+    """The newest ``limit`` rows per symbol; equal days in the order of ``tie``."""
+    w = Window.partitionBy("ts_code").orderBy(F.col(day).desc(), F.col(tie))
+    return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit).drop("__n")
+
+
+def reports_latest(md: MarketData, limit: int = 200, **filters) -> DataFrame:
+    """The newest ``limit`` reports of every symbol."""
+    return _latest(reports(md, **filters), "report_date", "report_title", limit)
+
+
 def eps_trend(md: MarketData, ts_code=None, start=None, end=None) -> DataFrame:
     r = where_all(md.report_rc(), eq("ts_code", ts_code), date_range("report_date", start, end),
                   F.col("eps").isNotNull())
@@ -187,8 +199,8 @@ def research_orgs(md: MarketData, top: int = 50) -> DataFrame:
     return c.orderBy(F.col("cnt").desc(), F.col("org_name")).limit(top)
 
 
-def rating_class(md: MarketData) -> DataFrame:
-    return (md.report_rc().groupBy(rating_class_expr("rating").alias("rating_class"))
+def rating_class(md: MarketData, rating="rating") -> DataFrame:
+    return (md.report_rc().groupBy(rating_class_expr(rating).alias("rating_class"))
             .agg(F.count(F.lit(1)).alias("cnt")))
 
 
@@ -197,6 +209,11 @@ def surveys(md: MarketData, ts_code=None, start=None, end=None) -> DataFrame:
     return where_all(md.stk_surv(), eq("ts_code", ts_code), date_range("surv_date", start, end))
 
 
+def surveys_latest(md: MarketData, limit: int = 100, **filters) -> DataFrame:
+    """The newest ``limit`` surveys of every symbol."""
+    return _latest(surveys(md, **filters), "surv_date", "rece_org", limit)
+
+
 def surveys_with_content(md: MarketData, ts_code=None, start=None, end=None) -> DataFrame:
     s = surveys(md, ts_code, start, end)
     return s.join(md.stk_surv_detail(), ["ts_code", "surv_date", "rece_org"], "left")
@@ -232,10 +249,23 @@ def concept_daily(md: MarketData, index_code=None) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
+#: A rating text of every class per order priority; other priorities stay unrated.
+MIXED_RATINGS = {"1-URGENT": "买入", "2-HIGH": "Strong Buy", "3-MEDIUM": "中性", "4-NOT SPECIFIED": "SELL", "5-LOW": ""}
+
+
+def _mixed_rating():
+    out = F.lit(None).cast("string")
+    for priority, text in MIXED_RATINGS.items():
+        out = F.when(F.col("rating") == priority, F.lit(text)).otherwise(out)
+    return out
+
+
 QUERIES = {
     "bars": bars,
+    "bars_filtered": lambda md: bars(md, ["S1", "S3", "S7"], "1995-01-01", "1996-12-31"),
     "close_series": close_series,
     "adj_factors": adj_factors,
+    "kline_limited": lambda md: kline_qfq(md, start="1995-01-01", limit=60),
     "kline_qfq": kline_qfq,
     "kline_hfq": kline_hfq,
     "kline_weekly_qfq": kline_weekly_qfq,
@@ -252,13 +282,17 @@ QUERIES = {
     "securities_hk_us": securities_hk_us,
     "security_latest": security_latest,
     "symbol_search": lambda md: symbol_search(md, "Customer#0000001"),
+    "symbol_search_main": lambda md: symbol_search(md, "Supplier#00000000"),
     "industry_dist": industry_dist,
     "industry_top_other": industry_top_other,
     "reports": lambda md: reports(md, org="NATION_1"),
+    "reports_latest": reports_latest,
     "eps_trend": eps_trend,
     "research_orgs": research_orgs,
     "rating_class": rating_class,
+    "rating_class_mixed": lambda md: rating_class(md, _mixed_rating()),
     "surveys": surveys,
+    "surveys_latest": surveys_latest,
     "surveys_with_content": surveys_with_content,
     "concept_rows": lambda md: concept_rows(md, index_name="Brand#1"),
     "concepts_of_symbol": concepts_of_symbol,
@@ -324,7 +358,33 @@ SELECT ts_code, arg_max(name, (name, enname)) AS name, arg_max(enname, (name, en
 FROM (SELECT ts_code, name, enname FROM v_hk_basic UNION ALL SELECT ts_code, name, enname FROM v_us_basic)
 GROUP BY ts_code"""
 
+_SEARCH = """
+WITH a AS (SELECT ts_code, name, fullname, industry, area, market, exchange, list_date FROM v_stock_basic
+           WHERE ts_code LIKE '%{q}%' OR name LIKE '%{q}%'
+              OR fullname LIKE '%{q}%' OR cnspell LIKE '%{q}%'),
+b AS (SELECT ts_code, name, enname FROM (""" + _HKUS + """)
+      WHERE ts_code LIKE '%{q}%' OR name LIKE '%{q}%' OR enname LIKE '%{q}%')
+SELECT ts_code, name, fullname, industry, area, market, exchange, list_date, NULL::VARCHAR AS enname FROM a
+UNION ALL
+SELECT ts_code, name, NULL, NULL, NULL, NULL, NULL, NULL::DATE, enname FROM b WHERE NOT EXISTS (SELECT 1 FROM a)"""
+
 ORACLE = {
+    "bars_filtered": """
+SELECT * FROM v_daily WHERE ts_code IN ('S1', 'S3', 'S7')
+AND trade_date >= DATE '1995-01-01' AND trade_date <= DATE '1996-12-31'""",
+    "kline_limited": "SELECT * FROM (" + _adj_sql("qfq") + """)
+WHERE time >= DATE '1995-01-01' QUALIFY row_number() OVER (PARTITION BY ts_code ORDER BY time) <= 60""",
+    "symbol_search_main": _SEARCH.format(q="Supplier#00000000"),
+    "reports_latest": """
+SELECT * FROM v_report_rc
+QUALIFY row_number() OVER (PARTITION BY ts_code ORDER BY report_date DESC, report_title) <= 200""",
+    "surveys_latest": """
+SELECT * FROM v_stk_surv
+QUALIFY row_number() OVER (PARTITION BY ts_code ORDER BY surv_date DESC, rece_org) <= 100""",
+    "rating_class_mixed": """
+SELECT CASE rating WHEN '1-URGENT' THEN 'buy' WHEN '2-HIGH' THEN 'buy' WHEN '3-MEDIUM' THEN 'hold'
+                   WHEN '4-NOT SPECIFIED' THEN 'sell' ELSE '' END AS rating_class, count(*) AS cnt
+FROM v_report_rc GROUP BY 1""",
     "bars": "SELECT * FROM v_daily",
     "close_series": "SELECT ts_code, trade_date, close FROM v_bars",
     "adj_factors": "SELECT * FROM v_adj",
@@ -362,15 +422,7 @@ WITH l AS (SELECT ts_code, arg_max(trade_date, trade_date) AS trade_date, arg_ma
 SELECT s.ts_code, s.name, s.industry, s.area, s.list_status, l.trade_date, l.close, l.pe, l.pb, l.turnover_rate,
        l.total_mv
 FROM v_stock_basic s LEFT JOIN l USING (ts_code)""",
-    "symbol_search": """
-WITH a AS (SELECT ts_code, name, fullname, industry, area, market, exchange, list_date FROM v_stock_basic
-           WHERE ts_code LIKE '%Customer#0000001%' OR name LIKE '%Customer#0000001%'
-              OR fullname LIKE '%Customer#0000001%' OR cnspell LIKE '%Customer#0000001%'),
-b AS (SELECT ts_code, name, enname FROM (""" + _HKUS + """)
-      WHERE ts_code LIKE '%Customer#0000001%' OR name LIKE '%Customer#0000001%' OR enname LIKE '%Customer#0000001%')
-SELECT ts_code, name, fullname, industry, area, market, exchange, list_date, NULL::VARCHAR AS enname FROM a
-UNION ALL
-SELECT ts_code, name, NULL, NULL, NULL, NULL, NULL, NULL::DATE, enname FROM b WHERE NOT EXISTS (SELECT 1 FROM a)""",
+    "symbol_search": _SEARCH.format(q="Customer#0000001"),
     "industry_dist": """
 SELECT industry, count(*) AS cnt FROM v_stock_basic WHERE industry IS NOT NULL AND industry <> ''
 GROUP BY industry""",

@@ -222,11 +222,16 @@ def rec_brokers(md: MarketData) -> DataFrame:
     return md.broker_recommend().groupBy("broker").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def recs(md: MarketData, month=None, broker=None, ts_code=None) -> DataFrame:
-    """Recommendations with optional month / broker-substring / symbol filters."""
+def recs(md: MarketData, month=None, broker=None, ts_code=None, broker_like=None) -> DataFrame:
+    """Recommendations with optional month / broker (exact, or a part of it) / symbol filters."""
     from tidemark.functions.predicates import contains_like, eq, where_all
-    return where_all(md.broker_recommend(), eq("month", month), contains_like("broker", broker),
-                     eq("ts_code", ts_code))
+    return where_all(md.broker_recommend(), eq("month", month), eq("broker", broker),
+                     contains_like("broker", broker_like), eq("ts_code", ts_code))
+
+
+def recs_sorted(md: MarketData, **filters) -> DataFrame:
+    """Recommendations newest month first, then by broker and symbol."""
+    return recs(md, **filters).orderBy(F.col("month").desc(), "broker", "ts_code")
 
 
 def first_bar_semi(md: MarketData) -> DataFrame:
@@ -271,9 +276,11 @@ QUERIES = {
     "consensus_groups": consensus_groups,
     "lagged_returns": lagged_returns,
     "broker_heatmap": broker_heatmap,
+    "broker_heatmap_range": lambda md: broker_heatmap(md, "199501", "199612"),
     "rec_months": rec_months,
     "rec_brokers": rec_brokers,
     "recs": recs,
+    "recs_broker": lambda md: recs_sorted(md, broker="NATION_1"),
     "first_bar_semi": first_bar_semi,
     "asof_forward": asof_forward,
     "asof_backward": asof_backward,
@@ -386,6 +393,9 @@ SELECT r.ts_code, r.month, round(r.fc, 2) AS first_close, h.months,
            AS ret
 FROM v_ret136 r, (VALUES (1), (3), (6)) h(months) WHERE r.fc IS NOT NULL""",
     "broker_heatmap": "SELECT broker, month, count(*) AS cnt FROM v_recs GROUP BY broker, month",
+    "broker_heatmap_range": """
+SELECT broker, month, count(*) AS cnt FROM v_recs WHERE month BETWEEN '199501' AND '199612' GROUP BY broker, month""",
+    "recs_broker": "SELECT * FROM v_recs WHERE broker = 'NATION_1' ORDER BY month DESC, broker, ts_code",
     "rec_months": "SELECT DISTINCT month FROM v_recs",
     "rec_brokers": "SELECT broker, count(*) AS cnt FROM v_recs GROUP BY broker",
     "recs": "SELECT * FROM v_recs",
