@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
 import urllib.parse
 import zlib
@@ -87,6 +88,45 @@ def test_license_suppression_by_containment(spark):
     assert 200 <= len(licenses.rules()) and not licenses.scan(df)._jdf.queryExecution().toString().count("Python")
 
 
+def _spell(parsed, rng):
+    """A text that the parsed pattern matches; looks ahead are left out."""
+    out = ""
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "IN":
+            kind, v = rng.choice(arg)
+            out += chr(v if str(kind) == "LITERAL" else rng.randint(*v))
+        elif op == "ANY":
+            out += "x"
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(_spell(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 1))))
+        elif op == "SUBPATTERN":
+            out += _spell(arg[3], rng)
+        elif op == "BRANCH":
+            out += _spell(rng.choice(arg[1]), rng)
+        else:
+            assert op == "ASSERT_NOT"
+    return out
+
+
+def test_license_gate_drops_no_match(spark, monkeypatch):
+    rng, texts = random.Random(5), ["GNU General\nPublic License version 3", "under a Creative Commons  Attribution license",
+                                    "the Expat\nlicense", "placed in\nthe public\n domain", "Open\nSoftware License 3.0"]
+    split = [[c.strip() for c in line.split(" | ")] for line in (licenses.NAMES + licenses.NOTICES).strip().splitlines() if line]
+    for pattern in [c[2] for c in split] + [f"spdx-license-identifier: ({c[3]})" for c in split if len(c) > 3]:
+        for blank in (" ", "\n", "  ", " \t\n"):
+            texts += [_spell(re._parser.parse(pattern), rng).replace(" ", blank) for _ in range(3)]
+    texts = sorted(set(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "n long, text string").repartition(4)
+    got = {r.n: r.detections for r in licenses.scan(df).collect()}
+    every = licenses.rules()
+    monkeypatch.setattr(licenses, "rules", lambda: [(label, priority, "", p) for label, priority, _, p in every])
+    assert {texts[r.n]: r.detections for r in licenses.scan(df).collect() if r.detections != got[r.n]} == {}
+    assert {texts.index("GNU General\nPublic License version 3"), texts.index("the Expat\nlicense")} <= {n for n, d in got.items() if d}
+
+
 SECRET = "password = hunter2hunter"
 
 

@@ -1,7 +1,8 @@
 """License scan by ordered signature rules, in JVM-side SQL only.
 
-A text is first held against a few root words; texts without one have no detection. For the rest,
-a rule is tried only if its keyword occurs (keyword prefilter). Detections of all rules are then
+A text is first held against the keywords of all rules; texts without one have no detection. For the
+rest, a rule is tried only if its keyword occurs (keyword prefilter). Keywords are single words, so
+white space within a match does not hide them. Detections of all rules are then
 resolved by priority and containment: one that lies inside a detection of the same or a higher
 priority is dropped. Every text is scanned whole and by itself, without a shuffle.
 """
@@ -13,13 +14,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import ascii_lower
 
-#: label | keywords, one of which each match holds | name as a regex over lower-cased text (a blank stands for
+#: label | keywords (single words), one of which each match holds | name as a regex over lower-cased text (a blank stands for
 #: any white space) | SPDX ids
 NAMES = r"""
 apache-1.1 | apache | apache (software )?licen[cs]e,? ?(version |v)?1\.1 | apache-1\.1
 apache-2.0 | apache | apache (software )?(licen[cs]e)?,? ?(version |v)?2(\.0)?( licen[cs]e)? | apache-2\.0
 apache | apache | apache (software )?licen[cs]e | apache
-mit | mit | (mit|expat|x11)(-style)? licen[cs]e | mit
+mit | mit/expat/x11 | (mit|expat|x11)(-style)? licen[cs]e | mit
 mit-0 | mit | mit(-0| no attribution)( licen[cs]e)? | mit-0
 isc | isc | isc licen[cs]e | isc
 0bsd | bsd/clause | (0bsd|(bsd )?zero[- ]clause( bsd)?)( licen[cs]e)? | 0bsd
@@ -27,14 +28,14 @@ bsd-2-clause | bsd/clause | ((bsd[- ]2|2|two)[- ]clause( bsd)?|simplified bsd|fr
 bsd-3-clause | bsd/clause | ((bsd[- ]3|3|three)[- ]clause( bsd)?|(new|modified|revised) bsd)( licen[cs]e)? | bsd-3-clause
 bsd-4-clause | bsd/clause | ((bsd[- ]4|4|four)[- ]clause( bsd)?|original bsd)( licen[cs]e)? | bsd-4-clause
 bsd | bsd | bsd(-style)? licen[cs]e | bsd
-gpl-1.0 | gpl/general public | (gnu )?(gpl|general public licen[cs]e)s?,? ?(version |v|-)?1(\.0)?(?!\.?[0-9]) | gpl-1\.0(-only|-or-later)?\+?
-gpl-2.0 | gpl/general public | (gnu )?(gpl|general public licen[cs]e)s?,? ?(version |v|-)?2(\.0)?(?!\.?[0-9]) | gpl-2\.0(-only|-or-later)?\+?
-gpl-3.0 | gpl/general public | (gnu )?(gpl|general public licen[cs]e)s?,? ?(version |v|-)?3(\.0)?(?!\.?[0-9]) | gpl-3\.0(-only|-or-later)?\+?
-gpl | gpl/general public | (gnu )?(gpl|general public licen[cs]e) | gpl
-lgpl-2.0 | lgpl/general public | (gnu )?(lgpl|(lesser|library) general public licen[cs]e),? ?(version |v|-)?2(\.0)?(?!\.?[0-9]) | lgpl-2\.0(-only|-or-later)?\+?
-lgpl-2.1 | lgpl/general public | (gnu )?(lgpl|(lesser|library) general public licen[cs]e),? ?(version |v|-)?2\.1 | lgpl-2\.1(-only|-or-later)?\+?
-lgpl-3.0 | lgpl/general public | (gnu )?(lgpl|(lesser|library) general public licen[cs]e),? ?(version |v|-)?3(\.0)?(?!\.?[0-9]) | lgpl-3\.0(-only|-or-later)?\+?
-lgpl | lgpl/general public | (gnu )?(lgpl|(lesser|library) general public licen[cs]e) | lgpl
+gpl-1.0 | gpl/general | (gnu )?(gpl|general public licen[cs]e)s?,? ?(version |v|-)?1(\.0)?(?!\.?[0-9]) | gpl-1\.0(-only|-or-later)?\+?
+gpl-2.0 | gpl/general | (gnu )?(gpl|general public licen[cs]e)s?,? ?(version |v|-)?2(\.0)?(?!\.?[0-9]) | gpl-2\.0(-only|-or-later)?\+?
+gpl-3.0 | gpl/general | (gnu )?(gpl|general public licen[cs]e)s?,? ?(version |v|-)?3(\.0)?(?!\.?[0-9]) | gpl-3\.0(-only|-or-later)?\+?
+gpl | gpl/general | (gnu )?(gpl|general public licen[cs]e) | gpl
+lgpl-2.0 | lgpl/general | (gnu )?(lgpl|(lesser|library) general public licen[cs]e),? ?(version |v|-)?2(\.0)?(?!\.?[0-9]) | lgpl-2\.0(-only|-or-later)?\+?
+lgpl-2.1 | lgpl/general | (gnu )?(lgpl|(lesser|library) general public licen[cs]e),? ?(version |v|-)?2\.1 | lgpl-2\.1(-only|-or-later)?\+?
+lgpl-3.0 | lgpl/general | (gnu )?(lgpl|(lesser|library) general public licen[cs]e),? ?(version |v|-)?3(\.0)?(?!\.?[0-9]) | lgpl-3\.0(-only|-or-later)?\+?
+lgpl | lgpl/general | (gnu )?(lgpl|(lesser|library) general public licen[cs]e) | lgpl
 agpl-3.0 | agpl/affero | (gnu )?(agpl|affero general public licen[cs]e),? ?(version |v|-)?3(\.0)? | agpl-3\.0(-only|-or-later)?\+?
 agpl | agpl/affero | (gnu )?(agpl|affero general public licen[cs]e) | agpl
 gfdl | documentation | (gnu )?free documentation licen[cs]e,? ?((version |v)?[0-9.]+)? | gfdl-1\.[1-3](-only|-or-later)?
@@ -66,7 +67,7 @@ ncsa | ncsa | (university of illinois/)?ncsa( open source)? licen[cs]e | ncsa
 unlicense | unlicense | (the )?unlicense | unlicense
 wtfpl | wtfpl/public | (do what the f[a-z*]+ you want to public licen[cs]e|wtfpl) | wtfpl
 cc0-1.0 | cc0 | (creative commons )?cc0( 1\.0)?( universal)? | cc0-1\.0
-cc-by | cc | (creative commons attribution|cc[- ]by)(?![- ](nc|nd|sa|non|no[- ]d|share))([- ](international|unported))?( licen[cs]e)? | cc-by
+cc-by | cc/creative | (creative commons attribution|cc[- ]by)(?![- ](nc|nd|sa|non|no[- ]d|share))([- ](international|unported))?( licen[cs]e)? | cc-by
 cc-by-1.0 | cc | cc[- ]by[- ]1\.0 | cc-by-1\.0
 cc-by-2.0 | cc | cc[- ]by[- ]2\.0 | cc-by-2\.0
 cc-by-2.5 | cc | cc[- ]by[- ]2\.5 | cc-by-2\.5
@@ -89,21 +90,21 @@ cc-by-nd | creative | creative commons attribution[- ]no[- ]?deriv(ative)?s?( [1
 cc | creative | creative commons( licen[cs]e)? | cc
 odbl | database | (odc )?open database licen[cs]e | odbl-1\.0
 odc-by | attribution | (odc|open data commons)[- ]?attribution licen[cs]e | odc-by-1\.0
-pddl | pddl/public domain | (public domain dedication and licen[cs]e|pddl) | pddl-1\.0
+pddl | pddl/public | (public domain dedication and licen[cs]e|pddl) | pddl-1\.0
 ofl-1.1 | font | (sil )?open font licen[cs]e,? ?((version |v)?1\.1)? | ofl-1\.1
 ms-pl | microsoft | microsoft public licen[cs]e | ms-pl
 ms-rl | microsoft | microsoft reciprocal licen[cs]e | ms-rl
 cpl-1.0 | common | common public licen[cs]e,? ?((version |v)?1\.0)? | cpl-1\.0
 ipl-1.0 | ibm | ibm public licen[cs]e,? ?((version |v)?1\.0)? | ipl-1\.0
 afl-3.0 | academic | academic free licen[cs]e,? ?((version |v)?3\.0)? | afl-3\.0
-osl-3.0 | open software | open software licen[cs]e,? ?((version |v)?3\.0)? | osl-3\.0
+osl-3.0 | software | open software licen[cs]e,? ?((version |v)?3\.0)? | osl-3\.0
 sspl-1.0 | server | server side public licen[cs]e | sspl-1\.0
 elastic-2.0 | elastic | elastic licen[cs]e,? ?((version |v)?2(\.0)?)? | elastic-2\.0
 openrail | rail | (open)?rail(-m|\+\+-m)? licen[cs]e | openrail(-m)?
 llama | llama | llama [0-9.]* ?community licen[cs]e( agreement)? | llama[0-9.]*
 """
 
-#: label | keyword | regex: notices and other wordings that are no license's name
+#: label | keyword (a single word that each match holds) | regex: notices and other wordings that are no license's name
 NOTICES = r"""
 all-rights-reserved | reserved | all rights reserved
 some-rights-reserved | reserved | some rights reserved
@@ -120,9 +121,9 @@ isc | permission | permission to use, copy, modify,? and(/or)? distribute this s
 bsd | redistribut | redistribution and use in source and binary forms, with or without modification
 bsd-3-clause | endorse | neither the name of .{1,80} nor the names of its contributors may be used to endorse
 bsd-4-clause | advertising | all advertising materials mentioning features or use of this software must display
-apache-2.0 | apache | unless required by applicable law or agreed to in writing, software distributed under the licen[cs]e
+apache-2.0 | applicable | unless required by applicable law or agreed to in writing, software distributed under the licen[cs]e
 apache-2.0 | apache | (https?://)?(www\.)?apache\.org/licenses/license-2\.0
-gpl | foundation | free software: you can redistribute it and/or modify it under the terms of the gnu general public licen[cs]e
+gpl | redistribut | free software: you can redistribute it and/or modify it under the terms of the gnu general public licen[cs]e
 gpl | gnu | (https?://)?(www\.)?gnu\.org/licenses/gpl
 lgpl | gnu | (https?://)?(www\.)?gnu\.org/licenses/lgpl
 agpl | gnu | (https?://)?(www\.)?gnu\.org/licenses/agpl
@@ -148,10 +149,6 @@ license-reference | licen | (see|refer to)( the)? licen[cs]e(\.txt|\.md| file)
 IDENTIFIER, GRANT, MENTION = 1, 2, 3
 CONFIDENCE = {IDENTIFIER: 1.0, GRANT: 0.9, MENTION: 0.6}
 BASE_CONFIDENCE = 0.5
-#: Every match of a rule and every base phrase holds one of these.
-ROOTS = ("licen", "cc", "reserved", "public", "copyright", "warrant", "permission", "redistribut", "gpl", "spdx",
-         "apache", "gnu", "mpl", "eupl", "mozilla", "creativecommons", "confidential", "clause", "bsd", "perl",
-         "mit-0", "no attribution", "wtfpl", "pddl", "cddl", "advertising", "neither the name", "boost", "merchantability", "commercial", "encumbered")
 #: Base phrases: (words, label).
 PHRASES = ((("cc", "by"), "cc-by"), (("general", "public", "license"), "gpl"),
            (("all", "rights", "reserved"), "reserved"))
@@ -186,11 +183,13 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     table = rules()
     of_rule = ", ".join(f"struct({k} AS rule, {_quote(label)} AS label, {priority} AS priority, array({', '.join(map(_quote, key.split('/')))}) AS keywords, "
                         f"{_quote(pattern)} AS pattern)" for k, (label, priority, key, pattern) in enumerate(table))
-    keys = ", ".join(map(_quote, sorted({k for _, _, key, _ in table for k in key.split("/")})))
+    words = sorted({k for _, _, key, _ in table for k in key.split("/")})
+    keys = ", ".join(map(_quote, words))
+    roots = [w for w in words if not any(k != w and k in w for k in words)]  # a text without one holds no keyword
     hit = "struct<label:string,priority:int,start:int,end:int,rule:int>"
     df = df.withColumn("_raw", F.coalesce(F.col(text).cast("string"), F.lit("")))
     df = df.withColumn("_low", F.lower("_raw"))
-    gate = " OR ".join(f"contains(_low, {_quote(r)})" for r in ROOTS)
+    gate = " OR ".join(f"contains(_low, {_quote(r)})" for r in roots)
     df = df.withColumn("_low", F.when(F.expr(gate), ascii_lower("_raw")))
     df = df.withColumn("_keys", F.expr(f"CASE WHEN _low IS NOT NULL THEN filter(array({keys}), k -> contains(_low, k)) END"))
     # _keys stands here twice so that it stays a column: inlined, it would be computed anew for every rule
