@@ -38,6 +38,15 @@ def test_quality_matches_brute_force(edge):
     assert got.where("base_failed AND kept").count() == 0
 
 
+def test_quality_blank_lines_are_those_of_white_space(docs_of):
+    lines = ["0", "x", "00", "bf", "\\", "\f", "\v", " \t\r", "", "\u00a0", "- 0", "word"]
+    texts = [(i, "\n".join([x] * 3 + ["last"])) for i, x in enumerate(lines)] + [(50, "\n".join(lines * 2))]
+    got = {r.doc_id: (r.n_lines, r.n_dup_lines) for r in quality.ledger(docs_of(texts)).collect()}
+    for i, t in texts:
+        some = [x for x in t.split("\n") if WORD.search(x)]
+        assert got[i] == (len(some), len(some) - len(set(some))), repr(t)
+
+
 def test_quality_keeps_clean_and_rejects_junk(docs_of):
     clean = " ".join(f"word{k} stands here," for k in range(60))
     junk = " ".join(f"w{k}###" for k in range(80))

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import SPACE_CLASS
 
-SPACES = r" \t\n\x0b\f\r"
-
 #: Rule k of the ledger: (name, condition under which it fails, over the measurements).
 RULES = [
     ("few_words", "n_words < 50"),
@@ -82,8 +80,9 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     """
     t = "_t"
     df = df.withColumn(t, F.coalesce(F.col(text).cast("string"), F.lit("")))
-    df = (df.withColumn("_ws", F.expr(rf"array_remove(split({t}, '[{SPACE_CLASS.replace(chr(92), chr(92) * 2)}]+'), '')"))
-          .withColumn("_lines", F.expr(rf"filter(split({t}, '\n'), l -> btrim(l, '{SPACES}') <> '')")))
+    space = SPACE_CLASS.replace("\\", "\\\\")
+    df = (df.withColumn("_ws", F.expr(rf"array_remove(split({t}, '[{space}]+'), '')"))
+          .withColumn("_lines", F.expr(rf"filter(split({t}, '\n'), l -> rlike(l, '[^{space}]'))")))
     long = {
         "n_words": "size(_ws)",
         "word_chars": "length(array_join(_ws, ''))",
