@@ -1,8 +1,8 @@
 """Secret scan with a recursive decoding worklist.
 
 Each text is the first layer. Every layer is scanned, then unwrapped where it holds encoded parts:
-percent-encoded runs, \\uXXXX and \\xXX escapes, base64 (plain or URL alphabet), hex runs that hide
-a compressed stream, and zlib / gzip streams. A decoded part is a new layer that remembers which
+percent-encoded runs, \\uXXXX and \\xXX escapes, base64 (plain or URL alphabet, also wrapped over lines
+or as a part of a path), hex runs that hide a compressed stream, and zlib / gzip streams. A decoded part is a new layer that remembers which
 characters of the text each of its characters came from, so a finding in any layer is reported as a
 span of the text. The worklist ends at a fixpoint: a layer (content and place) that was seen before
 is not opened again, so cycles and self-reproducing archives end.
@@ -11,11 +11,10 @@ is not opened again, so cycles and self-reproducing archives end.
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -37,6 +36,13 @@ _ESCAPE_UNIT = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-F
 _ESCAPED = re.compile(rf"(?:[^\s\\]*(?:{_ESCAPE_UNIT.pattern}))+[^\s\\]*")
 #: Every hex or base64 run of some length is a part of one of these.
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs on neighbouring lines: all but the first begin their line, all but the last end it.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]++)+={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+_LETTERS = str.maketrans("-_", "+/")
+#: Signs of the base64 alphabets that also part the words of a path or a name.
+_CUT = re.compile(r"[+/_-]")
+_LEAST = 16
 _LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){16,}(?![0-9A-Fa-f])")
 
 
@@ -107,14 +113,17 @@ def _readable(raw: bytes) -> str | None:
     return s if s and sum(c.isprintable() or c in "\t\r\n" for c in s) >= 0.95 * len(s) else None
 
 
+def _stream(raw: bytes) -> str | None:
+    if raw[:2] == b"\x1f\x8b":
+        return "gzip"
+    return "zlib" if len(raw) > 2 and raw[0] & 0x0F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0 else None
+
+
 def _inflate(raw: bytes) -> tuple[str, bytes] | None:
     """(how, content) of a compressed stream; None if it is none; content over LAYER_BYTES is cut there."""
-    if raw[:2] == b"\x1f\x8b":
-        how, bits = "gzip", 31
-    elif len(raw) > 2 and raw[0] & 0x0F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0:
-        how, bits = "zlib", 15
-    else:
+    if (how := _stream(raw)) is None:
         return None
+    bits = 31 if how == "gzip" else 15
     try:
         out = zlib.decompressobj(bits).decompress(raw, LAYER_BYTES + 1)
     except zlib.error:
@@ -134,23 +143,134 @@ def _bytes_layers(outer: Layer, how: str, a: int, b: int, raw: bytes, big: list)
     return [_inner(outer, how, [(s, a, b, False)])] if s else []
 
 
-def _base64_layer(outer: Layer, m: re.Match, big: list) -> list[Layer]:
-    body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return []
+class _Base64:
+    """Base64 letters that stand in pieces (start, end) of a layer's text."""
+
+    def __init__(self, outer: Layer, pieces: list[tuple[int, int]]):
+        self.outer, self.pieces, self.firsts = outer, pieces, []
+        self.size = 0
+        for a, b in pieces:
+            self.firsts.append(self.size)
+            self.size += b - a
+        self.letters = "".join(outer.text[a:b] for a, b in pieces).rstrip("=").translate(_LETTERS)
+
+    def place(self, i: int) -> int:
+        k = bisect_right(self.firsts, i) - 1
+        return self.pieces[k][0] + i - self.firsts[k]
+
+    def raw(self, s: int, e: int) -> bytes:
+        body = self.letters[s:e]
+        return base64.b64decode(body[:-1] if len(body) % 4 == 1 else body + "=" * (-len(body) % 4))
+
+    def open(self, s: int, e: int, big: list) -> list[Layer]:
+        """The layer of the letters s .. e as one whole."""
+        if (e - s) % 4 == 1:
+            return []
+        raw = self.raw(s, e)
+        end = self.size if e == len(self.letters) else e  # padding belongs to the last letters
+        text = None if _inflate(raw) else _readable(raw)
+        if text is None:
+            return _bytes_layers(self.outer, "base64", self.place(s), self.place(end - 1) + 1, raw, big)
+        units, done = [], 0
+        for c in text:  # a character lies on the four-letter groups that hold its bytes
+            n = len(c.encode())
+            units.append((c, self.place(s + done // 3 * 4), self.place(min(end, s + (done + n + 2) // 3 * 4) - 1) + 1, False))
+            done += n
+        return [_inner(self.outer, "base64", units)]
+
+    def whole(self, big: list) -> list[Layer]:
+        return self.open(0, len(self.letters), big) if len(self.letters) >= _LEAST else []
+
+    def parts(self, big: list) -> list[Layer]:
+        """Layers from the start or a cut on, as far as they can be read, up to the end or a cut."""
+        out, last, size, known = [], (0, 0), len(self.letters), {}
+        ends = [m.start() for m in _CUT.finditer(self.letters)] + [size]
+        for s in [0] + [e + 1 for e in ends[:-1]]:
+            if size - s < _LEAST or s < last[1] and (s - last[0]) % 4 == 0:  # the latter: a part of what was opened
+                continue
+            head = self.raw(s, s + 24)
+            if _stream(head):
+                tries = [size]
+            elif _valid(head) + 4 > len(head):
+                if s % 4 not in known or s >= known[s % 4].stop:  # each alignment is decoded once
+                    known[s % 4] = _Utf8(s, self.raw(s, size))
+                good, stop = known[s % 4].readable, known[s % 4].stop
+                tries = [ends[bisect_right(ends, stop) - 1] if stop < size else size, ends[min(bisect_right(ends, s + _LEAST - 1), len(ends) - 1)]]
+            else:
+                continue
+            for e in dict.fromkeys(tries):
+                if e - s >= _LEAST and (_stream(head) or good(s, e)) and (found := self.open(s, e, big)):
+                    out, last = out + found, (s, e)
+                    break
+        return out
+
+
+class _Utf8:
+    """What base64 letters from ``start`` on hold until the first byte that is no UTF-8."""
+
+    def __init__(self, start: int, raw: bytes):
+        n = _valid(raw)
+        self.start, self.stop = start, start + n // 3 * 4 + 4
+        self.chars, self.odd, at = [], [], 0
+        for c in raw[:n].decode("utf-8"):
+            self.chars.append(at)
+            if not (c.isprintable() or c in "\t\r\n"):
+                self.odd.append(at)
+            at += len(c.encode())
+        self.chars.append(at)
+
+    def readable(self, s: int, e: int) -> bool:
+        """Whether the letters s .. e make a text by the rule of _readable."""
+        lo, hi = (s - self.start) // 4 * 3, (e - self.start) * 3 // 4
+        a, b = bisect_left(self.chars, lo), bisect_left(self.chars, hi)
+        if b >= len(self.chars) or self.chars[b] != hi or a >= b:
+            return False
+        odd = bisect_left(self.odd, hi) - bisect_left(self.odd, lo)
+        return b - a - odd >= 0.95 * (b - a)
+
+
+def _valid(raw: bytes) -> int:
+    """How many bytes from the start are UTF-8."""
     try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return []
-    s = None if _inflate(raw) else _readable(raw)
-    if s is None:
-        return _bytes_layers(outer, "base64", *m.span(), raw, big)
-    units, done, start = [], 0, m.start()
-    for c in s:  # a character lies on the four-letter groups that hold its bytes
-        n = len(c.encode())
-        units.append((c, start + done // 3 * 4, min(m.end(), start + (done + n + 2) // 3 * 4), False))
-        done += n
-    return [_inner(outer, "base64", units)]
+        raw.decode("utf-8")
+    except UnicodeDecodeError as e:
+        return e.start
+    return len(raw)
+
+
+def _base64_layers(outer: Layer, runs: list[re.Match], big: list) -> list[Layer]:
+    out, joined = [], []
+    for m in _WRAPPED.finditer(outer.text) if "\n" in outer.text else ():
+        lines = [x.span() for x in _LINE.finditer(outer.text, *m.span())]
+        n = len(lines)
+        if sum(b - a for a, b in lines) < _LEAST:
+            continue
+        if found := _Base64(outer, lines).whole(big):
+            out += found
+            joined.append(m.span())
+            continue
+        i = 0
+        while i < n:  # lines of one length, with or without the rest of a line before and a shorter one after
+            j = i
+            while j + 1 < n and lines[j + 1][1] - lines[j + 1][0] == lines[i][1] - lines[i][0]:
+                j += 1
+            for a, b in ((i - 1, j + 1), (i - 1, j), (i, j + 1), (i, j)):
+                if 0 <= a < b < n and (found := _Base64(outer, lines[a:b + 1]).whole(big)):
+                    out += found
+                    joined.append((lines[a][0], lines[b][1]))
+                    break
+            i = j + 1
+        if not joined or joined[-1][0] < m.start():
+            out += _Base64(outer, lines).parts(big)
+    joined.sort()
+    firsts = [a for a, _ in joined]
+    for m in runs:
+        k = bisect_right(firsts, m.start()) - 1
+        if k >= 0 and m.end() <= joined[k][1]:  # a line of what was opened
+            continue
+        run = _Base64(outer, [m.span()])
+        out += run.whole(big) or run.parts(big)
+    return out
 
 
 def _unit_layer(outer: Layer, how: str, m: re.Match, unit: re.Pattern, decode) -> list[Layer]:
@@ -174,17 +294,15 @@ def _unit_layer(outer: Layer, how: str, m: re.Match, unit: re.Pattern, decode) -
 
 
 def _percent(s: str) -> list | None:
-    raw = bytes.fromhex(s.replace("%", ""))
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    out, at = [], 0
-    for c in text:
-        n = len(c.encode())
-        out.append((c, 3 * at, 3 * (at + n)))
+    """(character, start, end); a byte that is no UTF-8 gives U+FFFD. None if no byte is."""
+    out, at, any_good = [], 0, False
+    for c in bytes.fromhex(s.replace("%", "")).decode("utf-8", "surrogateescape"):
+        bad = "\udc80" <= c <= "\udcff"
+        any_good |= not bad
+        n = 1 if bad else len(c.encode())
+        out.append(("\ufffd" if bad else c, 3 * at, 3 * (at + n)))
         at += n
-    return out
+    return out if any_good else None
 
 
 def _escape(s: str) -> str | None:
@@ -200,8 +318,7 @@ def unwrap(layer: Layer, runs: list[re.Match], big: list) -> list[Layer]:
     if "\\" in t:
         for m in _ESCAPED.finditer(t):
             out += _unit_layer(layer, "unicode", m, _ESCAPE_UNIT, _escape)
-    for m in runs:
-        out += _base64_layer(layer, m, big)
+    out += _base64_layers(layer, runs, big)
     if any(r.end() - r.start() >= 32 for r in runs):
         for m in _LONG_HEX.finditer(t):
             raw = bytes.fromhex(m[0])
