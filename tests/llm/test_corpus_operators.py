@@ -239,6 +239,27 @@ def test_class_model_matches_brute_force(docs_of):
     assert sum(r.score for r in real) > sum(r.base_score for r in real)  # classes know that verbs follow nouns
 
 
+def test_every_repeated_word_is_clustered_until_no_gain(docs_of):
+    rng = random.Random(9)
+    nouns, verbs = [f"thing{k:04d}" for k in range(1500)], [f"makes{k:04d}" for k in range(1500)]  # one form, over 2,048 words
+    rows = [(i, " ".join(rng.choice(nouns) + " " + rng.choice(verbs) for _ in range(30))) for i in range(700)]
+    docs = docs_of(rows)
+    train = docs.where(~brown.is_held_out(F.col("doc_id")))
+    words = brown.word_counts(train).select(F.xxhash64("word").alias("w"), "word", "form", F.expr("form >= 0 AND n >= 2").alias("moves")).cache()
+    bigrams = brown.bigram_counts(train).cache()
+    known, table = brown.exchange_classes(bigrams, words, classes=4)
+    of = {bytes(r.word): r.c for r in words.join(known, "w").collect()}
+    want, ids = np.zeros_like(table), [[b" ", *t.encode().split(), b" "] for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    for t in ids:
+        np.add.at(want, ([of[x] for x in t[:-1]], [of[x] for x in t[1:]]), 1)
+    assert (want == table).all()
+    n = Counter(x for t in ids for x in t)
+    assert all((of[x] < 4) == (n[x] >= 2) for x in n if x != b" ") and sum(c < 4 for c in of.values()) > 2048
+    assert brown.likelihood(table) > brown.likelihood(brown.exchange_classes(bigrams, words, 4, 2)[1])
+    seen = [{c for x, c in of.items() if x.startswith(p) and c < 4} for p in (b"thing", b"makes")]
+    assert not seen[0] & seen[1]  # no class holds both
+
+
 def test_exchange_move_has_the_best_likelihood():
     rng = np.random.default_rng(3)
     big = rng.integers(0, 6, (9, 9)).astype(float)

@@ -1,14 +1,14 @@
 """Class-based n-gram scoring: exchange clustering of words, class transitions, word emissions.
 
-Counts cover every training token. The ``CORE`` most frequent words (ties by word) are clustered by
-the exchange algorithm over the bigrams of the whole training part; every other word belongs to a
-form class (its length and whether it has digits, other signs or non-ASCII bytes), which is known for
-unseen words as well. P(text) is the product of P(class | previous class) * P(word | class), both
+Counts cover every training token. Every word that training holds at least ``LEAST`` times is clustered
+by the exchange algorithm over the bigrams of the whole training part, until the likelihood stops
+gaining; rarer and unseen words belong to a form class (length and whether there are digits, other signs
+or non-ASCII bytes). P(text) is the product of P(class | previous class) * P(word | class), both
 add-one smoothed; an end token closes each text and begins the next history.
 
-What is sent to tasks whole is bounded by parameters: the core words, the class table (classes
-squared) and the ``HEAD`` most frequent counts. The counts of all other words meet their texts in a
-join.
+What is sent to tasks whole is bounded by parameters: the class table (classes squared) and the
+``HEAD`` most frequent words. The class map meets the bigrams in a join, the classes and counts of all
+other words meet their texts in a join. Words are told apart by a 64-bit hash in the bigrams.
 """
 
 from __future__ import annotations
@@ -17,15 +17,16 @@ import math
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stage, texts, worker_cache
 
-#: Words that exchange clustering moves between classes, their classes, and rounds over all of them.
-CORE, CLASSES, ROUNDS = 2048, 48, 6
+#: Least count of a word that exchange clustering moves between classes, and their number.
+LEAST, CLASSES = 2, 48
 #: Most frequent words whose counts are sent to every task.
 HEAD = 100_000
 FOLDS, HELD_OUT = 7, 2
@@ -35,7 +36,7 @@ FORMS = 40
 
 
 def form(word: bytes) -> int:
-    """Form class (0 .. FORMS-1) of a word outside the core: length band, digits, signs, non-ASCII bytes."""
+    """Form class (0 .. FORMS-1) of a word that is not clustered: length band, digits, signs, non-ASCII bytes."""
     plain = word.isalpha()
     kind = 0 if plain else 1 if any(48 <= c < 58 for c in word) else 2 if max(word) > 127 else 3
     return kind * 10 + min(len(word), 20) // 2 - (len(word) >= 20)
@@ -73,8 +74,8 @@ def word_counts(train: DataFrame) -> DataFrame:
             .groupBy("word", "form").agg(F.sum("n").alias("n")))
 
 
-def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """(word, n), most frequent first: every word at or above a count that at most ``most`` words reach."""
+def frequent(counts: DataFrame, most: int, *more: str) -> list[tuple]:
+    """(word, n, further columns), most frequent first: every word at or above a count that at most ``most`` words reach."""
     band = F.floor(F.log2("n") * 16)
     bands = counts.groupBy(band.alias("band")).count().collect()  # at most 16 bands a doubling
     least, have = None, 0
@@ -84,241 +85,273 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
         least = b
     if least is None:
         return []
-    rows = counts.where(band >= least).select("word", "n").collect()
-    return sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
+    rows = counts.where(band >= least).select("word", "n", *more).collect()
+    return sorted(((bytes(r["word"]), *r[1:]) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
-class Symbols(dict):
-    """word -> symbol: core words 0 .. len(core)-1, then END, then the form classes."""
-
-    def __init__(self, core: list[bytes], keep: int = 400_000):
-        super().__init__()
-        self.core = {w: i for i, w in enumerate(core)}
-        self.end = len(core)
-        self.keep = keep
+class _Numbers(dict):
+    """word -> running number."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.keep:
-            self.clear()
-        s = self[word] = self.core.get(word, -1)
-        if s < 0:
-            s = self[word] = self.end + 1 + form(word)
-        return s
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        n = self[word] = len(self)
+        return n
 
 
-def _bigrams(core: list[bytes], mark: str):
-    size = len(core) + 1 + FORMS
+def _bigrams(batches):
+    known, parts, held = _Numbers(), [], 0
 
-    def out(parts):
-        keys, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys // size), pa.array(keys % size), pa.array(n.astype(np.int64))],
+    def out():
+        size = len(known)
+        keys, n = np.unique(np.concatenate([x * size + y for x, y in parts]), return_counts=True)
+        name = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in known), np.uint64, size).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(name[keys // size]), pa.array(name[keys % size]), pa.array(n.astype(np.int64))],
                                           names=["a", "b", "n"])
 
-    def run(batches):
-        known = worker_cache("symbols", mark, lambda: Symbols(core))
-        parts, held = [], 0
-        for b in batches:
-            for t in texts(b.column(0)):
-                s = known.of(t.lower().split())
-                s = np.concatenate(([known.end], s, [known.end]))
-                parts.append(s[:-1] * size + s[1:])
-                held += len(s)
-                if held > 4_000_000:
-                    yield out(parts)
-                    parts, held = [], 0
-        if parts:
-            yield out(parts)
-
-    return run
+    for batch in batches:
+        for t in texts(batch.column(0)):
+            w = [END, *t.lower().split(), END]
+            s = np.fromiter(map(known.__getitem__, w), np.int64, len(w))
+            parts.append((s[:-1], s[1:]))
+            held += len(s)
+            if held > 4_000_000:
+                yield out()
+                known, parts, held = _Numbers(), [], 0
+    if parts:
+        yield out()
 
 
-def bigram_counts(train: DataFrame, core: list[bytes], mark: str) -> DataFrame:
-    """(a, b, n): how often symbol b follows symbol a, over all training texts."""
-    return (train.select(F.col("text").cast("string")).mapInArrow(_bigrams(core, mark), "a long, b long, n long")
+def bigram_counts(train: DataFrame) -> DataFrame:
+    """(a, b, n): how often word b follows word a (as xxhash64), over all training texts."""
+    return (train.select(F.col("text").cast("string")).mapInArrow(_bigrams, "a long, b long, n long")
             .groupBy("a", "b").agg(F.sum("n").alias("n")))
 
 
-def _class_table(bigrams: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
-    """Class bigram counts (classes x classes), summed by Spark."""
-    def run(batches):
-        total = np.zeros(classes * classes)
-        for b in batches:
-            a, c, n = (b.column(i).to_numpy() for i in range(3))
-            total += np.bincount(of[a] * classes + of[c], weights=n, minlength=classes * classes)
-        total = total.reshape(classes, classes)
-        i, j = np.nonzero(total)
-        if len(i):
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j].astype(np.int64))], names=["i", "j", "n"])
-
-    table = np.zeros((classes, classes))
-    rows = bigrams.mapInArrow(run, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
-    for i, j, n in rows:  # at most classes squared
-        table[i, j] = n
-    return table
-
-
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300)) * (x > 0)
 
 
-def best_class(left: np.ndarray, right: np.ndarray, both: float, own: int, table: np.ndarray, choices: int) -> int:
-    """The class (< choices) under which the class bigram likelihood is largest for one word.
+def best_classes(left: np.ndarray, right: np.ndarray, both: np.ndarray, own: np.ndarray, table: np.ndarray,
+                 choices: int) -> np.ndarray:
+    """For each word (row) the class (< choices) under which the class bigram likelihood is largest.
 
-    left[c]: how often class c stands before the word, right[c]: after it (the word itself counted
+    left[w, c]: how often class c stands before the word, right[w, c]: after it (the word itself counted
     in its present class ``own``); both: how often the word follows itself.
     """
-    n = table.copy()
-    l, r = left.copy(), right.copy()
-    l[own] -= both
-    r[own] -= both
-    n[own, :] -= r
-    n[:, own] -= l
-    n[own, own] -= both
-    tails, heads = n.sum(axis=1), n.sum(axis=0)
-    b = np.arange(choices)
-    gain = (_xlogx(n[:choices] + r) - _xlogx(n[:choices])).sum(axis=1)
-    gain += (_xlogx(n[:, :choices] + l[:, None]) - _xlogx(n[:, :choices])).sum(axis=0)
-    corner = n[b, b]  # row and column of the class meet there
-    gain += _xlogx(corner + r[b] + l[b] + both) - _xlogx(corner + r[b]) - _xlogx(corner + l[b]) + _xlogx(corner)
-    gain -= _xlogx(tails[b] + r.sum() + both) - _xlogx(tails[b])
-    gain -= _xlogx(heads[b] + l.sum() + both) - _xlogx(heads[b])
-    return int(np.argmax(gain + 1e-9 * (b == own)))
-
-
-def _exchange(of: np.ndarray, table: np.ndarray, choices: int):
-    classes = len(table)
-
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        w = int(key[0])
-        left, right = np.zeros(classes), np.zeros(classes)
-        np.add.at(left, rows["c"].to_numpy()[~rows["after"]], rows["n"].to_numpy()[~rows["after"]])
-        np.add.at(right, rows["c"].to_numpy()[rows["after"]], rows["n"].to_numpy()[rows["after"]])
-        both = float(rows["self"].sum())
-        return pd.DataFrame({"w": [w], "c": [best_class(left, right, both, int(of[w]), table, choices)]})
+    l, r = left.astype(float), right.astype(float)
+    rows, b = np.arange(len(own)), np.arange(choices)
+    l[rows, own] -= both
+    r[rows, own] -= both
+    gain = np.zeros((len(own), choices))
+    for x, y, t in ((r, l, table), (l, r, table.T)):  # the table is meant without the word
+        w, c = np.nonzero(x)
+        if not len(w):
+            continue
+        v, at = x[w, c], np.flatnonzero(c == own[w])
+        n = t[:choices, c].T.copy()
+        n[np.arange(len(w)), own[w]] -= v
+        n[at] -= y[w[at], :choices]
+        n[at, own[w[at]]] -= both[w[at]]
+        some, first = np.unique(w, return_index=True)
+        gain[some] += np.add.reduceat(_xlogx(n + v[:, None]) - _xlogx(n), first, axis=0)
+    lb, rb, twice = l[:, :choices], r[:, :choices], both[:, None]
+    corner = np.tile(table[b, b].astype(float), (len(own), 1))  # row and column of the class meet there
+    corner[rows, own] -= l[rows, own] + r[rows, own] + both
+    gain += _xlogx(corner + rb + lb + twice) - _xlogx(corner + rb) - _xlogx(corner + lb) + _xlogx(corner)
+    for x, sums, other in ((r, table.sum(axis=1), lb), (l, table.sum(axis=0), rb)):
+        n, all_ = sums[:choices] - other, x.sum(axis=1) + both
+        n[rows, own] -= all_
+        gain -= _xlogx(n + all_[:, None]) - _xlogx(n)
+    return np.argmax(gain + 1e-9 * (b == own[:, None]), axis=1)
+
+
+def best_class(left: np.ndarray, right: np.ndarray, both: float, own: int, table: np.ndarray, choices: int) -> int:
+    """``best_classes`` of one word."""
+    return int(best_classes(left[None], right[None], np.array([both]), np.array([own]), table, choices)[0])
+
+
+def likelihood(table: np.ndarray) -> float:
+    """The part of the log likelihood of all bigrams that depends on the classes."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum() - _xlogx(table.sum(axis=1)).sum())
+
+
+def _exchange(table: np.ndarray, choices: int):
+    size = len(table)
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                own, near = part.column(1).to_numpy(), part.column(2)
+                w = np.repeat(np.arange(len(own)), near.value_lengths().to_numpy())
+                side, c, n = (near.flatten().field(i).to_numpy() for i in range(3))
+                counts = np.zeros((3, len(own), size))  # before, after, the word itself
+                np.add.at(counts, (side, w, c), n)
+                best = best_classes(counts[0], counts[1], counts[2, :, 0], own, table, choices)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best, pa.int64())], names=["w", "c"])
 
     return run
 
 
-def exchange_classes(bigrams: DataFrame, core: int, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
-    """Class of every symbol. Core words start dealt out by rank and move, a part of them each round, to
-    the class of the largest likelihood given all others; END and the form classes stay their own."""
-    size = core + 1 + FORMS
-    of = np.concatenate([np.arange(core) % classes, classes + np.arange(size - core)])
-    total = classes + size - core
-    spark = bigrams.sparkSession
-    for k in range(rounds):
-        table = _class_table(bigrams, of, total)
-        known = spark.createDataFrame(pd.DataFrame({"s": np.arange(size), "c": of}))  # bounded by the core
-        moving = f"< {core} AND pmod(xxhash64({{0}}), 2) = {k % 2}"
-        ahead = (bigrams.where("a " + moving.format("a")).join(F.broadcast(known), F.col("b") == F.col("s"))
-                 .groupBy(F.col("a").alias("w"), "c").agg(F.sum("n").alias("n"), F.sum(F.expr("if(a = b, n, 0)")).alias("self"))
-                 .withColumn("after", F.lit(True)))
-        behind = (bigrams.where("b " + moving.format("b")).join(F.broadcast(known), F.col("a") == F.col("s"))
-                  .groupBy(F.col("b").alias("w"), "c").agg(F.sum("n").alias("n"), F.lit(0).cast("long").alias("self"))
-                  .withColumn("after", F.lit(False)))
-        moved = ahead.unionByName(behind).groupBy("w").applyInPandas(_exchange(of, table, classes), "w long, c long")
-        for w, c in moved.collect():  # at most core rows
-            of[w] = c
-    return of
-
-
-def _profile_texts(core, of, log_next, head, base_log, log_emit_of, mark):
-    """Per text: log10 sums over all tokens but for the counts of the ``rest``, which come by a join."""
+def exchange_classes(bigrams: DataFrame, words: DataFrame, classes: int = CLASSES,
+                     rounds: int | None = None) -> tuple[DataFrame, np.ndarray]:
+    """((w, c) of all ``words``, class bigram table) after exchange clustering.
+
+    Takes (w, form, moves): words that move start dealt out by hash and go, one half of them each round,
+    to the class of the largest likelihood given all others; END and the form classes stay. Without
+    ``rounds`` this ends, with the best classes seen, when two rounds have not raised the likelihood.
+    """
+    total = classes + 1 + FORMS
+    fixed = words.where("NOT moves").select("w", (F.col("form") + classes + 1).alias("c"))
+    state = stage(words.where("moves").select("w", F.pmod(F.xxhash64("w"), F.lit(classes)).cast("long").alias("c")), "lm-state")
+    best, k = None, 0
+    while True:
+        known = state.unionByName(fixed)
+        after = (bigrams.join(known.withColumnRenamed("w", "b"), "b").groupBy(F.col("a").alias("w"), "c")
+                 .agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY))
+        table = np.zeros((total, total))
+        for i, j, n in (after.withColumnRenamed("c", "j").join(known, "w").groupBy("c", "j").agg(F.sum("n")).collect()):
+            table[i, j] = n  # at most classes squared
+        done = rounds is not None and k >= rounds
+        if done or rounds is None and k % 2 == 0:
+            gained = done or best is None or likelihood(table) > likelihood(best[1])
+            if gained:
+                best = known, table
+            if done or not gained:
+                after.unpersist()
+                return best
+        half = f"pmod({{}}, 2) = {k % 2}"
+        before = (bigrams.where(half.format("b")).join(known.withColumnRenamed("w", "a"), "a")
+                  .groupBy(F.col("b").alias("w"), "c").agg(F.sum("n").alias("n")))
+        itself = bigrams.where("a = b AND " + half.format("a")).select(F.col("a").alias("w"), F.lit(0).cast("long").alias("c"), "n")
+        sides = (before.withColumn("side", F.lit(0)).unionByName(after.where(half.format("w")).withColumn("side", F.lit(1)))
+                 .unionByName(itself.withColumn("side", F.lit(2))))
+        near = sides.groupBy("w").agg(F.collect_list(F.struct("side", "c", "n")).alias("near"))  # at most 2 * total + 1 each
+        moved = state.join(near, "w").select("w", "c", "near").mapInArrow(_exchange(table, classes), "w long, c long")
+        state = stage(moved.unionByName(state.where("NOT " + half.format("w"))), "lm-state")
+        after.unpersist()
+        k += 1
+
+
+def _profile_texts(log_next, head, end, base_log, mark):
+    """Per text: log10 sums over the words of the head; other words, and pairs with one, are listed for a join.
+
+    A pair holds a class or, below 0, -1 - the place in ``rest``."""
     def run(batches):
-        known = worker_cache("symbols", mark, lambda: Symbols(core))
-        logs = worker_cache("head", mark, lambda: dict(zip(head["word"], zip(head["base"], head["emit"], strict=True), strict=True)))
+        logs = worker_cache("head", mark, lambda: dict(zip(head["word"], zip(head["base"], head["emit"], head["class"], strict=True), strict=True)))
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
-                rows: list[list] = [[], [], [], [], [], [], []]
+                rows: list[list] = [[] for _ in range(9)]
                 for t in texts(b.column(1).slice(lo, 1000)):
                     w = t.lower().split()
-                    s = np.concatenate(([known.end], known.of(w), [known.end]))
-                    c = of[s]
-                    base, emit, n_known, rest = *logs[END], 1, {}
+                    base, emit, _ = logs[END]
+                    n_known, rest, times, c = 1, {}, [], [end]
                     for x in w:
                         if (found := logs.get(x)) is None:
-                            rest[x] = rest.get(x, 0) + 1
-                            base -= base_log
-                            emit -= log_emit_of[of[known[x]]]
+                            k = rest.setdefault(x, len(rest))
+                            if k == len(times):
+                                times.append(0)
+                            times[k] += 1
+                            c.append(-1 - k)
                         else:
                             base, emit, n_known = base + found[0], emit + found[1], n_known + 1
-                    for column, v in zip(rows, (len(w) + 1, n_known, base, emit, float(log_next[c[:-1], c[1:]].sum()),
-                                                list(rest), list(rest.values())), strict=True):
+                            c.append(found[2])
+                    s = np.array([*c, end])
+                    x, y = s[:-1], s[1:]
+                    plain = (x >= 0) & (y >= 0)
+                    for column, v in zip(rows, (len(w) + 1, n_known, float(base), float(emit), float(log_next[x[plain], y[plain]].sum()),
+                                                list(rest), times, x[~plain], y[~plain]), strict=True):
                         column.append(v)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, 1000).cast(pa.int64()), b.column(2).slice(lo, 1000),
                      pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), *(pa.array(r, pa.float64()) for r in rows[2:5]),
-                     pa.array(rows[5], pa.list_(pa.binary())), pa.array(rows[6], pa.list_(pa.int64()))],
-                    names=["doc_id", "held_out", "n_tokens", "head_known", "base", "emit", "trans", "rest", "times"])
+                     pa.array(rows[5], pa.list_(pa.binary())), *(pa.array(r, pa.list_(pa.int64())) for r in rows[6:])],
+                    names=["doc_id", "held_out", "n_tokens", "head_known", "base", "emit", "trans", "rest", "times", "first", "second"])
+
+    return run
+
+
+def _finish_texts(log_next, log_emit_of, base_log, first_form):
+    """Adds what the words outside the head give, by their classes and counts (``tail``, by place in ``rest``)."""
+    def run(batches):
+        for b in batches:
+            known, base, score = [], [], []
+            for r in b.select(["head_known", "base", "emit", "trans", "rest", "times", "first", "second", "tail"]).to_pylist():
+                c = np.array([first_form + form(w) for w in r["rest"]], np.int64)
+                n, times = np.zeros(len(c)), np.array(r["times"], float)
+                for x in r["tail"] or ():
+                    c[x["k"]], n[x["k"]] = x["c"], x["n"]
+                x, y = np.array(r["first"], np.int64), np.array(r["second"], np.int64)
+                if len(x):
+                    x, y = (np.where(z < 0, c[np.maximum(-1 - z, 0)], z) for z in (x, y))
+                logs = np.log10(n + 1)
+                known.append(r["head_known"] + int(times[n > 0].sum()))
+                base.append(r["base"] + float((times * (logs - base_log)).sum()))
+                score.append(r["emit"] + r["trans"] + float((times * (logs - log_emit_of[c])).sum() + log_next[x, y].sum()))
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(k) for k in ("doc_id", "held_out", "n_tokens")), pa.array(known, pa.int64()),
+                 pa.array(base, pa.float64()), pa.array(score, pa.float64())],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-def score_texts(docs: DataFrame, core_words: int = CORE, classes: int = CLASSES, rounds: int = ROUNDS,
+def score_texts(docs: DataFrame, core_words: int | None = None, classes: int = CLASSES, rounds: int | None = None,
                 head_words: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity per row of ``docs``.
 
     Takes doc_id and text (null: empty, so one end token). Repeated rows train and are scored one by
-    one. With no training row at all, every count is 0 and N and V are 0.
+    one. With no training row at all, every count is 0 and N and V are 0. ``core_words`` clusters so
+    many of the most frequent words instead of all from LEAST on.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("held_out", is_held_out(F.col("doc_id")))
     train = docs.where(~F.col("held_out"))
-    counts = stage(word_counts(train), "lm-words")
+    counts = stage(word_counts(train).withColumn("w", F.xxhash64("word")), "lm-words")
     n_all, vocab = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    hot = frequent(counts, max(core_words, head_words))
-    core = [w for w, _ in hot if w != END][:core_words]
-    mark = uuid.uuid4().hex
-
-    bigrams = stage(bigram_counts(train, core, mark), "lm-bigrams")
-    of = exchange_classes(bigrams, len(core), classes, rounds)
-    total = int(of.max()) + 1
-    table = _class_table(bigrams, of, total)
+    if core_words is None:
+        words = counts.select("w", "form", (F.col("form") >= 0).alias("real"), "n").select("w", "form", F.expr(f"real AND n >= {LEAST}").alias("moves"))
+    else:
+        core = [(bytearray(w),) for w, _ in frequent(counts, core_words + 1) if w != END][:core_words]
+        chosen = spark.createDataFrame(core, "word binary").withColumn("moves", F.lit(True))
+        words = counts.join(F.broadcast(chosen), "word", "left").select("w", "form", F.coalesce("moves", F.lit(False)).alias("moves"))
+    bigrams = stage(bigram_counts(train), "lm-bigrams")
+    known, table = exchange_classes(bigrams, words, classes, rounds)
+    total = len(table)
     log_next = np.log10((table + 1) / (table.sum(axis=1, keepdims=True) + total))
+    classed = stage(counts.join(known, "w").select("word", "n", "c"), "lm-classes")
 
     # emissions: a class's training tokens and distinct words; one more word stands for the unseen
-    first_form = total - FORMS
-    symbols = Symbols(core)
-    tokens = table.sum(axis=0)
-    words = np.bincount(of[:len(core)], minlength=total)
-    words[of[len(core)]] = 1
-    cores = spark.createDataFrame([(bytearray(w),) for w in core], "word binary")
-    plain = (counts.where("form >= 0").join(F.broadcast(cores), "word", "left_anti").groupBy("form").count().collect())
-    for f, n in plain:  # at most FORMS rows
-        words[first_form + f] = n
-    log_emit_of = np.log10(tokens + words + 1)
+    n_words = np.zeros(total)
+    n_words[classes] = 1
+    for c, n in classed.groupBy("c").count().collect():  # at most classes rows
+        n_words[c] = n
+    log_emit_of = np.log10(table.sum(axis=0) + n_words + 1)
     base_log = math.log10(n_all + vocab + 1)
 
-    if not any(w == END for w, _ in hot):
-        end = counts.where(F.col("form") == -1).select("n").first()
-        hot.append((END, end["n"] if end else 0))
-    sym = np.array([symbols.end if w == END else symbols[w] for w, _ in hot])
-    n = np.array([c for _, c in hot], float)
-    head = {"word": [w for w, _ in hot], "base": np.log10(n + 1) - base_log, "emit": np.log10(n + 1) - log_emit_of[of[sym]]}
+    hot = frequent(classed, head_words, "c")
+    if not any(w == END for w, _, _ in hot):
+        end = classed.where(F.col("c") == classes).select("n").first()
+        hot.append((END, end["n"] if end else 0, classes))
+    n, of = np.array([x[1] for x in hot], float), np.array([x[2] for x in hot])
+    head = {"word": [x[0] for x in hot], "base": np.log10(n + 1) - base_log, "emit": np.log10(n + 1) - log_emit_of[of], "class": of.tolist()}
     prof = docs.select("doc_id", "text", "held_out").mapInArrow(
-        _profile_texts(core, of, log_next, head, base_log, log_emit_of, mark),
+        _profile_texts(log_next, head, classes, base_log, uuid.uuid4().hex),
         "doc_id long, held_out boolean, n_tokens long, head_known long, base double, emit double, trans double, "
-        "rest array<binary>, times array<long>")
+        "rest array<binary>, times array<long>, first array<long>, second array<long>")
     prof = stage(prof.withColumn("row", F.monotonically_increasing_id()), "lm-profile")  # written once: ids stay
 
-    rest = prof.select("row", F.explode(F.arrays_zip("rest", "times")).alias("r")).select(
-        "row", F.col("r.rest").alias("word"), F.col("r.times").alias("times"))
-    tail = rest.join(counts.select("word", "n"), "word").groupBy("row").agg(
-        F.sum("times").alias("tail_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("tail_log"))
-    out = prof.drop("rest", "times").join(tail, "row", "left")
-    tail_log = F.coalesce("tail_log", F.lit(0.0))  # log10(0 + 1) for words that training never saw
-    score = F.col("emit") + F.col("trans") + tail_log
+    rest = prof.select("row", F.posexplode("rest").alias("k", "word"))
+    tail = (rest.join(classed, "word").groupBy("row")  # words that training never saw are left to their form
+            .agg(F.collect_list(F.struct("k", "c", "n")).alias("tail")))
+    out = prof.join(tail, "row", "left").mapInArrow(
+        _finish_texts(log_next, log_emit_of, base_log, classes + 1),
+        "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     end_known = F.lit(0 if n_all else 1)  # the end token is known as soon as anything was learned
     return out.select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("head_known") - end_known + F.coalesce("tail_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") + tail_log).alias("base_score"), score.alias("score"),
-        F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"))
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") - end_known).cast("long").alias("n_known"),
+        F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
