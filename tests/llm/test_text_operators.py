@@ -203,6 +203,25 @@ def test_secret_worklist_ends_on_bombs_and_nesting(monkeypatch):
     assert [k for _, _, k in secrets.find_secrets(deep)[1]] == ["base64>" * 12 + "assign"]
 
 
+def test_secret_in_large_deep_and_joined_streams(monkeypatch):
+    deep = SECRET.encode()
+    for _ in range(90):
+        deep = zlib.compress(deep)
+    assert [k for _, _, k in secrets.find_secrets(_b64(deep))[1]] == ["base64>" + "zlib>" * 90 + "assign"]
+    members = gzip.compress(b"first member ") + gzip.compress(b"second " + SECRET.encode())
+    assert [k for _, _, k in secrets.find_secrets(_b64(members))[1]] == ["base64>gzip>assign"]
+    monkeypatch.setattr(secrets, "LAYER_BYTES", 1000)
+    for at in [0, 900, 980, 995, 1000, 1490, 2500, 4990, 5000]:
+        large = ("é " * 2500)[:at] + f" {SECRET} {_b64(SECRET)} " + ("é " * 2500)[at:]
+        for body, path in ((zlib.compress(large.encode()), "zlib>"), (gzip.compress(gzip.compress(large.encode())), "gzip>gzip>")):
+            got = {k for _, _, k in secrets.find_secrets(f"x {_b64(body)} y")[1]}
+            assert got >= {f"base64>{path}{k}" for k in ("oversize", "assign", "base64>assign")}, (at, got)
+    noise = "\n".join(f"{k} {hashlib.sha256(bytes([k % 251, k // 251])).hexdigest()[:20]}" for k in range(3000))
+    twice = gzip.compress(zlib.compress((noise + SECRET).encode()))
+    got = {k for _, _, k in secrets.find_secrets(_b64(twice))[1]}
+    assert "base64>gzip>zlib>assign" in got and any(k.endswith("oversize") for k in got)
+
+
 def test_secret_report_rows(edge, docs_of):
     got = secrets.secret_report(edge)
     assert got.count() == len(EDGE)

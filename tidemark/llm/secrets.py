@@ -16,14 +16,16 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex")
-#: A decompressed layer above this many bytes is not scanned but reported, as kind ``oversize``.
+#: A decompressed layer above this many bytes is reported, as kind ``oversize``, and scanned in windows of so many.
 LAYER_BYTES = 64 << 20
+_PIECE = 1 << 20
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -119,26 +121,104 @@ def _stream(raw: bytes) -> str | None:
     return "zlib" if len(raw) > 2 and raw[0] & 0x0F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0 else None
 
 
+def _inflated(source):
+    """Content, in pieces, of the compressed streams that stand one after another in the pieces of ``source``.
+
+    What follows the last stream is left; an error in the first one is raised, a later one ends."""
+    d, data, first = None, b"", True
+    for piece in chain(source, [None]):
+        data += piece or b""
+        while data:
+            if d is None:
+                if piece is not None and len(data) < 3:
+                    break
+                if (how := _stream(data)) is None:
+                    return
+                d = zlib.decompressobj(31 if how == "gzip" else 15)
+            try:
+                out = d.decompress(data, _PIECE)
+                data = d.unused_data if d.eof else d.unconsumed_tail
+                while out:
+                    yield out
+                    out = d.decompress(b"", _PIECE) if not data and not d.eof else b""
+            except zlib.error:
+                if first:
+                    raise
+                return
+            if d.eof:
+                d, first, data = None, False, d.unused_data
+
+
 def _inflate(raw: bytes) -> tuple[str, bytes] | None:
-    """(how, content) of a compressed stream; None if it is none; content over LAYER_BYTES is cut there."""
+    """(how, content) of one or more compressed streams; None if it is none; content over LAYER_BYTES is cut there."""
     if (how := _stream(raw)) is None:
         return None
-    bits = 31 if how == "gzip" else 15
+    parts, n = [], 0
     try:
-        out = zlib.decompressobj(bits).decompress(raw, LAYER_BYTES + 1)
+        for out in _inflated([raw]):
+            parts.append(out)
+            if (n := n + len(out)) > LAYER_BYTES:
+                break
     except zlib.error:
         return None
-    return (how, out) if out else None
+    return (how, b"".join(parts)) if n else None
+
+
+def _scan_large(outer: Layer, how: str, a: int, b: int, source, big: list) -> None:
+    """Adds to ``big`` what a large stream holds, window by window; each overlaps half of the one before.
+
+    A span at an open end of a window is cut there: the next window holds it whole."""
+    window, start, seen = b"", True, set()
+    pieces = _inflated(source)
+    while True:
+        more = True
+        while len(window) <= LAYER_BYTES and more:
+            try:
+                out = next(pieces, None)
+            except zlib.error:
+                out = None
+            more = out is not None
+            window += out or b""
+        if start and _stream(window):
+            try:
+                nested = next(_inflated([window]), None)
+            except zlib.error:
+                nested = None
+            if nested:
+                _scan_large(outer, f"{how}>{_stream(window)}", a, b, chain([window], pieces), big)
+                return
+        part, window = window[:LAYER_BYTES], window[LAYER_BYTES // 2:]
+        last = not more and len(part) <= LAYER_BYTES and len(window) <= LAYER_BYTES // 2
+        mark = hashlib.blake2b(part, digest_size=16).digest()
+        if mark not in seen:
+            seen.add(mark)
+            lead = 0
+            while not start and lead < min(3, len(part)) and part[lead] & 0xC0 == 0x80:  # the rest of a cut character
+                lead += 1
+            n = lead + _valid(part[lead:])
+            text = _readable(part[lead:] if last or n + 4 <= len(part) else part[lead:n])
+            if text:
+                base, decoded = find_secrets(text)
+                for x, y, kind in base + decoded:
+                    if (start or x > 0) and (last or y < len(text)):
+                        big.append((*outer.origin(a, b), f"{outer.path}{how}>{kind}"))
+        if last:
+            return
+        start = False
 
 
 def _bytes_layers(outer: Layer, how: str, a: int, b: int, raw: bytes, big: list) -> list[Layer]:
+    seen = set()
     while (packed := _inflate(raw)) is not None:  # streams in streams: each step is one layer of the path
-        how, raw = f"{how}>{packed[0]}", packed[1]
-        if len(raw) > LAYER_BYTES:
+        how, inner = f"{how}>{packed[0]}", packed[1]
+        if len(inner) > LAYER_BYTES:
             big.append((*outer.origin(a, b), f"{outer.path}{how}>oversize"))
+            _scan_large(outer, how, a, b, [raw], big)
             return []
-        if how.count(">") > 64:  # a stream that contains itself
+        raw, mark = inner, hashlib.blake2b(inner, digest_size=16).digest()
+        if mark in seen:  # a stream that contains itself
             return []
+        seen.add(mark)
     s = _readable(raw)
     return [_inner(outer, how, [(s, a, b, False)])] if s else []
 
