@@ -164,6 +164,18 @@ def test_concept_denorm_defaults_and_missing_members(spark):
     assert len(no_members) == 2 and all(r["ts_code"] is None for r in no_members)
 
 
+def test_concept_denorm_keeps_quotes_without_a_date(spark):
+    from tidemark.operators.ingest import concept_denorm, join_row_count
+    q = spark.createDataFrame([("C1", d, 1.0, 2.0, 0.5, 1.5, None, None, 10.0, 100.0) for d in (D1, None, None)],
+                              "index_code string, trade_date date, open double, high double, low double, "
+                              "close double, pre_close double, pct_chg double, vol double, amount double")
+    meta = spark.createDataFrame([("C1", "One", "T")], "index_code string, index_name string, index_type string")
+    mem = spark.createDataFrame([("C1", "P1", "p1"), ("C1", "P2", "p2")], "index_code string, ts_code string, name string")
+    out = concept_denorm(q, mem, meta)
+    assert rows(out, "trade_date", "ts_code") == sorted([(d, p) for d in (D1, None, None) for p in ("P1", "P2")], key=repr)
+    assert out.count() == join_row_count(q, mem, "index_code").first()["rows"]
+
+
 def test_upsert_leaves_no_key_in_another_partition(spark):
     path = staging_path(spark, "t-moved")
     schema = "k string, ts int, part string"

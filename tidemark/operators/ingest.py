@@ -53,7 +53,7 @@ def concept_denorm(quotes: DataFrame, members: DataFrame | None, meta: DataFrame
     if members is None:
         q = q.withColumn("ts_code", F.lit(None).cast("string")).withColumn("name", F.lit(None).cast("string"))
     else:
-        q = q.withColumn("__month", F.date_format("trade_date", "yyyyMM"))
+        q = q.withColumn("__month", F.coalesce(F.date_format("trade_date", "yyyyMM"), F.lit("")))  # no date: a month of its own
         months = q.select(key, "__month").distinct()
         q = members.join(months, key).join(q, [key, "__month"])
     return q.select(
