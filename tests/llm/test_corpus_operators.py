@@ -160,6 +160,30 @@ def test_warc_cut_file_loses_only_its_last_record(spark, tmp_path):
     assert sorted(r.size for r in warc.read_warc(spark, str(tmp_path)).collect()) == [0, 5]
 
 
+@pytest.mark.parametrize("uri", [400, 5000, 40_000])
+def test_warc_long_header_after_a_block_end(spark, tmp_path, uri):
+    def record(n, size, more=""):
+        return f"WARC/1.1\r\nWARC-Type: resource\r\n{more}WARC-Record-ID: <r{n}>\r\nContent-Length: {size}\r\n\r\n{'p' * size}\r\n\r\n"
+
+    first = record(1, 5000)
+    first = record(1, 5000 + 5985 - len(first))  # the second record begins shortly before the end of the first block
+    long = "WARC-Target-URI: " + "u" * uri + "\r\n" + "".join(f"X-{k}: {'x' * 3000}\r\n" for k in range(uri // 4000))
+    text = first + record(2, 7, long) + record(3, 900) + record(4, 20_000)
+    assert len(first) == 5985
+    (tmp_path / "a.warc").write_bytes(text.encode())
+    (tmp_path / "b.warc").write_bytes((first + record(2, 7, long)[:uri + 60]).encode())  # ends in a header
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "6000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = warc.read_warc(spark, str(tmp_path), prefix=300).collect()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert sorted((r.record_id, r.size, len(r.uri or ""), bytes(r.payload) == b"p" * r.size) for r in got) == [
+        ("<r1>", len(first) - len(record(1, 1000)) + 1000, 0, True)] * 2 + [("<r2>", 7, uri, True), ("<r3>", 900, 0, True), ("<r4>", 20_000, 0, True)]
+
+
 # -- nearest neighbours --------------------------------------------------------
 
 def test_nearest_matches_brute_force(spark):

@@ -158,12 +158,16 @@ def _scan(prefix: int, payloads: bool):
 
 
 def _complete_headers(batches):
-    """Cut candidates with the bytes after their block: full rows of those that are records after all."""
+    """Cut candidates with the bytes after their block: full rows of those that are records after all, and rows
+    of kind ``open``, with the size of those bytes, of those whose header goes on after them."""
     for b in batches:
         rows = []
         for r in b.to_pylist():
-            head = _header((r["body"] or b"") + (r["ahead"] or b""), 0)
-            if head:
+            ahead = r["ahead"] or b""
+            head = _header((r["body"] or b"") + ahead, 0)
+            if head == ():
+                rows.append({k: r[k] for k in ("file", "block", "at")} | {"kind": "open", "size": len(ahead)})
+            elif head:
                 fields, begin, end = head
                 rows.append({k: r[k] for k in ("file", "block", "at")}
                             | {"kind": "record", "next": r["at"] + end, "jump": r["at"] + end, "payload_at": r["at"] + begin,
@@ -207,36 +211,44 @@ def _walk(keys, rows):
     return pd.DataFrame({"file": keys[0], "at": sorted(keep)}).astype({"at": "int64"})
 
 
-def read_warc(spark: SparkSession, path: str, payloads: bool = True, prefix: int = PREFIX) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payloads: bool = True, prefix: int = PREFIX, reach: int = 4) -> DataFrame:
     """Records of all archives under ``path``: file, offset, type, record_id, uri, digest, refers_to (as in
     the header), size, sha256 (of the stored payload) and, if asked for, payload (binary).
 
     A record that its file cuts short is left out, as is all that no chain from the file's start
     reaches. A folder without records gives none.
+
+    What a block end cuts is completed from the first ``prefix`` bytes of the ``reach`` blocks that follow.
+    Where the header of a record goes on after these, all is read again with four times of both.
     """
     cut = [c for c, _ in _COLUMNS]
     rows = stage(_lines(spark, path).mapInArrow(_scan(prefix, payloads), _SPARK), "warc-candidates")
     in_file = Window.partitionBy("file").orderBy("block")
     blocks = rows.where("kind = 'block'").select("file", "block", "size", "body")
     base = (blocks.withColumn("base", F.sum("size").over(in_file) - F.col("size"))
-            .withColumn("ahead", F.array_join(F.transform(F.collect_list("body").over(in_file.rowsBetween(1, 4)), F.hex), ""))
+            .withColumn("ahead", F.array_join(F.transform(F.collect_list("body").over(in_file.rowsBetween(1, reach)), F.hex), ""))
             .select("file", "block", "base", "size", F.unhex(F.substring("ahead", 1, 2 * prefix)).alias("ahead")))
     base = stage(base, "warc-blocks")
-    late = (rows.where("kind = 'cut'").join(base.select("file", "block", "ahead"), ["file", "block"])
-            .mapInArrow(_complete_headers, _SPARK))
+    late = stage(rows.where("kind = 'cut'").join(base.select("file", "block", "ahead"), ["file", "block"])
+                 .mapInArrow(_complete_headers, _SPARK), "warc-late")
     place = base.select("file", "block", "base", F.col("size").alias("block_size"))
-    found = rows.where("kind = 'record'").unionByName(late).select(*cut).join(place, ["file", "block"])
+    found = rows.where("kind = 'record'").unionByName(late.where("kind = 'record'")).select(*cut).join(place, ["file", "block"])
     found = stage(found.withColumns({c: F.col(c) + F.col("base") for c in ("at", "next", "jump", "payload_at")}), "warc-found")
     # each block is left by at most two jumps: to its last, cut candidate and on
     most = blocks.groupBy("file").count().agg(F.max("count")).first()[0] or 0
-    cut_at = rows.where("kind = 'cut'").join(place, ["file", "block"]).select("file", F.expr("at + base").alias("at"))
     entered = reachable(found.select("file", "at", "jump"), math.ceil(math.log2(2 * most + 1))) if most else \
         found.select("file", "at").limit(0)
+    total = base.groupBy("file").agg(F.sum("size").alias("total"))
+    still = late.where("kind = 'open'")
+    if not still.isEmpty():  # what looks like a header inside a payload is on no chain, one at the file's end is cut for good
+        still = (still.join(place, ["file", "block"]).select("file", F.expr("at + base").alias("at"), F.expr("base + block_size + size").alias("seen"))
+                 .join(entered, ["file", "at"]).join(total, "file").where("seen < total"))
+        if not still.isEmpty():
+            return read_warc(spark, path, payloads, 4 * prefix, 4 * reach)
     marked = (found.select("file", "block", "at", "next")
               .join(entered.withColumn("entry", F.lit(True)), ["file", "at"], "left").fillna(False, ["entry"]))
     true = marked.groupBy("file", "block").applyInPandas(_walk, "file string, at long")
     records = found.join(true, ["file", "at"])
-    total = base.groupBy("file").agg(F.sum("size").alias("total"))
     records = records.join(total, "file").where("next <= total")
     return _payloads(spark, path, records, base, payloads)
 
