@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import brown, kmtree, licenses, minhash, mixing, packing, quality, secrets, sharding, warc
+from tidemark.llm import brown, kmtree, licenses, minhash, mixing, packing, quality, secrets, sharding, simhash, warc
 
 def pipeline(spark, sf_dir: str):
     import corpus_pipeline
@@ -22,6 +22,7 @@ QUERIES = {
     "op8_quality_ledger": quality.op8,
     "op9_raked_mixture": mixing.op9,
     "op10_brown_classes": brown.op10,
+    "op12_simhash_anchors": simhash.op12,
 }
 
 ORACLE: dict[str, str] = {
