@@ -25,7 +25,7 @@ def test_stages_in_order_and_columns(steps):
     assert [n for n, _ in cp.STAGES] == ["quality_rules", "near_dedup", "secret_scan", "mixing", "packing"]
     for df in steps[1:5]:
         assert df.columns == cp.COLUMNS
-    assert set(catalog.QUERIES) >= {"pipeline"} and sum(n.startswith("op") for n in catalog.QUERIES) == 10
+    assert set(catalog.QUERIES) >= {"pipeline"} and sum(n.startswith("op") for n in catalog.QUERIES) == 13
 
 
 def test_quality_stage_drops_only_rejected(steps):

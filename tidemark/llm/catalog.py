@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import brown, kmtree, licenses, minhash, mixing, packing, quality, secrets, sharding, simhash, warc
+from tidemark.llm import align, brown, kmtree, licenses, maxscore, minhash, mixing, packing, quality, secrets, sharding, simhash, warc
 
 def pipeline(spark, sf_dir: str):
     import corpus_pipeline
@@ -22,10 +22,13 @@ QUERIES = {
     "op8_quality_ledger": quality.op8,
     "op9_raked_mixture": mixing.op9,
     "op10_brown_classes": brown.op10,
+    "op11_pair_alignment": align.op11,
     "op12_simhash_anchors": simhash.op12,
+    "op13_pair_maxscore": maxscore.op13,
 }
 
 ORACLE: dict[str, str] = {
     "op2_warc_chain": warc.ORACLE,
     "op8_quality_ledger": quality.ORACLE,
+    "op13_pair_maxscore": maxscore.ORACLE,
 }
