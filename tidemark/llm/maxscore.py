@@ -15,7 +15,8 @@ the blocks:
   cannot lift them, and only then looked up in the lists that were not opened.
 
 Skipping never changes the result: a document that equals the k-th score is still looked at. Scores are
-64-bit integers. A first pass over a few blocks gives every query a score to start from.
+64-bit integers. A first pass over a few blocks gives every query a score to
+start from.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ TOP = 20
 BLOCK_DOCS, BLOCK_TERMS = 4_096, 3_000_000
 #: Queries and query terms that go through the index together.
 QUERY_BLOCK, QUERY_TERMS = 2_000, 400_000
-#: Blocks that are searched first for a score to start from.
-FIRST = 8
+#: Files of the lists (each has a task's blocks) that are searched first for a score to start from.
+FIRST = 2
 #: Every ASCII byte but letters and digits parts terms; A-Z are lower-cased.
 PARTS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
 
@@ -317,7 +318,8 @@ def search(index: Index, queries: DataFrame, k: int = TOP) -> DataFrame:
             return (rows.mapInArrow(_search(plan, pairs, k, floors), "query int, doc_id long, score long")
                     .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
 
-        start = best(lists.limit(FIRST), {}).where(F.col("rank") == k).select("query", "score").collect()  # at most a row per query
+        first = lists.sparkSession.read.schema(LISTS).parquet(*lists.inputFiles()[:FIRST])
+        start = best(first, {}).where(F.col("rank") == k).select("query", "score").collect()  # at most a row per query
         found = stage(best(lists, {r["query"]: r["score"] for r in start}), "search-found")
         names = queries.sparkSession.createDataFrame([(q, i) for q, (i, _) in enumerate(block)], "query int, item_id long")
         out.append(found.join(names, "query").select("item_id", "rank", "doc_id", "score"))
