@@ -91,9 +91,10 @@ def test_perfect_hash_is_minimal_and_verified():
     assert (align.Hash([], [], [], []).numbers(keys) == -1).all()
 
 
-def test_groups_end_where_both_end():
-    assert align.groups_of([1, 2, 3], [4, 5], {1: 2, 2: 1, 3: 3}, {4: 3, 5: 3}) == [([1, 2], [4]), ([3], [5])]
-    assert align.groups_of([], [], {}, {}) == []
+def test_groups_of_very_many_links_give_each_pair_once(docs_of, whole_text, monkeypatch):
+    monkeypatch.setattr(align, "LISTED", 2)
+    rows = [*HARD, (30, "Übermäßig naïve 世界世界 foo/bar"), (31, "😀😁" * 20 + " x")]
+    assert Counter(tuple(r) for r in align.align(docs_of(rows)).collect()) == brute_alignment(rows, whole_text)
 
 
 # -- SimHash ------------------------------------------------------------------------------------------

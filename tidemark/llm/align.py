@@ -16,8 +16,9 @@ Hash and counts go to the tasks in slices of a bounded number of pairs. One slic
 millions of distinct pairs; beyond that the second pass is repeated per slice and the results are
 added up, so that the answer is whole at every size. At most |A| x |B| pairs exist.
 
-Both tokenizers always cut before a blank that stands between two characters other than white space,
-so a text is aligned by the stretches between such blanks, which are remembered by the worker.
+Texts are aligned by whole arrays: byte offsets of the token ends, those that both have, groups by
+running counts. No piece of tokenizer B has a blank after another character, so B always cuts before a
+single blank, and its ids of the stretches between single blanks are remembered by the worker.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections import Counter
+from array import array
 from functools import reduce
 from typing import NamedTuple
 
@@ -47,10 +48,10 @@ SLICE_KEYS = 4_000_000
 HELD_KEYS = 2_000_000
 #: Bits per key of a hash level.
 GAMMA = 2
-#: Stretches and characters of their groups that a worker remembers; characters of text aligned at once.
-KEEP_UNITS, KEEP_CHARS, CHUNK_CHARS = 300_000, 48_000_000, 2_000_000
+#: Stretches that a worker remembers; characters of text aligned at once; links of a group that are listed one by one.
+KEEP_UNITS, CHUNK_CHARS, LISTED = 600_000, 1_000_000, 4_096
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_CUT = re.compile(r"(?<=[^ ]) (?=[^ ])")
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,10 +61,11 @@ def vocabularies() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-class Tokenizers:
-    """Ids and byte lengths of both tokenizers for stretches of text that begin with a blank."""
+class Tokenizers(dict):
+    """Both tokenizers; stretch -> B's ids as 32-bit bytes, remembered; None where B's bytes are not those of the text."""
 
     def __init__(self, path_a: str, path_b: str):
+        super().__init__()
         import sentencepiece
         import tiktoken
 
@@ -72,50 +74,106 @@ class Tokenizers:
         byte_of = _byte_of()
         ranks = {bytes(map(byte_of.__getitem__, k)): v for k, v in vocab.items() if k != SPECIAL}
         self.a = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self.bytes_a = {v: len(k) for k, v in ranks.items()}
+        self.size_a = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.size_a[list(ranks.values())] = [len(k) for k in ranks]
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_b = [self.piece_bytes(i) for i in range(self.b.get_piece_size())]
+        self.size_b = np.array([len(x) for x in self.bytes_b])
+        if any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(len(self.bytes_b))):
+            raise ValueError(f"{path_b}: a piece goes on after a blank, texts cannot be cut before blanks")
+        # an id with what follows it in the digest's text
+        self.spelled = [f"{i}{mark}" for i in range(max(len(self.size_a), len(self.size_b))) for mark in (",", "|", ";", "")]
 
     def piece_bytes(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, units: list[str]):
-        """(A ids, B ids, whether B's bytes are those of the text) of each unit, given without its first blank."""
-        for unit, b in zip(units, self.b.encode(units, num_threads=1), strict=True):
-            yield self.a.encode_ordinary(" " + unit), b, b"".join([self.bytes_b[i] for i in b]) == (" " + unit).encode()
-
-
-def groups_of(a: list[int], b: list[int], len_a, len_b) -> list[tuple[list[int], list[int]]]:
-    """Ids between the byte offsets where tokens of both end."""
-    out, i, j, x, y, i0, j0 = [], 0, 0, 0, 0, 0, 0
-    while i < len(a) or j < len(b):
-        if x <= y and i < len(a):
-            x += len_a[a[i]]
-            i += 1
-        else:
-            y += len_b[b[j]]
-            j += 1
-        if x == y:
-            out.append((a[i0:i], b[j0:j]))
-            i0, j0 = i, j
-    return out
+    def ids_b(self, texts: list[str]) -> list[bytes | None]:
+        """B's ids of each text, None where its bytes are not those of a blank and the text."""
+        if len(self) > KEEP_UNITS:
+            self.clear()
+        cut = [_CUT.split(t) if "  " in t or t[0] == " " or t[-1] == " " else t.split(" ") for t in texts]
+        new = list(set().union(*cut).difference(self))
+        for unit, ids in zip(new, self.b.encode(new, num_threads=1), strict=True):
+            same = b"".join(map(self.bytes_b.__getitem__, ids)) == b" " + unit.encode()
+            self[unit] = array("i", ids).tobytes() if same else None
+        out = []
+        for units in cut:
+            found = list(map(self.__getitem__, units))
+            out.append(None if None in found else b"".join(found))
+        return out
 
 
-def linked(groups) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct linked pairs (A id * 2**32 + B id) and how many links each has."""
-    times: dict[int, int] = {}
-    for a, b in groups:
-        if len(a) == 1 and len(b) == 1:
-            key = a[0] << 32 | b[0]
-            times[key] = times.get(key, 0) + 1
-        else:
-            in_b = Counter(b)
-            for x, n in Counter(a).items():
-                for y, m in in_b.items():
-                    key = x << 32 | y
-                    times[key] = times.get(key, 0) + n * m
-    return np.fromiter(times, np.int64, len(times)), np.fromiter(times.values(), np.int64, len(times))
+class Aligned(NamedTuple):
+    """Aligned texts: one entry per text, token and group; tokens and groups in the order of the texts."""
+
+    on: np.ndarray  # which texts have tokens; the others stand in none of the arrays below
+    ids: tuple[np.ndarray, np.ndarray]
+    group: tuple[np.ndarray, np.ndarray]
+    text_of: np.ndarray  # text (among those with tokens) of each group
+    sizes: tuple[np.ndarray, np.ndarray]  # tokens of each group
+
+    def links(self):
+        """Runs of (group, pair, times) of every link; a group of very many links gives each distinct pair once."""
+        size_a, size_b = self.sizes
+        few = size_a * size_b <= LISTED
+        a = np.flatnonzero(few[self.group[0]])
+        group = self.group[0][a]
+        n = size_b[group]
+        first = np.cumsum(size_b) - size_b
+        b = np.repeat(first[group] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        yield np.repeat(group, n), np.repeat(self.ids[0][a], n) << 32 | self.ids[1][b], 1
+        for g in np.flatnonzero(~few):
+            (x, nx), (y, ny) = (np.unique(self.ids[k][self.group[k] == g], return_counts=True) for k in (0, 1))
+            for lo in range(0, len(x), 64):
+                yield (np.full(len(x[lo:lo + 64]) * len(y), g), (x[lo:lo + 64, None] << 32 | y[None, :]).ravel(),
+                       (nx[lo:lo + 64, None] * ny[None, :]).ravel())
+
+
+def align_texts(tokenizers: Tokenizers, texts: list[str | None]) -> Aligned:
+    on = np.array([bool(t) for t in texts], bool)
+    b = tokenizers.ids_b([t for t in texts if t])
+    on[on] = [x is not None for x in b]
+    a = [np.array(tokenizers.a.encode_ordinary(" " + t)) for t, keep in zip(texts, on, strict=True) if keep]
+    b = [np.frombuffer(x, np.int32) for x in b if x is not None]
+    none = np.zeros(0, np.int64)
+    ids = tuple(np.concatenate([none, *x]).astype(np.int64) for x in (a, b))
+    ends = np.cumsum(tokenizers.size_a[ids[0]]), np.cumsum(tokenizers.size_b[ids[1]])
+    at = np.searchsorted(ends[1], ends[0])  # in every text the last tokens of both end together
+    cut = [ends[1][at] == ends[0], np.zeros(len(ids[1]), bool)]
+    cut[1][at[cut[0]]] = True
+    group = tuple(np.cumsum(c) - c for c in cut)
+    n = int(cut[0].sum())
+    text_a = np.repeat(np.arange(len(a)), [len(x) for x in a])
+    return Aligned(on, ids, group, text_a[cut[0]], tuple(np.bincount(g, minlength=n) for g in group))
+
+
+def spell(tokenizers: Tokenizers, x: Aligned) -> list[str]:
+    """a1,a2|b1;a3|b2,b3 of each text with tokens."""
+    size_a, size_b = x.sizes
+    last = np.append(x.text_of[1:] != x.text_of[:-1], True) if len(x.text_of) else np.zeros(0, bool)
+    codes = np.empty(len(x.ids[0]) + len(x.ids[1]), np.int64)
+    begin = np.cumsum(size_a + size_b) - size_a - size_b
+    for ids, group, size, shift, end in ((x.ids[0], x.group[0], size_a, 0, np.ones(len(last), np.int64)),
+                                         (x.ids[1], x.group[1], size_b, size_a, 2 + last)):
+        place = np.arange(len(ids)) - (np.cumsum(size) - size)[group]
+        mark = np.where(place == size[group] - 1, end[group], 0)
+        codes[(begin + shift)[group] + place] = 4 * ids + mark
+    cut = np.searchsorted(x.text_of, np.arange(int(x.on.sum()) + 1))
+    cut = np.append(begin, len(codes))[cut].tolist()
+    codes = codes.tolist()
+    return ["".join(map(tokenizers.spelled.__getitem__, codes[i:j])) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def runs(texts: list) -> list[tuple[int, int]]:
+    """(from, to) of runs of texts of bounded size."""
+    out, lo, chars = [], 0, 0
+    for i, t in enumerate(texts):
+        if i > lo and chars + len(t or "") > CHUNK_CHARS:
+            out.append((lo, i))
+            lo, chars = i, 0
+        chars += len(t or "")
+    return [*out, (lo, len(texts))] if texts else out
 
 
 def sums(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -127,72 +185,6 @@ def sums(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-class Units(dict):
-    """stretch -> its number; what is known of each number stands in arrays."""
-
-    def __init__(self, tokenizers: Tokenizers, table: Table | None = None):
-        super().__init__()
-        self.tokenizers, self.table = tokenizers, table
-        self.size_b = [len(x) for x in tokenizers.bytes_b]
-        self.reset()
-
-    def reset(self):
-        self.clear()
-        self.new, self.texts, self.chars = [], [], 0
-        self.facts = np.zeros((0, 7), np.int64)  # n_a, n_b, groups, links, B's bytes differ, best, count
-        self.keys, self.cut = np.zeros(0, np.int64), np.zeros(1, np.int64)
-
-    def __missing__(self, unit: str) -> int:
-        n = self[unit] = len(self)
-        self.new.append(unit)
-        return n
-
-    def learn(self):
-        """Align the stretches that came up since the last call."""
-        if not self.new:
-            return
-        facts, keys, times = [], [], []
-        for a, b, same in self.tokenizers.encode(self.new):
-            groups = groups_of(a, b, self.tokenizers.bytes_a, self.size_b) if same else []
-            k, n = linked(groups)
-            text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-            self.texts.append(text)
-            self.chars += len(text)
-            facts.append((len(a), len(b), len(groups), n.sum(), not same, 0, 0))
-            keys.append(k)
-            times.append(n)
-        self.new = []
-        facts, size = np.array(facts, np.int64), np.array([len(k) for k in keys])
-        keys, times = np.concatenate(keys), np.concatenate(times)
-        if self.table is not None and len(keys):
-            count = self.table.counts_of(keys)
-            facts[:, 5] = sums(times * self.table.is_best(keys, count), size)
-            facts[:, 6] = sums(times * count, size)
-        self.facts = np.concatenate([self.facts, facts])
-        self.keys = np.concatenate([self.keys, keys])
-        self.cut = np.concatenate([self.cut, self.cut[-1] + np.cumsum(size)])
-
-    def chunks(self, texts: list):
-        """Runs of texts of bounded size: (texts, text of each stretch, number of each stretch, texts without tokens)."""
-        lo = 0
-        while lo < len(texts):
-            hi, chars = lo, 0
-            while hi < len(texts) and (hi == lo or chars + len(texts[hi] or "") <= CHUNK_CHARS):
-                chars += len(texts[hi] or "")
-                hi += 1
-            if len(self) > KEEP_UNITS or self.chars > KEEP_CHARS:
-                self.reset()
-            parts = [_CUT.split(t) if t else [] for t in texts[lo:hi]]
-            at = np.fromiter((self[u] for p in parts for u in p), np.int64, sum(map(len, parts)))
-            self.learn()
-            size = np.array([len(p) for p in parts])
-            doc = np.repeat(np.arange(hi - lo), size)
-            bad = np.zeros(hi - lo, bool)
-            bad[doc[self.facts[at, 4] > 0]] = True
-            yield hi - lo, doc, at, bad | (size == 0)
-            lo = hi
-
-
 # -- distinct pairs and their partial counts -------------------------------------------------------------
 
 
@@ -224,26 +216,29 @@ def _partial(path_a: str, path_b: str):
 
     def run(batches):
         tokenizers = worker_cache("tokenizers", (path_a, path_b), lambda: Tokenizers(path_a, path_b))
-        units, keys, counts, held = Units(tokenizers), [], [], 0
+        keys, counts, held = [], [], 0
         for b in batches:
-            for _, doc, at, bad in units.chunks(b.column(0).to_pylist()):
-                on = ~bad[doc]
-                pair = np.unique(doc[on] * len(units) + at[on])  # a stretch once a document
-                doc_, unit = pair // len(units), pair % len(units)
-                size = units.cut[unit + 1] - units.cut[unit]
-                flat = units.keys[np.repeat(units.cut[unit] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-                u, number = np.unique(flat, return_inverse=True)
-                once = np.unique(np.repeat(doc_, size) * max(len(u), 1) + number)
-                keys.append(u)
-                counts.append(np.bincount(once % max(len(u), 1), minlength=len(u)))
-                held += len(u)
+            texts = b.column(0).to_pylist()
+            for lo, hi in runs(texts):
+                x = align_texts(tokenizers, texts[lo:hi])
+                found = list(x.links())
+                text, pair = (np.concatenate(v) for v in zip(*((x.text_of[g], k) for g, k, _ in found), strict=True))
+                if len(found) > 1:
+                    order = np.argsort(text, kind="stable")
+                    text, pair = text[order], pair[order]
+                cut = np.searchsorted(text, np.arange(int(x.on.sum()) + 1))
+                once = np.concatenate([np.zeros(0, np.int64), *(np.unique(pair[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True))])
+                k, n = np.unique(once, return_counts=True)
+                keys.append(k)
+                counts.append(n)
+                held += len(k)
                 if held > HELD_KEYS:
-                    keys, counts = ([x] for x in add_up(keys, counts))
+                    keys, counts = ([v] for v in add_up(keys, counts))
                     held = len(keys[0])
                     if held > HELD_KEYS // 2:
                         yield rows(keys, counts)
                         keys, counts, held = [], [], 0
-        if keys:
+        if held:
             yield rows(keys, counts)
 
     return run
@@ -383,20 +378,26 @@ def _look_up(path_a: str, path_b: str, shipped):
     def run(batches):
         tokenizers = worker_cache("tokenizers", (path_a, path_b), lambda: Tokenizers(path_a, path_b))
         parts, sizes, words, keys, counts, best = shipped.value
-        units = Units(tokenizers, Table(Hash(parts, sizes, words, keys), counts, best))
-        for b in batches:
-            done = 0
-            for n, doc, at, bad in units.chunks(b.column(1).to_pylist()):
-                cut = np.searchsorted(doc, np.arange(n + 1))
-                totals = sums(units.facts[at], np.diff(cut))
-                totals[bad] = 0
-                at = at.tolist()
-                sha = ["" if bad[i] else hashlib.sha256(";".join(map(units.texts.__getitem__, at[cut[i]:cut[i + 1]])).encode()).hexdigest()
-                       for i in range(n)]
+        table = Table(Hash(parts, sizes, words, keys), counts, best)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for lo, hi in runs(texts):
+                x = align_texts(tokenizers, texts[lo:hi])
+                per_group = np.zeros((len(x.text_of), 6), np.int64)  # n_a, n_b, groups, links, best, count
+                for k, v in enumerate((*x.sizes, 1, x.sizes[0] * x.sizes[1])):
+                    per_group[:, k] = v
+                for group, pair, times in x.links():
+                    count = table.counts_of(pair)
+                    if len(group):
+                        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+                        per_group[group[first], 4] += np.add.reduceat(times * table.is_best(pair, count), first)
+                        per_group[group[first], 5] += np.add.reduceat(times * count, first)
+                totals, sha = np.zeros((hi - lo, 6), np.int64), np.full(hi - lo, "", object)
+                totals[x.on] = sums(per_group, np.bincount(x.text_of, minlength=int(x.on.sum())))
+                sha[x.on] = [hashlib.sha256(t.encode()).hexdigest() for t in spell(tokenizers, x)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(done, n), *[pa.array(totals[:, k]) for k in (0, 1, 2, 3, 5, 6)], pa.array(sha, pa.string())],
+                    [batch.column(0).slice(lo, hi - lo), *[pa.array(totals[:, k]) for k in range(6)], pa.array(sha, pa.string())],
                     names=[c.split()[0] for c in RESULT.split(", ")])
-                done += n
 
     return run
 
