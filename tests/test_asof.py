@@ -96,3 +96,29 @@ def test_month_closes_take_a_null_close_alike_on_both_sides(spark):
                                  "ts_code string, trade_date string, close double").withColumn("trade_date", F.to_date("trade_date"))
     r = month_closes(bars, spark.createDataFrame([("A", "202402")], "ts_code string, month string")).first()
     assert r.first_close is None and r.last_close_1 is None and str(r.first_date) == "2024-02-05"
+
+
+@pytest.mark.parametrize("fwd", [True, False])
+def test_asof_hot_key_spreads_over_tasks(spark, fwd):
+    """A million requests of one key and month: no task gets them all, the answers are those of a bisection."""
+    import bisect
+
+    from pyspark.sql import functions as F
+
+    n = 1_000_000
+    left = spark.range(n).select(F.lit("HOT").alias("k"), F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("id"), F.lit(2_000_000))).alias("t"), "id")
+    left = left.unionByName(spark.range(200_000).select(F.lit("HOT").alias("k"), F.timestamp_seconds(F.lit(1_700_500_000)).alias("t"), (F.col("id") + n).alias("id")))
+    series = spark.range(400).select(F.lit("HOT").alias("k"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 4999).alias("rt"), F.col("id").cast("double").alias("v"))
+    got = asof_join(left, series, ["k"], "t", "rt", ["v"], direction="forward" if fwd else "backward")
+    times = [1_700_000_000 + i * 4999 for i in range(400)]
+    want = {}
+    asked = left.select(F.unix_timestamp("t").alias("s")).distinct().toPandas()["s"]
+    for s in asked:
+        at = bisect.bisect_left(times, s) if fwd else bisect.bisect_right(times, s) - 1
+        want[int(s)] = float(at) if 0 <= at < 400 else None
+    pdf = got.select(F.unix_timestamp("t").alias("s"), "v").toPandas()
+    assert len(pdf) == n + 200_000
+    assert all((None if v != v else v) == want[int(s)] for s, v in zip(pdf["s"], pdf["v"], strict=True))
+    parts = got.select("t").inputFiles()  # the staged merge: one file per range partition
+    sizes = [r["count"] for r in spark.read.parquet(*parts).groupBy("__part").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 0.5 * (n + 200_000)

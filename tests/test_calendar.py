@@ -109,3 +109,40 @@ def test_pretrade_date_is_previous_open_day(md):
         assert r["pretrade_date"] == last_open
         if r["is_open"]:
             last_open = r["cal_date"]
+
+
+def test_masks_match_brute_force_over_years_and_outside_the_calendar(spark):
+    import random
+
+    rng = random.Random(4)
+    days = [d("2019-11-20") + dt.timedelta(days=i) for i in range(900)]
+    cal = [(x, rng.random() < 0.7) for x in days if rng.random() < 0.9]  # closed days and days without a row
+    cal += [(x, True) for x, _ in cal[:5]]  # a second exchange
+    open_days = {x for x, is_open in cal if is_open}
+    series = [(k, x) for k in ("A", "B") for x in rng.sample(days, 120)]
+    series += [("A", series[0][1])] * 3 + [("before", d("2019-01-01")), ("before", d("2019-12-31")), ("after", d("2022-03-01")), ("after", d("2023-01-01")),
+               ("out", d("2001-01-01")), ("out", d("2001-02-01")), ("one", days[7]), ("null", None)]
+    s = spark.createDataFrame(series, S)
+    c = spark.createDataFrame([("X", x, o) for x, o in cal], CAL)
+    have = {}
+    for k, x in series:
+        have.setdefault(k, set()).update({x} - {None})
+    want = sorted([(k, x) for k, v in have.items() for x in open_days if v and min(v) <= x <= max(v) and x not in v], key=repr)
+    assert rows(C.missing_dates(s, "ts_code", "trade_date", c)) == want
+    rep = {r.ts_code: r for r in C.coverage_report(s, "ts_code", "trade_date", c).collect()}
+    for k, v in have.items():
+        expected = sum(min(v) <= x <= max(v) for x in open_days) if v else 0
+        assert (rep[k].actual, rep[k].expected or 0) == (len(v), expected), k
+    # a calendar without open days expects nothing
+    none = C.coverage_report(s, "ts_code", "trade_date", c.where("false")).where("ts_code = 'A'").first()
+    assert none.expected == 0 and none.coverage_pct == 0.0 and C.missing_dates(s, "ts_code", "trade_date", c.where("false")).count() == 0
+
+
+def test_coverage_needs_no_join_and_no_single_task_window(md):
+    from tidemark.plans.coverage import coverage_report, missing_bars
+
+    for q, shuffles in ((coverage_report, 2), (missing_bars, 2)):
+        text = q(md)._jdf.queryExecution().optimizedPlan().toString()
+        plan = q(md)._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+        assert "Join" not in text.split("scalar-subquery")[0] and "windowspecdefinition(trade" not in text
+        assert "partial_bit_or" in plan and "Expand" not in plan

@@ -4,18 +4,19 @@ Two forms:
 
 ``asof_join``
     General forward / backward as-of between a request table and a time
-    series keyed the same way. Spark has no as-of join, and a plain
-    ``union + window partitioned by key`` would put a whole key's history into
-    one task. We bucket time instead:
+    series keyed the same way: a merge on range partitions. Spark has no as-of
+    join, and a plain ``union + window partitioned by key`` would put a whole
+    key's history into one task.
 
-    1. in-bucket match: requests and series rows are unioned and scanned with a
-       running window partitioned by ``(key, bucket)``;
-    2. cross-bucket fallback: one summary row per ``(key, bucket)`` (a partial
-       aggregate, skew-safe) plus the requested buckets, scanned with a running
-       window partitioned by ``key`` whose size is bounded by the number of
-       buckets on the calendar, not by the data volume.
+    1. requests and series rows are unioned and range-partitioned on
+       ``(key, time)``; a key with many rows spreads over as many partitions as
+       its rows need, even requests of one key and instant do;
+    2. each partition is scanned with a running window per key;
+    3. what a partition's neighbours hold is carried over its boundary: the first
+       (last) series row of every (partition, key), one partial aggregate, filled
+       over the partitions of the key.
 
-    The result is ``coalesce(in-bucket, fallback)``.
+    The result is ``coalesce(within the partition, carried)``.
 
 ``month_closes``
     The special case used by every recommendation query: the first close on or
@@ -29,25 +30,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import month_start
-
-
-def _bucket_index(c: Column, bucket: str) -> Column:
-    if bucket == "month":
-        return F.year(c) * 12 + F.month(c)
-    if bucket == "year":
-        return F.year(c)
-    if bucket == "day":
-        return F.unix_date(c.cast("date"))
-    raise ValueError(f"unknown bucket {bucket!r}")
+from tidemark.session import staged
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str,
               values: Sequence[str], direction: str = "forward", inclusive: bool = True,
-              bucket: str = "month", prefix: str = "") -> DataFrame:
+              prefix: str = "") -> DataFrame:
     """Attach to each ``left`` row the matching ``right`` row's time and values.
 
     forward:  first right row with ``right_time >= left_time`` (``>`` if not inclusive)
@@ -74,49 +66,35 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
     req_first = (fwd and inclusive) or (not fwd and not inclusive)
     req_tag, row_tag = (0, 1) if req_first else (1, 0)
 
-    lt = F.col(left_time)
-    req = left.select(*[F.col(c) for c in lcols],
-                      F.lit(True).alias("__rid"))
-    req = req.select("*", *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-                     lt.alias("__t"), _bucket_index(lt, bucket).alias("__b"), F.lit(req_tag).alias("__tag"),
-                     F.lit(None).cast("struct<" + ",".join(
-                         f"`{f}`:{right.schema[f].dataType.simpleString()}" for f in payload_fields) + ">")
-                     .alias("__p"))
-    rt = F.col(right_time)
-    rows = right.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-                        rt.alias("__t"), _bucket_index(rt, bucket).alias("__b"), F.lit(row_tag).alias("__tag"),
-                        F.struct(*[F.col(f) for f in payload_fields]).alias("__p"))
     kcols = [f"__k{i}" for i in range(len(keys))]
-
-    # 1. in-bucket scan
-    unioned = req.unionByName(rows, allowMissingColumns=True)
-    w = Window.partitionBy(*kcols, "__b").orderBy("__t", "__tag", "__p")
-    if fwd:
-        frame = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        found = F.first("__p", ignorenulls=True).over(frame)
-    else:
-        frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        found = F.last("__p", ignorenulls=True).over(frame)
-    in_bucket = (unioned.select("*", found.alias("__m"))
-                 .where(F.col("__rid").isNotNull()))
-
-    # 2. cross-bucket fallback on bucket summaries: the first (last) row of every (key, bucket)
-    pick = F.min_by if fwd else F.max_by
     payload = F.struct(*[F.col(f) for f in payload_fields])
-    summary = (right.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-                            _bucket_index(rt, bucket).alias("__b"), rt.alias("__t"), payload.alias("__p"))
-               .groupBy(*kcols, "__b").agg(pick("__p", F.struct("__t", "__p")).alias("__p")))
-    wanted = req.select(*kcols, "__b").distinct().withColumn("__p", F.lit(None).cast(summary.schema["__p"].dataType))
-    wb = Window.partitionBy(*kcols).orderBy("__b")
-    if fwd:
-        fb = F.first("__p", ignorenulls=True).over(wb.rangeBetween(1, Window.unboundedFollowing))
-    else:
-        fb = F.last("__p", ignorenulls=True).over(wb.rangeBetween(Window.unboundedPreceding, -1))
-    fallback = (summary.withColumn("__w", F.lit(False)).unionByName(wanted.withColumn("__w", F.lit(True)))
-                .select(*kcols, "__b", "__w", fb.alias("__f"))
-                .where("__w").drop("__w"))
-
-    joined = in_bucket.join(fallback, [*kcols, "__b"], "left")
+    req = left.select(*[F.col(c) for c in lcols], F.lit(True).alias("__rid"), *[F.col(k).alias(n) for k, n in zip(keys, kcols, strict=True)],
+                      F.col(left_time).alias("__t"), F.lit(req_tag).alias("__tag"),
+                      F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType).alias("__p"))
+    rows = right.select(*[F.col(k).alias(n) for k, n in zip(keys, kcols, strict=True)], F.col(right_time).alias("__t"),
+                        F.lit(row_tag).alias("__tag"), payload.alias("__p"))
+    # the order of the partitions is that of the scan; the last column parts requests of one key and instant
+    order = [*kcols, "__t", "__tag", "__p"]
+    merged = (req.unionByName(rows, allowMissingColumns=True)
+              .withColumn("__salt", F.when(F.col("__rid"), F.xxhash64(F.monotonically_increasing_id())))
+              .repartitionByRange(*order, "__salt").withColumn("__part", F.spark_partition_id()).drop("__salt"))
+    merged = staged(merged, "asof")  # partition numbers are what was written, whatever is computed again later
+
+    # a running frame in the direction of the search: what was seen last is the nearest match
+    turn = (lambda c: F.col(c).desc()) if fwd else F.col
+    w = Window.partitionBy("__part", *kcols).orderBy(*[turn(c) for c in ("__t", "__tag", "__p")])
+    found = F.last("__p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    within = merged.select("*", found.alias("__m")).where(F.col("__rid").isNotNull())
+
+    # one row per (partition, key): what it holds for its neighbours, and whether it asks
+    pick = F.min if fwd else F.max
+    edge = merged.groupBy("__part", *kcols).agg(pick("__p").alias("__edge"), F.max("__rid").alias("__asks"))
+    wp = Window.partitionBy(*kcols).orderBy(turn("__part"))
+    carried = F.last("__edge", ignorenulls=True).over(wp.rowsBetween(Window.unboundedPreceding, -1))
+    carry = edge.select("__part", *[F.col(k).alias(f"{k}c") for k in kcols], carried.alias("__f"), "__asks").where("__asks AND __f IS NOT NULL")
+    carry = carry.withColumnRenamed("__part", "__partc").drop("__asks")
+    on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"{k}c") for k in kcols], F.col("__part") == F.col("__partc"))
+    joined = within.join(carry, on, "left")
     match = F.when(valid, F.coalesce(F.col("__m"), F.col("__f")))
     return joined.select(*[F.col(c) for c in lcols],
                          *[match[f].alias(f"{prefix}{f}") for f in payload_fields])

@@ -15,38 +15,11 @@ from pyspark.sql import functions as F
 PRICE_COLS = ("open", "high", "low", "close")
 
 
-def _micros(c: str):
-    """Value in exact integer millionths (prices and volumes are non-negative)."""
-    return (F.col(c).cast("decimal(20,6)") * F.lit(1000000)).cast("bigint")
-
-
-def with_running_sums(df: DataFrame, cols: Sequence[str], w) -> DataFrame:
-    """Add ``__cum_<c>`` (running sum in exact integer millionths) and ``__rn``.
-
-    A moving sum over ``n`` rows is then ``cum - lag(cum, n)``: one incremental
-    running sum per column instead of re-adding ``n`` values on every row, and
-    integer arithmetic makes it independent of evaluation order.
-    """
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.select("*", F.row_number().over(w).alias("__rn"),
-                     *[F.sum(_micros(c)).over(run).alias(f"__cum_{c}") for c in cols])
-
-
-def moving_sum_micros(c: str, w, n: int):
-    """Sum of the last ``n`` values of ``c`` in millionths (needs ``with_running_sums``);
-    NULL until ``n`` rows exist."""
-    cum = F.col(f"__cum_{c}")
-    return F.when(F.col("__rn") >= n, cum - F.coalesce(F.lag(cum, n).over(w), F.lit(0)))
-
-
 def moving_mean(c: str, w, n: int):
-    return moving_sum_micros(c, w, n).cast("double") / F.lit(n * 1e6)
-
-
-def moving_mean_rounded(c: str, w, n: int, digits: int = 4):
-    """``round(mean of the last n values, digits)``, half up, on exact integers."""
-    unit = n * 10 ** (6 - digits)
-    return F.floor((moving_sum_micros(c, w, n) + F.lit(unit // 2)) / F.lit(unit)) / F.lit(float(10 ** digits))
+    """Mean of the last ``n`` values: their sum in date order divided by ``n``, in doubles, not rounded;
+    NULL until ``n`` values other than NULL stand in the frame."""
+    frame = w.rowsBetween(-(n - 1), Window.currentRow)
+    return F.when(F.count(c).over(frame) == n, F.avg(F.col(c).cast("double")).over(frame))
 
 
 def latest_factor(factors: DataFrame) -> DataFrame:
@@ -90,13 +63,10 @@ def kline_records(adjusted: DataFrame) -> DataFrame:
                            F.col("vol").alias("volume"), "amount")
 
 
-def moving_avg(bars: DataFrame, periods: Sequence[int] = (5, 10, 20, 60), price: str = "close",
-               digits: int = 4) -> DataFrame:
+def moving_avg(bars: DataFrame, periods: Sequence[int] = (5, 10, 20, 60), price: str = "close") -> DataFrame:
     """Simple moving averages; NULL until the window holds ``n`` bars."""
     w = Window.partitionBy("ts_code").orderBy("trade_date")
-    staged = with_running_sums(bars.select("ts_code", "trade_date", price), [price], w)
-    cols = [moving_mean_rounded(price, w, n, digits).alias(f"ma{n}") for n in periods]
-    return staged.select("ts_code", "trade_date", price, *cols)
+    return bars.select("ts_code", "trade_date", price, *[moving_mean(price, w, n).alias(f"ma{n}") for n in periods])
 
 
 def resample(bars: DataFrame, unit: str = "week") -> DataFrame:
@@ -128,10 +98,11 @@ def factor_table(bars: DataFrame, digits: int = 4) -> DataFrame:
     indicator table of the source is vendor-computed; this one only needs to be
     wide and deterministic, so projections of a column subset can be tested)."""
     w = Window.partitionBy("ts_code").orderBy("trade_date")
-    bars = with_running_sums(bars, ["close", "open", "high", "vol"], w)
+    means = [("close", 5), ("close", 10), ("close", 20), ("close", 60), ("open", 5), ("high", 5), ("vol", 5)]
+    bars = bars.select("*", *[moving_mean(c, w, n).alias(f"__ma_{c}_{n}") for c, n in means])
 
     def ma(c, n):
-        return moving_mean(c, w, n)
+        return F.col(f"__ma_{c}_{n}")
 
     def mn(c, n):
         return F.min(c).over(w.rowsBetween(-(n - 1), 0))

@@ -3,16 +3,14 @@
 The source application loops over symbols (three queries each) and compares
 Python sets. Here all symbols are handled by one plan:
 
-* coverage: expected open days in ``[min, max]`` of a symbol come from a
-  cumulative count over the calendar, so it is two equi-joins on a date
-  instead of a range join;
-* missing dates: each symbol's ``[min, max]`` is expanded with ``sequence``
-  (one row per calendar day, bounded by the calendar), semi-joined with the open
-  calendar and anti-joined with the dates present.
+* a symbol's dates are one bit mask per month, built by a partial ``bit_or``, so
+  repeated rows and a hot symbol cost nothing after the first aggregate;
+* the open days of the calendar are masks too, one array that is a scalar of the
+  plan (12 numbers a year); expected days come from its running count, missing
+  days from ``calendar AND NOT present``, without joining or expanding days.
 
 A calendar holds one row per day per exchange, so its size is bounded by the
-calendar span (about 3.6k rows per decade), not by the data: it is the one
-side that is broadcast.
+calendar span (about 3.6k rows per decade), not by the data.
 """
 
 from __future__ import annotations
@@ -41,17 +39,50 @@ def open_days(cal: DataFrame, exchange: str | None = None) -> DataFrame:
 
 def every_day_calendar(dates: DataFrame, col: str, exchange: str = "ALL") -> DataFrame:
     """Calendar with every day open between the min and max of ``dates[col]``."""
-    lo = dates.select(F.min(col)).scalar()
-    hi = dates.select(F.max(col)).scalar()
+    span = dates.select(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi")).alias("span")).scalar()
     one = dates.sparkSession.range(1).select(F.lit(exchange).alias("exchange"))
-    return one.select("exchange", F.explode(F.sequence(lo, hi)).alias("cal_date"),
+    return one.select("exchange", F.explode(F.sequence(span["lo"], span["hi"])).alias("cal_date"),
                       F.lit(True).alias("is_open"))
 
 
-def symbol_bounds(series: DataFrame, key: str, date_col: str) -> DataFrame:
-    """Per symbol: first date, last date, distinct dates present (partial aggregate)."""
-    return series.groupBy(key).agg(F.min(date_col).alias("min_date"), F.max(date_col).alias("max_date"),
-                                   F.count_distinct(date_col).alias("actual"))
+def _month_number(day):
+    return F.year(day) * 12 + F.month(day) - 1
+
+
+def _bit(day):
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.dayofmonth(day))
+
+
+def _up_to(day):
+    """Mask of the days of a month up to ``day``, itself included."""
+    return _bit(day) * 2 - 1
+
+
+def month_masks(dates: DataFrame, key: str | None, date_col: str) -> DataFrame:
+    """(key, month number, mask of days, first and last day, rows) by a partial aggregate."""
+    day = F.col(date_col).cast("date")
+    by = ([F.col(key)] if key else []) + [_month_number(day).alias("m")]
+    return dates.groupBy(*by).agg(F.bit_or(_bit(day)).alias("mask"), F.min(day).alias("lo"), F.max(day).alias("hi"), F.count("*").alias("rows"))
+
+
+def calendar_masks(calendar: DataFrame):
+    """Scalar of the plan: first month number of the open days, the mask of every month since, and the
+    number of open days before each; NULL for a calendar without open days."""
+    months = month_masks(calendar.where("is_open AND cal_date IS NOT NULL").select("cal_date"), None, "cal_date")
+    one = months.agg(F.min("m").alias("first"), F.max("m").alias("last"), F.map_from_entries(F.collect_list(F.struct("m", "mask"))).alias("by"))
+    one = one.where("first IS NOT NULL").select("first", F.transform(F.sequence("first", "last"), lambda m: F.coalesce(F.col("by")[m], F.lit(0).cast("bigint"))).alias("masks"))
+    start = F.array(F.lit(0).cast("bigint"))
+    before = F.aggregate("masks", start, lambda acc, mask: F.concat(acc, F.array(F.element_at(acc, -1) + F.bit_count(mask))))
+    return one.select(F.struct("first", "masks", before.alias("before")).alias("cal")).scalar()
+
+
+def _open_before(cal, day, include: bool):
+    """Open days before ``day`` (or up to it)."""
+    at = F.greatest(F.lit(0), F.least(_month_number(day) - cal["first"], F.size(cal["masks"])))
+    inside = (_month_number(day) >= cal["first"]) & (_month_number(day) < cal["first"] + F.size(cal["masks"]))
+    clip = _up_to(day) if include else _bit(day) - 1
+    part = F.when(inside, F.bit_count(F.get(cal["masks"], at).bitwiseAND(clip))).otherwise(0)
+    return F.get(cal["before"], at) + part
 
 
 def coverage_report(series: DataFrame, key: str, date_col: str, calendar: DataFrame | None = None,
@@ -62,26 +93,16 @@ def coverage_report(series: DataFrame, key: str, date_col: str, calendar: DataFr
     Without a calendar, expected = actual. Symbols listed in ``codes`` but absent
     from the series get a zero row.
     """
-    b = symbol_bounds(series, key, date_col)
+    b = month_masks(series, key, date_col).groupBy(key).agg(
+        F.min("lo").alias("min_date"), F.max("hi").alias("max_date"),
+        F.coalesce(F.sum(F.bit_count("mask")), F.lit(0)).cast("bigint").alias("actual"))
     if calendar is not None:
-        od = calendar.where("is_open").select(F.col("cal_date").alias("x")).distinct()
-        spine = (b.select(F.col("max_date").alias("x")).union(b.select(F.date_sub("min_date", 1).alias("x")))
-                 .distinct())
-        # open days <= x, for every boundary x: one running count over the open days
-        # merged with the boundaries. Both inputs are bounded by the calendar span
-        # (one row per day), so this single ordered window stays small at any scale.
-        u = od.select("x", F.lit(1).alias("__day")).unionByName(spine.select("x", F.lit(0).alias("__day")))
-        w = Window.orderBy("x", F.col("__day").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        counted = (u.select("x", "__day", F.sum("__day").over(w).alias("n"))
-                   .where(F.col("__day") == 0).drop("__day"))
-        hi = counted.select(F.col("x").alias("max_date"), F.col("n").alias("__hi"))
-        lo = counted.select(F.date_add("x", 1).alias("min_date"), F.col("n").alias("__lo"))
-        b = b.join(hi, "max_date", "left").join(lo, "min_date", "left")
-        expected = (F.col("__hi") - F.col("__lo")).cast("bigint")
+        cal = calendar_masks(calendar)
+        expected = F.when(F.col("min_date").isNotNull(), F.coalesce(
+            _open_before(cal, F.col("max_date"), True) - _open_before(cal, F.col("min_date"), False), F.lit(0)))
     else:
         expected = F.col("actual")
-    rep = b.select(key, "min_date", "max_date", F.col("actual").cast("bigint").alias("actual"),
-                   expected.alias("expected"))
+    rep = b.select(key, "min_date", "max_date", "actual", expected.cast("bigint").alias("expected"))
     rep = rep.select("*", F.greatest(F.col("expected") - F.col("actual"), F.lit(0)).cast("bigint").alias("missing"),
                      F.when(F.col("expected") > 0, F.round(F.col("actual") / F.col("expected") * 100.0, 2))
                      .otherwise(F.lit(0.0)).alias("coverage_pct"))
@@ -95,14 +116,25 @@ def coverage_report(series: DataFrame, key: str, date_col: str, calendar: DataFr
 
 def missing_dates(series: DataFrame, key: str, date_col: str, calendar: DataFrame) -> DataFrame:
     """(key, missing_date) for every open calendar day inside a symbol's own
-    [min, max] that has no row."""
-    b = series.groupBy(key).agg(F.min(date_col).alias("lo"), F.max(date_col).alias("hi"))
-    days = b.select(key, F.explode(F.sequence("lo", "hi")).alias("missing_date"))
-    od = calendar.where("is_open").select(F.col("cal_date").alias("missing_date")).distinct()
-    present = series.select(F.col(key), F.col(date_col).alias("missing_date"))
-    return (days.join(F.broadcast(od), "missing_date", "left_semi")
-            .join(present, [key, "missing_date"], "left_anti")
-            .select(key, "missing_date"))
+    [min, max] that has no row.
+
+    The window runs over the months of a symbol, which the calendar bounds; each month stands for
+    itself and the empty months up to the next one.
+    """
+    cal = calendar_masks(calendar)
+    months = month_masks(series.where(F.col(key).isNotNull() & F.col(date_col).isNotNull()), key, date_col)
+    w, whole = Window.partitionBy(key).orderBy("m"), Window.partitionBy(key)
+    months = months.select(key, "m", "mask", F.min("lo").over(whole).alias("lo"), F.max("hi").over(whole).alias("hi"),
+                           (F.coalesce(F.lead("m").over(w), F.col("m") + 1) - 1).alias("until"))
+    each = months.select(key, "lo", "hi", "m", "mask", F.explode(F.sequence("m", "until")).alias("month"))
+    left = F.coalesce(F.get(cal["masks"], F.when(F.col("month") >= cal["first"], F.col("month") - cal["first"])), F.lit(0).cast("bigint"))
+    left = F.when(F.col("month") == F.col("m"), left.bitwiseAND(F.bitwise_not("mask"))).otherwise(left)
+    left = F.when(F.col("month") == _month_number(F.col("lo")), left.bitwiseAND(F.bitwise_not(_up_to(F.col("lo"))))).otherwise(left)
+    left = F.when(F.col("month") == _month_number(F.col("hi")), left.bitwiseAND(_up_to(F.col("hi")))).otherwise(left)
+    days = F.filter(F.sequence(F.lit(1), F.lit(31)), lambda d: F.call_function("shiftright", F.col("left"), d).bitwiseAND(F.lit(1).cast("bigint")) == 1)
+    first = F.make_date(F.floor(F.col("month") / 12).cast("int"), (F.col("month") % 12 + 1).cast("int"), F.lit(1))
+    return (each.select(key, "month", left.alias("left")).where("left <> 0")
+            .select(key, first.alias("first"), F.explode(days).alias("d")).select(key, F.date_add("first", F.col("d") - 1).alias("missing_date")))
 
 
 def backfill_plan(missing: DataFrame, key: str, date_col: str = "missing_date", chunk: int = 30) -> DataFrame:

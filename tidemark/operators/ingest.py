@@ -45,17 +45,19 @@ def concept_denorm(quotes: DataFrame, members: DataFrame | None, meta: DataFrame
     ``meta`` has one row per concept, so the lookup join never fans out; it is
     left to the optimizer to broadcast it when its size allows.
 
-    A concept has few quotes and may have very many members, so the fan-out runs by
-    (concept, month): members are repeated per month of quotes, a small part of the
-    member x day rows that follow, and one concept spreads over as many tasks.
+    A concept has few quotes and may have very many members. The quotes of a (concept, month) are one
+    row with an array of at most the days of the month, so the join sorts and moves members and
+    concept months only; the member x day rows come out of the arrays after it. A concept with very many
+    members is split by the adaptive skew join. Quotes without a date form arrays of their own.
     """
-    q = quotes.join(meta, key, "left")
     if members is None:
-        q = q.withColumn("ts_code", F.lit(None).cast("string")).withColumn("name", F.lit(None).cast("string"))
+        q = quotes.join(meta, key, "left").withColumn("ts_code", F.lit(None).cast("string")).withColumn("name", F.lit(None).cast("string"))
     else:
-        q = q.withColumn("__month", F.coalesce(F.date_format("trade_date", "yyyyMM"), F.lit("")))  # no date: a month of its own
-        months = q.select(key, "__month").distinct()
-        q = members.join(months, key).join(q, [key, "__month"])
+        undated = F.concat(F.lit("-"), F.pmod(F.xxhash64(*quotes.columns), F.lit(256)).cast("string"))
+        months = (quotes.withColumn("__month", F.coalesce(F.date_format("trade_date", "yyyyMM"), undated)).groupBy(key, "__month")
+                  .agg(F.collect_list(F.struct(*[c for c in quotes.columns if c != key])).alias("__q")))
+        q = (members.select(key, "ts_code", "name").join(months.join(meta, key, "left"), key)
+             .select(key, "index_name", "index_type", "ts_code", "name", F.inline("__q")))
     return q.select(
         key, F.coalesce("index_name", F.lit("")).alias("index_name"),
         F.coalesce("index_type", F.lit("")).alias("index_type"),

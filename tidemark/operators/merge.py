@@ -16,6 +16,7 @@ task, and the full-row tie-break makes the winner deterministic.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -23,8 +24,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import staging_path
-
 
 def align_schema(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, list[str]]:
     """Project ``df`` onto ``schema``: cast known columns, NULL-fill missing ones,
@@ -139,9 +138,52 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _folder(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _folder(spark, path)
+    return fs.exists(at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at, fs = _folder(spark, path)
+    fs.delete(at, True)
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    at, fs = _folder(spark, source)
+    if not fs.rename(at, spark._jvm.org.apache.hadoop.fs.Path(target)):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def _aside(path: str) -> str:
+    """Where the old folder waits while a new one takes its place; readers skip names with an underscore."""
+    parent, _, name = path.rpartition("/")
+    return f"{parent}/_old.{name}"
+
+
+def _swap(spark: SparkSession, path: str, staged: str | None) -> None:
+    """Put the folder ``staged`` in the place of ``path`` (None: nothing); the old one is deleted last."""
+    if _exists(spark, path):
+        _move(spark, path, _aside(path))
+    if staged is not None:
+        _move(spark, staged, path)
+    _delete(spark, _aside(path))
+
+
+def _mend(spark: SparkSession, path: str) -> None:
+    """Bring back what a failed swap of the table at ``path`` or of one of its partitions set aside."""
+    at, fs = _folder(spark, path)
+    inside = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    for folder in [path, *(f"{path}/{n[5:]}" for n in inside if n.startswith("_old."))]:
+        if _exists(spark, _aside(folder)):
+            if _exists(spark, folder):
+                _delete(spark, _aside(folder))
+            else:
+                _move(spark, _aside(folder), folder)
 
 
 def upsert_to_path(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str],
@@ -149,11 +191,16 @@ def upsert_to_path(spark: SparkSession, path: str, batch: DataFrame, keys: Seque
                    newest_wins: bool = False) -> DataFrame:
     """Upsert ``batch`` into the parquet table at ``path``; returns the published table.
 
-    Read and rewritten are the partitions that the batch falls into and those that already
-    hold one of its keys, so a key never stays behind in another partition. The merged rows are
-    written to a staging folder of the shared checkpoint directory first and then copied over
-    the touched partitions; a failure while copying is mended by running the same batch again.
+    Read and rewritten are the partitions that the batch falls into. Where the partition column is no
+    part of the key, those that already hold one of the batch's keys are found by a scan of the stored
+    keys, so that a key never stays behind in another partition. The merged rows are written next to the
+    table and folders are then moved into place one by one; the old folder is deleted only when the new
+    one stands, and the next call brings back what a failure left aside. Readers in between can meet new
+    and old partitions; ``sources.snapshots`` publishes all at once.
     """
+    path = path.rstrip("/")
+    if not batch.isEmpty() or _exists(spark, _aside(path)):
+        _mend(spark, path)
     if batch.isEmpty():
         return _read_or_none(spark, path)
     if _read_or_none(spark, path) is None:
@@ -164,26 +211,27 @@ def upsert_to_path(spark: SparkSession, path: str, batch: DataFrame, keys: Seque
     base = spark.read.parquet(path)
     touched = None
     if partition_col:
-        holding = _on_keys(base.select(*dict.fromkeys([*keys, partition_col])), keys, _keys_of(batch, keys), "left_semi")
-        touched = [r[0] for r in batch.select(F.col(partition_col).cast(base.schema[partition_col].dataType))
-                   .unionByName(holding.select(partition_col)).distinct().collect()]  # partition names
+        falls = batch.select(F.col(partition_col).cast(base.schema[partition_col].dataType))
+        if partition_col not in keys:  # else a key is nowhere but in the partition that its batch row falls into
+            holding = _on_keys(base.select(*dict.fromkeys([*keys, partition_col])), keys, _keys_of(batch, keys), "left_semi")
+            falls = falls.unionByName(holding.select(partition_col))
+        touched = [r[0] for r in falls.distinct().collect()]  # partition names
         base = base.where(F.col(partition_col).isin(touched) | (F.lit(None in touched) & F.col(partition_col).isNull()))
     merged = upsert_merge(base, batch.select(*base.columns), keys, order_by, newest_wins)
-    stage = staging_path(spark, "upsert")
+    stage = f"{path}.new-{uuid.uuid4().hex}"
     if partition_col:
         merged.repartition(partition_col).write.partitionBy(partition_col).parquet(stage)
-    else:
-        merged.write.parquet(stage)
-    staged = spark.read.schema(merged.schema).parquet(stage)
-    if partition_col:
-        left = {r[0] for r in staged.select(partition_col).distinct().collect()}
-        w = staged.select(*base.columns).repartition(partition_col).write.mode("overwrite")
-        w.option("partitionOverwriteMode", "dynamic").partitionBy(partition_col).parquet(path)
+        at, fs = _folder(spark, stage)
+        written = {s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()}
         names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-        for value in set(touched) - left:  # every key of it has moved
-            _delete(spark, f"{path}/{names.getPartitionPathString(partition_col, None if value is None else str(value))}")
+        emptied = {names.getPartitionPathString(partition_col, None if v is None else str(v)) for v in touched} - written
+        for name in sorted(written):
+            _swap(spark, f"{path}/{name}", f"{stage}/{name}")
+        for name in emptied:  # every key of it has moved
+            _swap(spark, f"{path}/{name}", None)
     else:
-        staged.select(*base.columns).write.mode("overwrite").parquet(path)
+        merged.write.parquet(stage)
+        _swap(spark, path, stage)
     _delete(spark, stage)
     spark.catalog.refreshByPath(path)
     return spark.read.parquet(path)

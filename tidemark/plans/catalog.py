@@ -12,7 +12,8 @@ from tidemark.session import apply_sql_defaults
 from tidemark.sources.bindings import MarketData
 
 _MODULES = ("tidemark.plans.picks", "tidemark.plans.market", "tidemark.plans.ingest",
-            "tidemark.plans.coverage", "tidemark.plans.stats", "tidemark.plans.watchlist", "tidemark.plans.io")
+            "tidemark.plans.coverage", "tidemark.plans.stats", "tidemark.plans.watchlist", "tidemark.plans.io",
+            "tidemark.plans.loading")
 
 
 def _load():

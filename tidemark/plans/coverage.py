@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dates import month_start
 from tidemark.operators import calendar as C
+from tidemark.operators.intervals import interval_join
 from tidemark.operators.merge import upsert_merge
 from tidemark.sources.bindings import MarketData
 
@@ -75,16 +76,14 @@ def backfill_plan(md: MarketData) -> DataFrame:
 def backfill_apply(md: MarketData) -> DataFrame:
     """Gap fill end to end on the event table: the stored days before 2024-01-16 with
     every fifth day dropped, scanned against the every-day calendar; each planned
-    (user, chunk) range is read from the landing data (all events) by an equi-join on
-    the user plus a range filter, and upserted. Result: the repaired table."""
+    (user, chunk) range is read from the landing data (all events) by an interval join on
+    the user, and upserted. Result: the repaired table."""
     days = md.event_days()
     stored = days.where((F.col("day") < F.lit("2024-01-16").cast("date")) & (F.dayofmonth("day") % 5 != 0))
     plan = C.backfill_plan(C.missing_dates(stored, "user_id", "day", C.every_day_calendar(stored, "day")),
                            "user_id", "missing_date", 5)
     landing = days
-    fill = (landing.join(plan, "user_id")
-            .where(F.col("day").between(F.col("start_date"), F.col("end_date")))
-            .select("user_id", "day"))
+    fill = interval_join(landing, plan, ["user_id"], "day", "start_date", "end_date", "left_semi").select("user_id", "day")
     merged = upsert_merge(stored.withColumn("src", F.lit("stored")),
                           fill.withColumn("src", F.lit("filled")), ["user_id", "day"], [])
     return merged

@@ -56,19 +56,20 @@ def stream_upsert(md: MarketData) -> DataFrame:
     """The event batch landed as files (twice, as a replay would), streamed through
     foreachBatch upsert into the stored table."""
     from tidemark.plans.ingest import EVENT_KEYS, event_base, event_batch
+    from tidemark.plans.loading import event_table
     from tidemark.streaming.upsert_stream import start_upsert_stream
 
     spark = md.spark
-    target = staging_path(spark, "stream-target")
-    # the stored table is partitioned by day: a micro-batch rewrites only the days it touches
-    event_base(md).write.mode("overwrite").partitionBy("day").parquet(target)
+    # a micro-batch opens only the days that it touches
+    target = event_table(spark, staging_path(spark, "stream-target"))
+    target.replace(event_base(md), ["ts"])
     landing = staging_path(spark, "stream-landing")
     batch = event_batch(md)
     batch.write.mode("overwrite").parquet(landing)
     batch.write.mode("append").parquet(landing)  # replayed files
-    q = start_upsert_stream(spark, landing, batch.schema, target, EVENT_KEYS, ["ts"], partition_col="day")
+    q = start_upsert_stream(spark, landing, batch.schema, target, EVENT_KEYS, ["ts"])
     q.awaitTermination()
-    return spark.read.parquet(target)
+    return target.read()
 
 
 QUERIES = {

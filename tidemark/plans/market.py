@@ -316,15 +316,15 @@ def _adj_sql(mode: str, src: str = "v_bars") -> str:
                        src=src)
 
 
-def _msum(c: str, n: int) -> str:
-    """Exact moving sum of the last n values in millionths, NULL until n rows exist."""
-    return (f"CASE WHEN row_number() OVER w >= {n} THEN sum(CAST(CAST({c} AS DECIMAL(20,6)) * 1000000 AS BIGINT)) "
-            f"OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END")
+def _mean(c: str, n: int) -> str:
+    """Mean of the last n values, added up in date order; NULL until n rows exist."""
+    frame = f"OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count({c}) {frame} = {n} THEN list_reduce(list(CAST({c} AS DOUBLE)) {frame}, lambda a, b: a + b) / {n} END"
 
 
 def _ind_sql() -> str:
     def ma(c, n):
-        return f"(CAST({_msum(c, n)} AS DOUBLE) / {n * 1e6})"
+        return f"({_mean(c, n)})"
 
     def mn(c, n):
         return f"min({c}) OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
@@ -396,7 +396,7 @@ WITH q AS (""" + _adj_sql("qfq").replace("WITH lf AS", "WITH lf2 AS").replace("l
         "JOIN lf ON", "JOIN lf2 ON") + """)
 SELECT ts_code, time AS trade_date, close,
 """ + ",\n".join(
-        f"floor(({_msum('close', n)} + {n * 100 // 2}) / {n * 100}) / 10000.0 AS ma{n}" for n in (5, 10, 20, 60)) + """
+        f"{_mean('close', n)} AS ma{n}" for n in (5, 10, 20, 60)) + """
 FROM q WINDOW w AS (PARTITION BY ts_code ORDER BY time)""",
     "bars_resample": "SELECT * FROM v_weekly",
     "bars_monthly": """

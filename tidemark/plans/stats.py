@@ -1,8 +1,7 @@
 """Table overview, per-table statistics and dashboard totals.
 
-One small aggregate per logical table, unioned; every aggregate is a partial
-(map-side) aggregation over the table, so the plan is one pass per table and
-the union has one row per table.
+All logical tables are measured by the same two aggregates (``measures``): one over
+their dates, one over their symbols, both combined before the shuffle.
 """
 
 from __future__ import annotations
@@ -12,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.dates import month_start
+from tidemark.operators.ingest import join_row_count
 from tidemark.sources.bindings import MarketData
 from tidemark.sources.schemas import BASE_TABLE_PRIORITY, RESEARCH_TABLES, TIME_SERIES_TABLES
 
@@ -33,35 +34,48 @@ def logical_table(md: MarketData, name: str) -> DataFrame:
     return getattr(md, name)()
 
 
-def _overview_row(md: MarketData, name: str) -> DataFrame:
-    if name == "ths_index":
-        # quotes x members: count the fan-out without materialising it
-        from tidemark.operators.ingest import join_row_count
-        n = join_row_count(md.concept_quotes().select("index_code"), md.concept_members().select("index_code"),
-                           "index_code")
-        return n.select(F.lit(name).alias("table"), "rows", F.lit(None).cast("string").alias("min_date"),
-                        F.lit(None).cast("string").alias("max_date"), F.lit(None).cast("bigint").alias("stock_count"))
-    df = logical_table(md, name)
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    if name in DATE_COL:
-        c = DATE_COL[name]
-        aggs += [F.date_format(F.min(c), "yyyy-MM-dd").alias("min_date"),
-                 F.date_format(F.max(c), "yyyy-MM-dd").alias("max_date")]
-    elif name == "broker_recommend":
-        aggs += [F.min("month").alias("min_date"), F.max("month").alias("max_date")]
-    else:
-        aggs += [F.lit(None).cast("string").alias("min_date"), F.lit(None).cast("string").alias("max_date")]
-    if name in CODE_COUNTED:
-        aggs.append(F.count_distinct("ts_code").alias("stock_count"))
-    elif name in ("stock_basic", "hk_us_basic"):
-        aggs.append(F.count(F.lit(1)).alias("stock_count"))
-    else:
-        aggs.append(F.lit(None).cast("bigint").alias("stock_count"))
-    return df.agg(*aggs).select(F.lit(name).alias("table"), "rows", "min_date", "max_date", "stock_count")
+def _day(name: str):
+    """The date that a table is measured by (months: their first day), NULL for a table without one."""
+    if name == "broker_recommend":
+        return month_start(F.col("month"))
+    return F.col(DATE_COL[name]) if name in DATE_COL else F.lit(None).cast("date")
+
+
+def measures(md: MarketData, tables: list[str]) -> DataFrame:
+    """table, rows, codes, lo, hi, dates of every listed table: rows, distinct symbols, first, last and distinct dates.
+
+    Two aggregates over all tables at once: dates as one bit mask per (table, month), whose bits are
+    counted, and symbols as the groups of (table, symbol). Each reads one column and combines before its
+    shuffle; a distinct count over both columns would repeat every row per distinct (Expand).
+    """
+    plain = [t for t in tables if t != "ths_index"]
+    one = md.spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in plain])).alias("table"))
+    frames = {t: logical_table(md, t) for t in plain}
+    dated = reduce(DataFrame.unionByName, [df.select(F.lit(t).alias("table"), _day(t).alias("day")) for t, df in frames.items()])
+    months = (dated.groupBy("table", (F.year("day") * 12 + F.month("day")).alias("m"))
+              .agg(F.count(F.lit(1)).alias("rows"), F.min("day").alias("lo"), F.max("day").alias("hi"),
+                   F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.dayofmonth("day"))).alias("mask")))
+    by_table = months.groupBy("table").agg(F.sum("rows").alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+                                           F.coalesce(F.sum(F.bit_count("mask")), F.lit(0)).cast("bigint").alias("dates"))
+    coded = reduce(DataFrame.unionByName, [df.select(F.lit(t).alias("table"), "ts_code") for t, df in frames.items() if t in CODE_COUNTED])
+    codes = (coded.where("ts_code IS NOT NULL").groupBy("table", "ts_code").agg(F.lit(1).alias("n"))
+             .groupBy("table").agg(F.count("n").alias("codes")))
+    out = one.join(by_table, "table", "left").join(codes, "table", "left").select(
+        "table", F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"), F.coalesce("codes", F.lit(0)).cast("bigint").alias("codes"),
+        "lo", "hi", F.coalesce("dates", F.lit(0)).cast("bigint").alias("dates"))
+    if "ths_index" in tables:  # quotes x members: the fan-out is counted, not built
+        n = join_row_count(md.concept_quotes().select("index_code"), md.concept_members().select("index_code"), "index_code")
+        none = F.lit(None)
+        out = out.unionByName(n.select(F.lit("ths_index").alias("table"), "rows", F.lit(0).cast("bigint").alias("codes"),
+                                       none.cast("date").alias("lo"), none.cast("date").alias("hi"), F.lit(0).cast("bigint").alias("dates")))
+    return out
 
 
 def table_overview(md: MarketData) -> DataFrame:
-    return reduce(DataFrame.unionByName, [_overview_row(md, t) for t in OVERVIEW_TABLES])
+    t = F.col("table")
+    as_text = lambda c: F.when(t == "broker_recommend", F.date_format(c, "yyyyMM")).otherwise(F.date_format(c, "yyyy-MM-dd"))
+    stocks = F.when(t.isin(list(CODE_COUNTED)), F.col("codes")).when(t.isin("stock_basic", "hk_us_basic"), F.col("rows"))
+    return measures(md, OVERVIEW_TABLES).select(t, "rows", as_text("lo").alias("min_date"), as_text("hi").alias("max_date"), stocks.alias("stock_count"))
 
 
 def overview_totals(md: MarketData) -> DataFrame:
@@ -78,36 +92,16 @@ def overview_totals(md: MarketData) -> DataFrame:
 STATS_TABLES = OVERVIEW_TABLES + ["stk_surv_detail"]
 
 
-def _stats_row(md: MarketData, name: str) -> DataFrame:
-    if name == "ths_index":  # counted without the members x days rows
-        rows = _overview_row(md, name).select(F.col("rows").alias("total_rows"))
-        return rows.select(F.lit(name).alias("table_name"), "total_rows", F.col("total_rows").alias("num_codes"),
-                           F.lit(None).cast("date").alias("min_date"), F.lit(None).cast("date").alias("max_date"),
-                           F.lit(None).cast("bigint").alias("actual_dates"))
-    df = logical_table(md, name)
-    n = F.count(F.lit(1)).alias("total_rows")
-    if name in TIME_SERIES_TABLES or name in RESEARCH_TABLES or name == "stk_surv":
-        c = DATE_COL[name]
-        aggs = [n, F.count_distinct("ts_code").alias("num_codes"), F.min(c).alias("min_date"),
-                F.max(c).alias("max_date"), F.count_distinct(c).alias("actual_dates")]
-    elif name == "broker_recommend":
-        from tidemark.functions.dates import month_start
-        aggs = [n, F.count_distinct("ts_code").alias("num_codes"), month_start(F.min("month")).alias("min_date"),
-                month_start(F.max("month")).alias("max_date"), F.count_distinct("month").alias("actual_dates")]
-    elif name == "stk_surv_detail":
-        aggs = [n, F.lit(0).cast("bigint").alias("num_codes"), F.lit(None).cast("date").alias("min_date"),
-                F.lit(None).cast("date").alias("max_date"), F.lit(None).cast("bigint").alias("actual_dates")]
-    else:
-        aggs = [n, F.count(F.lit(1)).alias("num_codes"), F.lit(None).cast("date").alias("min_date"),
-                F.lit(None).cast("date").alias("max_date"), F.lit(None).cast("bigint").alias("actual_dates")]
-    return df.agg(*aggs).select(F.lit(name).alias("table_name"), "total_rows", "num_codes", "min_date", "max_date",
-                                "actual_dates")
-
-
 def table_stats(md: MarketData) -> DataFrame:
     """Per-table statistics; ``position`` puts the base tables first (fixed order),
     then the rest by newest date, tables without dates last."""
-    s = reduce(DataFrame.unionByName, [_stats_row(md, t) for t in STATS_TABLES])
+    t = F.col("table")
+    measured = t.isin([*TIME_SERIES_TABLES, *RESEARCH_TABLES, "stk_surv", "broker_recommend"])
+    num_codes = F.when(measured, F.col("codes")).when(t == "stk_surv_detail", F.lit(0).cast("bigint")).otherwise(F.col("rows"))
+    s = measures(md, STATS_TABLES).select(
+        t.alias("table_name"), F.col("rows").alias("total_rows"), num_codes.alias("num_codes"),
+        F.when(measured, F.col("lo")).alias("min_date"), F.when(measured, F.col("hi")).alias("max_date"),
+        F.when(measured, F.col("dates")).alias("actual_dates"))
     prio = F.lit(len(BASE_TABLE_PRIORITY))
     for i, t in enumerate(BASE_TABLE_PRIORITY):
         prio = F.when(F.col("table_name") == t, F.lit(i)).otherwise(prio)

@@ -51,8 +51,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and staged tables.
 
     On a cluster this is whatever the deployment put in ``spark.checkpoint.dir``
-    (a shared file system); we only fall back to a private temp folder when the
-    setting is absent, which is the local-test case.
+    (a shared file system). Only a local master, where driver and executors are one
+    process, falls back to a private temp folder; a cluster without the setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -61,6 +61,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if configured:
         sc.setCheckpointDir(configured)
+    elif not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     else:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-ckpt-"))
     return sc.getCheckpointDir()
@@ -70,3 +72,10 @@ def staging_path(spark: SparkSession, label: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     root = checkpoint_root(spark)
     return f"{root.rstrip('/')}/staged/{label}-{uuid.uuid4().hex}"
+
+
+def staged(df, label: str):
+    """``df`` written to the shared folder and read back: later steps read files and see one and the same rows."""
+    path = staging_path(df.sparkSession, label)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

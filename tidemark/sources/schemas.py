@@ -2,13 +2,13 @@
 
 A ``TableSpec`` carries what the generic operators need: the StructType, the
 key columns used by upserts, the date column used by statistics and gap scans,
-and the column a stored copy is partitioned by (derived from the key, so a key
-can never move between partitions).
+and the slot a stored row lies in (an expression over key columns, so a key can
+never move between slots).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
@@ -27,13 +27,22 @@ class TableSpec:
     keys: tuple[str, ...]
     date_col: str | None = None
     kind: str = "time_series"  # time_series | calendar | research | broker | survey | master | concept
-    partition_col: str | None = None
-    extra: dict = field(default_factory=dict)
+    slot: str = "'all'"
 
     @property
     def columns(self) -> list[str]:
         return [f.name for f in self.schema.fields]
 
+    @property
+    def mark_key(self) -> str | None:
+        """The column whose values have a high-water mark of their own."""
+        key = "exchange" if self.kind == "calendar" else "ts_code"
+        return key if key in self.columns and self.kind in ("time_series", "research", "survey", "calendar") else None
+
+    @property
+    def mark_kind(self) -> str:
+        return "exchange" if self.kind == "calendar" else "symbol"
+
     def validate_keys(self, keys=None) -> tuple[str, ...]:
         keys = tuple(keys or self.keys)
         missing = [k for k in keys if k not in self.columns]
@@ -42,6 +51,7 @@ class TableSpec:
         return keys
 
 
+BY_YEAR = "year({})"
 BAR_COLS = [("ts_code", S), ("trade_date", DT), ("open", D), ("high", D), ("low", D), ("close", D)]
 
 SPECS: dict[str, TableSpec] = {
@@ -51,38 +61,40 @@ SPECS: dict[str, TableSpec] = {
         ("ts_code",), None, "master"),
     "daily": TableSpec("daily", _struct(*BAR_COLS, ("pre_close", D), ("change", D), ("pct_chg", D),
                                         ("vol", D), ("amount", D)),
-                       ("ts_code", "trade_date"), "trade_date", partition_col="trade_year"),
+                       ("ts_code", "trade_date"), "trade_date", slot=BY_YEAR.format("trade_date")),
     "weekly": TableSpec("weekly", _struct(*BAR_COLS, ("vol", D), ("amount", D)),
-                        ("ts_code", "trade_date"), "trade_date"),
+                        ("ts_code", "trade_date"), "trade_date", slot=BY_YEAR.format("trade_date")),
     "adj_factor": TableSpec("adj_factor", _struct(("ts_code", S), ("trade_date", DT), ("adj_factor", D)),
-                            ("ts_code", "trade_date"), "trade_date"),
+                            ("ts_code", "trade_date"), "trade_date", slot=BY_YEAR.format("trade_date")),
     "daily_basic": TableSpec("daily_basic", _struct(
         ("ts_code", S), ("trade_date", DT), ("close", D), ("turnover_rate", D), ("volume_ratio", D),
         ("pe", D), ("pe_ttm", D), ("pb", D), ("ps", D), ("ps_ttm", D), ("dv_ratio", D),
-        ("total_mv", D), ("circ_mv", D)), ("ts_code", "trade_date"), "trade_date"),
+        ("total_mv", D), ("circ_mv", D)), ("ts_code", "trade_date"), "trade_date", slot=BY_YEAR.format("trade_date")),
     "trade_cal": TableSpec("trade_cal", _struct(("exchange", S), ("cal_date", DT), ("is_open", B),
                                                 ("pretrade_date", DT)),
                            ("exchange", "cal_date"), "cal_date", "calendar"),
     "report_rc": TableSpec("report_rc", _struct(
         ("ts_code", S), ("report_date", DT), ("report_title", S), ("report_type", S), ("org_name", S),
         ("author_name", S), ("quarter", S), ("eps", D), ("pe", D), ("rating", S), ("max_price", D)),
-        ("ts_code", "report_date", "org_name", "author_name", "quarter"), "report_date", "research"),
+        ("ts_code", "report_date", "org_name", "author_name", "quarter"), "report_date", "research",
+        BY_YEAR.format("report_date")),
     "broker_recommend": TableSpec("broker_recommend", _struct(("month", S), ("broker", S), ("ts_code", S),
                                                               ("name", S)),
-                                  ("month", "broker", "ts_code"), "month", "broker"),
+                                  ("month", "broker", "ts_code"), "month", "broker", "substring(month, 1, 4)"),
     "stk_surv": TableSpec("stk_surv", _struct(
         ("ts_code", S), ("name", S), ("surv_date", DT), ("fund_visitors", S), ("rece_place", S),
         ("rece_mode", S), ("rece_org", S), ("org_type", S), ("comp_rece", S)),
-        ("ts_code", "surv_date", "rece_org"), "surv_date", "survey"),
+        ("ts_code", "surv_date", "rece_org"), "surv_date", "survey", BY_YEAR.format("surv_date")),
     "stk_surv_detail": TableSpec("stk_surv_detail", _struct(("ts_code", S), ("surv_date", DT), ("rece_org", S),
                                                             ("content", S)),
-                                 ("ts_code", "surv_date", "rece_org"), "surv_date", "survey"),
+                                 ("ts_code", "surv_date", "rece_org"), "surv_date", "survey", BY_YEAR.format("surv_date")),
     "hk_us_basic": TableSpec("hk_us_basic", _struct(("ts_code", S), ("name", S), ("enname", S)),
                              ("ts_code",), None, "master"),
     "ths_index": TableSpec("ths_index", _struct(
         ("index_code", S), ("index_name", S), ("index_type", S), ("trade_date", DT), ("open", D), ("high", D),
         ("low", D), ("close", D), ("pre_close", D), ("pct_chg", D), ("vol", D), ("amount", D),
-        ("ts_code", S), ("name", S)), ("index_code", "trade_date", "ts_code"), "trade_date", "concept"),
+        ("ts_code", S), ("name", S)), ("index_code", "trade_date", "ts_code"), "trade_date", "concept",
+        BY_YEAR.format("trade_date")),
     "stk_factor_pro": TableSpec("stk_factor_pro", _struct(
         ("ts_code", S), ("trade_date", DT), ("close_qfq", D),
         ("macd_dif_qfq", D), ("macd_dea_qfq", D), ("macd_qfq", D),
@@ -90,7 +102,7 @@ SPECS: dict[str, TableSpec] = {
         ("rsi_qfq_6", D), ("rsi_qfq_12", D), ("rsi_qfq_24", D),
         ("boll_upper_qfq", D), ("boll_mid_qfq", D), ("boll_lower_qfq", D),
         ("ma_qfq_5", D), ("ma_qfq_10", D), ("ma_qfq_20", D), ("ma_qfq_60", D),
-        ("ma_bfq_5", D), ("ma_hfq_5", D), ("vol_ma_5", D)), ("ts_code", "trade_date"), "trade_date"),
+        ("ma_bfq_5", D), ("ma_hfq_5", D), ("vol_ma_5", D)), ("ts_code", "trade_date"), "trade_date", slot=BY_YEAR.format("trade_date")),
 }
 
 TIME_SERIES_TABLES = ("daily", "weekly", "adj_factor", "daily_basic", "stk_factor_pro")
