@@ -314,3 +314,8 @@ def test_general_pack_keeps_other_columns(spark):
     assert got.columns == ["id", "tokens", "n", "sequence_id", "offset"]
     assert got.groupBy("sequence_id").agg(F.sum("tokens").alias("t"), F.sum("n").alias("n")).where("t > 128 OR n > 3").count() == 0
     assert got.select("id").distinct().count() == 500
+
+
+def test_numbers_are_whole_words(docs_of):
+    texts = [(1, "pass0 token1 7 x9 3.14 10% 1,000 12:30 v2 -5 (6) 2024-01-02  7 7 "), (2, "1\n2\t3\f4"), (3, None), (4, "0x1f 9a")]
+    assert {r.doc_id: r.n_numbers for r in quality.ledger(docs_of(texts)).collect()} == {1: 6, 2: 4, 3: 0, 4: 0}

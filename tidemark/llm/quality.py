@@ -103,7 +103,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         "n_bullet_lines": "size(filter(_lines, l -> startswith(l, '- ') OR startswith(l, '* ') OR startswith(l, '• ')))",
         "n_ellipsis_lines": "size(filter(_lines, l -> endswith(l, '...') OR endswith(l, '…')))",
         "n_distinct_words": "size(array_distinct(_ws))",
-        "n_numbers": f"regexp_count({t}, '[0-9]+')",
+        "n_numbers": rf"regexp_count({t}, '(?<![^{space}])[0-9][0-9.,:/%-]*+(?![^{space}])')",  # words that are numbers
     }
     df = df.withColumns({k: F.expr(f"CAST({v} AS BIGINT)") for k, v in long.items()})
     return df.drop("_t", "_ws", "_lines")
@@ -176,7 +176,7 @@ m AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws,
              len(regexp_extract_all(t, '[A-Z]{{2,}}')) AS n_shouted, length(t) - length(replace(t, '!', '')) AS n_bangs,
              len(list_filter(ls, lambda l: starts_with(l, '- ') OR starts_with(l, '* ') OR starts_with(l, '• '))) AS n_bullet_lines,
              len(list_filter(ls, lambda l: suffix(l, '...') OR suffix(l, '…'))) AS n_ellipsis_lines,
-             len(list_distinct(ws)) AS n_distinct_words, len(regexp_extract_all(t, '[0-9]+')) AS n_numbers
+             len(list_distinct(ws)) AS n_distinct_words, len(list_filter(ws, lambda x: regexp_full_match(x, '[0-9][0-9.,:/%-]*'))) AS n_numbers
       FROM w LEFT JOIN r USING (doc_id)),
 f AS (SELECT *, CAST({fail_bits_sql()} AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
