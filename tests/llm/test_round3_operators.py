@@ -14,7 +14,7 @@ from tests.llm.helpers import EDGE, docs_of, edge  # noqa: F401
 from tidemark.llm import align, maxscore, simhash
 
 HARD = [(1, None), (2, ""), (3, " "), (4, "  a  b\n c"), (5, "▁x"), (5, "x ▁ y"), (5, "x ▁ y"), (None, "café 世界\U0001f600 <|endoftext|> </s> don't"),
-        (7, "\x00\x1c a \x1d b\x85 c  d 　 e"), (8, "ab " * 4000), (9, "\U0001f600" * 50), (10, "\r\n\t x"), (11, "A tail "), (12, "É́ ﬁ ½")]
+        (7, "\x00\x1c a \x1d b\x85 c  d 　 e"), (8, "ab " * 4000), (9, "\U0001f600" * 50), (10, "\r\n\t x"), (11, "A tail "), (12, "É́ ﬁ ½"), (13, "a \n b\t \tc \n\n d\n e \u00a0 f\u2003 g \x1f h"), (14, " a "), (15, "\n \n")]
 
 
 # -- alignment ---------------------------------------------------------------------------------------

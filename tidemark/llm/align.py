@@ -17,8 +17,9 @@ millions of distinct pairs; beyond that the second pass is repeated per slice an
 added up, so that the answer is whole at every size. At most |A| x |B| pairs exist.
 
 Texts are aligned by whole arrays: byte offsets of the token ends, those that both have, groups by
-running counts. No piece of tokenizer B has a blank after another character, so B always cuts before a
-single blank, and its ids of the stretches between single blanks are remembered by the worker.
+running counts. Both tokenizers always cut before a single blank (no piece of B has a blank after another
+character; white space on both sides of it is left whole for A), so the ids of the stretches between such
+blanks are remembered by the worker.
 """
 
 from __future__ import annotations
@@ -49,9 +50,11 @@ HELD_KEYS = 2_000_000
 #: Bits per key of a hash level.
 GAMMA = 2
 #: Stretches that a worker remembers; characters of text aligned at once; links of a group that are listed one by one.
-KEEP_UNITS, CHUNK_CHARS, LISTED = 600_000, 1_000_000, 4_096
+KEEP_UNITS, CHUNK_CHARS, LISTED = 500_000, 1_000_000, 4_096
 
-_CUT = re.compile(r"(?<=[^ ]) (?=[^ ])")
+_CUT = re.compile(r"(?<=[^ ]) (?=\S)|(?<=\S) (?=[^ ])")
+#: Texts without these are cut at every blank.
+_ODD = re.compile(r"\A | \Z|  |\s \s")
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,10 +65,13 @@ def vocabularies() -> tuple[str, str]:
 
 
 class Tokenizers(dict):
-    """Both tokenizers; stretch -> B's ids as 32-bit bytes, remembered; None where B's bytes are not those of the text."""
+    """Both tokenizers; stretch -> B's ids as 32-bit bytes, remembered; None where B's bytes are not those of the text.
+
+    ``ids_of_a`` remembers A's ids of the same stretches."""
 
     def __init__(self, path_a: str, path_b: str):
         super().__init__()
+        self.ids_of_a: dict[str, bytes] = {}
         import sentencepiece
         import tiktoken
 
@@ -88,19 +94,30 @@ class Tokenizers(dict):
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def ids_b(self, texts: list[str]) -> list[bytes | None]:
-        """B's ids of each text, None where its bytes are not those of a blank and the text."""
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of A and B of each text after a blank, None where B's bytes are not those of the text."""
         if len(self) > KEEP_UNITS:
             self.clear()
-        cut = [_CUT.split(t) if "  " in t or t[0] == " " or t[-1] == " " else t.split(" ") for t in texts]
+            self.ids_of_a.clear()
+        cut = [_CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
         new = list(set().union(*cut).difference(self))
         for unit, ids in zip(new, self.b.encode(new, num_threads=1), strict=True):
             same = b"".join(map(self.bytes_b.__getitem__, ids)) == b" " + unit.encode()
             self[unit] = array("i", ids).tobytes() if same else None
+        # A takes the stretches as one text, which it cuts before each; those that begin or end with white space alone
+        whole = [u for u in new if u and not u[0].isspace() and not u[-1].isspace()]
+        ids = np.array(self.a.encode_ordinary(" " + " ".join(whole)) if whole else [], np.int32)
+        ends = np.cumsum([len(u.encode()) + 1 for u in whole])
+        ends = (4 * (np.searchsorted(np.cumsum(self.size_a[ids]), ends) + 1)).tolist()
+        ids = ids.tobytes()
+        for unit, i, j in zip(whole, [0, *ends], ends, strict=False):
+            self.ids_of_a[unit] = ids[i:j]
+        for unit in set(new).difference(whole):
+            self.ids_of_a[unit] = array("i", self.a.encode_ordinary(" " + unit)).tobytes()
         out = []
         for units in cut:
             found = list(map(self.__getitem__, units))
-            out.append(None if None in found else b"".join(found))
+            out.append(None if None in found else (b"".join(map(self.ids_of_a.__getitem__, units)), b"".join(found)))
         return out
 
 
@@ -132,19 +149,17 @@ class Aligned(NamedTuple):
 
 def align_texts(tokenizers: Tokenizers, texts: list[str | None]) -> Aligned:
     on = np.array([bool(t) for t in texts], bool)
-    b = tokenizers.ids_b([t for t in texts if t])
-    on[on] = [x is not None for x in b]
-    a = [np.array(tokenizers.a.encode_ordinary(" " + t)) for t, keep in zip(texts, on, strict=True) if keep]
-    b = [np.frombuffer(x, np.int32) for x in b if x is not None]
-    none = np.zeros(0, np.int64)
-    ids = tuple(np.concatenate([none, *x]).astype(np.int64) for x in (a, b))
+    both = tokenizers.encode([t for t in texts if t])
+    on[on] = [x is not None for x in both]
+    both = [x for x in both if x is not None]
+    ids = tuple(np.frombuffer(b"".join(x[k] for x in both), np.int32).astype(np.int64) for k in (0, 1))
     ends = np.cumsum(tokenizers.size_a[ids[0]]), np.cumsum(tokenizers.size_b[ids[1]])
     at = np.searchsorted(ends[1], ends[0])  # in every text the last tokens of both end together
     cut = [ends[1][at] == ends[0], np.zeros(len(ids[1]), bool)]
     cut[1][at[cut[0]]] = True
     group = tuple(np.cumsum(c) - c for c in cut)
     n = int(cut[0].sum())
-    text_a = np.repeat(np.arange(len(a)), [len(x) for x in a])
+    text_a = np.repeat(np.arange(len(both)), [len(x[0]) // 4 for x in both])
     return Aligned(on, ids, group, text_a[cut[0]], tuple(np.bincount(g, minlength=n) for g in group))
 
 
