@@ -319,3 +319,32 @@ def test_general_pack_keeps_other_columns(spark):
 def test_numbers_are_whole_words(docs_of):
     texts = [(1, "pass0 token1 7 x9 3.14 10% 1,000 12:30 v2 -5 (6) 2024-01-02  7 7 "), (2, "1\n2\t3\f4"), (3, None), (4, "0x1f 9a")]
     assert {r.doc_id: r.n_numbers for r in quality.ledger(docs_of(texts)).collect()} == {1: 6, 2: 4, 3: 0, 4: 0}
+
+
+def test_layers_that_are_no_clean_text_are_scanned():
+    import io
+    import tarfile
+
+    plain = "note\npassword = hunter2hunter\nend of it"
+    tar = io.BytesIO()
+    with tarfile.open(fileobj=tar, mode="w:gz") as t:
+        info = tarfile.TarInfo("etc/app.conf")
+        info.size = len(plain)
+        t.addfile(info, io.BytesIO(plain.encode()))
+    binary = bytes(range(128, 160)) + plain.encode() + bytes(range(200, 232))
+    layers = {"tar.gz": tar.getvalue(), "utf-16-le": plain.encode("utf-16-le"), "utf-16-be": plain.encode("utf-16-be"), "bom": plain.encode("utf-16"),
+              "odd phase": b"\x01" + plain.encode("utf-16-le"), "latin-1": ("café " + plain).encode("latin-1"), "binary": binary,
+              "gzip of binary": gzip.compress(binary), "nested": gzip.compress(b"\x00\xff\xfe" + base64.b64encode(plain.encode()) + b"\x00\xff")}
+    for name, raw in layers.items():
+        code = base64.b64encode(raw).decode()
+        for text in (f"see {code} here", f"x\n{code[:76]}\n{code[76:152]}\n{code[152:]}\n".replace("\n\n", "\n"), f"https://h.example/cb/{code}?x=1"):
+            _, more = secrets.find_secrets(text)
+            assert any(k.endswith("assign") for _, _, k in more), (name, text[:30])
+            assert "hunter2" not in secrets.redact(text)
+            at = text.index(code[:16])
+            assert all(a >= at - 4 for a, _, k in more if k.endswith("assign")), name
+        if name != "odd phase":
+            hexed = f"see {raw.hex()} here"
+            assert any(k.startswith("hex>") for _, _, k in secrets.find_secrets(hexed)[1]), name
+    # runs that hold nothing stay as they are
+    assert secrets.find_secrets("a" * 40 + " " + base64.b64encode(bytes(range(256))).decode())[1] == []

@@ -5,7 +5,9 @@ percent-encoded runs, \\uXXXX and \\xXX escapes, base64 (plain or URL alphabet,
 or as a part of a path), hex runs that hide a compressed stream, and zlib / gzip streams. A decoded part is a new layer that remembers which
 characters of the text each of its characters came from, so a finding in any layer is reported as a
 span of the text. The worklist ends at a fixpoint: a layer (content and place) that was seen before
-is not opened again, so cycles and self-reproducing archives end.
+is not opened again, so cycles and self-reproducing archives end. Of a decoded part that is no clean text
+(under 95 % printable, or no UTF-8: archives, binary records, Latin-1, UTF-16) every run of 12 or more printable
+characters is a layer.
 """
 
 from __future__ import annotations
@@ -115,6 +117,17 @@ def _readable(raw: bytes) -> str | None:
     return s if s and sum(c.isprintable() or c in "\t\r\n" for c in s) >= 0.95 * len(s) else None
 
 
+#: Printable ASCII of the length of the shortest secret, alone or with a zero byte after or before each character.
+_RUNS = [(re.compile(rb"[\t\r\n\x20-\x7e]{12,}"), 1, 0), (re.compile(rb"(?:[\t\r\n\x20-\x7e]\x00){12,}"), 2, 0),
+         (re.compile(rb"(?:\x00[\t\r\n\x20-\x7e]){12,}"), 2, 1)]
+
+
+def _runs(raw: bytes) -> list[tuple[str, int, int, int]]:
+    """(text, start, end, bytes per character) of what can be read of bytes that are no clean text: archives,
+    binary records, Latin-1, UTF-16 of either byte order."""
+    return [(m[0][first::width].decode("ascii"), *m.span(), width) for run, width, first in _RUNS for m in run.finditer(raw)]
+
+
 def _stream(raw: bytes) -> str | None:
     if raw[:2] == b"\x1f\x8b":
         return "gzip"
@@ -197,10 +210,10 @@ def _scan_large(outer: Layer, how: str, a: int, b: int, source, big: list) -> No
                 lead += 1
             n = lead + _valid(part[lead:])
             text = _readable(part[lead:] if last or n + 4 <= len(part) else part[lead:n])
-            if text:
+            for text, first, final in [(text, True, True)] if text else [(r[0], r[1] == 0, r[2] == len(part)) for r in _runs(part)]:
                 base, decoded = find_secrets(text)
                 for x, y, kind in base + decoded:
-                    if (start or x > 0) and (last or y < len(text)):
+                    if (start or not first or x > 0) and (last or not final or y < len(text)):
                         big.append((*outer.origin(a, b), f"{outer.path}{how}>{kind}"))
         if last:
             return
@@ -220,7 +233,7 @@ def _bytes_layers(outer: Layer, how: str, a: int, b: int, raw: bytes, big: list)
             return []
         seen.add(mark)
     s = _readable(raw)
-    return [_inner(outer, how, [(s, a, b, False)])] if s else []
+    return [_inner(outer, how, [(t, a, b, False)]) for t in ([s] if s else [r[0] for r in _runs(raw)])]
 
 
 class _Base64:
@@ -248,9 +261,10 @@ class _Base64:
             return []
         raw = self.raw(s, e)
         end = self.size if e == len(self.letters) else e  # padding belongs to the last letters
-        text = None if _inflate(raw) else _readable(raw)
+        packed = _inflate(raw)
+        text = None if packed else _readable(raw)
         if text is None:
-            return _bytes_layers(self.outer, "base64", self.place(s), self.place(end - 1) + 1, raw, big)
+            return _bytes_layers(self.outer, "base64", self.place(s), self.place(end - 1) + 1, raw, big) if packed else []
         units, done = [], 0
         for c in text:  # a character lies on the four-letter groups that hold its bytes
             n = len(c.encode())
@@ -261,6 +275,17 @@ class _Base64:
     def whole(self, big: list) -> list[Layer]:
         return self.open(0, len(self.letters), big) if len(self.letters) >= _LEAST else []
 
+    def binary(self) -> list[Layer]:
+        """What can be read in the letters as bytes, at each alignment, where they are no clean text as a whole."""
+        out = []
+        for k in range(4):
+            for text, a, b, width in _runs(self.raw(k, len(self.letters))):
+                # a character lies on the four-letter groups that hold its bytes
+                spots = [(k + i // 3 * 4, k + (i + width + 2) // 3 * 4) for i in range(a, b, width)]
+                out.append(_inner(self.outer, "base64", [(c, self.place(s), self.place(min(self.size, e) - 1) + 1, False)
+                                                         for c, (s, e) in zip(text, spots, strict=True)]))
+        return out
+
     def parts(self, big: list) -> list[Layer]:
         """Layers from the start or a cut on, as far as they can be read, up to the end or a cut."""
         out, last, size, known = [], (0, 0), len(self.letters), {}
@@ -341,7 +366,8 @@ def _base64_layers(outer: Layer, runs: list[re.Match], big: list) -> list[Layer]
                     break
             i = j + 1
         if not joined or joined[-1][0] < m.start():
-            out += _Base64(outer, lines).parts(big)
+            run = _Base64(outer, lines)
+            out += run.parts(big) + run.binary()
     joined.sort()
     firsts = [a for a, _ in joined]
     for m in runs:
@@ -349,7 +375,7 @@ def _base64_layers(outer: Layer, runs: list[re.Match], big: list) -> list[Layer]
         if k >= 0 and m.end() <= joined[k][1]:  # a line of what was opened
             continue
         run = _Base64(outer, [m.span()])
-        out += run.whole(big) or run.parts(big)
+        out += run.whole(big) or run.parts(big) + run.binary()
     return out
 
 
@@ -402,7 +428,7 @@ def unwrap(layer: Layer, runs: list[re.Match], big: list) -> list[Layer]:
     if any(r.end() - r.start() >= 32 for r in runs):
         for m in _LONG_HEX.finditer(t):
             raw = bytes.fromhex(m[0])
-            if _inflate(raw):
+            if _inflate(raw) or _runs(raw):
                 out += _bytes_layers(layer, "hex", *m.span(), raw, big)
     return out
 
