@@ -67,6 +67,15 @@ def corpus(seed=3):
     return rows
 
 
+def test_texts_under_one_doc_id_are_all_compared(docs_of):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    near_b = b.replace("b59", "changed")
+    rows = [(2, a), (5, a), (5, b), (5, b), (7, near_b), (9, c), (9, ""), (3, c), (4, "lonely"), (4, None), (6, "")]
+    got = Counter((r.doc_id, r.n_shingles > 0, r.component_id, r.kept) for r in minhash.near_duplicates(docs_of(rows), 5, 80).collect())
+    assert got == Counter([(2, True, 2, True), *[(5, True, 2, False)] * 3, (7, True, 2, False), (3, True, 3, True), (9, True, 3, False),
+                           (9, False, 3, False), (4, True, 4, True), (4, False, 4, True), (6, False, 6, True)])
+
+
 @pytest.mark.parametrize("words", [2, 5])
 def test_near_duplicates_match_brute_force(docs_of, words):
     rows = [*corpus(), *EDGE]

@@ -32,8 +32,10 @@ from tidemark.llm.common import WordHash, list_of_longs, mix, stage, texts, work
 from tidemark.llm.components import connected_components
 
 HALF, TABLES = 3, 12
-#: Shingles that one verification block holds on either side.
-BLOCK_SHINGLES = 200_000
+#: Shingles and texts that one verification block holds on either side.
+BLOCK_SHINGLES, BLOCK_ROWS = 200_000, 4_096
+#: Parts of the rows of one component when they meet its block counts.
+SALTS = 16
 
 
 def shingle_set(text: bytes, words: int, known: WordHash) -> np.ndarray:
@@ -88,19 +90,24 @@ def _profile(words: int, half: int, m: int, seed: int):
                 if full:
                     keys[[i for i, s in enumerate(sets) if len(s)]] = half_keys(full, half, m, seed)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, 512), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    [ids.slice(lo, 512), b.column(2).slice(lo, 512), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 for s in sets], pa.int64()),
                      list_of_longs(keys[:, :m]), list_of_longs(keys[:, m:])],
-                    names=["doc_id", "n_shingles", "set_key", "ha", "hb"])
+                    names=["doc_id", "text_key", "n_shingles", "set_key", "ha", "hb"])
 
     return run
 
 
 def profiles(docs: DataFrame, words: int, half: int = HALF, m: int = TABLES, seed: int = 11) -> DataFrame:
-    """doc_id, n_shingles, set_key (128-bit digest of the set), half keys of both collections."""
-    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    """doc_id, text_key and set_key (hashes of the text and of its set), n_shingles, half keys of both collections."""
+    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key())
             .mapInArrow(_profile(words, half, m, seed),
-                        "doc_id long, n_shingles long, set_key binary, ha array<long>, hb array<long>"))
+                        "doc_id long, text_key long, n_shingles long, set_key long, ha array<long>, hb array<long>"))
+
+
+def text_key():
+    """64-bit hash of the text: with the doc_id it names a row, where a doc_id stands on rows of different texts."""
+    return F.xxhash64(F.col("text").cast("string")).alias("text_key")
 
 
 def _verify(words: int, percent: int):
@@ -138,17 +145,20 @@ def confirm(asking: DataFrame, members: DataFrame, bodies: DataFrame, words: int
     counts; a block meets each block of the other side, so no task gets an unbounded group.
     """
     def blocks(col):
-        return F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias(col)
+        return F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)), F.ceil(F.count("*") / F.lit(BLOCK_ROWS))).cast("int").alias(col)
+
+    def salted(df, by):  # the rows of a large cid meet its block counts in many tasks
+        return df.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
 
     size = bodies.select("doc", "n")
     nu = asking.join(size.withColumnRenamed("doc", "u"), "u").groupBy("cid").agg(blocks("nu"))
     nv = members.join(size.withColumnRenamed("doc", "v"), "v").groupBy("cid").agg(blocks("nv"))
-    counts = nu.join(nv, "cid")
-    left = (members.join(counts, "cid")
+    counts = nu.join(nv, "cid").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    left = (salted(members, "v").join(counts, ["cid", "salt"])
             .select("cid", "v", "vc", F.pmod(F.xxhash64("v"), F.col("nv")).cast("int").alias("bv"),
                     F.explode(F.sequence(F.lit(0), F.col("nu") - 1)).alias("bu"))
             .join(bodies.select(F.col("doc").alias("v"), "body"), "v"))
-    right = (asking.join(counts, "cid")
+    right = (salted(asking, "u").join(counts, ["cid", "salt"])
              .select("cid", "u", "uc", F.pmod(F.xxhash64("u"), F.col("nu")).cast("int").alias("bu"),
                      F.explode(F.sequence(F.lit(0), F.col("nv") - 1)).alias("bv"))
              .join(bodies.select(F.col("doc").alias("u"), "body"), "u"))
@@ -195,18 +205,17 @@ def _cross(placed: DataFrame, whole: DataFrame) -> tuple[DataFrame, DataFrame]:
     return asking, stage(members, "minhash-members")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, half: int = HALF, m: int = TABLES) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text; others unused).
+def text_groups(docs: DataFrame, words: int = 5, percent: int = 80, half: int = HALF, m: int = TABLES) -> DataFrame:
+    """doc_id, text_key, n_shingles, set_key, component (a set_key): one row per row of ``docs`` (doc_id, text).
 
-    Null or empty texts and texts without words have n_shingles 0 and are their own component.
-    Texts shorter than ``words`` words are one shingle. A repeated doc_id stands for one document of
-    several rows: each row gets the component of the doc_id (kept is true on every row of a kept id).
-    Rows without a doc_id link nothing: component_id null, kept true. An empty table gives none.
+    Sets are told apart by 63-bit hashes. Groups of near-duplicate texts, whatever doc_id they stand under; rows with equal sets have one
+    set_key and component. Rows without words or without a doc_id take no part: component NULL.
     """
     prof = stage(profiles(docs, words, half, m), "minhash-profile")
     live = prof.where("n_shingles > 0 and doc_id is not null")
-    reps = stage(live.groupBy("set_key").agg(F.min_by(F.struct("doc_id", "n_shingles", "ha", "hb"), "doc_id").alias("r"))
-                 .select("set_key", F.col("r.doc_id").alias("doc"), F.col("r.n_shingles").alias("n"), "r.ha", "r.hb"),
+    # one representative per distinct set, known by the set's key
+    reps = stage(live.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key", "n_shingles", "ha", "hb")).alias("r"))
+                 .select(F.col("set_key").alias("doc"), "r.doc_id", "r.text_key", F.col("r.n_shingles").alias("n"), "r.ha", "r.hb"),
                  "minhash-reps")
     rows = (reps.select("doc", "hb", F.posexplode("ha").alias("i", "a"))
             .select("doc", "i", "a", F.posexplode("hb").alias("j", "b"))
@@ -225,10 +234,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, half: in
              .groupBy("u").agg(F.max(F.struct("shared", "rank", "cid")).alias("best"))
              .select("u", F.col("best.cid").alias("cid")))
     first = stage(first, "minhash-first")
-    wanted = degree.select(F.col("doc"))
-    bodies = stage(docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").cast("binary").alias("body"))
-                   .join(wanted, "doc", "left_semi").dropDuplicates(["doc"])
-                   .join(reps.select("doc", "n"), "doc"), "minhash-bodies")
+    wanted = reps.select("doc", "n", "doc_id", "text_key").join(degree.select("doc"), "doc", "left_semi")
+    bodies = stage(docs.select(F.col("doc_id").cast("long"), text_key(), F.col("text").cast("string").cast("binary").alias("body"))
+                   .join(wanted, ["doc_id", "text_key"]).select("doc", "n", "body").dropDuplicates(["doc"]), "minhash-bodies")
     leaders = first.select(F.col("cid").alias("v"), F.col("cid").alias("vc"), "cid").distinct()
     links = stage(confirm(first.withColumn("uc", F.col("u")), leaders, bodies, words, percent), "minhash-links1")
 
@@ -246,15 +254,37 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, half: in
     late = stage(confirm(asking, members, bodies, words, percent), "minhash-links2")
     final = connected_components(links.unionByName(late))
 
-    # components of representatives, lowered to the smallest doc_id, back to every row by its set
-    of_set = (reps.join(final, reps["doc"] == final["node"], "left")
-              .select("set_key", F.coalesce("component", "doc").alias("component")))
-    by_set = prof.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
-    alone = F.col("n_shingles") == 0
-    return by_set.select(
-        "doc_id", "n_shingles",
-        F.when(F.col("doc_id").isNull() | alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    of_set = final.select(F.col("node").alias("set_key"), "component")
+    takes_part = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return (prof.select("doc_id", "text_key", "n_shingles", "set_key").join(of_set, "set_key", "left")
+            .select("doc_id", "text_key", "n_shingles", "set_key", F.when(takes_part, F.coalesce("component", "set_key")).alias("component")))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, half: int = HALF, m: int = TABLES) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text; others unused).
+
+    Null or empty texts and texts without words have n_shingles 0 and are linked with nothing (but the
+    other rows of their doc_id). Texts shorter than ``words`` words are one shingle. A repeated doc_id stands for one document of
+    several rows: its texts are linked to each other, so all its rows get one component (kept is true
+    on every row of a kept id). Rows without a doc_id link nothing: component_id null, kept true. An
+    empty table gives none.
+    """
+    found = stage(text_groups(docs, words, percent, half, m), "minhash-groups")
+    live = found.where("component IS NOT NULL").select("doc_id", "component")
+    # groups of texts that one doc_id stands in are one
+    again = live.groupBy("doc_id").agg(F.min("component").alias("b"), F.max("component").alias("top")).where("b < top").select("doc_id", "b")
+    joined = connected_components(stage(live.join(again, "doc_id").select(F.col("component").alias("a"), "b").distinct(), "minhash-joined"))
+    whole = live.groupBy("component").agg(F.min("doc_id").alias("low")).join(joined.toDF("component", "whole"), "component", "left")
+    whole = whole.select("component", "low", F.coalesce("whole", "component").alias("whole"))
+    low = whole.groupBy("whole").agg(F.min("low").alias("component_id"))
+    lowest = whole.join(low, "whole").select("component", "component_id")
+    # rows without words take the component of their doc_id's other rows
+    bare = found.where("component IS NULL AND doc_id IS NOT NULL").select("doc_id").distinct()
+    of_id = (live.join(bare, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component").alias("component"))
+             .join(lowest, "component").select("doc_id", F.col("component_id").alias("of_id")))
+    out = found.join(lowest, "component", "left").join(of_id, "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "of_id", "doc_id").alias("component_id")).withColumn(
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
