@@ -18,7 +18,8 @@ SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy keeps."""
+    """Documents that the current policy keeps; a null text is empty and goes, repeated rows are judged one by one,
+    an empty table gives none."""
     rows = docs.select(*COLUMNS).select(F.struct("*").alias("row"), "text")
     kept = quality.POLICIES[quality.CURRENT].keeps(F.col("fail_bits"))
     # a condition on the row number, which is not deterministic, keeps the filter above the finished column;
@@ -28,33 +29,38 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one of the smallest doc_id; of rows that repeat a
-    doc_id the smallest; all rows without a doc_id."""
+    """One row of each group of near-duplicate texts, the one of the smallest (doc_id, hash of the text); of
+    equal texts under one doc_id the smallest row. A doc_id on rows of different texts keeps a row of each
+    group; rows without a doc_id or without words all stay. An empty table gives none; columns other than
+    those of documents are left out."""
     docs = docs.select(*COLUMNS)
-    found = stage(minhash.near_duplicates(docs, SHINGLE_WORDS, SIMILARITY_PERCENT).select("doc_id", "kept"), "pipeline-groups")
-    drop = stage(found.where("NOT kept").select("doc_id").distinct(), "pipeline-copies")
-    rest = docs.join(drop, "doc_id", "left_anti")
-    again = stage(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"),
-                  "pipeline-repeated")
-    first = (rest.join(again, "doc_id", "left_semi").groupBy("doc_id")
+    key = ["doc_id", "text_key"]
+    found = stage(minhash.text_groups(docs, SHINGLE_WORDS, SIMILARITY_PERCENT).where("component IS NOT NULL").select(*key, "component"), "pipeline-groups")
+    first = found.groupBy("component").agg(F.min(F.struct(*key)).alias("first")).select("first.*")
+    rows = found.groupBy(*key).agg(F.count("*").alias("n")).join(first.withColumn("stays", F.lit(True)), key, "left")
+    rows = stage(rows.where("stays IS NULL OR n > 1").select(*key, F.coalesce("stays", F.lit(False)).alias("stays")), "pipeline-copies")
+    keyed = docs.select("*", minhash.text_key())
+    again = (keyed.join(rows.where("stays"), key, "left_semi").groupBy(*key)
              .agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")))
-    return (rest.join(again, "doc_id", "left_anti").select(*COLUMNS)
-            .unionByName(first.select("doc_id", *[F.col(f"row.{c}") for c in COLUMNS[1:]])))
+    return (keyed.join(rows, key, "left_anti").select(*COLUMNS)
+            .unionByName(again.select("doc_id", *[F.col(f"row.{c}") for c in COLUMNS[1:]])))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, found secrets replaced in the text and n_chars counted anew."""
+    """All documents, found secrets replaced in the text and n_chars counted anew; null texts stay as they are,
+    an empty table gives none."""
     clean = secrets.redact_texts(docs.select(*COLUMNS))
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sample whose tokens are raked to the target shares of source, language and topic."""
+    """The sample whose tokens are raked to the target shares of source, language and topic; null sources and
+    languages are a category like any other, an empty table gives none."""
     return mixing.sample(docs.select(*COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in training sequences."""
+    """Pieces of all documents in training sequences; a null text is empty, an empty table gives none."""
     return packing.pack_documents(docs)
 
 
