@@ -54,3 +54,12 @@ def test_mixing_samples_and_packing_takes_all(steps):
     code = packing.TokenBytes(packing.vocabulary_path())
     for r in steps[4].collect():
         assert sum(p.length for p in pieces if p.doc_id == r.doc_id) == len(code.encode(r.text)) // 4 + 1
+
+
+def test_no_text_vanishes_with_its_doc_id(spark, docs_of):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(2, a), (5, a), (5, b), (5, b), (7, b.replace("b59", "changed")), (9, c), (None, a), (None, a), (8, ""), (8, "")]
+    kept = cp.near_dedup(spark, docs_of(rows), "")
+    assert kept.columns == cp.COLUMNS
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(2, a), (5, b), (9, c), (0, a), (0, a), (8, ""), (8, "")])
+    assert cp.near_dedup(spark, docs_of(rows).where("false"), "").count() == 0
