@@ -272,7 +272,7 @@ def test_class_model_matches_brute_force(docs_of):
     assert sum(r.score for r in real) > sum(r.base_score for r in real)  # classes know that verbs follow nouns
 
 
-def test_every_repeated_word_is_clustered_until_no_gain(docs_of):
+def test_every_repeated_word_is_clustered_until_no_gain(docs_of, monkeypatch):
     rng = random.Random(9)
     nouns, verbs = [f"thing{k:04d}" for k in range(1500)], [f"makes{k:04d}" for k in range(1500)]  # one form, over 2,048 words
     rows = [(i, " ".join(rng.choice(nouns) + " " + rng.choice(verbs) for _ in range(30))) for i in range(700)]
@@ -282,6 +282,10 @@ def test_every_repeated_word_is_clustered_until_no_gain(docs_of):
     bigrams = brown.bigram_counts(train).cache()
     known, table = brown.exchange_classes(bigrams, words, classes=4)
     of = {bytes(r.word): r.c for r in words.join(known, "w").collect()}
+    for row_pairs in (200_000, 40):  # the same classes from the map in every task, some words in pieces
+        monkeypatch.setattr(brown, "ROW_PAIRS", row_pairs)
+        mapped, same = brown.exchange_by_map(train, words, classes=4)
+        assert (same == table).all() and {bytes(r.word): r.c for r in words.join(mapped, "w").collect()} == of
     want, ids = np.zeros_like(table), [[b" ", *t.encode().split(), b" "] for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
     for t in ids:
         np.add.at(want, ([of[x] for x in t[:-1]], [of[x] for x in t[1:]]), 1)

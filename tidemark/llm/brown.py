@@ -6,9 +6,10 @@ gaining; rarer and unseen words belong to a form class (length and whether there
 or non-ASCII bytes). P(text) is the product of P(class | previous class) * P(word | class), both
 add-one smoothed; an end token closes each text and begins the next history.
 
-What is sent to tasks whole is bounded by parameters: the class table (classes squared) and the
-``HEAD`` most frequent words. The class map meets the bigrams in a join, the classes and counts of all
-other words meet their texts in a join. Words are told apart by a 64-bit hash in the bigrams.
+What is sent to tasks whole is bounded by parameters: the class table (classes squared), the ``HEAD``
+most frequent words, and the classes of up to ``MAP_WORDS`` words, one byte each; the classes of more
+words meet the bigrams in a join. The classes and counts of all words outside the head meet their texts
+in a join. Words are told apart by a 64-bit hash in the bigrams.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +29,8 @@ from tidemark.llm.common import stage, texts, worker_cache
 LEAST, CLASSES = 2, 48
 #: Most frequent words whose counts are sent to every task.
 HEAD = 100_000
+#: Moving words whose classes are sent to every task: eight bytes each once, then one byte a round.
+MAP_WORDS = 32_000_000
 FOLDS, HELD_OUT = 7, 2
 #: The end token as a word; real words hold no blank.
 END = b" "
@@ -206,8 +208,8 @@ def exchange_classes(bigrams: DataFrame, words: DataFrame, classes: int = CLASSE
     best, k = None, 0
     while True:
         known = state.unionByName(fixed)
-        after = (bigrams.join(known.withColumnRenamed("w", "b"), "b").groupBy(F.col("a").alias("w"), "c")
-                 .agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY))
+        after = stage(bigrams.join(known.withColumnRenamed("w", "b"), "b").groupBy(F.col("a").alias("w"), "c")
+                      .agg(F.sum("n").alias("n")), "lm-after")
         table = np.zeros((total, total))
         for i, j, n in (after.withColumnRenamed("c", "j").join(known, "w").groupBy("c", "j").agg(F.sum("n")).collect()):
             table[i, j] = n  # at most classes squared
@@ -217,7 +219,6 @@ def exchange_classes(bigrams: DataFrame, words: DataFrame, classes: int = CLASSE
             if gained:
                 best = known, table
             if done or not gained:
-                after.unpersist()
                 return best
         half = f"pmod({{}}, 2) = {k % 2}"
         before = (bigrams.where(half.format("b")).join(known.withColumnRenamed("w", "a"), "a")
@@ -228,10 +229,232 @@ def exchange_classes(bigrams: DataFrame, words: DataFrame, classes: int = CLASSE
         near = sides.groupBy("w").agg(F.collect_list(F.struct("side", "c", "n")).alias("near"))  # at most 2 * total + 1 each
         moved = state.join(near, "w").select("w", "c", "near").mapInArrow(_exchange(table, classes), "w long, c long")
         state = stage(moved.unionByName(state.where("NOT " + half.format("w"))), "lm-state")
-        after.unpersist()
         k += 1
 
 
+# -- the same exchange with the word -> class map in every task ------------------------------------------
+
+
+def _packed(batches):
+    """Longs and small numbers of many rows as two binary values."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(b.column(0).to_numpy()).tobytes()], pa.binary()),
+                                          pa.array([b.column(1).to_numpy().astype(np.int8).tobytes()], pa.binary())], names=["w", "c"])
+
+
+def _symbols(hashes: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """Place of each word in ``hashes``; a word that is not there: their number, plus 0 for END, plus 1 + its form."""
+    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words)).view(np.int64)
+    at = np.searchsorted(hashes, h)
+    fixed = np.fromiter((len(hashes) if w == END else len(hashes) + 1 + form(w) for w in words), np.int64, len(words))
+    return np.where(hashes[np.minimum(at, len(hashes) - 1)] == h, at, fixed) if len(hashes) else fixed
+
+
+def _symbol_bigrams(shipped):
+    def run(batches):
+        hashes = shipped.value
+        known, parts, held = _Numbers(), [], 0
+
+        def out():
+            size = len(known)
+            keys, n = np.unique(np.concatenate([x * size + y for x, y in parts]), return_counts=True)
+            symbol = _symbols(hashes, list(known))
+            keys, at = np.unique(symbol[keys // size] << 32 | symbol[keys % size], return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at, weights=n).astype(np.int64))], names=["ab", "n"])
+
+        for batch in batches:
+            for t in texts(batch.column(0)):
+                w = [END, *t.lower().split(), END]
+                s = np.fromiter(map(known.__getitem__, w), np.int64, len(w))
+                parts.append((s[:-1], s[1:]))
+                held += len(s)
+                if held > 4_000_000:
+                    yield out()
+                    known, parts, held = _Numbers(), [], 0
+        if parts:
+            yield out()
+
+    return run
+
+
+#: Neighbours that one row of the adjacency lists holds; a word with more has rows of its own.
+ROW_PAIRS = 200_000
+
+
+def _adjacency(batches):
+    """Rows (w, side, nb, n), sorted by w, packed: whole words together, a word of more than ROW_PAIRS in pieces."""
+
+    def row(part, split):
+        return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in part] + [pa.array([split], pa.bool_())],
+                                          names=["w", "side", "nb", "n", "split"])
+
+    rest, alone = None, None  # alone: the word whose pieces are being written
+    for b in batches:
+        now = [b.column(0).to_numpy().astype(np.int32), b.column(1).to_numpy().astype(np.int8),
+               b.column(2).to_numpy().astype(np.int32), b.column(3).to_numpy().astype(np.int64)]
+        rest = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
+        while len(rest[0]) > ROW_PAIRS:
+            w = rest[0]
+            if alone is not None and w[0] == alone or w[0] == w[ROW_PAIRS]:
+                alone = w[0]
+                cut = min(int(np.searchsorted(w, alone, "right")), ROW_PAIRS)
+                yield row([v[:cut] for v in rest], True)
+            else:
+                cut = int(np.searchsorted(w, w[ROW_PAIRS], "left"))  # the last word may go on
+                yield row([v[:cut] for v in rest], False)
+            rest = [v[cut:] for v in rest]
+    if rest is not None and len(rest[0]):
+        if alone is not None and rest[0][0] == alone:
+            cut = int(np.searchsorted(rest[0], alone, "right"))
+            yield row([v[:cut] for v in rest], True)
+            rest = [v[cut:] for v in rest]
+        if len(rest[0]):
+            yield row(rest, False)
+
+
+def _lists(b, i):
+    return (np.frombuffer(b.column(k)[i].as_py(), kind) for k, kind in enumerate((np.int32, np.int8, np.int32, np.int64)))
+
+
+def _class_bigrams(shipped, total: int, first_fixed: int):
+    """Cells of the class bigram table that the lists hold; every bigram with a moving word is counted once."""
+
+    def run(batches):
+        of, table = shipped.value, np.zeros(total * total)
+        for b in batches:
+            for i in range(b.num_rows):
+                w, side, nb, n = _lists(b, i)
+                a, c = of[w].astype(np.int64), of[nb].astype(np.int64)
+                after, before = side == 1, (side == 0) & (nb >= first_fixed)
+                table += np.bincount(np.concatenate([a[after] * total + c[after], c[before] * total + a[before]]),
+                                     weights=np.concatenate([n[after], n[before]]), minlength=total * total)
+        some = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(table[some].astype(np.int64))], names=["cell", "n"])
+
+    return run
+
+
+def _word_counts_of(of, w, side, nb, n, total: int):
+    """words, (3, words, classes) counts before, after and of the word itself."""
+    words, at = np.unique(w, return_inverse=True)
+    size = len(words) * total
+    counts = np.bincount((side.astype(np.int64) * len(words) + at) * total + np.where(side == 2, 0, of[nb]), weights=n, minlength=3 * size)
+    return words, counts.reshape(3, len(words), total)
+
+
+def _moves(shipped, table: np.ndarray, choices: int, half: int):
+    total = len(table)
+
+    def run(batches):
+        of, odd = shipped.value
+        for b in batches:
+            for i in range(b.num_rows):
+                w, side, nb, n = _lists(b, i)
+                turn = odd[w] == half
+                w, side, nb, n = w[turn], side[turn], nb[turn], n[turn]
+                starts = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else np.zeros(0, np.int64)
+                for lo in range(0, len(starts), 500):
+                    s = slice(starts[lo], starts[lo + 500] if lo + 500 < len(starts) else len(w))
+                    words, counts = _word_counts_of(of, w[s], side[s], nb[s], n[s], total)
+                    best = best_classes(counts[0], counts[1], counts[2, :, 0], of[words].astype(np.int64), table, choices)
+                    yield pa.RecordBatch.from_arrays([pa.array([words.astype(np.int32).tobytes()], pa.binary()),
+                                                      pa.array([best.astype(np.int8).tobytes()], pa.binary())], names=["w", "c"])
+
+    return run
+
+
+def _pieces(shipped, total: int, half: int):
+    def run(batches):
+        of, odd = shipped.value
+        for b in batches:
+            for i in range(b.num_rows):
+                w, side, nb, n = _lists(b, i)
+                if odd[w[0]] == half:
+                    words, counts = _word_counts_of(of, w, side, nb, n, total)
+                    s, _, c = np.nonzero(counts)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), words[0], np.int64)), pa.array(s), pa.array(c),
+                                                      pa.array(counts[s, 0, c].astype(np.int64))], names=["w", "side", "c", "n"])
+
+    return run
+
+
+def _classes_of(shipped):
+    def run(batches):
+        hashes, of = shipped.value
+        for b in batches:
+            w, fixed = b.column(0).to_numpy(), b.column(1).to_numpy()
+            at = np.searchsorted(hashes, w)
+            c = np.where(fixed >= 0, fixed, of[np.minimum(at, len(of) - 1)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c.astype(np.int64))], names=["w", "c"])
+
+    return run
+
+
+def exchange_by_map(train: DataFrame, words: DataFrame, classes: int = CLASSES, rounds: int | None = None) -> tuple[DataFrame, np.ndarray]:
+    """What ``exchange_classes`` returns, for at most MAP_WORDS moving words and fewer than 128 classes.
+
+    Moving words are numbered by the order of their hashes and the others stand for their class from the
+    start, so the bigrams are summed over far fewer pairs. They are written once, as the neighbours of each
+    word; a round reads these lists and moves nothing but the word -> class map, one byte a word.
+    """
+    spark, total = train.sparkSession, classes + 1 + FORMS
+    moving = words.where("moves").select("w", F.pmod(F.xxhash64("w"), F.lit(classes)).cast("long").alias("c"))
+    rows = moving.mapInArrow(_packed, "w binary, c binary").collect()  # nine bytes a word
+    hashes = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r.w, np.int64) for r in rows)])
+    start = np.concatenate([np.zeros(0, np.int8), *(np.frombuffer(r.c, np.int8) for r in rows)])
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    of = np.concatenate([start[order], np.arange(classes, total, dtype=np.int8)])
+    odd, v = (hashes & 1).astype(np.int8), len(hashes)
+
+    shipped = spark.sparkContext.broadcast(hashes)
+    pairs = stage(train.select(F.col("text").cast("string")).mapInArrow(_symbol_bigrams(shipped), "ab long, n long")
+                  .groupBy("ab").agg(F.sum("n").alias("n")).select(F.shiftright("ab", 32).cast("int").alias("a"),
+                                                                   F.col("ab").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("b"), "n"), "lm-pairs")
+    still = np.zeros((total, total))  # bigrams without a moving word
+    for a, b, n in pairs.where((F.col("a") >= v) & (F.col("b") >= v)).collect():  # at most classes squared
+        still[classes + a - v, classes + b - v] = n
+    sides = [pairs.where((F.col("a") < v) & (F.col("a") == F.col("b"))).select(F.col("a").alias("w"), F.lit(2).alias("side"), F.col("b").alias("nb"), "n"),
+             pairs.where(F.col("a") < v).select(F.col("a").alias("w"), F.lit(1).alias("side"), F.col("b").alias("nb"), "n"),
+             pairs.where(F.col("b") < v).select(F.col("b").alias("w"), F.lit(0).alias("side"), F.col("a").alias("nb"), "n")]
+    lists = stage(sides[0].unionByName(sides[1]).unionByName(sides[2]).repartition("w").sortWithinPartitions("w")
+                  .mapInArrow(_adjacency, "w binary, side binary, nb binary, n binary, split boolean"), "lm-lists")
+    columns = ["w", "side", "nb", "n"]
+
+    def table_of(classes_of: np.ndarray) -> np.ndarray:
+        sent = spark.sparkContext.broadcast(classes_of)
+        table = still.copy().reshape(-1)
+        for cell, n in lists.select(*columns).mapInArrow(_class_bigrams(sent, total, v), "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
+            table[cell] += n  # at most classes squared
+        sent.destroy()
+        return table.reshape(total, total)
+
+    best, k = None, 0
+    while True:
+        table = table_of(of)
+        done = rounds is not None and k >= rounds
+        if done or rounds is None and k % 2 == 0:
+            gained = done or best is None or likelihood(table) > likelihood(best[1])
+            if gained:
+                best = of, table
+            if done or not gained:
+                break
+        sent, of = spark.sparkContext.broadcast((of, odd)), of.copy()
+        for r in lists.where("NOT split").select(*columns).mapInArrow(_moves(sent, table, classes, k % 2), "w binary, c binary").collect():
+            of[np.frombuffer(r.w, np.int32)] = np.frombuffer(r.c, np.int8)  # five bytes a word
+        split: dict[int, np.ndarray] = {}
+        for w, side, c, n in (lists.where("split").select(*columns).mapInArrow(_pieces(sent, total, k % 2), "w long, side long, c long, n long")
+                              .groupBy("w", "side", "c").agg(F.sum("n")).collect()):  # words of over ROW_PAIRS neighbours
+            split.setdefault(w, np.zeros((3, total)))[side, c] = n
+        for w, (left, right, itself) in split.items():
+            of[w] = best_class(left, right, itself[0], int(sent.value[0][w]), table, classes)
+        sent.destroy()
+        k += 1
+    sent = spark.sparkContext.broadcast((hashes, best[0]))
+    known = words.select("w", F.when(F.col("moves"), F.lit(-1)).otherwise(F.col("form") + classes + 1).cast("long").alias("c"))
+    return known.mapInArrow(_classes_of(sent), "w long, c long"), best[1]
+
+
 def _profile_texts(log_next, head, end, base_log, mark):
     """Per text: log10 sums over the words of the head; other words, and pairs with one, are listed for a join.
 
@@ -296,12 +519,13 @@ def _finish_texts(log_next, log_emit_of, base_log, first_form):
 
 
 def score_texts(docs: DataFrame, core_words: int | None = None, classes: int = CLASSES, rounds: int | None = None,
-                head_words: int = HEAD) -> DataFrame:
+                head_words: int = HEAD, map_words: int = MAP_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity per row of ``docs``.
 
     Takes doc_id and text (null: empty, so one end token). Repeated rows train and are scored one by
     one. With no training row at all, every count is 0 and N and V are 0. ``core_words`` clusters so
-    many of the most frequent words instead of all from LEAST on.
+    many of the most frequent words instead of all from LEAST on. More moving words than ``map_words`` are
+    clustered by joins, with the same result.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
@@ -315,8 +539,10 @@ def score_texts(docs: DataFrame, core_words: int | None = None, classes: int = C
         core = [(bytearray(w),) for w, _ in frequent(counts, core_words + 1) if w != END][:core_words]
         chosen = spark.createDataFrame(core, "word binary").withColumn("moves", F.lit(True))
         words = counts.join(F.broadcast(chosen), "word", "left").select("w", "form", F.coalesce("moves", F.lit(False)).alias("moves"))
-    bigrams = stage(bigram_counts(train), "lm-bigrams")
-    known, table = exchange_classes(bigrams, words, classes, rounds)
+    if words.where("moves").count() <= map_words and classes + 1 + FORMS < 128:
+        known, table = exchange_by_map(train, words, classes, rounds)
+    else:
+        known, table = exchange_classes(stage(bigram_counts(train), "lm-bigrams"), words, classes, rounds)
     total = len(table)
     log_next = np.log10((table + 1) / (table.sum(axis=1, keepdims=True) + total))
     classed = stage(counts.join(known, "w").select("word", "n", "c"), "lm-classes")
