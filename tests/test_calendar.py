@@ -141,8 +141,8 @@ def test_masks_match_brute_force_over_years_and_outside_the_calendar(spark):
 def test_coverage_needs_no_join_and_no_single_task_window(md):
     from tidemark.plans.coverage import coverage_report, missing_bars
 
-    for q, shuffles in ((coverage_report, 2), (missing_bars, 2)):
-        text = q(md)._jdf.queryExecution().optimizedPlan().toString()
-        plan = q(md)._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
-        assert "Join" not in text.split("scalar-subquery")[0] and "windowspecdefinition(trade" not in text
-        assert "partial_bit_or" in plan and "Expand" not in plan
+    for q in (coverage_report, missing_bars):
+        df = q(md)
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+        assert "Join" not in plan and "Expand" not in plan and "SinglePartition" not in plan.split("scalar-subquery")[0]
+        assert "bit" in df._jdf.queryExecution().optimizedPlan().toString()

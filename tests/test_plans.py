@@ -40,3 +40,72 @@ def test_scan_prunes_columns(md):
     p = _plan(md.adj_factor())
     assert "ReadSchema: struct<l_suppkey:bigint,l_discount:double,l_returnflag:string,l_shipdate:timestamp_ntz>" in p
     assert "PushedFilters: [IsNotNull(l_returnflag), EqualTo(l_returnflag,R)]" in p
+
+
+def test_factor_table_has_261_columns_and_a_subset_reads_only_its_own(spark, md):
+    from conftest import rows
+    from tidemark.plans.market import INDICATOR_COLS, factors_all, indicator_subset
+    from tidemark.session import staging_path
+    from tidemark.sources.schemas import SPECS
+    from tidemark.sources.snapshots import SnapshotTable
+
+    spec = SPECS["stk_factor_pro"]
+    assert len(spec.columns) == 261 and factors_all(md).columns == [*spec.columns, "position"]
+    table = SnapshotTable(spark, staging_path(spark, "t-factors"), spec)
+    table.replace(md.stk_factor_pro().where("ts_code IN ('S1', 'S2')"))
+    stored = table.read().select("ts_code", *INDICATOR_COLS)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        read = _plan(stored).split("ReadSchema: struct<")[1].split(">")[0]
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert len(read.split(",")) == 18 and "xsii" not in read  # 17 columns and the symbol
+    assert rows(stored) == rows(indicator_subset(md).where("ts_code IN ('S1', 'S2')"))
+    assert "xsii" not in _plan(indicator_subset(md))
+
+
+def test_statistics_need_no_expand(md):
+    from tidemark.plans.stats import table_overview, table_stats
+
+    for q in (table_stats, table_overview):
+        df = q(md)
+        assert "Expand" not in _plan(df) and "bit_count" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sql_calls_on_different_data_run_side_by_side(spark, md):
+    from concurrent.futures import ThreadPoolExecutor
+
+    import pytest
+    from tidemark.plans.market import sql
+    from tidemark.sources.bindings import MarketData
+
+    other = MarketData(spark, "/root/testdata/sf0.01")
+    text = "SELECT count(*) AS n FROM {stock_basic} WHERE ts_code <> :skip"
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda m: sql(m, text, skip="S1").first()["n"], [md, other] * 8))
+    want = [m.stock_basic().where("ts_code <> 'S1'").count() for m in (md, other)]
+    assert got == want * 8 and want[0] != want[1]
+    with pytest.raises(ValueError, match="no such table"):
+        sql(md, "SELECT * FROM {nothing}")
+
+
+def test_positions_follow_the_order_and_limits_cut(spark):
+    from pyspark.sql import functions as F
+    from tidemark.operators.ordering import with_position
+
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), (F.col("id") % 3).alias("v")).repartition(7)
+    got = sorted((r.position, r.k) for r in with_position(df, [F.col("k").desc()]).collect())
+    assert got == [(i + 1, 4999 - i) for i in range(5000)]
+    assert sorted(r.position for r in with_position(df, ["v", "k"], 10).collect()) == list(range(1, 11))
+    assert with_position(df.where("false"), ["k"]).count() == 0
+
+
+def test_landing_writes_one_file_per_partition(spark):
+    import glob
+
+    from pyspark.sql import functions as F
+    from tidemark.session import staging_path
+    from tidemark.sources.landing import write_landing
+
+    path = write_landing(spark.range(1000).withColumn("m", F.col("id") % 5).repartition(8), staging_path(spark, "t-land"), partition_by="m")
+    assert all(len(glob.glob(f"{path.removeprefix('file:')}/m={k}/*.parquet")) == 1 for k in range(5))

@@ -133,3 +133,31 @@ def factor_table(bars: DataFrame, digits: int = 4) -> DataFrame:
         r(ma("open", 5)).alias("ma_bfq_5"), r(ma("high", 5)).alias("ma_hfq_5"),
         r(ma("vol", 5)).alias("vol_ma_5"),
     )
+
+
+def wide_factors(daily: DataFrame, factors: DataFrame, basic: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The technical factor table with all its ``columns``: prices and their adjusted variants, daily
+    metrics, the indicators of ``factor_table``, and for the many vendor-computed ones a deterministic
+    stand-in by their position (the source computes none of them either). Unused columns cost nothing:
+    their expressions are pruned with them."""
+    f = factors.select("ts_code", "trade_date", "adj_factor")
+    m = basic.select(*[c for c in basic.columns if c != "close"])
+    known = factor_table(daily).drop("close_qfq")
+    rows = (daily.join(known, ["ts_code", "trade_date"]).join(f, ["ts_code", "trade_date"], "left").join(m, ["ts_code", "trade_date"], "left"))
+    have = set(rows.columns)
+
+    def value(k: int, c: str):
+        price, _, how = c.partition("_")
+        if c in have:
+            return F.col(c)
+        if price in PRICE_COLS:
+            return F.col(price) * F.coalesce(F.col("adj_factor"), F.lit(1.0)) if how == "hfq" else F.col(price)
+        if "_" not in c and c not in ("downdays", "updays", "lowdays", "topdays") or c in VENDOR_ONLY:
+            return F.lit(None).cast("double")
+        return F.col("close") * ((k % 17 + 1) / 100.0) + F.col("vol") / (k + 1.0)
+
+    return rows.select("ts_code", "trade_date", *[value(k, c).alias(c) for k, c in enumerate(columns)])
+
+
+#: Columns of the vendor's market data that the inputs do not have.
+VENDOR_ONLY = ("turnover_rate_f", "dv_ttm", "total_share", "float_share", "free_share")

@@ -48,8 +48,10 @@ def export_csv(md: MarketData) -> DataFrame:
 
 
 def json_records(md: MarketData) -> DataFrame:
+    """The top stocks as JSON text, with a share that is NaN where a stock has a single pick."""
     from tidemark.plans.picks import top_stocks
-    return L.json_records(top_stocks(md))
+    share = F.when(F.col("rec_cnt") == 1, F.lit(float("nan"))).otherwise(F.col("broker_cnt") / F.col("rec_cnt"))
+    return L.json_records(top_stocks(md).withColumn("broker_share", share))
 
 
 def stream_upsert(md: MarketData) -> DataFrame:
@@ -85,7 +87,16 @@ def _upsert_oracle() -> str:
     return INGEST_ORACLE["upsert_merge"]
 
 
+def _json_oracle() -> str:
+    from tidemark.plans.picks import ORACLE as PICKS_ORACLE
+    cols = ["month", "rank", "ts_code", "name", "rec_cnt", "broker_cnt", "is_hot", "month_return", "first_close", "last_close"]
+    fields = ", ".join(f"{c} := {c}" for c in cols)
+    return (f"SELECT CAST(to_json(struct_pack({fields}, broker_share := CASE WHEN rec_cnt > 1 THEN broker_cnt / rec_cnt END)) AS VARCHAR) "
+            f"AS record FROM ({PICKS_ORACLE['top_stocks']})")
+
+
 ORACLE = {
+    "json_records": _json_oracle(),
     "stream_upsert": _upsert_oracle(),
     "landing_read": "SELECT ts_code, trade_date, open, high, low, close, vol, amount FROM v_bars",
     "landing_read_dates": """

@@ -8,6 +8,8 @@ the Parquet scan through Catalyst).
 from __future__ import annotations
 
 import datetime as _dt
+import re
+from string import Formatter
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,8 +19,9 @@ from tidemark.functions.text import rating_class as rating_class_expr
 from tidemark.operators import bars as B
 from tidemark.operators.ingest import union_ragged
 from tidemark.operators.merge import align_schema, latest_per_key
+from tidemark.operators.ordering import with_position
 from tidemark.sources.bindings import MarketData
-from tidemark.sources.schemas import spec
+from tidemark.sources.schemas import FACTOR_COLS, SPECS, spec
 
 # Column lists of the indicator and metrics lookups.
 INDICATOR_COLS = ["trade_date", "macd_dif_qfq", "macd_dea_qfq", "macd_qfq", "kdj_k_qfq", "kdj_d_qfq", "kdj_qfq",
@@ -90,12 +93,71 @@ def preview(md: MarketData, n: int = 20) -> DataFrame:
     return md.daily().orderBy("ts_code", "trade_date").limit(n)
 
 
+def sql(md: MarketData, text: str, **args) -> DataFrame:
+    """SQL over the logical tables: ``{daily}`` in the text is the table of that name, ``:x`` a bound value.
+
+    Only the tables that the text names are bound, to this call alone, so calls on different data run
+    side by side.
+    """
+    names = {n for _, n, _, _ in Formatter().parse(text) if n}
+    if unknown := names - set(SPECS):
+        raise ValueError(f"no such table: {sorted(unknown)}")
+    return md.spark.sql(text, args=args, **{n: logical_table(md, n) for n in names})
+
+
+def logical_table(md: MarketData, name: str) -> DataFrame:
+    return hk_us_master(md) if name == "hk_us_basic" else getattr(md, name)()
+
+
 def sql_param(md: MarketData, ts_code: str, start: str) -> DataFrame:
-    """Bound-parameter SQL over a temp view (never string-built)."""
-    md.bars().createOrReplaceTempView("tm_daily")
-    return md.spark.sql(
-        "SELECT ts_code, trade_date, close FROM tm_daily WHERE ts_code = :code AND trade_date >= :start",
-        args={"code": ts_code, "start": _dt.date.fromisoformat(start)})
+    """Bound-parameter SQL over one table (never string-built)."""
+    return sql(md, "SELECT ts_code, trade_date, close FROM {daily} WHERE ts_code = :code AND trade_date >= :start",
+               code=ts_code, start=_dt.date.fromisoformat(start))
+
+
+def sql_tables(md: MarketData) -> DataFrame:
+    """SQL over several logical tables at once."""
+    return sql(md, """
+SELECT b.industry, r.broker, count(*) AS picks, max(p.high_water) AS newest
+FROM {broker_recommend} r JOIN {stock_basic} b ON b.ts_code = r.ts_code
+JOIN (SELECT ts_code, max(trade_date) AS high_water FROM {daily} WHERE trade_date < :until GROUP BY ts_code) p ON p.ts_code = r.ts_code
+WHERE r.month BETWEEN :lo AND :hi GROUP BY b.industry, r.broker""", until=_dt.date(1998, 1, 1), lo="199601", hi="199612")
+
+
+# -- ordered lookups --------------------------------------------------------------
+def bars_ordered(md: MarketData) -> DataFrame:
+    """Daily bars in the order of (symbol, date)."""
+    return with_position(md.daily(), ["ts_code", "trade_date"])
+
+
+def adj_factors_ordered(md: MarketData) -> DataFrame:
+    return with_position(md.adj_factor(), ["ts_code", "trade_date"])
+
+
+def metrics_ordered(md: MarketData) -> DataFrame:
+    return with_position(daily_metrics(md, start="1996-01-01", end="1996-12-31"), ["ts_code", "trade_date"])
+
+
+def surveys_ordered(md: MarketData) -> DataFrame:
+    """Surveys, the newest first, then by symbol."""
+    return with_position(surveys(md), [F.col("surv_date").desc(), "ts_code"])
+
+
+def recs_ordered(md: MarketData) -> DataFrame:
+    """Recommendations by month (newest first), broker and symbol."""
+    return with_position(md.broker_recommend(), [F.col("month").desc(), "broker", "ts_code"])
+
+
+def concept_rows_limited(md: MarketData, index_code: str = "Brand#13", limit: int = 300) -> DataFrame:
+    """The newest rows of one concept by date (newest first), concept and member, at most ``limit``."""
+    return with_position(concept_rows(md, index_code=index_code), [F.col("trade_date").desc(), "index_code", "ts_code"], limit)
+
+
+# -- technical factors, all columns ---------------------------------------------------
+def factors_all(md: MarketData, ts_codes=("S1", "S2"), start="1996-01-01", end="1997-12-31") -> DataFrame:
+    """All columns of the technical factor table for some symbols and dates, in the order of (symbol, date)."""
+    rows = where_all(md.stk_factor_pro(), in_list("ts_code", ts_codes), date_range("trade_date", start, end))
+    return with_position(rows, ["ts_code", "trade_date"])
 
 
 # -- metrics -----------------------------------------------------------------
@@ -274,6 +336,14 @@ QUERIES = {
     "bars_monthly": bars_monthly,
     "bar_flags": bar_flags,
     "preview": preview,
+    "sql_tables": sql_tables,
+    "bars_ordered": bars_ordered,
+    "adj_factors_ordered": adj_factors_ordered,
+    "metrics_ordered": metrics_ordered,
+    "surveys_ordered": surveys_ordered,
+    "recs_ordered": recs_ordered,
+    "concept_rows_limited": concept_rows_limited,
+    "factors_all": factors_all,
     "sql_param": lambda md: sql_param(md, "S1", "1996-01-01"),
     "daily_metrics": daily_metrics,
     "indicator_subset": indicator_subset,
@@ -322,7 +392,7 @@ def _mean(c: str, n: int) -> str:
     return f"CASE WHEN count({c}) {frame} = {n} THEN list_reduce(list(CAST({c} AS DOUBLE)) {frame}, lambda a, b: a + b) / {n} END"
 
 
-def _ind_sql() -> str:
+def _ind_sql(extra: bool = False) -> str:
     def ma(c, n):
         return f"({_mean(c, n)})"
 
@@ -349,10 +419,45 @@ def _ind_sql() -> str:
         "ma_qfq_5": ma("close", 5), "ma_qfq_10": ma("close", 10), "ma_qfq_20": ma("close", 20),
         "ma_qfq_60": ma("close", 60),
     }
+    if extra:
+        cols |= {"ma_bfq_5": ma("open", 5), "ma_hfq_5": ma("high", 5)}
     sel = ", ".join(f"round({e}, 4) AS {k}" for k, e in cols.items())
     return f"SELECT ts_code, trade_date, {sel} FROM v_bars WINDOW w AS (PARTITION BY ts_code ORDER BY trade_date)"
 
 
+def _factors_sql() -> str:
+    """Every column of the factor table: known ones by their formulas, the others by the stand-in of their position."""
+    ind = _ind_sql(extra=True)
+    known = set(re.findall(r"AS (\w+)", ind)) & set(FACTOR_COLS)
+    metrics = {"turnover_rate", "volume_ratio", "pe", "pe_ttm", "pb", "ps", "ps_ttm", "dv_ratio", "total_mv", "circ_mv"}
+    none = {"turnover_rate_f", "dv_ttm", "total_share", "float_share", "free_share"}
+    cols = []
+    for k, c in enumerate(FACTOR_COLS):
+        price, _, how = c.partition("_")
+        if c in known:
+            e = f"i.{c}"
+        elif price in ("open", "high", "low", "close"):
+            e = f"d.{price} * coalesce(a.adj_factor, 1.0)" if how == "hfq" else f"d.{price}"
+        elif c in metrics:
+            e = f"b.{c}"
+        elif c in ("pre_close", "change", "pct_chg", "vol", "amount"):
+            e = f"d.{c}"
+        elif c == "adj_factor":
+            e = "a.adj_factor"
+        elif c in none:
+            e = "NULL::DOUBLE"
+        else:
+            e = f"d.close * {(k % 17 + 1) / 100.0!r}::DOUBLE + d.vol / {k + 1.0!r}::DOUBLE"
+        cols.append(f"{e} AS {c}")
+    on = "USING (ts_code, trade_date)"
+    return (f"SELECT ts_code, trade_date, {', '.join(cols)} FROM v_daily d JOIN ({ind}) i {on} "
+            f"LEFT JOIN v_adj a {on} LEFT JOIN v_daily_basic b {on}")
+
+
+def _position(rows: str, order: str, rest: str) -> str:
+    return f"SELECT *, row_number() OVER (ORDER BY {order}, {rest}) AS position FROM ({rows})"
+
+
 _HKUS = """
 SELECT ts_code, arg_max(name, (name, enname)) AS name, arg_max(enname, (name, enname)) AS enname
 FROM (SELECT ts_code, name, enname FROM v_hk_basic UNION ALL SELECT ts_code, name, enname FROM v_us_basic)
@@ -408,6 +513,22 @@ FROM v_bars GROUP BY ts_code, date_trunc('month', trade_date)""",
 SELECT b.ts_code, b.trade_date, b.close >= b.open AS is_up, m.total_mv / 1e8 AS total_mv_e8
 FROM v_bars b LEFT JOIN v_daily_basic m USING (ts_code, trade_date)""",
     "preview": "SELECT * FROM v_daily ORDER BY ts_code, trade_date LIMIT 20",
+    "sql_tables": """
+SELECT b.industry, r.broker, count(*) AS picks, max(p.high_water) AS newest
+FROM v_recs r JOIN v_stock_basic b ON b.ts_code = r.ts_code
+JOIN (SELECT ts_code, max(trade_date) AS high_water FROM v_daily WHERE trade_date < DATE '1998-01-01' GROUP BY ts_code) p
+  ON p.ts_code = r.ts_code
+WHERE r.month BETWEEN '199601' AND '199612' GROUP BY b.industry, r.broker""",
+    "bars_ordered": _position("SELECT * FROM v_daily", "ts_code, trade_date", "open"),
+    "adj_factors_ordered": _position("SELECT * FROM v_adj", "ts_code, trade_date", "adj_factor"),
+    "metrics_ordered": _position("SELECT ts_code, " + ", ".join(METRIC_COLS) + " FROM v_daily_basic WHERE year(trade_date) = 1996",
+                                 "ts_code, trade_date", "close"),
+    "surveys_ordered": _position("SELECT * FROM v_stk_surv", "surv_date DESC, ts_code", "rece_org, name, fund_visitors, rece_place"),
+    "recs_ordered": _position("SELECT * FROM v_recs", "month DESC, broker, ts_code", "name"),
+    "concept_rows_limited": "SELECT * FROM (" + _position("SELECT * FROM v_ths_index WHERE index_code = 'Brand#13'",
+                                                          "trade_date DESC, index_code, ts_code", "name") + ") WHERE position <= 300",
+    "factors_all": _position("SELECT * FROM (" + _factors_sql() + """)
+WHERE ts_code IN ('S1', 'S2') AND trade_date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'""", "ts_code, trade_date", "close"),
     "sql_param": "SELECT ts_code, trade_date, close FROM v_bars WHERE ts_code = 'S1' AND trade_date >= DATE '1996-01-01'",
     "daily_metrics": "SELECT ts_code, " + ", ".join(METRIC_COLS) + " FROM v_daily_basic",
     "indicator_subset": "SELECT ts_code, " + ", ".join(INDICATOR_COLS) + " FROM (" + _ind_sql() + ")",

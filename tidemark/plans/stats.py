@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dates import month_start
 from tidemark.operators.ingest import join_row_count
+from tidemark.plans.market import logical_table
 from tidemark.sources.bindings import MarketData
 from tidemark.sources.schemas import BASE_TABLE_PRIORITY, RESEARCH_TABLES, TIME_SERIES_TABLES
 
@@ -27,13 +28,6 @@ CODE_COUNTED = ("daily", "weekly", "adj_factor", "daily_basic", "stk_factor_pro"
 RESEARCH_SET = ("report_rc", "broker_recommend", "stk_surv")
 
 
-def logical_table(md: MarketData, name: str) -> DataFrame:
-    if name == "hk_us_basic":
-        from tidemark.plans.market import hk_us_master
-        return hk_us_master(md)
-    return getattr(md, name)()
-
-
 def _day(name: str):
     """The date that a table is measured by (months: their first day), NULL for a table without one."""
     if name == "broker_recommend":

@@ -284,8 +284,10 @@ class MarketData:
         return resample(self.bars(), "week")
 
     def stk_factor_pro(self) -> DataFrame:
-        from tidemark.operators.bars import factor_table
-        return factor_table(self.bars())
+        """All columns, never stored: a query pays for the columns that it reads."""
+        from tidemark.operators.bars import wide_factors
+        from tidemark.sources.schemas import FACTOR_COLS
+        return wide_factors(self.daily(), self.adj_factor(), self.daily_basic(), FACTOR_COLS)
 
     # -- watchlist / events -----------------------------------------------------
     def watchlist_input(self) -> DataFrame:

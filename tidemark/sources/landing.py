@@ -19,7 +19,9 @@ from tidemark.functions.numeric import nan_to_null
 
 
 def write_landing(df: DataFrame, path: str, fmt: str = "parquet", partition_by: str | None = None) -> str:
-    w = df.write.mode("overwrite")
+    """``partition_by``: one folder per value, filled by the tasks of that value alone (few files, not one
+    per task and value)."""
+    w = (df.repartition(partition_by) if partition_by else df).write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(partition_by)
     if fmt == "csv":

@@ -54,6 +54,22 @@ class TableSpec:
 BY_YEAR = "year({})"
 BAR_COLS = [("ts_code", S), ("trade_date", DT), ("open", D), ("high", D), ("low", D), ("close", D)]
 
+# The column names of the technical factor table, by the rules of their families.
+ADJUSTMENTS = ("bfq", "hfq", "qfq")
+FACTOR_MARKET = ("pre_close", "change", "pct_chg", "vol", "amount", "turnover_rate", "turnover_rate_f", "volume_ratio", "pe",
+                 "pe_ttm", "pb", "ps", "ps_ttm", "dv_ratio", "dv_ttm", "total_share", "float_share", "free_share", "total_mv",
+                 "circ_mv", "adj_factor")
+FACTOR_DAYS = ("downdays", "updays", "lowdays", "topdays")
+FACTOR_INDICATORS = (
+    "asi asit atr bbi bias1 bias2 bias3 boll_lower boll_mid boll_upper brar_ar brar_br cci cr dfma_dif dfma_difma dmi_adx dmi_adxr "
+    "dmi_mdi dmi_pdi dpo madpo emv maemv expma_12 expma_50 kdj kdj_d kdj_k ktn_down ktn_mid ktn_upper macd macd_dea macd_dif mass "
+    "ma_mass mfi mtm mtmma obv psy psyma roc maroc taq_down taq_mid taq_up trix trma vr wr wr1 xsii_td1 xsii_td2 xsii_td3 xsii_td4").split()
+FACTOR_PERIODS = {"ema": (5, 10, 20, 30, 60, 90, 250), "ma": (5, 10, 20, 30, 60, 90, 250), "rsi": (6, 12, 24)}
+FACTOR_COLS = [
+    *[f"{p}{a}" for p in ("open", "high", "low", "close") for a in ("", "_hfq", "_qfq")], *FACTOR_MARKET,
+    *[f"{i}_{a}" for i in FACTOR_INDICATORS for a in ADJUSTMENTS], *FACTOR_DAYS,
+    *[f"{i}_{a}_{n}" for i, periods in FACTOR_PERIODS.items() for a in ADJUSTMENTS for n in periods]]
+
 SPECS: dict[str, TableSpec] = {
     "stock_basic": TableSpec("stock_basic", _struct(
         ("ts_code", S), ("symbol", S), ("name", S), ("fullname", S), ("cnspell", S), ("area", S),
@@ -95,14 +111,8 @@ SPECS: dict[str, TableSpec] = {
         ("low", D), ("close", D), ("pre_close", D), ("pct_chg", D), ("vol", D), ("amount", D),
         ("ts_code", S), ("name", S)), ("index_code", "trade_date", "ts_code"), "trade_date", "concept",
         BY_YEAR.format("trade_date")),
-    "stk_factor_pro": TableSpec("stk_factor_pro", _struct(
-        ("ts_code", S), ("trade_date", DT), ("close_qfq", D),
-        ("macd_dif_qfq", D), ("macd_dea_qfq", D), ("macd_qfq", D),
-        ("kdj_k_qfq", D), ("kdj_d_qfq", D), ("kdj_qfq", D),
-        ("rsi_qfq_6", D), ("rsi_qfq_12", D), ("rsi_qfq_24", D),
-        ("boll_upper_qfq", D), ("boll_mid_qfq", D), ("boll_lower_qfq", D),
-        ("ma_qfq_5", D), ("ma_qfq_10", D), ("ma_qfq_20", D), ("ma_qfq_60", D),
-        ("ma_bfq_5", D), ("ma_hfq_5", D), ("vol_ma_5", D)), ("ts_code", "trade_date"), "trade_date", slot=BY_YEAR.format("trade_date")),
+    "stk_factor_pro": TableSpec("stk_factor_pro", _struct(("ts_code", S), ("trade_date", DT), *[(c, D) for c in FACTOR_COLS]),
+                                ("ts_code", "trade_date"), "trade_date", slot=BY_YEAR.format("trade_date")),
 }
 
 TIME_SERIES_TABLES = ("daily", "weekly", "adj_factor", "daily_basic", "stk_factor_pro")

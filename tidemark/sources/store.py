@@ -48,7 +48,6 @@ STORED_TABLES = {
     "concept_members": ("index_code",),
     "concept_meta": ("index_code",),
     "weekly": ("ts_code", "trade_date"),
-    "stk_factor_pro": ("ts_code", "trade_date"),
     "watchlist_input": ("code",),
     "event_days": ("user_id", "day"),
 }
