@@ -44,7 +44,8 @@ def measures(md: MarketData, tables: list[str]) -> DataFrame:
     """
     plain = [t for t in tables if t != "ths_index"]
     one = md.spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in plain])).alias("table"))
-    frames = {t: logical_table(md, t) for t in plain}
+    # the factor table has a row per bar: its rows are counted without its columns
+    frames = {t: md.bars() if t == "stk_factor_pro" else logical_table(md, t) for t in plain}
     dated = reduce(DataFrame.unionByName, [df.select(F.lit(t).alias("table"), _day(t).alias("day")) for t, df in frames.items()])
     months = (dated.groupBy("table", (F.year("day") * 12 + F.month("day")).alias("m"))
               .agg(F.count(F.lit(1)).alias("rows"), F.min("day").alias("lo"), F.max("day").alias("hi"),
