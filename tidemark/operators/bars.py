@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.schemas import FACTOR_COLS
+
 PRICE_COLS = ("open", "high", "low", "close")
 
 
@@ -93,10 +95,11 @@ def bar_flags(bars: DataFrame, basic: DataFrame) -> DataFrame:
                     (F.col("total_mv") / 1e8).alias("total_mv_e8")))
 
 
-def factor_table(bars: DataFrame, digits: int = 4) -> DataFrame:
+def factor_table(bars: DataFrame, digits: int = 4, keep: Sequence[str] = ()) -> DataFrame:
     """A wide indicator table computed from bars with running windows (the stored
     indicator table of the source is vendor-computed; this one only needs to be
-    wide and deterministic, so projections of a column subset can be tested)."""
+    wide and deterministic, so projections of a column subset can be tested), after
+    the columns ``keep`` of the bars."""
     w = Window.partitionBy("ts_code").orderBy("trade_date")
     means = [("close", 5), ("close", 10), ("close", 20), ("close", 60), ("open", 5), ("high", 5), ("vol", 5)]
     bars = bars.select("*", *[moving_mean(c, w, n).alias(f"__ma_{c}_{n}") for c, n in means])
@@ -114,7 +117,7 @@ def factor_table(bars: DataFrame, digits: int = 4) -> DataFrame:
     r = lambda e: F.round(e, digits)
     k10 = F.try_divide(close - mn("low", 10), F.nullif(mx("high", 10) - mn("low", 10), F.lit(0.0))) * 100.0
     return bars.select(
-        "ts_code", "trade_date", close.alias("close_qfq"),
+        "ts_code", "trade_date", *keep, close.alias("close_qfq"),
         r(ma("close", 10) - ma("close", 20)).alias("macd_dif_qfq"),
         r(ma("close", 5) - ma("close", 20)).alias("macd_dea_qfq"),
         r((ma("close", 10) - ma("close", 5)) * 2.0).alias("macd_qfq"),
@@ -138,12 +141,14 @@ def factor_table(bars: DataFrame, digits: int = 4) -> DataFrame:
 def wide_factors(daily: DataFrame, factors: DataFrame, basic: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The technical factor table with all its ``columns``: prices and their adjusted variants, daily
     metrics, the indicators of ``factor_table``, and for the many vendor-computed ones a deterministic
-    stand-in by their position (the source computes none of them either). Unused columns cost nothing:
-    their expressions are pruned with them."""
-    f = factors.select("ts_code", "trade_date", "adj_factor")
-    m = basic.select(*[c for c in basic.columns if c != "close"])
-    known = factor_table(daily).drop("close_qfq")
-    rows = (daily.join(known, ["ts_code", "trade_date"]).join(f, ["ts_code", "trade_date"], "left").join(m, ["ts_code", "trade_date"], "left"))
+    stand-in by their position (the source computes none of them either). Only the tables that the
+    ``columns`` need are joined; unused expressions are pruned with their columns."""
+    rows = factor_table(daily, keep=[c for c in daily.columns if c not in ("ts_code", "trade_date")]).drop("close_qfq")
+    if "adj_factor" in columns or any(c.partition("_")[0] in PRICE_COLS and c.endswith("_hfq") for c in columns):
+        rows = rows.join(factors.select("ts_code", "trade_date", "adj_factor"), ["ts_code", "trade_date"], "left")
+    metrics = [c for c in basic.columns if c in columns and c not in daily.columns]
+    if metrics:
+        rows = rows.join(basic.select("ts_code", "trade_date", *metrics), ["ts_code", "trade_date"], "left")
     have = set(rows.columns)
 
     def value(k: int, c: str):
@@ -156,7 +161,7 @@ def wide_factors(daily: DataFrame, factors: DataFrame, basic: DataFrame, columns
             return F.lit(None).cast("double")
         return F.col("close") * ((k % 17 + 1) / 100.0) + F.col("vol") / (k + 1.0)
 
-    return rows.select("ts_code", "trade_date", *[value(k, c).alias(c) for k, c in enumerate(columns)])
+    return rows.select("ts_code", "trade_date", *[value(k, c).alias(c) for k, c in enumerate(FACTOR_COLS) if c in columns])
 
 
 #: Columns of the vendor's market data that the inputs do not have.

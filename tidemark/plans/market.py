@@ -168,7 +168,7 @@ def daily_metrics(md: MarketData, ts_codes=None, start=None, end=None) -> DataFr
 
 def indicator_subset(md: MarketData) -> DataFrame:
     """16 indicator columns + date out of the wide indicator table."""
-    return md.stk_factor_pro().select("ts_code", *INDICATOR_COLS)
+    return md.stk_factor_pro(INDICATOR_COLS).select("ts_code", *INDICATOR_COLS)
 
 
 # -- masters -----------------------------------------------------------------

@@ -283,11 +283,11 @@ class MarketData:
         from tidemark.operators.bars import resample
         return resample(self.bars(), "week")
 
-    def stk_factor_pro(self) -> DataFrame:
-        """All columns, never stored: a query pays for the columns that it reads."""
+    def stk_factor_pro(self, columns=None) -> DataFrame:
+        """All columns or the given ones, never stored: a query pays for the columns that it reads."""
         from tidemark.operators.bars import wide_factors
         from tidemark.sources.schemas import FACTOR_COLS
-        return wide_factors(self.daily(), self.adj_factor(), self.daily_basic(), FACTOR_COLS)
+        return wide_factors(self.daily(), self.adj_factor(), self.daily_basic(), columns or FACTOR_COLS)
 
     # -- watchlist / events -----------------------------------------------------
     def watchlist_input(self) -> DataFrame:
