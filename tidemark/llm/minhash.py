@@ -234,7 +234,8 @@ def text_groups(docs: DataFrame, words: int = 5, percent: int = 80, half: int =
              .groupBy("u").agg(F.max(F.struct("shared", "rank", "cid")).alias("best"))
              .select("u", F.col("best.cid").alias("cid")))
     first = stage(first, "minhash-first")
-    wanted = reps.select("doc", "n", "doc_id", "text_key").join(degree.select("doc"), "doc", "left_semi")
+    # it grows with the documents: merged at every size, never sent whole to the tasks
+    wanted = reps.select("doc", "n", "doc_id", "text_key").join(degree.select("doc"), "doc", "left_semi").hint("merge")
     bodies = stage(docs.select(F.col("doc_id").cast("long"), text_key(), F.col("text").cast("string").cast("binary").alias("body"))
                    .join(wanted, ["doc_id", "text_key"]).select("doc", "n", "body").dropDuplicates(["doc"]), "minhash-bodies")
     leaders = first.select(F.col("cid").alias("v"), F.col("cid").alias("vc"), "cid").distinct()
