@@ -42,7 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.select("*", minhash.text_key())
     again = (keyed.join(rows.where("stays"), key, "left_semi").groupBy(*key)
              .agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")))
-    return (keyed.join(rows, key, "left_anti").select(*COLUMNS)
+    return (keyed.join(rows.hint("merge"), key, "left_anti").select(*COLUMNS)  # rows grow with the documents
             .unionByName(again.select("doc_id", *[F.col(f"row.{c}") for c in COLUMNS[1:]])))
 
 
