@@ -37,6 +37,10 @@ def split_detail(df: DataFrame, keys: Sequence[str], text_col: str) -> tuple[Dat
     return narrow, detail
 
 
+#: Rows of the concept table that one task makes.
+TASK_ROWS = 10_000_000
+
+
 def concept_denorm(quotes: DataFrame, members: DataFrame | None, meta: DataFrame,
                    key: str = "index_code") -> DataFrame:
     """Concept quotes x members (many-to-many on the concept code) + a name/type
@@ -47,8 +51,12 @@ def concept_denorm(quotes: DataFrame, members: DataFrame | None, meta: DataFrame
 
     A concept has few quotes and may have very many members. The quotes of a (concept, month) are one
     row with an array of at most the days of the month, so the join sorts and moves members and
-    concept months only; the member x day rows come out of the arrays after it. A concept with very many
-    members is split by the adaptive skew join. Quotes without a date form arrays of their own.
+    concept months only; the member x day rows come out of the arrays after it. Quotes without a date
+    form arrays of their own.
+
+    Both sides of the join are small beside its result, so nothing that Spark plans by size would spread
+    the work: the result's rows are counted first (``join_row_count``), a task gets ``TASK_ROWS`` of them,
+    and the members of a concept are dealt over parts, each of which meets all months of the concept.
     """
     if members is None:
         q = quotes.join(meta, key, "left").withColumn("ts_code", F.lit(None).cast("string")).withColumn("name", F.lit(None).cast("string"))
@@ -56,7 +64,12 @@ def concept_denorm(quotes: DataFrame, members: DataFrame | None, meta: DataFrame
         undated = F.concat(F.lit("-"), F.pmod(F.xxhash64(*quotes.columns), F.lit(256)).cast("string"))
         months = (quotes.withColumn("__month", F.coalesce(F.date_format("trade_date", "yyyyMM"), undated)).groupBy(key, "__month")
                   .agg(F.collect_list(F.struct(*[c for c in quotes.columns if c != key])).alias("__q")))
-        q = (members.select(key, "ts_code", "name").join(months.join(meta, key, "left"), key)
+        tasks = join_row_count(quotes, members, key).first()["rows"] // TASK_ROWS + 1
+        dealt = F.pmod(F.xxhash64("ts_code", "name"), F.lit(tasks)).cast("int")
+        members = members.select(key, "ts_code", "name", dealt.alias("__part")).repartition(tasks, key, "__part")
+        months = (months.join(meta, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+                  .repartition(tasks, key, "__part"))
+        q = (members.join(months, [key, "__part"])
              .select(key, "index_name", "index_type", "ts_code", "name", F.inline("__q")))
     return q.select(
         key, F.coalesce("index_name", F.lit("")).alias("index_name"),
