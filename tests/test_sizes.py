@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import ingest
+from tidemark.session import INITIAL_PARTITIONS, apply_sql_defaults
 
 
 def test_concept_rows_of_one_concept_are_made_by_many_tasks(spark, monkeypatch):
@@ -27,3 +28,24 @@ def test_empty_concepts(spark):
                                        "pre_close double, pct_chg double, vol double, amount double")
     members = spark.createDataFrame([], "index_code string, ts_code string, name string")
     assert ingest.concept_denorm(quotes, members, meta).count() == 0
+
+
+def test_shuffles_part_by_their_bytes(spark):
+    """With one shuffle partition asked for, a large shuffle still ends in as many tasks as its bytes need."""
+    name, _ = INITIAL_PARTITIONS
+    small = {"spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+             "spark.sql.adaptive.coalescePartitions.minPartitionSize": "5k"}
+    before = {k: spark.conf.get(k, None) for k in (*small, name)}
+    try:
+        spark.conf.unset(name)
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        apply_sql_defaults(spark)
+        rows = spark.range(200_000).groupBy(F.xxhash64("id").alias("k")).agg(F.count("*").alias("n"))
+        assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+        spark.conf.set(name, "7")
+        apply_sql_defaults(spark)
+        assert spark.conf.get(name) == "7"
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -41,10 +41,19 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+#: Partitions that a shuffle writes at least; AQE joins them to tasks of its advisory size, so that the tasks grow
+#: in number with the data, not in memory and spill. Up to 200 a map task writes them without holding its rows
+#: (spark.shuffle.sort.bypassMergeThreshold). A session that names a number of its own keeps it.
+INITIAL_PARTITIONS = ("spark.sql.adaptive.coalescePartitions.initialPartitionNum", 200)
+
+
 def apply_sql_defaults(spark: SparkSession) -> None:
     """Runtime SQL settings the plans assume (safe to call on any session)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    name, number = INITIAL_PARTITIONS
+    if spark.conf.get(name, None) is None and int(spark.conf.get("spark.sql.shuffle.partitions")) < number:
+        spark.conf.set(name, str(number))
 
 
 def checkpoint_root(spark: SparkSession) -> str:
