@@ -108,3 +108,26 @@ def test_landing_writes_one_file_per_partition(spark):
 
     path = write_landing(spark.range(1000).withColumn("m", F.col("id") % 5).repartition(8), staging_path(spark, "t-land"), partition_by="m")
     assert all(len(glob.glob(f"{path.removeprefix('file:')}/m={k}/*.parquet")) == 1 for k in range(5))
+
+
+def test_bars_shuffle_the_lines_as_they_are(spark, tmp_path):
+    """The bars of a symbol and day: lines go through one shuffle and are aggregated after it, in either table."""
+    import datetime as dt
+
+    from conftest import rows
+    from tidemark.sources.bindings import MarketData
+    t = dt.datetime(2024, 1, 2, 10)
+    lines = [(2, 7, 1, 1, 1.0, 20.0, 0.1, 0.02, t), (1, 7, 1, 2, 2.0, 10.0, 0.3, 0.01, t), (3, 7, 1, 1, 4.0, 30.0, 0.2, 0.04, t),
+             (3, 7, 1, 1, 4.0, 30.0, 0.2, 0.04, t), (9, 7, None, 1, 5.0, None, None, None, t), (9, 7, None, 1, 5.0, 8.0, None, None, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                                 "l_discount double, l_tax double, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    md = MarketData(spark, str(tmp_path))
+    for df in (md.bars(), md.daily_basic()):
+        plan = _plan(df)
+        below = plan[plan.rindex("Exchange "):]
+        assert plan.count("Exchange ") == 1 and "Aggregate" not in below
+    day = dt.date(2024, 1, 2)
+    assert rows(md.bars()) == sorted([("S1", day, 10.0, 30.0, 10.0, 30.0, 11.0, 90.0), (None, day, None, None, None, None, 5.0, None),
+                                      (None, None, 8.0, 8.0, 8.0, 8.0, 5.0, 8.0)], key=repr)
+    assert rows(md.daily_basic().where("ts_code = 'S1'"), "close", "turnover_rate", "volume_ratio", "pe", "pb", "ps", "total_mv") == [
+        (30.0, 0.3, 4.0, 1.0, 0.04, 0.01, 90.0)]

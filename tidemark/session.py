@@ -86,5 +86,5 @@ def staging_path(spark: SparkSession, label: str) -> str:
 def staged(df, label: str):
     """``df`` written to the shared folder and read back: later steps read files and see one and the same rows."""
     path = staging_path(df.sparkSession, label)
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

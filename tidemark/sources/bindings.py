@@ -39,6 +39,15 @@ def _bar_order():
     return F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
 
 
+def _by_bar(lines: DataFrame) -> DataFrame:
+    """Lines shuffled by (symbol, day), as they are, to be aggregated after the shuffle.
+
+    A bar has hardly more than one line, so a partial aggregate would sort the lines of a scan task only to
+    write them again, each wider by two copies of the bar order and a buffer per measure.
+    """
+    return lines.withColumn("trade_date", as_date("l_shipdate")).drop("l_shipdate").repartition("l_suppkey", "trade_date")
+
+
 class MarketData:
     """Logical tables over one directory of driver parquet files."""
 
@@ -60,9 +69,9 @@ class MarketData:
     # -- daily bars ----------------------------------------------------------
     def _daily_agg(self) -> DataFrame:
         li = self.table("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                        "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+                        "l_quantity", "l_extendedprice", "l_shipdate")
         px, order = F.col("l_extendedprice"), _bar_order()
-        agg = li.groupBy("l_suppkey", as_date("l_shipdate").alias("trade_date")).agg(
+        agg = _by_bar(li).groupBy("l_suppkey", "trade_date").agg(
             F.min_by(px, order).alias("open"),
             F.max(px).alias("high"),
             F.min(px).alias("low"),
@@ -101,7 +110,7 @@ class MarketData:
                         "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
         px = F.col("l_extendedprice")
         amount = F.sum(px.cast("decimal(18,2)")).cast("double")
-        agg = li.groupBy("l_suppkey", as_date("l_shipdate").alias("trade_date")).agg(
+        agg = _by_bar(li).groupBy("l_suppkey", "trade_date").agg(
             F.max_by(px, _bar_order()).alias("close"),
             F.max("l_discount").alias("turnover_rate"),
             F.max("l_quantity").alias("volume_ratio"),

@@ -107,7 +107,7 @@ class StoredMarketData(MarketData):
                 df = build()
                 order = STORED_TABLES.get(name, ())
                 path = f"{self.root}/{name}-{uuid.uuid4().hex}"
-                (df.sortWithinPartitions(*order) if order else df).write.mode("overwrite").parquet(path)
+                (df.sortWithinPartitions(*order) if order else df).write.mode("overwrite").option("compression", "zstd").parquet(path)
                 self.spark.range(1).select(F.lit(path).alias("path")).coalesce(1) \
                     .write.mode("overwrite").json(self._manifest(name))
                 _PUBLISHED[(self.root, name)] = path
