@@ -170,3 +170,36 @@ def test_partition_in_the_key_needs_no_scan_of_the_stored_keys(spark, monkeypatc
     monkeypatch.setattr(merge, "_on_keys", lambda df, keys, key_rows, how: semis.append(how) or own(df, keys, key_rows, how))
     out = upsert_to_path(spark, path, spark.createDataFrame([("a", "p1", 2)], schema), ["k", "part"], ["ts"], "part")
     assert semis == ["left_anti"] and rows(out, "k", "ts") == [("a", 2), ("b", 1)]
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+@pytest.mark.parametrize("rule", ["upsert", "newest", "absent"])
+def test_rows_laid_out_once_merge_like_the_joins(spark, rule):
+    """NULL keys, repeated keys in the batch and (as appends leave them) in the table; one shuffle in all."""
+    schema = "k string, part string, ts int, v int"
+    base = spark.createDataFrame([("a", "p", 5, 1), ("a", "p", 1, 2), (None, "p", 1, 3), ("c", None, 1, 4), ("d", "p", None, 5),
+                                  ("e", "p", 1, 6), ("e", "p", 1, 6)], schema)
+    batch = spark.createDataFrame([("a", "p", 3, 7), ("a", "p", 3, 8), (None, "p", None, 9), ("c", None, 2, 10), ("c", None, 1, 11),
+                                   ("n", "p", None, 12), ("n", "p", 0, 13)], schema)
+    for order in (["ts"], [F.col("ts") * 2], []):
+        both = base.withColumn(merge.NEW, F.lit(False)).unionByName(batch.withColumn(merge.NEW, F.lit(True)))
+        laid = both.withColumn("slot", F.coalesce("part", F.lit(""))).repartitionByRange("slot", "k")
+        got = merge.merge_laid(laid, ["slot"], ["k", "part"], order, rule)
+        assert _exchanges(got) == 1
+        want = (merge.insert_absent(base, batch, ["k", "part"], order) if rule == "absent" else
+                merge.upsert_merge(base, batch, ["k", "part"], order, newest_wins=rule == "newest"))
+        assert rows(got, *want.columns) == rows(want)
+
+
+def test_a_batch_of_many_rows_of_one_key_is_combined_first(spark, monkeypatch):
+    combined = []
+    own = snapshots.latest_per_key
+    monkeypatch.setattr(snapshots, "latest_per_key", lambda *a: combined.append(a) or own(*a))
+    t = table(spark)
+    t.upsert(factors(spark, [("A", f"2023-05-{d:02d}", 1.0) for d in range(1, 21)]))
+    assert not combined
+    t.upsert(factors(spark, [("A", "2023-05-01", float(n)) for n in range(50)]))
+    assert len(combined) == 1 and t.read().count() == 20 and rows(t.read().where("adj_factor > 1"), "adj_factor") == [(49.0,)]

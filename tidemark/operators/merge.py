@@ -20,7 +20,7 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,11 +57,11 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str |
     if not order_by:
         raise ValueError("order_by is required: it decides which duplicate wins")
     rest = [c for c in df.columns if c not in keys]
-    ords = _order_cols(order_by)
-    best = F.max(F.struct(*[o.alias(f"__o{i}") for i, o in enumerate(ords)],
-                          *[F.col(c).alias(c) for c in rest])).alias("__best")
+    at = {c: f"__o{i}" for i, c in reversed(list(enumerate(order_by))) if isinstance(c, str)}  # a column goes once
+    best = F.max(F.struct(*[o.alias(f"__o{i}") for i, o in enumerate(_order_cols(order_by))],
+                          *[F.col(c).alias(c) for c in rest if c not in at])).alias("__best")
     out = df.groupBy(*keys).agg(best)
-    return out.select(*keys, *[F.col(f"__best.{c}").alias(c) for c in rest]).select(*df.columns)
+    return out.select(*keys, *[F.col(f"__best.{at.get(c, c)}").alias(c) for c in rest]).select(*df.columns)
 
 
 def _keys_of(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -117,6 +117,33 @@ def insert_absent(base: DataFrame, batch: DataFrame, keys: Sequence[str],
     return base.unionByName(_on_keys(new, keys, _keys_of(base, keys), "left_anti"))
 
 
+#: Marks the rows of the batch in ``merge_laid``.
+NEW = "__new"
+
+
+def merge_laid(rows: DataFrame, within: Sequence[str], keys: Sequence[str], order_by: Sequence[str | Column] = (),
+               rule: str = "upsert") -> DataFrame:
+    """``upsert_merge`` (``rule`` "upsert", or "newest" for its ``newest_wins``) and ``insert_absent`` ("absent") of
+    stored rows and a batch that lie in one table, told apart by the flag ``NEW``.
+
+    The rows are partitioned by columns out of ``within`` (which decide a key's place, such as its slot) and
+    ``keys`` already, so a key's rows meet where they lie: nothing is shuffled again, neither for the winner of a
+    key nor for the keys that the batch touches.
+    """
+    columns = [c for c in rows.columns if c not in within and c != NEW]
+    order = list(order_by) or _rest(rows.select(*columns), keys)
+    named = {c for c in order if isinstance(c, str)}
+    greatest = [o.desc() for o in (*_order_cols(order), *[F.col(c) for c in columns if c not in named and c not in keys])]
+    flag = F.col(NEW)
+    ordered = {"upsert": [flag.desc(), *greatest], "newest": [*greatest, flag.desc()], "absent": [flag, *greatest]}[rule]
+    w = Window.partitionBy(*dict.fromkeys([*within, *keys])).orderBy(*ordered)
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    told = rows.select("*", F.row_number().over(w).alias("__n"), F.max(NEW).over(every).alias("__touched"))
+    stays = F.col("__n") == 1
+    stays = stays | (~flag if rule == "absent" else ~F.col("__touched"))
+    return told.where(stays).drop(NEW, "__n", "__touched")
+
+
 def append_rows(base: DataFrame, batch: DataFrame) -> DataFrame:
     return base.unionByName(batch.select(*base.columns))
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.merge import align_schema, insert_absent, latest_per_key, upsert_merge
+from tidemark.operators.merge import NEW, align_schema, latest_per_key, merge_laid
 from tidemark.sources.schemas import SPECS, TableSpec
 
 FILES = "slot string, path string, rows long, first string, last string, low string, high string"
@@ -146,11 +146,11 @@ class SnapshotTable:
         """Replace the rows of the batch's keys, add new ones; returns the version (the current one if
         ``batch_id`` was applied before). Unknown columns are dropped, missing ones are NULL. Of rows with
         one key the greatest ``order_by`` wins (ties, or none given: the greatest row)."""
-        return self._keyed(batch, lambda base, new: upsert_merge(base, new, self.keys, order_by, newest_wins), batch_id)
+        return self._keyed(batch, order_by, "newest" if newest_wins else "upsert", batch_id)
 
     def insert_absent(self, batch: DataFrame, order_by: Sequence[str | Column] = (), batch_id: BatchId | None = None) -> int:
         """Add the rows whose key is not there yet."""
-        return self._keyed(batch, lambda base, new: insert_absent(base, new, self.keys, order_by), batch_id)
+        return self._keyed(batch, order_by, "absent", batch_id)
 
     def append(self, batch: DataFrame, batch_id: BatchId) -> int:
         """Add the rows, once per ``batch_id``: a replayed batch adds nothing."""
@@ -171,17 +171,23 @@ class SnapshotTable:
         rest = [c for c in self.spec.columns if c not in self.keys]
         return latest_per_key(batch, self.keys, list(order_by) or rest or self.keys)
 
-    def _keyed(self, batch: DataFrame, merge, batch_id: BatchId | None) -> int:
+    def _keyed(self, batch: DataFrame, order_by: Sequence[str | Column], rule: str, batch_id: BatchId | None) -> int:
+        """The batch and the files that it touches are laid out by one shuffle and merged where they lie."""
         batch = align_schema(batch, self.spec.schema)[0]
         if batch_id is not None and self.applied(batch_id):
             return self.version()
         at = f"{self.root}/batches/{uuid.uuid4().hex}"
-        batch.write.parquet(at)  # read more than once below
+        batch.write.option("compression", "zstd").parquet(at)  # read more than once below
         batch = self.spark.read.schema(self.spec.schema).parquet(at)
-        ranges = batch.groupBy(self._slot().alias("slot")).agg(F.min(self._first()).alias("first"), F.max(self._first()).alias("last")).collect()
+        ranges = batch.groupBy(self._slot().alias("slot")).agg(F.min(self._first()).alias("first"), F.max(self._first()).alias("last"),
+                                                                  F.count("*").alias("rows"), F.approx_count_distinct(F.xxhash64(*self.keys), 0.02).alias("n")).collect()
         files = self.files().collect()
         touched = self.touched(files, ranges)
-        written = self._write(merge(self._open(touched), batch)) if ranges else []
+        # a batch with many rows of one key is combined before the shuffle, so that they do not meet in one task
+        repeats = sum(r.rows for r in ranges) > 1.2 * sum(r.n for r in ranges)
+        new = self._latest(batch, order_by) if repeats else batch
+        both = self._open(touched).withColumn(NEW, F.lit(False)).unionByName(new.withColumn(NEW, F.lit(True)))
+        written = self._write(both, lambda rows: merge_laid(rows, ["slot"], self.keys, order_by, rule)) if ranges else []
         version = self._publish([f for f in files if f not in touched], written, self._marks(self.marks(), batch, batch_id))
         where, fs = _hadoop(self.spark, at)
         fs.delete(where, True)
@@ -202,11 +208,13 @@ class SnapshotTable:
     def _day(self) -> Column:
         return F.col(self.spec.date_col).cast("string") if self.spec.date_col else F.lit(None).cast("string")
 
-    def _write(self, rows: DataFrame) -> list:
-        """Write rows to new data files; one row of ``FILES`` per file, as many as the write made."""
+    def _write(self, rows: DataFrame, resolve=lambda rows: rows) -> list:
+        """Write rows to new data files, ``resolve`` being applied where they lie; one row of ``FILES`` per file,
+        as many as the write made."""
         at = f"data/{uuid.uuid4().hex}"
-        (rows.withColumn("slot", self._slot()).repartitionByRange("slot", self.keys[0]).sortWithinPartitions("slot", *self.keys)
-         .write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("slot").parquet(f"{self.root}/{at}"))
+        laid = rows.withColumn("slot", self._slot()).repartitionByRange("slot", self.keys[0])
+        (resolve(laid).sortWithinPartitions("slot", *self.keys)
+         .write.option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS).partitionBy("slot").parquet(f"{self.root}/{at}"))
         written = self.spark.read.schema(self.spec.schema).option("recursiveFileLookup", "true").parquet(f"{self.root}/{at}")
         path = F.regexp_extract(F.col("_metadata.file_path"), rf"{at}/.*$", 0)
         listed = (written.select(self._slot().alias("slot"), path.alias("path"), self._first().alias("k"), self._day().alias("d"))
