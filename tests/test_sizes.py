@@ -49,3 +49,17 @@ def test_shuffles_part_by_their_bytes(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_tasks_read_at_most_their_size_unless_the_session_says_otherwise(spark):
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.unset(name)
+        apply_sql_defaults(spark)
+        assert spark.conf.get(name) == "32m"
+        spark.conf.set(name, "5m")
+        apply_sql_defaults(spark)
+        assert spark.conf.get(name) == "5m"
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

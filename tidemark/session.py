@@ -46,11 +46,18 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 #: (spark.shuffle.sort.bypassMergeThreshold). A session that names a number of its own keeps it.
 INITIAL_PARTITIONS = ("spark.sql.adaptive.coalescePartitions.initialPartitionNum", 200)
 
+#: Shuffled bytes of a task at most where AQE joins partitions. A stage may hold them several times over, as sorts of
+#: both sides of a join and as maps of the aggregates after it: about 15 to 30 times the compressed bytes. A session
+#: that names a size of its own keeps it.
+TASK_BYTES = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32m")
+
 
 def apply_sql_defaults(spark: SparkSession) -> None:
     """Runtime SQL settings the plans assume (safe to call on any session)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    if spark.conf.get(TASK_BYTES[0], None) is None:
+        spark.conf.set(*TASK_BYTES)
     name, number = INITIAL_PARTITIONS
     if spark.conf.get(name, None) is None and int(spark.conf.get("spark.sql.shuffle.partitions")) < number:
         spark.conf.set(name, str(number))
