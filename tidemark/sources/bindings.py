@@ -40,12 +40,15 @@ def _bar_order():
 
 
 def _by_bar(lines: DataFrame) -> DataFrame:
-    """Lines shuffled by (symbol, day), as they are, to be aggregated after the shuffle.
+    """Lines shuffled by (symbol, month), as they are, to be aggregated by (symbol, month, day) after the shuffle.
 
     A bar has hardly more than one line, so a partial aggregate would sort the lines of a scan task only to
-    write them again, each wider by two copies of the bar order and a buffer per measure.
+    write them again, each wider by two copies of the bar order and a buffer per measure. The bars of a month
+    stay together, so that later aggregates over weeks and months combine before their shuffles.
     """
-    return lines.withColumn("trade_date", as_date("l_shipdate")).drop("l_shipdate").repartition("l_suppkey", "trade_date")
+    day = as_date("l_shipdate")
+    return (lines.select("*", day.alias("trade_date"), F.trunc(day, "month").alias("__month")).drop("l_shipdate")
+            .repartition("l_suppkey", "__month"))
 
 
 class MarketData:
@@ -71,7 +74,7 @@ class MarketData:
         li = self.table("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                         "l_quantity", "l_extendedprice", "l_shipdate")
         px, order = F.col("l_extendedprice"), _bar_order()
-        agg = _by_bar(li).groupBy("l_suppkey", "trade_date").agg(
+        agg = _by_bar(li).groupBy("l_suppkey", "__month", "trade_date").agg(
             F.min_by(px, order).alias("open"),
             F.max(px).alias("high"),
             F.min(px).alias("low"),
@@ -110,7 +113,7 @@ class MarketData:
                         "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
         px = F.col("l_extendedprice")
         amount = F.sum(px.cast("decimal(18,2)")).cast("double")
-        agg = _by_bar(li).groupBy("l_suppkey", "trade_date").agg(
+        agg = _by_bar(li).groupBy("l_suppkey", "__month", "trade_date").agg(
             F.max_by(px, _bar_order()).alias("close"),
             F.max("l_discount").alias("turnover_rate"),
             F.max("l_quantity").alias("volume_ratio"),
@@ -123,7 +126,7 @@ class MarketData:
             amount.alias("total_mv"),
             amount.alias("circ_mv"),
         )
-        return agg.select(sec_code().alias("ts_code"), *[c for c in agg.columns if c != "l_suppkey"])
+        return agg.select(sec_code().alias("ts_code"), *[c for c in agg.columns if c not in ("l_suppkey", "__month")])
 
     # -- masters -----------------------------------------------------------
     def stock_basic(self) -> DataFrame:
