@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stage, texts, worker_cache
+from tidemark.session import staged
 
 #: Least count of a word that exchange clustering moves between classes, and their number.
 LEAST, CLASSES = 2, 48
@@ -132,37 +133,65 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300)) * (x > 0)
 
 
+#: Counts of a class beside a word whose gains are taken from a table instead of computed word by word.
+FEW = 4
+
+
+def step_gains(table: np.ndarray, choices: int) -> np.ndarray:
+    """[side, v, c, b]: what v more neighbours of class c give a cell of class b; ``table`` by rows, then by columns."""
+    t = np.stack([table[:choices].T, table[:, :choices]])
+    return np.stack([_xlogx(t + v) - _xlogx(t) for v in range(FEW + 1)], axis=1)
+
+
 def best_classes(left: np.ndarray, right: np.ndarray, both: np.ndarray, own: np.ndarray, table: np.ndarray,
-                 choices: int) -> np.ndarray:
+                 choices: int, steps: np.ndarray | None = None) -> np.ndarray:
     """For each word (row) the class (< choices) under which the class bigram likelihood is largest.
 
     left[w, c]: how often class c stands before the word, right[w, c]: after it (the word itself counted
-    in its present class ``own``); both: how often the word follows itself.
+    in its present class ``own``); both: how often the word follows itself. ``steps``: step_gains of the table.
+
+    Logarithms are taken only where a word's own counts change a cell; the others are the same for all words.
     """
+    steps = step_gains(table, choices) if steps is None else steps
     l, r = left.astype(float), right.astype(float)
     rows, b = np.arange(len(own)), np.arange(choices)
     l[rows, own] -= both
     r[rows, own] -= both
     gain = np.zeros((len(own), choices))
-    for x, y, t in ((r, l, table), (l, r, table.T)):  # the table is meant without the word
+    for x, y, t, step in ((r, l, table, steps[0]), (l, r, table.T, steps[1])):  # the table is meant without the word
         w, c = np.nonzero(x)
         if not len(w):
             continue
-        v, at = x[w, c], np.flatnonzero(c == own[w])
-        n = t[:choices, c].T.copy()
-        n[np.arange(len(w)), own[w]] -= v
-        n[at] -= y[w[at], :choices]
-        n[at, own[w[at]]] -= both[w[at]]
+        v, o = x[w, c], own[w]
+        plain = (v <= FEW) & (c != o)
+        more = np.empty((len(w), choices))
+        more[plain] = step[v[plain].astype(np.int64), c[plain]]
+        k = np.flatnonzero(plain)  # of these only the cell of the word's own class holds the word
+        n = t[o[k], c[k]] - v[k]
+        more[k, o[k]] = _xlogx(n + v[k]) - _xlogx(n)
+        k = np.flatnonzero(~plain)
+        n, at = t[:choices, c[k]].T.copy(), np.flatnonzero(c[k] == o[k])
+        n[np.arange(len(k)), o[k]] -= v[k]
+        n[at] -= y[w[k[at]], :choices]
+        n[at, o[k[at]]] -= both[w[k[at]]]
+        more[k] = _xlogx(n + v[k, None]) - _xlogx(n)
         some, first = np.unique(w, return_index=True)
-        gain[some] += np.add.reduceat(_xlogx(n + v[:, None]) - _xlogx(n), first, axis=0)
+        gain[some] += np.add.reduceat(more, first, axis=0)
     lb, rb, twice = l[:, :choices], r[:, :choices], both[:, None]
-    corner = np.tile(table[b, b].astype(float), (len(own), 1))  # row and column of the class meet there
-    corner[rows, own] -= l[rows, own] + r[rows, own] + both
-    gain += _xlogx(corner + rb + lb + twice) - _xlogx(corner + rb) - _xlogx(corner + lb) + _xlogx(corner)
+    w, c = np.nonzero((lb > 0) & (rb > 0) | (twice > 0))  # row and column of the class meet there; else nothing changes
+    x, y, z = rb[w, c], lb[w, c], both[w]
+    corner = table[c, c] - np.where(c == own[w], l[w, c] + r[w, c] + z, 0)
+    gain[w, c] += _xlogx(corner + x + y + z) - _xlogx(corner + x) - _xlogx(corner + y) + _xlogx(corner)
     for x, sums, other in ((r, table.sum(axis=1), lb), (l, table.sum(axis=0), rb)):
-        n, all_ = sums[:choices] - other, x.sum(axis=1) + both
-        n[rows, own] -= all_
-        gain -= _xlogx(n + all_[:, None]) - _xlogx(n)
+        n, all_ = sums[:choices], x.sum(axis=1) + both
+        size, at = np.unique(all_, return_inverse=True)
+        less = (_xlogx(n + size[:, None]) - _xlogx(n))[at]
+        mark = other > 0
+        mark[rows, own] = True
+        w, c = np.nonzero(mark)
+        n = n[c] - other[w, c] - np.where(c == own[w], all_[w], 0)
+        less[w, c] = _xlogx(n + all_[w]) - _xlogx(n)
+        gain -= less
     return np.argmax(gain + 1e-9 * (b == own[:, None]), axis=1)
 
 
@@ -180,6 +209,7 @@ def _exchange(table: np.ndarray, choices: int):
     size = len(table)
 
     def run(batches):
+        steps = step_gains(table, choices)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
@@ -188,7 +218,7 @@ def _exchange(table: np.ndarray, choices: int):
                 side, c, n = (near.flatten().field(i).to_numpy() for i in range(3))
                 counts = np.zeros((3, len(own), size))  # before, after, the word itself
                 np.add.at(counts, (side, w, c), n)
-                best = best_classes(counts[0], counts[1], counts[2, :, 0], own, table, choices)
+                best = best_classes(counts[0], counts[1], counts[2, :, 0], own, table, choices, steps)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best, pa.int64())], names=["w", "c"])
 
     return run
@@ -256,21 +286,27 @@ def _symbol_bigrams(shipped):
         known, parts, held = _Numbers(), [], 0
 
         def out():
-            size = len(known)
-            keys, n = np.unique(np.concatenate([x * size + y for x, y in parts]), return_counts=True)
+            cut = np.cumsum([len(x) for x in parts[:-1]]) - 1  # where a text ends and the next begins
             symbol = _symbols(hashes, list(known))
-            keys, at = np.unique(symbol[keys // size] << 32 | symbol[keys % size], return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at, weights=n).astype(np.int64))], names=["ab", "n"])
+            known.clear()
+            s = symbol[np.concatenate(parts)]
+            parts.clear()
+            keys = s[:-1] << 32
+            keys |= s[1:]
+            del s
+            keys = np.delete(keys, cut.astype(np.int64))
+            keys.sort()
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            return pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(np.diff(first, append=len(keys)))], names=["ab", "n"])
 
         for batch in batches:
             for t in texts(batch.column(0)):
                 w = [END, *t.lower().split(), END]
-                s = np.fromiter(map(known.__getitem__, w), np.int64, len(w))
-                parts.append((s[:-1], s[1:]))
-                held += len(s)
+                parts.append(np.fromiter(map(known.__getitem__, w), np.int32, len(w)))
+                held += len(w)
                 if held > 4_000_000:
                     yield out()
-                    known, parts, held = _Numbers(), [], 0
+                    held = 0
         if parts:
             yield out()
 
@@ -282,16 +318,19 @@ ROW_PAIRS = 200_000
 
 
 def _adjacency(batches):
-    """Rows (w, side, nb, n), sorted by w, packed: whole words together, a word of more than ROW_PAIRS in pieces."""
+    """Rows (w << 32 | nb, 3 * n + side), sorted, as lists w, side, nb, n: whole words together, a word of more than ROW_PAIRS in pieces.
+
+    The counts take as many bytes as the largest needs."""
 
     def row(part, split):
+        part = [*part[:3], part[3].astype(np.min_scalar_type(part[3].max()))]
         return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in part] + [pa.array([split], pa.bool_())],
                                           names=["w", "side", "nb", "n", "split"])
 
     rest, alone = None, None  # alone: the word whose pieces are being written
     for b in batches:
-        now = [b.column(0).to_numpy().astype(np.int32), b.column(1).to_numpy().astype(np.int8),
-               b.column(2).to_numpy().astype(np.int32), b.column(3).to_numpy().astype(np.int64)]
+        wnb, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+        now = [(wnb >> 32).astype(np.int32), (n % 3).astype(np.int8), (wnb & 0xFFFFFFFF).astype(np.int32), n // 3]
         rest = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
         while len(rest[0]) > ROW_PAIRS:
             w = rest[0]
@@ -313,7 +352,9 @@ def _adjacency(batches):
 
 
 def _lists(b, i):
-    return (np.frombuffer(b.column(k)[i].as_py(), kind) for k, kind in enumerate((np.int32, np.int8, np.int32, np.int64)))
+    w, side, nb = (np.frombuffer(b.column(k)[i].as_py(), kind) for k, kind in enumerate((np.int32, np.int8, np.int32)))
+    n = b.column(3)[i].as_py()
+    return w, side, nb, np.frombuffer(n, f"u{len(n) // len(w)}")
 
 
 def _class_bigrams(shipped, total: int, first_fixed: int):
@@ -346,7 +387,7 @@ def _moves(shipped, table: np.ndarray, choices: int, half: int):
     total = len(table)
 
     def run(batches):
-        of, odd = shipped.value
+        (of, odd), steps = shipped.value, step_gains(table, choices)
         for b in batches:
             for i in range(b.num_rows):
                 w, side, nb, n = _lists(b, i)
@@ -356,7 +397,7 @@ def _moves(shipped, table: np.ndarray, choices: int, half: int):
                 for lo in range(0, len(starts), 500):
                     s = slice(starts[lo], starts[lo + 500] if lo + 500 < len(starts) else len(w))
                     words, counts = _word_counts_of(of, w[s], side[s], nb[s], n[s], total)
-                    best = best_classes(counts[0], counts[1], counts[2, :, 0], of[words].astype(np.int64), table, choices)
+                    best = best_classes(counts[0], counts[1], counts[2, :, 0], of[words].astype(np.int64), table, choices, steps)
                     yield pa.RecordBatch.from_arrays([pa.array([words.astype(np.int32).tobytes()], pa.binary()),
                                                       pa.array([best.astype(np.int8).tobytes()], pa.binary())], names=["w", "c"])
 
@@ -408,17 +449,21 @@ def exchange_by_map(train: DataFrame, words: DataFrame, classes: int = CLASSES,
     odd, v = (hashes & 1).astype(np.int8), len(hashes)
 
     shipped = spark.sparkContext.broadcast(hashes)
-    pairs = stage(train.select(F.col("text").cast("string")).mapInArrow(_symbol_bigrams(shipped), "ab long, n long")
+    pairs = staged(train.select(F.col("text").cast("string")).mapInArrow(_symbol_bigrams(shipped), "ab long, n long")
                   .groupBy("ab").agg(F.sum("n").alias("n")).select(F.shiftright("ab", 32).cast("int").alias("a"),
                                                                    F.col("ab").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("b"), "n"), "lm-pairs")
     still = np.zeros((total, total))  # bigrams without a moving word
     for a, b, n in pairs.where((F.col("a") >= v) & (F.col("b") >= v)).collect():  # at most classes squared
         still[classes + a - v, classes + b - v] = n
-    sides = [pairs.where((F.col("a") < v) & (F.col("a") == F.col("b"))).select(F.col("a").alias("w"), F.lit(2).alias("side"), F.col("b").alias("nb"), "n"),
-             pairs.where(F.col("a") < v).select(F.col("a").alias("w"), F.lit(1).alias("side"), F.col("b").alias("nb"), "n"),
-             pairs.where(F.col("b") < v).select(F.col("b").alias("w"), F.lit(0).alias("side"), F.col("a").alias("nb"), "n")]
-    lists = stage(sides[0].unionByName(sides[1]).unionByName(sides[2]).repartition("w").sortWithinPartitions("w")
-                  .mapInArrow(_adjacency, "w binary, side binary, nb binary, n binary, split boolean"), "lm-lists")
+    def beside(side: int, w: str, nb: str, which):
+        """(w and nb in one long, n and side in another): two columns take least in the shuffle."""
+        return pairs.where(which).select((F.shiftleft(F.col(w).cast("long"), 32).bitwiseOR(F.col(nb).cast("long"))).alias("wnb"),
+                                         (F.col("n") * 3 + side).alias("n"))
+
+    sides = (beside(2, "a", "b", (F.col("a") < v) & (F.col("a") == F.col("b"))).unionByName(beside(1, "a", "b", F.col("a") < v))
+             .unionByName(beside(0, "b", "a", F.col("b") < v)))
+    lists = staged(sides.repartition(F.shiftright("wnb", 32)).sortWithinPartitions("wnb")
+                   .mapInArrow(_adjacency, "w binary, side binary, nb binary, n binary, split boolean"), "lm-lists")
     columns = ["w", "side", "nb", "n"]
 
     def table_of(classes_of: np.ndarray) -> np.ndarray:
