@@ -4,13 +4,14 @@ Two tokenizers cut the same bytes; where tokens of both end at one byte, a group
 of a group is linked with every B token of it. How many documents link a pair of ids is counted by
 minimal perfect hashing:
 
-1. a pass over the documents gives each task's distinct pairs with their document counts, in parts by
+1. the documents are tokenized once, and their ids written (two bytes an id where the vocabulary allows);
+   a pass over the ids gives each task's distinct pairs with their document counts, in parts by
    a hash of the pair;
 2. the distinct pairs of a part (tree-wise: first per salt, then per part) get a minimal perfect hash:
    levels of bit arrays, each pair at the first level where no other pair shares its bit, its number
    being the rank of that bit; the pairs are kept in this order, so that a lookup is verified;
 3. partial counts become dense vectors indexed by the hash and are summed tree-wise the same way;
-4. a second pass re-aligns the documents and looks the counts up.
+4. a second pass over the ids looks the counts up.
 
 Hash and counts go to the tasks in slices of a bounded number of pairs. One slice is enough for some
 millions of distinct pairs; beyond that the second pass is repeated per slice and the results are
@@ -40,6 +41,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import mix, stage, worker_cache
 from tidemark.llm.packing import SPECIAL, SPLIT, _byte_of
+from tidemark.session import staged
 
 #: Parts of the pairs, and salts of a part's first summing level.
 PARTS, SALTS = 128, 8
@@ -49,8 +51,8 @@ SLICE_KEYS = 4_000_000
 HELD_KEYS = 2_000_000
 #: Bits per key of a hash level.
 GAMMA = 2
-#: Stretches that a worker remembers; characters of text aligned at once; links of a group that are listed one by one.
-KEEP_UNITS, CHUNK_CHARS, LISTED = 500_000, 1_000_000, 4_096
+#: Stretches that a worker remembers; characters tokenized and bytes of A's ids aligned at once; links of a group that are listed one by one.
+KEEP_UNITS, CHUNK_CHARS, CHUNK_IDS, LISTED = 500_000, 1_000_000, 500_000, 4_096
 
 _CUT = re.compile(r"(?<=[^ ]) (?=\S)|(?<=\S) (?=[^ ])")
 #: Texts without these are cut at every blank.
@@ -87,6 +89,7 @@ class Tokenizers(dict):
         self.size_b = np.array([len(x) for x in self.bytes_b])
         if any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(len(self.bytes_b))):
             raise ValueError(f"{path_b}: a piece goes on after a blank, texts cannot be cut before blanks")
+        self.kinds = [np.min_scalar_type(len(x) - 1) for x in (self.size_a, self.size_b)]  # of written ids
         # an id with what follows it in the digest's text
         self.spelled = [f"{i}{mark}" for i in range(max(len(self.size_a), len(self.size_b))) for mark in (",", "|", ";", "")]
 
@@ -147,19 +150,18 @@ class Aligned(NamedTuple):
                        (nx[lo:lo + 64, None] * ny[None, :]).ravel())
 
 
-def align_texts(tokenizers: Tokenizers, texts: list[str | None]) -> Aligned:
-    on = np.array([bool(t) for t in texts], bool)
-    both = tokenizers.encode([t for t in texts if t])
-    on[on] = [x is not None for x in both]
-    both = [x for x in both if x is not None]
-    ids = tuple(np.frombuffer(b"".join(x[k] for x in both), np.int32).astype(np.int64) for k in (0, 1))
+def align_ids(tokenizers: Tokenizers, a: list[bytes | None], b: list[bytes | None]) -> Aligned:
+    """Takes the written ids of both tokenizers, None for a text without tokens."""
+    on = np.array([x is not None for x in a], bool)
+    both = [[x for x in column if x is not None] for column in (a, b)]
+    ids = tuple(np.frombuffer(b"".join(x), kind).astype(np.int64) for x, kind in zip(both, tokenizers.kinds, strict=True))
     ends = np.cumsum(tokenizers.size_a[ids[0]]), np.cumsum(tokenizers.size_b[ids[1]])
     at = np.searchsorted(ends[1], ends[0])  # in every text the last tokens of both end together
     cut = [ends[1][at] == ends[0], np.zeros(len(ids[1]), bool)]
     cut[1][at[cut[0]]] = True
     group = tuple(np.cumsum(c) - c for c in cut)
     n = int(cut[0].sum())
-    text_a = np.repeat(np.arange(len(both)), [len(x[0]) // 4 for x in both])
+    text_a = np.repeat(np.arange(len(both[0])), [len(x) // tokenizers.kinds[0].itemsize for x in both[0]])
     return Aligned(on, ids, group, text_a[cut[0]], tuple(np.bincount(g, minlength=n) for g in group))
 
 
@@ -180,17 +182,46 @@ def spell(tokenizers: Tokenizers, x: Aligned) -> list[str]:
     return ["".join(map(tokenizers.spelled.__getitem__, codes[i:j])) for i, j in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def runs(texts: list) -> list[tuple[int, int]]:
-    """(from, to) of runs of texts of bounded size."""
-    out, lo, chars = [], 0, 0
+def runs(texts: list, most: int) -> list[tuple[int, int]]:
+    """(from, to) of runs of texts, or of their ids, of bounded size."""
+    out, lo, held = [], 0, 0
     for i, t in enumerate(texts):
-        if i > lo and chars + len(t or "") > CHUNK_CHARS:
+        if i > lo and held + len(t or "") > most:
             out.append((lo, i))
-            lo, chars = i, 0
-        chars += len(t or "")
+            lo, held = i, 0
+        held += len(t or "")
     return [*out, (lo, len(texts))] if texts else out
 
 
+def _encoded(path_a: str, path_b: str):
+    def run(batches):
+        tokenizers = worker_cache("tokenizers", (path_a, path_b), lambda: Tokenizers(path_a, path_b))
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for lo, hi in runs(texts, CHUNK_CHARS):
+                found = iter(tokenizers.encode([t for t in texts[lo:hi] if t]))
+                both = [next(found) if t else None for t in texts[lo:hi]]
+                a, b = ([x and np.frombuffer(x[k], np.int32).astype(kind).tobytes() for x in both] for k, kind in enumerate(tokenizers.kinds))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(a, pa.binary()), pa.array(b, pa.binary())],
+                                                 names=["doc_id", "a", "b"])
+
+    return run
+
+
+def token_ids(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """(doc_id, a, b): the ids of both tokenizers, null where a text has no tokens; written once."""
+    return staged(docs.mapInArrow(_encoded(path_a, path_b), "doc_id long, a binary, b binary"), "align-ids")
+
+
+def _aligned(path_a: str, path_b: str, batches):
+    """(doc_ids, tokenizers, Aligned) of runs of token_ids."""
+    tokenizers = worker_cache("tokenizers", (path_a, path_b), lambda: Tokenizers(path_a, path_b))
+    for batch in batches:
+        a, b = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        for lo, hi in runs(a, CHUNK_IDS):
+            yield batch.column(0).slice(lo, hi - lo), tokenizers, align_ids(tokenizers, a[lo:hi], b[lo:hi])
+
+
 def sums(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Sum of each run of ``size`` rows."""
     out = np.zeros((len(size), *rows.shape[1:]), np.int64)
@@ -230,29 +261,25 @@ def _partial(path_a: str, path_b: str):
              pa.array([n[cut[p]:cut[p + 1]].tobytes() for p in some], pa.binary())], names=["part", "salt", "keys", "counts"])
 
     def run(batches):
-        tokenizers = worker_cache("tokenizers", (path_a, path_b), lambda: Tokenizers(path_a, path_b))
         keys, counts, held = [], [], 0
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for lo, hi in runs(texts):
-                x = align_texts(tokenizers, texts[lo:hi])
-                found = list(x.links())
-                text, pair = (np.concatenate(v) for v in zip(*((x.text_of[g], k) for g, k, _ in found), strict=True))
-                if len(found) > 1:
-                    order = np.argsort(text, kind="stable")
-                    text, pair = text[order], pair[order]
-                cut = np.searchsorted(text, np.arange(int(x.on.sum()) + 1))
-                once = np.concatenate([np.zeros(0, np.int64), *(np.unique(pair[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True))])
-                k, n = np.unique(once, return_counts=True)
-                keys.append(k)
-                counts.append(n)
-                held += len(k)
-                if held > HELD_KEYS:
-                    keys, counts = ([v] for v in add_up(keys, counts))
-                    held = len(keys[0])
-                    if held > HELD_KEYS // 2:
-                        yield rows(keys, counts)
-                        keys, counts, held = [], [], 0
+        for _, _, x in _aligned(path_a, path_b, batches):
+            found = list(x.links())
+            text, pair = (np.concatenate(v) for v in zip(*((x.text_of[g], k) for g, k, _ in found), strict=True))
+            if len(found) > 1:
+                order = np.argsort(text, kind="stable")
+                text, pair = text[order], pair[order]
+            cut = np.searchsorted(text, np.arange(int(x.on.sum()) + 1))
+            once = np.concatenate([np.zeros(0, np.int64), *(np.unique(pair[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True))])
+            k, n = np.unique(once, return_counts=True)
+            keys.append(k)
+            counts.append(n)
+            held += len(k)
+            if held > HELD_KEYS:
+                keys, counts = ([v] for v in add_up(keys, counts))
+                held = len(keys[0])
+                if held > HELD_KEYS // 2:
+                    yield rows(keys, counts)
+                    keys, counts, held = [], [], 0
         if held:
             yield rows(keys, counts)
 
@@ -371,9 +398,9 @@ def _highest(batches):
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(top[some])], names=["a", "best"])
 
 
-def count_pairs(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def count_pairs(ids: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """part, n, sizes, words, keys, counts: one row per part, the hash of its pairs with their document counts."""
-    partial = stage(docs.select(F.col("text").cast("string")).mapInArrow(
+    partial = stage(ids.mapInArrow(
         _partial(path_a, path_b), "part int, salt int, keys binary, counts binary"), "align-partial")
     keys = partial.select("part", "salt", "keys").groupBy("part", "salt").applyInPandas(_distinct, "part int, keys binary")
     hashes = stage(keys.groupBy("part").applyInPandas(_hashed, "part int, n long, sizes binary, words binary, keys binary"), "align-hash")
@@ -391,28 +418,25 @@ RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best l
 
 def _look_up(path_a: str, path_b: str, shipped):
     def run(batches):
-        tokenizers = worker_cache("tokenizers", (path_a, path_b), lambda: Tokenizers(path_a, path_b))
         parts, sizes, words, keys, counts, best = shipped.value
         table = Table(Hash(parts, sizes, words, keys), counts, best)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in runs(texts):
-                x = align_texts(tokenizers, texts[lo:hi])
-                per_group = np.zeros((len(x.text_of), 6), np.int64)  # n_a, n_b, groups, links, best, count
-                for k, v in enumerate((*x.sizes, 1, x.sizes[0] * x.sizes[1])):
-                    per_group[:, k] = v
-                for group, pair, times in x.links():
-                    count = table.counts_of(pair)
-                    if len(group):
-                        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-                        per_group[group[first], 4] += np.add.reduceat(times * table.is_best(pair, count), first)
-                        per_group[group[first], 5] += np.add.reduceat(times * count, first)
-                totals, sha = np.zeros((hi - lo, 6), np.int64), np.full(hi - lo, "", object)
-                totals[x.on] = sums(per_group, np.bincount(x.text_of, minlength=int(x.on.sum())))
-                sha[x.on] = [hashlib.sha256(t.encode()).hexdigest() for t in spell(tokenizers, x)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), *[pa.array(totals[:, k]) for k in range(6)], pa.array(sha, pa.string())],
-                    names=[c.split()[0] for c in RESULT.split(", ")])
+        for doc_id, tokenizers, x in _aligned(path_a, path_b, batches):
+            per_group = np.zeros((len(x.text_of), 6), np.int64)  # n_a, n_b, groups, links, best, count
+            for k, v in enumerate((*x.sizes, 1, x.sizes[0] * x.sizes[1])):
+                per_group[:, k] = v
+            for group, pair, times in x.links():
+                pair, at = np.unique(pair, return_inverse=True)  # each pair is looked up once
+                count = table.counts_of(pair)
+                is_best, count = table.is_best(pair, count)[at], count[at]
+                if len(group):
+                    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+                    per_group[group[first], 4] += np.add.reduceat(times * is_best, first)
+                    per_group[group[first], 5] += np.add.reduceat(times * count, first)
+            totals, sha = np.zeros((len(x.on), 6), np.int64), np.full(len(x.on), "", object)
+            totals[x.on] = sums(per_group, np.bincount(x.text_of, minlength=int(x.on.sum())))
+            sha[x.on] = [hashlib.sha256(t.encode()).hexdigest() for t in spell(tokenizers, x)]
+            yield pa.RecordBatch.from_arrays([doc_id, *[pa.array(totals[:, k]) for k in range(6)], pa.array(sha, pa.string())],
+                                             names=[c.split()[0] for c in RESULT.split(", ")])
 
     return run
 
@@ -427,7 +451,8 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     spark = docs.sparkSession
     path_a, path_b = (given or own for given, own in zip((path_a, path_b), vocabularies(), strict=True))
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    table = count_pairs(docs, path_a, path_b)
+    ids = token_ids(docs, path_a, path_b)
+    table = count_pairs(ids, path_a, path_b)
     top = table.select("keys", "counts").mapInArrow(_highest, "a long, best long").groupBy("a").agg(F.max("best").alias("best"))
     top = np.array([tuple(r) for r in top.collect()], np.int64).reshape(-1, 2)  # at most a row per A id
     best = np.zeros(int(top[:, 0].max(initial=0)) + 1, np.int64)
@@ -446,7 +471,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
         columns = [[np.frombuffer(r[c], kind) for r in rows] for c, kind in (("sizes", np.int64), ("words", np.uint64), ("keys", np.int64))]
         counts = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r["counts"], np.int64) for r in rows]])
         shipped = spark.sparkContext.broadcast(([r["part"] for r in rows], *columns, counts, best))
-        out.append(docs.mapInArrow(_look_up(path_a, path_b, shipped), RESULT))
+        out.append(ids.mapInArrow(_look_up(path_a, path_b, shipped), RESULT))
     if len(out) == 1:
         return out[0]
     # rows of one id and digest have the same links; what each slice found of them is added up
