@@ -190,7 +190,8 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_raw", F.coalesce(F.col(text).cast("string"), F.lit("")))
     df = df.withColumn("_low", F.lower("_raw"))
     # one loop: some hundred tests side by side become one method whose compilation takes up to gigabytes of an executor
-    gate = f"exists(array({', '.join(map(_quote, roots))}), r -> contains(_low, r))"
+    # (_low stands there twice so that it stays a column: inlined, it would be computed anew for every root)
+    gate = f"_low <> '' AND exists(array({', '.join(map(_quote, roots))}), r -> contains(_low, r))"
     df = df.withColumn("_low", F.when(F.expr(gate), ascii_lower("_raw")))
     df = df.withColumn("_keys", F.expr(f"CASE WHEN _low IS NOT NULL THEN filter(array({keys}), k -> contains(_low, k)) END"))
     # _keys stands here twice so that it stays a column: inlined, it would be computed anew for every rule
