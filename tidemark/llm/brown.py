@@ -14,8 +14,10 @@ in a join. Words are told apart by a 64-bit hash in the bigrams.
 
 from __future__ import annotations
 
+import itertools
 import math
-import uuid
+from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage, texts, worker_cache
-from tidemark.session import staged
+from tidemark.llm.common import stage, texts
+from tidemark.session import staging_path
 
 #: Least count of a word that exchange clustering moves between classes, and their number.
 LEAST, CLASSES = 2, 48
@@ -52,18 +54,15 @@ def is_held_out(doc_id):
 
 
 def _count_words(batches):
-    counts: dict[bytes, int] = {}
+    counts: Counter[bytes] = Counter()
 
     def out():
-        forms = pa.array([-1 if w == END else form(w) for w in counts], pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), forms,
-                                           pa.array(list(counts.values()), pa.int64())], names=["word", "form", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
     for b in batches:
         for t in texts(b.column(0)):
-            for w in t.lower().split():
-                counts[w] = counts.get(w, 0) + 1
-            counts[END] = counts.get(END, 0) + 1
+            counts.update(t.lower().split())
+            counts[END] += 1
             if len(counts) > 500_000:
                 yield out()
                 counts.clear()
@@ -71,10 +70,16 @@ def _count_words(batches):
         yield out()
 
 
+def _forms(batches):
+    for b in batches:
+        forms = [-1 if w == END else form(w) for w in texts(b.column(0))]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(forms, pa.int64()), b.column(1)], names=["word", "form", "n"])
+
+
 def word_counts(train: DataFrame) -> DataFrame:
     """(word binary, form, n) over whole texts: ASCII-lower-cased words and one END a text (form -1)."""
-    return (train.select(F.col("text").cast("string")).mapInArrow(_count_words, "word binary, form long, n long")
-            .groupBy("word", "form").agg(F.sum("n").alias("n")))
+    return (train.select(F.col("text").cast("string")).mapInArrow(_count_words, "word binary, n long")
+            .groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(_forms, "word binary, form long, n long"))
 
 
 def frequent(counts: DataFrame, most: int, *more: str) -> list[tuple]:
@@ -159,24 +164,28 @@ def best_classes(left: np.ndarray, right: np.ndarray, both: np.ndarray, own: np.
     r[rows, own] -= both
     gain = np.zeros((len(own), choices))
     for x, y, t, step in ((r, l, table, steps[0]), (l, r, table.T, steps[1])):  # the table is meant without the word
-        w, c = np.nonzero(x)
+        w, c = np.nonzero(x != 0)
         if not len(w):
             continue
         v, o = x[w, c], own[w]
+        few = np.minimum(v, FEW).astype(np.int64)
+        more = step.reshape(-1, choices)[few * len(table) + c]
         plain = (v <= FEW) & (c != o)
-        more = np.empty((len(w), choices))
-        more[plain] = step[v[plain].astype(np.int64), c[plain]]
         k = np.flatnonzero(plain)  # of these only the cell of the word's own class holds the word
         n = t[o[k], c[k]] - v[k]
         more[k, o[k]] = _xlogx(n + v[k]) - _xlogx(n)
         k = np.flatnonzero(~plain)
-        n, at = t[:choices, c[k]].T.copy(), np.flatnonzero(c[k] == o[k])
-        n[np.arange(len(k)), o[k]] -= v[k]
+        cells = np.ascontiguousarray(t[:choices].T)
+        n, before, ks, at = cells[c[k]], _xlogx(cells)[c[k]], np.arange(len(k)), np.flatnonzero(c[k] == o[k])
+        n[ks, o[k]] -= v[k]
         n[at] -= y[w[k[at]], :choices]
         n[at, o[k[at]]] -= both[w[k[at]]]
-        more[k] = _xlogx(n + v[k, None]) - _xlogx(n)
-        some, first = np.unique(w, return_index=True)
-        gain[some] += np.add.reduceat(more, first, axis=0)
+        before[ks, o[k]] = _xlogx(n[ks, o[k]])
+        before[at] = _xlogx(n[at])
+        n += v[k, None]
+        more[k] = _xlogx(n) - before
+        first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+        gain[w[first]] += np.add.reduceat(more, first, axis=0)
     lb, rb, twice = l[:, :choices], r[:, :choices], both[:, None]
     w, c = np.nonzero((lb > 0) & (rb > 0) | (twice > 0))  # row and column of the class meet there; else nothing changes
     x, y, z = rb[w, c], lb[w, c], both[w]
@@ -266,18 +275,30 @@ def exchange_classes(bigrams: DataFrame, words: DataFrame, classes: int = CLASSE
 
 
 def _packed(batches):
-    """Longs and small numbers of many rows as two binary values."""
+    """Longs, small numbers and counts of many rows as three binary values."""
     for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(b.column(0).to_numpy()).tobytes()], pa.binary()),
-                                          pa.array([b.column(1).to_numpy().astype(np.int8).tobytes()], pa.binary())], names=["w", "c"])
+        columns = [b.column(k).to_numpy().astype(kind) for k, kind in enumerate((np.int64, np.int8, np.int64))]
+        yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in columns], names=["w", "c", "n"])
+
+
+def _places(hashes: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each word in ``hashes`` (0 if it is not there), and whether it is there."""
+    if not len(hashes):
+        return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words)).view(np.int64)
+    order = np.argsort(h)  # in order, the places are found without a walk through all of memory for each
+    at = np.empty(len(words), np.int64)
+    at[order] = np.minimum(np.searchsorted(hashes, h[order]), len(hashes) - 1)
+    there = hashes[at] == h
+    return np.where(there, at, 0), there
 
 
 def _symbols(hashes: np.ndarray, words: list[bytes]) -> np.ndarray:
     """Place of each word in ``hashes``; a word that is not there: their number, plus 0 for END, plus 1 + its form."""
-    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words)).view(np.int64)
-    at = np.searchsorted(hashes, h)
-    fixed = np.fromiter((len(hashes) if w == END else len(hashes) + 1 + form(w) for w in words), np.int64, len(words))
-    return np.where(hashes[np.minimum(at, len(hashes) - 1)] == h, at, fixed) if len(hashes) else fixed
+    at, there = _places(hashes, words)
+    for k in np.flatnonzero(~there).tolist():
+        at[k] = len(hashes) if words[k] == END else len(hashes) + 1 + form(words[k])
+    return at
 
 
 def _symbol_bigrams(shipped):
@@ -351,6 +372,86 @@ def _adjacency(batches):
             yield row(rest, False)
 
 
+def _dealt(shipped, parts: int):
+    """Bigrams of the texts as blocks (part, w, nb, 3 * n + side): each for the part of either word.
+
+    A part is a range of words of one half; the neighbours of a ``hot`` word are dealt over all parts of its half.
+    Bigrams without a moving word go to the part 2 * parts."""
+
+    def run(batches):
+        hashes, hot = shipped.value
+        v = len(hashes)
+        odd = (hashes & 1).astype(np.int8)
+        ranges = (2 * (np.arange(v) * parts // max(v, 1)) + odd).astype(np.int32)
+        for bigrams in _symbol_bigrams(SimpleNamespace(value=hashes))(batches):
+            ab, n = bigrams.column(0).to_numpy(), bigrams.column(1).to_numpy()
+            a, b = ab >> 32, ab & 0xFFFFFFFF
+            still, itself, after, before = (a >= v) & (b >= v), (a == b) & (a < v), a < v, b < v
+            w = np.concatenate([a[still], a[itself], a[after], b[before]]).astype(np.int32)
+            nb = np.concatenate([b[still], b[itself], b[after], a[before]]).astype(np.int32)
+            m = np.concatenate([3 * n[still] + 1, 3 * n[itself] + 2, 3 * n[after] + 1, 3 * n[before]])
+            m = m.astype(np.min_scalar_type(m.max()))
+            del ab, a, b, n
+            part = np.append(ranges, 2 * parts)[np.minimum(w, v)]
+            dealt = np.flatnonzero(np.append(hot, False)[np.minimum(w, v)])
+            part[dealt] = 2 * (nb[dealt] % parts) + odd[w[dealt]]
+            order = np.argsort(part.astype(np.int16) if 2 * parts < 32_000 else part, kind="stable")  # radix sort of small numbers
+            part, w, nb, m = part[order], w[order], nb[order], m[order]
+            starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            for lo, hi in zip(starts, np.append(starts[1:], len(part)), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([int(part[lo])], pa.int32()), *(pa.array([x[lo:hi].tobytes()], pa.binary()) for x in (w, nb, m)),
+                                                  pa.array([m.itemsize], pa.int32())], names=["part", "w", "nb", "m", "size"])
+
+    return run
+
+
+def _summed(batches):
+    """(part, wnb, 3 * n + side), sorted and summed, of blocks that come in the order of their parts."""
+    now, blocks = None, []
+
+    def out():
+        wnb, m = (np.concatenate([x[k] for x in blocks]) for k in range(2))
+        order = np.argsort(wnb * 3 + m % 3)
+        key, n = (wnb * 3 + m % 3)[order], (m // 3)[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        return now, key[first] // 3, np.add.reduceat(n, first) * 3 + key[first] % 3
+
+    for b in batches:
+        for part, w, nb, m, size in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            if part != now and blocks:
+                yield out()
+                blocks.clear()
+            now = part
+            blocks.append(((np.frombuffer(w, np.int32).astype(np.int64) << 32) | np.frombuffer(nb, np.int32),
+                           np.frombuffer(m, f"u{size}").astype(np.int64)))
+    if blocks:
+        yield out()
+
+
+def _neighbour_lists(shipped, parts: int):
+    """The rows of ``_adjacency`` with the half whose words they hold (2: no moving word), and of these the bigrams within the half."""
+
+    def run(batches):
+        hashes, hot = shipped.value
+        v, odd = len(hashes), (hashes & 1).astype(np.int8)
+        for part, wnb, m in _summed(batches):
+            half = 2 if part == 2 * parts else part % 2
+            alone = hot[wnb >> 32] if half < 2 else np.zeros(len(wnb), bool)
+            groups = [(~alone, False)] + [(alone & (wnb >> 32 == w), True) for w in np.unique(wnb[alone] >> 32)]
+            for which, split in groups:
+                if not which.any():
+                    continue
+                for row in _adjacency([pa.RecordBatch.from_arrays([pa.array(wnb[which]), pa.array(m[which])], names=["wnb", "n"])]):
+                    w, side, nb, n = _lists(row, 0)
+                    k = np.flatnonzero((side == 1) & (nb < v)) if half < 2 else np.zeros(0, np.int64)
+                    k = k[odd[nb[k]] == half]
+                    yield pa.RecordBatch.from_arrays([*row.columns[:4], pa.array([split or row.column(4)[0].as_py()], pa.bool_()),
+                                                      *(pa.array([x[k].tobytes()], pa.binary()) for x in (w, nb, n)),
+                                                      pa.array([half], pa.int32())], names=["w", "side", "nb", "n", "split", "a", "b", "ab", "half"])
+
+    return run
+
+
 def _lists(b, i):
     w, side, nb = (np.frombuffer(b.column(k)[i].as_py(), kind) for k, kind in enumerate((np.int32, np.int8, np.int32)))
     n = b.column(3)[i].as_py()
@@ -376,45 +477,79 @@ def _class_bigrams(shipped, total: int, first_fixed: int):
 
 
 def _word_counts_of(of, w, side, nb, n, total: int):
-    """words, (3, words, classes) counts before, after and of the word itself."""
-    words, at = np.unique(w, return_inverse=True)
-    size = len(words) * total
-    counts = np.bincount((side.astype(np.int64) * len(words) + at) * total + np.where(side == 2, 0, of[nb]), weights=n, minlength=3 * size)
-    return words, counts.reshape(3, len(words), total)
+    """words, (3, words, classes) counts before, after and of the word itself; ``w`` is sorted."""
+    new = np.append(True, w[1:] != w[:-1])
+    words, at = w[new], np.cumsum(new) - 1
+    cells = (side.astype(np.int64) * len(words) + at) * total + np.where(side == 2, 0, of[nb])
+    return words, np.bincount(cells, weights=n, minlength=3 * len(words) * total).reshape(3, len(words), total)
+
+
+def _change(own: np.ndarray, best: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """What the moves of words add to the class bigram table while their neighbours stay."""
+    rows, move = np.arange(len(own)), np.zeros(left.shape)
+    move[rows, best] += 1
+    move[rows, own] -= 1
+    return move.T @ right + left.T @ move
 
 
-def _moves(shipped, table: np.ndarray, choices: int, half: int):
+def _moves(shipped, table: np.ndarray, choices: int):
+    """Words that change class with their new classes, and last what that adds to the table (``_change``)."""
     total = len(table)
 
     def run(batches):
-        (of, odd), steps = shipped.value, step_gains(table, choices)
+        of, steps, change = shipped.value, step_gains(table, choices), np.zeros_like(table)
         for b in batches:
             for i in range(b.num_rows):
                 w, side, nb, n = _lists(b, i)
-                turn = odd[w] == half
-                w, side, nb, n = w[turn], side[turn], nb[turn], n[turn]
-                starts = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else np.zeros(0, np.int64)
+                starts = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
                 for lo in range(0, len(starts), 500):
                     s = slice(starts[lo], starts[lo + 500] if lo + 500 < len(starts) else len(w))
                     words, counts = _word_counts_of(of, w[s], side[s], nb[s], n[s], total)
-                    best = best_classes(counts[0], counts[1], counts[2, :, 0], of[words].astype(np.int64), table, choices, steps)
-                    yield pa.RecordBatch.from_arrays([pa.array([words.astype(np.int32).tobytes()], pa.binary()),
-                                                      pa.array([best.astype(np.int8).tobytes()], pa.binary())], names=["w", "c"])
+                    own = of[words].astype(np.int64)
+                    best = best_classes(counts[0], counts[1], counts[2, :, 0], own, table, choices, steps)
+                    k = np.flatnonzero(best != own)
+                    if len(k):
+                        change += _change(own[k], best[k], counts[0, k], counts[1, k])
+                        yield pa.RecordBatch.from_arrays([pa.array([words[k].astype(np.int32).tobytes()], pa.binary()),
+                                                          pa.array([best[k].astype(np.int8).tobytes()], pa.binary()), pa.array([None], pa.binary())],
+                                                         names=["w", "c", "change"])
+        yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([b""], pa.binary()), pa.array([change.tobytes()], pa.binary())],
+                                         names=["w", "c", "change"])
 
     return run
 
 
-def _pieces(shipped, total: int, half: int):
+def _both_moved(shipped, total: int):
+    """What the table gets besides ``_change`` from bigrams of two words that both changed class."""
+
     def run(batches):
-        of, odd = shipped.value
+        old, new = shipped.value
+        moved, change = old != new, np.zeros(total * total)
+        for batch in batches:
+            for a, b, n in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if not a:
+                    continue
+                a, b = np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)
+                n = np.frombuffer(n, f"u{len(n) // len(a)}")
+                k = np.flatnonzero(moved[a])
+                k = k[moved[b[k]]]
+                a, b, n = a[k], b[k], n[k]
+                for x, y, sign in ((old, old, 1), (new, new, 1), (old, new, -1), (new, old, -1)):
+                    change += sign * np.bincount(x[a].astype(np.int64) * total + y[b], weights=n, minlength=total * total)
+        yield pa.RecordBatch.from_arrays([pa.array([change.tobytes()], pa.binary())], names=["change"])
+
+    return run
+
+
+def _pieces(shipped, total: int):
+    def run(batches):
+        of = shipped.value
         for b in batches:
             for i in range(b.num_rows):
-                w, side, nb, n = _lists(b, i)
-                if odd[w[0]] == half:
-                    words, counts = _word_counts_of(of, w, side, nb, n, total)
-                    s, _, c = np.nonzero(counts)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), words[0], np.int64)), pa.array(s), pa.array(c),
-                                                      pa.array(counts[s, 0, c].astype(np.int64))], names=["w", "side", "c", "n"])
+                words, counts = _word_counts_of(of, *_lists(b, i), total)
+                s, _, c = np.nonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), words[0], np.int64)), pa.array(s), pa.array(c),
+                                                  pa.array(counts[s, 0, c].astype(np.int64))], names=["w", "side", "c", "n"])
 
     return run
 
@@ -431,108 +566,161 @@ def _classes_of(shipped):
     return run
 
 
-def exchange_by_map(train: DataFrame, words: DataFrame, classes: int = CLASSES, rounds: int | None = None) -> tuple[DataFrame, np.ndarray]:
-    """What ``exchange_classes`` returns, for at most MAP_WORDS moving words and fewer than 128 classes.
+#: Tokens of the neighbour lists that one part takes; a word with more of them is dealt over all parts.
+PART_TOKENS = 1_000_000
 
-    Moving words are numbered by the order of their hashes and the others stand for their class from the
-    start, so the bigrams are summed over far fewer pairs. They are written once, as the neighbours of each
-    word; a round reads these lists and moves nothing but the word -> class map, one byte a word.
+
+def exchange_in_map(train: DataFrame, words: DataFrame, classes: int = CLASSES,
+                    rounds: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted hashes of the moving words, their counts, their classes with those of the fixed ones behind, class bigram table).
+
+    For at most MAP_WORDS moving words and fewer than 128 classes. Moving words are numbered by the order of their
+    hashes and the others stand for their class from the start, so the bigrams are summed over far fewer pairs. They are
+    written once, as the neighbours of each word, apart for each half; a round reads the lists of the half that moves.
+    The class table is counted once; then each round adds what its moves change: for every word as if its neighbours
+    stayed, and a correction for bigrams of two moved words. These counts are whole numbers, so the table stays exact.
     """
     spark, total = train.sparkSession, classes + 1 + FORMS
-    moving = words.where("moves").select("w", F.pmod(F.xxhash64("w"), F.lit(classes)).cast("long").alias("c"))
-    rows = moving.mapInArrow(_packed, "w binary, c binary").collect()  # nine bytes a word
-    hashes = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r.w, np.int64) for r in rows)])
-    start = np.concatenate([np.zeros(0, np.int8), *(np.frombuffer(r.c, np.int8) for r in rows)])
+    n = F.col("n") if "n" in words.columns else F.lit(0)
+    moving = words.where("moves").select("w", F.pmod(F.xxhash64("w"), F.lit(classes)).cast("long").alias("c"), n.cast("long").alias("n"))
+    rows = moving.mapInArrow(_packed, "w binary, c binary, n binary").collect()  # 17 bytes a word
+    hashes, start, times = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[k], kind) for r in rows)])
+                            for k, kind in enumerate((np.int64, np.int8, np.int64)))
+    del rows
     order = np.argsort(hashes)
-    hashes = hashes[order]
+    hashes, times = hashes[order], times[order]
     of = np.concatenate([start[order], np.arange(classes, total, dtype=np.int8)])
-    odd, v = (hashes & 1).astype(np.int8), len(hashes)
-
-    shipped = spark.sparkContext.broadcast(hashes)
-    pairs = staged(train.select(F.col("text").cast("string")).mapInArrow(_symbol_bigrams(shipped), "ab long, n long")
-                  .groupBy("ab").agg(F.sum("n").alias("n")).select(F.shiftright("ab", 32).cast("int").alias("a"),
-                                                                   F.col("ab").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("b"), "n"), "lm-pairs")
-    still = np.zeros((total, total))  # bigrams without a moving word
-    for a, b, n in pairs.where((F.col("a") >= v) & (F.col("b") >= v)).collect():  # at most classes squared
-        still[classes + a - v, classes + b - v] = n
-    def beside(side: int, w: str, nb: str, which):
-        """(w and nb in one long, n and side in another): two columns take least in the shuffle."""
-        return pairs.where(which).select((F.shiftleft(F.col(w).cast("long"), 32).bitwiseOR(F.col(nb).cast("long"))).alias("wnb"),
-                                         (F.col("n") * 3 + side).alias("n"))
-
-    sides = (beside(2, "a", "b", (F.col("a") < v) & (F.col("a") == F.col("b"))).unionByName(beside(1, "a", "b", F.col("a") < v))
-             .unionByName(beside(0, "b", "a", F.col("b") < v)))
-    lists = staged(sides.repartition(F.shiftright("wnb", 32)).sortWithinPartitions("wnb")
-                   .mapInArrow(_adjacency, "w binary, side binary, nb binary, n binary, split boolean"), "lm-lists")
+    v, parts = len(hashes), int(times.sum()) // PART_TOKENS + 1
+
+    shipped = spark.sparkContext.broadcast((hashes, times > PART_TOKENS))
+    blocks = (train.select(F.col("text").cast("string"))
+              .mapInArrow(_dealt(shipped, parts), "part int, w binary, nb binary, m binary, size int"))
+    path = staging_path(spark, "lm-lists")
+    made = (blocks.repartition("part").sortWithinPartitions("part")
+            .mapInArrow(_neighbour_lists(shipped, parts), "w binary, side binary, nb binary, n binary, split boolean, a binary, b binary, ab binary, half int"))
+    made.write.mode("errorifexists").option("compression", "zstd").partitionBy("half").parquet(path)
+    lists = spark.read.schema(made.schema).parquet(path)
+    shipped.destroy()
     columns = ["w", "side", "nb", "n"]
 
-    def table_of(classes_of: np.ndarray) -> np.ndarray:
-        sent = spark.sparkContext.broadcast(classes_of)
-        table = still.copy().reshape(-1)
-        for cell, n in lists.select(*columns).mapInArrow(_class_bigrams(sent, total, v), "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
-            table[cell] += n  # at most classes squared
-        sent.destroy()
-        return table.reshape(total, total)
+    table = np.zeros(total * total)
+    sent = spark.sparkContext.broadcast(of)
+    for r in lists.where("half = 2").select(*columns).toLocalIterator():  # bigrams without a moving word, at most classes squared
+        a, b = (np.frombuffer(r[k], np.int32) - v + classes for k in ("w", "nb"))
+        np.add.at(table, a * total + b, np.frombuffer(r["n"], f"u{len(r['n']) // len(a)}"))
+    for cell, n in (lists.where("half < 2").select(*columns).mapInArrow(_class_bigrams(sent, total, v), "cell long, n long")
+                    .groupBy("cell").agg(F.sum("n")).collect()):
+        table[cell] += n  # at most classes squared
+    table = table.reshape(total, total)
+    sent.destroy()
+    have_split = {h for h, in lists.where("split").select("half").distinct().collect()}
 
     best, k = None, 0
     while True:
-        table = table_of(of)
         done = rounds is not None and k >= rounds
         if done or rounds is None and k % 2 == 0:
             gained = done or best is None or likelihood(table) > likelihood(best[1])
             if gained:
                 best = of, table
             if done or not gained:
-                break
-        sent, of = spark.sparkContext.broadcast((of, odd)), of.copy()
-        for r in lists.where("NOT split").select(*columns).mapInArrow(_moves(sent, table, classes, k % 2), "w binary, c binary").collect():
-            of[np.frombuffer(r.w, np.int32)] = np.frombuffer(r.c, np.int8)  # five bytes a word
-        split: dict[int, np.ndarray] = {}
-        for w, side, c, n in (lists.where("split").select(*columns).mapInArrow(_pieces(sent, total, k % 2), "w long, side long, c long, n long")
-                              .groupBy("w", "side", "c").agg(F.sum("n")).collect()):  # words of over ROW_PAIRS neighbours
-            split.setdefault(w, np.zeros((3, total)))[side, c] = n
-        for w, (left, right, itself) in split.items():
-            of[w] = best_class(left, right, itself[0], int(sent.value[0][w]), table, classes)
+                return hashes, times, *best
+        half, old = lists.where(f"half = {k % 2}"), of
+        sent, of, table = spark.sparkContext.broadcast(old), old.copy(), table.copy()
+        now = table.copy()
+        for r in half.where("NOT split").select(*columns).mapInArrow(_moves(sent, now, classes), "w binary, c binary, change binary").collect():
+            of[np.frombuffer(r.w, np.int32)] = np.frombuffer(r.c, np.int8)  # five bytes a moved word, one table a task
+            if r.change:
+                table += np.frombuffer(r.change).reshape(total, total)
+        if k % 2 in have_split:
+            split: dict[int, np.ndarray] = {}
+            for w, side, c, n in (half.where("split").select(*columns).mapInArrow(_pieces(sent, total), "w long, side long, c long, n long")
+                                  .groupBy("w", "side", "c").agg(F.sum("n")).collect()):  # words of over ROW_PAIRS neighbours or PART_TOKENS tokens
+                split.setdefault(w, np.zeros((3, total)))[side, c] = n
+            for w, (left, right, itself) in split.items():
+                of[w] = best_class(left, right, itself[0], int(old[w]), now, classes)
+                if of[w] != old[w]:
+                    table += _change(old[w:w + 1], of[w:w + 1], left[None], right[None])
+        sent.destroy()
+        sent = spark.sparkContext.broadcast((old, of))
+        for r in half.select("a", "b", "ab").mapInArrow(_both_moved(sent, total), "change binary").collect():
+            table += np.frombuffer(r.change).reshape(total, total)
         sent.destroy()
         k += 1
-    sent = spark.sparkContext.broadcast((hashes, best[0]))
+
+
+def _known_of(words: DataFrame, hashes: np.ndarray, of: np.ndarray, classes: int) -> DataFrame:
+    """(w, c) of all ``words``."""
+    sent = words.sparkSession.sparkContext.broadcast((hashes, of))
     known = words.select("w", F.when(F.col("moves"), F.lit(-1)).otherwise(F.col("form") + classes + 1).cast("long").alias("c"))
-    return known.mapInArrow(_classes_of(sent), "w long, c long"), best[1]
+    return known.mapInArrow(_classes_of(sent), "w long, c long")
 
 
-def _profile_texts(log_next, head, end, base_log, mark):
-    """Per text: log10 sums over the words of the head; other words, and pairs with one, are listed for a join.
+def exchange_by_map(train: DataFrame, words: DataFrame, classes: int = CLASSES, rounds: int | None = None) -> tuple[DataFrame, np.ndarray]:
+    """What ``exchange_classes`` returns, by ``exchange_in_map``."""
+    hashes, _, of, table = exchange_in_map(train, words, classes, rounds)
+    return _known_of(words, hashes, of, classes), table
 
-    A pair holds a class or, below 0, -1 - the place in ``rest``."""
+
+def _profile_texts(log_next, shipped, end_n, end, base_log, log_emit_of, whole):
+    """Per text: log10 sums over the words whose counts were sent; other words, and pairs with one, are listed for a join.
+
+    A pair holds a class or, below 0, -1 - the place in ``rest``. ``whole``: every word from LEAST on was sent, so
+    any other word of a training text stands once in the training part."""
     def run(batches):
-        logs = worker_cache("head", mark, lambda: dict(zip(head["word"], zip(head["base"], head["emit"], head["class"], strict=True), strict=True)))
+        hashes, n_of_place, c_of_place = shipped.value
+        known, names = _Numbers(), []
+        base, emit, c, sent = np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool)
+        cells, total = log_next.reshape(-1), len(log_next)
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                rows: list[list] = [[] for _ in range(9)]
-                for t in texts(b.column(1).slice(lo, 1000)):
-                    w = t.lower().split()
-                    base, emit, _ = logs[END]
-                    n_known, rest, times, c = 1, {}, [], [end]
-                    for x in w:
-                        if (found := logs.get(x)) is None:
-                            k = rest.setdefault(x, len(rest))
-                            if k == len(times):
-                                times.append(0)
-                            times[k] += 1
-                            c.append(-1 - k)
-                        else:
-                            base, emit, n_known = base + found[0], emit + found[1], n_known + 1
-                            c.append(found[2])
-                    s = np.array([*c, end])
-                    x, y = s[:-1], s[1:]
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                if len(known) > 500_000:
+                    known, names, base, emit, c, sent = _Numbers(), [], base[:0], emit[:0], c[:0], sent[:0]
+                rows = []
+                for t in texts(part.column(1)):
+                    w = [END, *t.lower().split(), END]
+                    rows.append(np.fromiter(map(known.__getitem__, w), np.int64, len(w)))
+                new = list(itertools.islice(reversed(known), len(known) - len(names)))[::-1]
+                names += new
+                at, there = _places(hashes, new)
+                of, n = np.full(len(new), end, np.int64), np.ones(len(new))
+                of[there], n[there] = c_of_place[at[there]], n_of_place[at[there]]
+                for k in np.flatnonzero(~there).tolist():
+                    if new[k] == END:
+                        n[k], there[k] = end_n, True
+                    else:
+                        of[k] = end + 1 + form(new[k])
+                logs = np.log10(n + 1)
+                base, emit = np.concatenate([base, logs - base_log]), np.concatenate([emit, logs - log_emit_of[of]])
+                c, sent = np.concatenate([c, of]), np.concatenate([sent, there])
+
+                size = np.array([len(s) for s in rows])
+                s, begin = np.concatenate(rows), np.cumsum(size) - size
+                of = c[s]
+                trans = cells[of[:-1] * total + of[1:]]  # the last of a text leads to the next text
+                trans[begin[1:] - 1] = 0
+                sums = [size - 1, *(np.add.reduceat(v, begin) for v in (base[s], emit[s], np.append(trans, 0)))]
+                sums[1] -= base[s[begin]]  # the end token stands at both sides of a text
+                sums[2] -= emit[s[begin]]
+                lists: list[list] = [[[] for _ in rows] for _ in range(4)]
+                held = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                for k in np.flatnonzero(~np.logical_and.reduceat(sent[s], begin) & (held if whole else True)).tolist():
+                    ids = rows[k]
+                    ok = sent[ids]
+                    rest, place, times = np.unique(ids[~ok], return_inverse=True, return_counts=True)
+                    of = c[ids]
+                    of[~ok] = -1 - place
+                    x, y = of[:-1], of[1:]
                     plain = (x >= 0) & (y >= 0)
-                    for column, v in zip(rows, (len(w) + 1, n_known, float(base), float(emit), float(log_next[x[plain], y[plain]].sum()),
-                                                list(rest), times, x[~plain], y[~plain]), strict=True):
-                        column.append(v)
+                    for column, v in zip(sums, (np.count_nonzero(ok) - 1, base[ids[:-1]][ok[:-1]].sum(), emit[ids[:-1]][ok[:-1]].sum(),
+                                                log_next[x[plain], y[plain]].sum()), strict=True):
+                        column[k] = v
+                    for column, v in zip(lists, ([names[w] for w in rest], times, x[~plain], y[~plain]), strict=True):
+                        column[k] = v
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, 1000).cast(pa.int64()), b.column(2).slice(lo, 1000),
-                     pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), *(pa.array(r, pa.float64()) for r in rows[2:5]),
-                     pa.array(rows[5], pa.list_(pa.binary())), *(pa.array(r, pa.list_(pa.int64())) for r in rows[6:])],
+                    [part.column(0).cast(pa.int64()), part.column(2), pa.array([len(s) - 1 for s in rows], pa.int64()), pa.array(sums[0], pa.int64()),
+                     *(pa.array(v, pa.float64()) for v in sums[1:]),
+                     pa.array(lists[0], pa.list_(pa.binary())), *(pa.array(v, pa.list_(pa.int64())) for v in lists[1:])],
                     names=["doc_id", "held_out", "n_tokens", "head_known", "base", "emit", "trans", "rest", "times", "first", "second"])
 
     return run
@@ -579,35 +767,42 @@ def score_texts(docs: DataFrame, core_words: int | None = None, classes: int = C
     counts = stage(word_counts(train).withColumn("w", F.xxhash64("word")), "lm-words")
     n_all, vocab = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     if core_words is None:
-        words = counts.select("w", "form", (F.col("form") >= 0).alias("real"), "n").select("w", "form", F.expr(f"real AND n >= {LEAST}").alias("moves"))
+        words = counts.select("w", "form", "n", F.expr(f"form >= 0 AND n >= {LEAST}").alias("moves"))
     else:
         core = [(bytearray(w),) for w, _ in frequent(counts, core_words + 1) if w != END][:core_words]
         chosen = spark.createDataFrame(core, "word binary").withColumn("moves", F.lit(True))
-        words = counts.join(F.broadcast(chosen), "word", "left").select("w", "form", F.coalesce("moves", F.lit(False)).alias("moves"))
-    if words.where("moves").count() <= map_words and classes + 1 + FORMS < 128:
-        known, table = exchange_by_map(train, words, classes, rounds)
+        words = counts.join(F.broadcast(chosen), "word", "left").select("w", "form", "n", F.coalesce("moves", F.lit(False)).alias("moves"))
+    whole = words.where("moves").count() <= map_words and classes + 1 + FORMS < 128
+    if whole:
+        hashes, times, of, table = exchange_in_map(train, words, classes, rounds)
     else:
         known, table = exchange_classes(stage(bigram_counts(train), "lm-bigrams"), words, classes, rounds)
     total = len(table)
     log_next = np.log10((table + 1) / (table.sum(axis=1, keepdims=True) + total))
-    classed = stage(counts.join(known, "w").select("word", "n", "c"), "lm-classes")
 
     # emissions: a class's training tokens and distinct words; one more word stands for the unseen
     n_words = np.zeros(total)
-    n_words[classes] = 1
+    if whole and core_words is None:  # each word from LEAST on is in the map; others are sought in texts held out only
+        n_words += np.bincount(of[:len(hashes)], minlength=total)
+        classed = counts.where(f"form >= 0 AND n < {LEAST}").select("word", "n", (F.col("form") + classes + 1).alias("c"))
+        head = hashes, times, of[:len(hashes)]
+    else:
+        if whole:
+            known = _known_of(words, hashes, of, classes)
+        classed = stage(counts.where("form >= 0").join(known, "w").select("word", "n", "c"), "lm-classes")
+        hot = frequent(classed, head_words, "c")
+        names = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w, _, _ in hot), np.uint64, len(hot)).view(np.int64)
+        order = np.argsort(names)
+        head = names[order], np.array([x[1] for x in hot], np.int64)[order], np.array([x[2] for x in hot], np.int8)[order]
     for c, n in classed.groupBy("c").count().collect():  # at most classes rows
-        n_words[c] = n
+        n_words[c] += n
+    n_words[classes] = 1
     log_emit_of = np.log10(table.sum(axis=0) + n_words + 1)
     base_log = math.log10(n_all + vocab + 1)
 
-    hot = frequent(classed, head_words, "c")
-    if not any(w == END for w, _, _ in hot):
-        end = classed.where(F.col("c") == classes).select("n").first()
-        hot.append((END, end["n"] if end else 0, classes))
-    n, of = np.array([x[1] for x in hot], float), np.array([x[2] for x in hot])
-    head = {"word": [x[0] for x in hot], "base": np.log10(n + 1) - base_log, "emit": np.log10(n + 1) - log_emit_of[of], "class": of.tolist()}
+    end = counts.where("form < 0").select("n").first()
     prof = docs.select("doc_id", "text", "held_out").mapInArrow(
-        _profile_texts(log_next, head, classes, base_log, uuid.uuid4().hex),
+        _profile_texts(log_next, spark.sparkContext.broadcast(head), end["n"] if end else 0, classes, base_log, log_emit_of, whole and core_words is None),
         "doc_id long, held_out boolean, n_tokens long, head_known long, base double, emit double, trans double, "
         "rest array<binary>, times array<long>, first array<long>, second array<long>")
     prof = stage(prof.withColumn("row", F.monotonically_increasing_id()), "lm-profile")  # written once: ids stay
