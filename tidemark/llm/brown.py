@@ -47,6 +47,20 @@ def form(word: bytes) -> int:
     return kind * 10 + min(len(word), 20) // 2 - (len(word) >= 20)
 
 
+#: What a byte says of its word: 1 a digit, 2 no ASCII, 4 another sign, 0 a letter.
+SIGNS = np.array([0 if bytes([k]).isalpha() else 1 if 48 <= k < 58 else 2 if k > 127 else 4 for k in range(256)], np.uint8)
+
+
+def forms(words: list[bytes]) -> np.ndarray:
+    """``form`` of many words, none of them empty."""
+    if not words:
+        return np.zeros(0, np.int64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    signs = np.bitwise_or.reduceat(SIGNS[np.frombuffer(b"".join(words), np.uint8)], np.cumsum(size) - size)
+    kind = np.array([0, 1, 2, 1, 3, 1, 2, 1])[signs]
+    return kind * 10 + np.minimum(size, 20) // 2 - (size >= 20)
+
+
 def is_held_out(doc_id):
     """crc32 of the id as text, mod FOLDS; a null id counts as the empty text."""
     text = F.coalesce(doc_id.cast("string"), F.lit(""))
@@ -72,8 +86,10 @@ def _count_words(batches):
 
 def _forms(batches):
     for b in batches:
-        forms = [-1 if w == END else form(w) for w in texts(b.column(0))]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(forms, pa.int64()), b.column(1)], names=["word", "form", "n"])
+        words = list(texts(b.column(0)))
+        kinds = forms(words)
+        kinds[[k for k, w in enumerate(words) if w == END]] = -1
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kinds, pa.int64()), b.column(1)], names=["word", "form", "n"])
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -169,14 +185,14 @@ def best_classes(left: np.ndarray, right: np.ndarray, both: np.ndarray, own: np.
             continue
         v, o = x[w, c], own[w]
         few = np.minimum(v, FEW).astype(np.int64)
-        more = step.reshape(-1, choices)[few * len(table) + c]
+        more = np.take(step.reshape(-1, choices), few * len(table) + c, axis=0)
         plain = (v <= FEW) & (c != o)
         k = np.flatnonzero(plain)  # of these only the cell of the word's own class holds the word
         n = t[o[k], c[k]] - v[k]
         more[k, o[k]] = _xlogx(n + v[k]) - _xlogx(n)
         k = np.flatnonzero(~plain)
         cells = np.ascontiguousarray(t[:choices].T)
-        n, before, ks, at = cells[c[k]], _xlogx(cells)[c[k]], np.arange(len(k)), np.flatnonzero(c[k] == o[k])
+        n, before, ks, at = np.take(cells, c[k], axis=0), np.take(_xlogx(cells), c[k], axis=0), np.arange(len(k)), np.flatnonzero(c[k] == o[k])
         n[ks, o[k]] -= v[k]
         n[at] -= y[w[k[at]], :choices]
         n[at, o[k[at]]] -= both[w[k[at]]]
@@ -195,9 +211,8 @@ def best_classes(left: np.ndarray, right: np.ndarray, both: np.ndarray, own: np.
         n, all_ = sums[:choices], x.sum(axis=1) + both
         size, at = np.unique(all_, return_inverse=True)
         less = (_xlogx(n + size[:, None]) - _xlogx(n))[at]
-        mark = other > 0
-        mark[rows, own] = True
-        w, c = np.nonzero(mark)
+        w, c = np.nonzero(other > 0)
+        w, c = np.append(w, rows), np.append(c, own)
         n = n[c] - other[w, c] - np.where(c == own[w], all_[w], 0)
         less[w, c] = _xlogx(n + all_[w]) - _xlogx(n)
         gain -= less
@@ -296,8 +311,9 @@ def _places(hashes: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndar
 def _symbols(hashes: np.ndarray, words: list[bytes]) -> np.ndarray:
     """Place of each word in ``hashes``; a word that is not there: their number, plus 0 for END, plus 1 + its form."""
     at, there = _places(hashes, words)
-    for k in np.flatnonzero(~there).tolist():
-        at[k] = len(hashes) if words[k] == END else len(hashes) + 1 + form(words[k])
+    other = np.flatnonzero(~there)
+    at[other] = len(hashes) + 1 + forms([words[k] for k in other.tolist()])
+    at[[k for k in other.tolist() if words[k] == END]] = len(hashes)
     return at
 
 
@@ -341,10 +357,12 @@ ROW_PAIRS = 200_000
 def _adjacency(batches):
     """Rows (w << 32 | nb, 3 * n + side), sorted, as lists w, side, nb, n: whole words together, a word of more than ROW_PAIRS in pieces.
 
-    The counts take as many bytes as the largest needs."""
+    The words are written once each, with the lengths of their lists behind them. The counts take as many bytes as the largest needs."""
 
     def row(part, split):
-        part = [*part[:3], part[3].astype(np.min_scalar_type(part[3].max()))]
+        first = np.flatnonzero(np.append(True, part[0][1:] != part[0][:-1]))
+        runs = np.concatenate([part[0][first], np.diff(first, append=len(part[0])).astype(np.int32)])
+        part = [runs, *part[1:3], part[3].astype(np.min_scalar_type(part[3].max()))]
         return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in part] + [pa.array([split], pa.bool_())],
                                           names=["w", "side", "nb", "n", "split"])
 
@@ -410,9 +428,9 @@ def _summed(batches):
     now, blocks = None, []
 
     def out():
-        wnb, m = (np.concatenate([x[k] for x in blocks]) for k in range(2))
-        order = np.argsort(wnb * 3 + m % 3)
-        key, n = (wnb * 3 + m % 3)[order], (m // 3)[order]
+        key, n = (np.concatenate([x[k] for x in blocks]) for k in range(2))
+        order = np.argsort(key)
+        key, n = key[order], n[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         return now, key[first] // 3, np.add.reduceat(n, first) * 3 + key[first] % 3
 
@@ -422,8 +440,9 @@ def _summed(batches):
                 yield out()
                 blocks.clear()
             now = part
-            blocks.append(((np.frombuffer(w, np.int32).astype(np.int64) << 32) | np.frombuffer(nb, np.int32),
-                           np.frombuffer(m, f"u{size}").astype(np.int64)))
+            m = np.frombuffer(m, f"u{size}")
+            wnb = (np.frombuffer(w, np.int32).astype(np.int64) << 32) | np.frombuffer(nb, np.int32)
+            blocks.append((wnb * 3 + m % 3, (m // 3).astype(np.int64)))
     if blocks:
         yield out()
 
@@ -453,9 +472,9 @@ def _neighbour_lists(shipped, parts: int):
 
 
 def _lists(b, i):
-    w, side, nb = (np.frombuffer(b.column(k)[i].as_py(), kind) for k, kind in enumerate((np.int32, np.int8, np.int32)))
-    n = b.column(3)[i].as_py()
-    return w, side, nb, np.frombuffer(n, f"u{len(n) // len(w)}")
+    runs, side, nb = (np.frombuffer(b.column(k)[i].as_buffer(), kind) for k, kind in enumerate((np.int32, np.int8, np.int32)))
+    n = b.column(3)[i].as_buffer()
+    return np.repeat(*np.split(runs, 2)), side, nb, np.frombuffer(n, f"u{n.size // len(nb)}")
 
 
 def _class_bigrams(shipped, total: int, first_fixed: int):
@@ -576,7 +595,7 @@ def exchange_in_map(train: DataFrame, words: DataFrame, classes: int = CLASSES,
 
     For at most MAP_WORDS moving words and fewer than 128 classes. Moving words are numbered by the order of their
     hashes and the others stand for their class from the start, so the bigrams are summed over far fewer pairs. They are
-    written once, as the neighbours of each word, apart for each half; a round reads the lists of the half that moves.
+    written once, as the neighbours of each word, apart for each half (and for words in pieces); a round reads the lists of the half that moves.
     The class table is counted once; then each round adds what its moves change: for every word as if its neighbours
     stayed, and a correction for bigrams of two moved words. These counts are whole numbers, so the table stays exact.
     """
@@ -598,7 +617,7 @@ def exchange_in_map(train: DataFrame, words: DataFrame, classes: int = CLASSES,
     path = staging_path(spark, "lm-lists")
     made = (blocks.repartition("part").sortWithinPartitions("part")
             .mapInArrow(_neighbour_lists(shipped, parts), "w binary, side binary, nb binary, n binary, split boolean, a binary, b binary, ab binary, half int"))
-    made.write.mode("errorifexists").option("compression", "zstd").partitionBy("half").parquet(path)
+    made.write.mode("errorifexists").option("compression", "zstd").partitionBy("half", "split").parquet(path)
     lists = spark.read.schema(made.schema).parquet(path)
     shipped.destroy()
     columns = ["w", "side", "nb", "n"]
@@ -606,8 +625,8 @@ def exchange_in_map(train: DataFrame, words: DataFrame, classes: int = CLASSES,
     table = np.zeros(total * total)
     sent = spark.sparkContext.broadcast(of)
     for r in lists.where("half = 2").select(*columns).toLocalIterator():  # bigrams without a moving word, at most classes squared
-        a, b = (np.frombuffer(r[k], np.int32) - v + classes for k in ("w", "nb"))
-        np.add.at(table, a * total + b, np.frombuffer(r["n"], f"u{len(r['n']) // len(a)}"))
+        a, b = (x - v + classes for x in (np.repeat(*np.split(np.frombuffer(r.w, np.int32), 2)), np.frombuffer(r.nb, np.int32)))
+        np.add.at(table, a * total + b, np.frombuffer(r.n, f"u{len(r.n) // len(b)}"))
     for cell, n in (lists.where("half < 2").select(*columns).mapInArrow(_class_bigrams(sent, total, v), "cell long, n long")
                     .groupBy("cell").agg(F.sum("n")).collect()):
         table[cell] += n  # at most classes squared
@@ -685,11 +704,10 @@ def _profile_texts(log_next, shipped, end_n, end, base_log, log_emit_of, whole):
                 at, there = _places(hashes, new)
                 of, n = np.full(len(new), end, np.int64), np.ones(len(new))
                 of[there], n[there] = c_of_place[at[there]], n_of_place[at[there]]
-                for k in np.flatnonzero(~there).tolist():
-                    if new[k] == END:
-                        n[k], there[k] = end_n, True
-                    else:
-                        of[k] = end + 1 + form(new[k])
+                other = np.flatnonzero(~there)
+                of[other] = end + 1 + forms([new[k] for k in other.tolist()])
+                if new and new[0] == END:  # the first word of all
+                    of[0], n[0], there[0] = end, end_n, True
                 logs = np.log10(n + 1)
                 base, emit = np.concatenate([base, logs - base_log]), np.concatenate([emit, logs - log_emit_of[of]])
                 c, sent = np.concatenate([c, of]), np.concatenate([sent, there])
