@@ -6,10 +6,10 @@ gaining; rarer and unseen words belong to a form class (length and whether there
 or non-ASCII bytes). P(text) is the product of P(class | previous class) * P(word | class), both
 add-one smoothed; an end token closes each text and begins the next history.
 
-What is sent to tasks whole is bounded by parameters: the class table (classes squared), the ``HEAD``
-most frequent words, and the classes of up to ``MAP_WORDS`` words, one byte each; the classes of more
-words meet the bigrams in a join. The classes and counts of all words outside the head meet their texts
-in a join. Words are told apart by a 64-bit hash in the bigrams.
+What is sent to tasks whole is bounded by parameters: the class table (classes squared), and of up to ``MAP_WORDS``
+words that move the hashes, classes and counts. With more of them, classes meet the bigrams in a join, and only the ``HEAD`` most
+frequent words are sent to score texts; those that are not sent meet their texts in a join. Words are told apart by a
+64-bit hash in the bigrams, and where their classes and counts are looked up.
 """
 
 from __future__ import annotations
@@ -30,9 +30,9 @@ from tidemark.session import staging_path
 
 #: Least count of a word that exchange clustering moves between classes, and their number.
 LEAST, CLASSES = 2, 48
-#: Most frequent words whose counts are sent to every task.
+#: Most frequent words whose counts are sent to every task where not all moving words are.
 HEAD = 100_000
-#: Moving words whose classes are sent to every task: eight bytes each once, then one byte a round.
+#: Moving words whose classes are sent to every task: 17 bytes each for the counts and scores, one or two a round.
 MAP_WORDS = 32_000_000
 FOLDS, HELD_OUT = 7, 2
 #: The end token as a word; real words hold no blank.
