@@ -22,6 +22,36 @@ def test_concept_rows_of_one_concept_are_made_by_many_tasks(spark, monkeypatch):
     assert per.where("n = 80 AND days = 40").count() == 500
 
 
+def _concepts(spark, concepts, days, members):
+    """Quotes, members and names of concepts that have as many days and members each."""
+    i = F.col("id")
+    code = F.concat(F.lit("C"), (i % concepts).cast("string")).alias("index_code")
+    n = F.floor(i / concepts).cast("int")
+    price = [i.cast("double").alias(c) for c in ("open", "high", "low", "close", "pre_close", "pct_chg", "vol", "amount")]
+    quotes = spark.range(concepts * days).select(code, F.date_add(F.lit("2024-01-01").cast("date"), n).alias("trade_date"), *price)
+    names = spark.range(concepts * members).select(code, F.concat(F.lit("P"), i.cast("string")).alias("ts_code"), F.lit("n").alias("name"))
+    return quotes, names, spark.range(concepts).select(code, F.lit("Concept").alias("index_name"), F.lit("t").alias("index_type"))
+
+
+def test_quotes_are_repeated_for_the_parts_of_their_own_concept_only(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "TASK_ROWS", 2000)
+    quotes, members, meta = _concepts(spark, 50, 40, 10)  # 11 tasks, no concept has more rows than one of them
+    frame, dealt = type(quotes), []
+    deal = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: dealt.append(self.count()) or deal(self, *a))
+    out = ingest.concept_denorm(quotes, members, meta)
+    assert sum(dealt) == 50 * 2 + 50 * 10  # two months of quotes and the members
+    assert out.count() == out.distinct().count() == 50 * 40 * 10
+
+
+def test_rows_of_a_quote_stand_together(spark):
+    quotes, members, meta = _concepts(spark, 3, 40, 200)
+    rows = ingest.concept_denorm(quotes, members, meta).select("index_code", "trade_date", "ts_code").collect()
+    assert len(rows) == len(set(rows)) == 3 * 40 * 200
+    changes = sum(a[:2] != b[:2] for a, b in zip(rows, rows[1:], strict=False))
+    assert changes < 3 * 40 * 2  # a written result has runs instead of a value a row
+
+
 def test_empty_concepts(spark):
     meta = spark.createDataFrame([], "index_code string, index_name string, index_type string")
     quotes = spark.createDataFrame([], "index_code string, trade_date date, open double, high double, low double, close double, "
