@@ -1,5 +1,7 @@
 """Work is spread by its size, not by the bytes or the keys that go in."""
 
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import ingest
@@ -52,6 +54,19 @@ def test_rows_of_a_quote_stand_together(spark):
     assert changes < 3 * 40 * 2  # a written result has runs instead of a value a row
 
 
+def test_members_and_days_are_chosen_before_they_meet(spark, monkeypatch):
+    from tidemark.plans.market import concept_rows
+    quotes, members, meta = _concepts(spark, 3, 40, 20)
+    seen, join = [], ingest.concept_denorm
+    monkeypatch.setattr(ingest, "concept_denorm", lambda q, m, *a: seen.extend([q, m]) or join(q, m, *a))
+    md = SimpleNamespace(concept_quotes=lambda: quotes, concept_members=lambda: members, concept_meta=lambda: meta,
+                         ths_index=lambda: ingest.concept_denorm(quotes, members, meta))
+    out = concept_rows(md, index_code="C1", ts_code="P4", index_name="Conc", start="2024-01-05", end="2024-01-09")
+    assert [df.count() for df in seen] == [5, 1]
+    assert sorted((r.index_code, r.ts_code, r.trade_date.day) for r in out.collect()) == [("C1", "P4", d) for d in range(5, 10)]
+    assert concept_rows(md, index_name="no such name").count() == 0
+
+
 def test_empty_concepts(spark):
     meta = spark.createDataFrame([], "index_code string, index_name string, index_type string")
     quotes = spark.createDataFrame([], "index_code string, trade_date date, open double, high double, low double, close double, "

@@ -283,8 +283,11 @@ def surveys_with_content(md: MarketData, ts_code=None, start=None, end=None) ->
 
 # -- concepts ------------------------------------------------------------------
 def concept_rows(md: MarketData, index_code=None, ts_code=None, index_name=None, start=None, end=None):
-    return where_all(md.ths_index(), eq("index_code", index_code), eq("ts_code", ts_code),
-                     contains_like("index_name", index_name), date_range("trade_date", start, end))
+    """Rows of the concept table; what concerns one side only is asked of the quotes or the members before they meet."""
+    from tidemark.operators.ingest import concept_denorm
+    quotes = where_all(md.concept_quotes(), eq("index_code", index_code), date_range("trade_date", start, end))
+    members = where_all(md.concept_members(), eq("index_code", index_code), eq("ts_code", ts_code))
+    return where_all(concept_denorm(quotes, members, md.concept_meta()), contains_like("index_name", index_name))
 
 
 def concepts_of_symbol(md: MarketData, ts_code=None) -> DataFrame:
