@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import EDGE, docs_of, edge  # noqa: F401
 from tidemark.llm import align, maxscore, simhash
@@ -243,6 +244,19 @@ def test_query_blocks_rank_like_one(spark, docs_of, monkeypatch):
     assert sorted(maxscore.search(index, items, 4).collect()) == whole and len(whole) == 20
 
 
+def test_a_file_of_the_index_holds_few_blocks_however_large_its_task(spark, docs_of, monkeypatch):
+    """A reader holds a file's blocks at once: a file with all blocks of a task grows with what the task reads."""
+    docs = [(i, f"alpha beta{i % 7} gamma{i % 3}") for i in range(40)]
+    items = spark.createDataFrame([(i, f"alpha beta{i} gamma1") for i in range(5)], "item_id long, text string")
+    whole = sorted(maxscore.search(maxscore.build(docs_of(docs)), items, 4).collect())
+    monkeypatch.setattr(maxscore, "BLOCK_DOCS", 2)
+    monkeypatch.setattr(maxscore, "FILE_BLOCKS", 3, raising=False)
+    index = maxscore.build(docs_of(docs).coalesce(1))
+    blocks = [r["count"] for r in index.blocks.groupBy(F.input_file_name()).count().collect()]
+    assert sum(blocks) == 20 and max(blocks) == 3
+    assert sorted(maxscore.search(index, items, 4).collect()) == whole and len(whole) == 20
+
+
 def test_search_of_empty_tables(spark, docs_of):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b")], "item_id long, text string")

@@ -24,14 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder of spark.checkpoint.dir and read it back.
+def stage(df: DataFrame, label: str, file_rows: int = 0) -> DataFrame:
+    """Write ``df`` to the shared folder of spark.checkpoint.dir and read it back; ``file_rows``: rows of a file at most.
 
     Cuts the lineage: a lost executor costs its running tasks, never an earlier step.
     """
     spark = df.sparkSession
     path = staging_path(spark, label)
-    df.write.mode("errorifexists").parquet(path)
+    writer = df.write.mode("errorifexists")
+    (writer.option("maxRecordsPerFile", file_rows) if file_rows else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

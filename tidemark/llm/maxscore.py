@@ -36,10 +36,12 @@ from tidemark.llm.common import stage, texts
 
 TOP = 20
 #: Documents and terms (repeats included) of one index block; a longer text is a block of its own.
-BLOCK_DOCS, BLOCK_TERMS = 4_096, 3_000_000
+BLOCK_DOCS, BLOCK_TERMS = 1_024, 750_000
+#: Blocks of a written file: its reader holds all of them, however much a task has.
+FILE_BLOCKS = 8
 #: Queries and query terms that go through the index together.
 QUERY_BLOCK, QUERY_TERMS = 2_000, 400_000
-#: Files of the lists (each has a task's blocks) that are searched first for a score to start from.
+#: Files of the lists that are searched first for a score to start from.
 FIRST = 2
 #: Every ASCII byte but letters and digits parts terms; A-Z are lower-cased.
 PARTS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
@@ -104,7 +106,7 @@ class Index(NamedTuple):
 
 def build(docs: DataFrame) -> Index:
     """Block index of ``docs`` (doc_id, text), written to the shared folder: one row per block."""
-    blocks = stage(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_index, INDEX), "search-index")
+    blocks = stage(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_index, INDEX), "search-index", FILE_BLOCKS)
     size = blocks.select(F.explode("n").alias("n")).agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
     return Index(blocks, size[0], size[1])
 
@@ -177,7 +179,7 @@ def _weigh(asked: pa.Array, weight: np.ndarray, pairs: np.ndarray, documents: in
 def weigh(index: Index, asked: list[bytes], pairs: list[tuple[int, int]]) -> DataFrame:
     """Impact lists of the asked terms and intersection lists of the asked pairs, one row per block, written to the shared folder."""
     fn = _weigh(pa.array(asked, pa.binary()), weights(index, asked), np.array(pairs, np.int64).reshape(-1, 2), index.documents, index.terms)
-    return stage(index.blocks.mapInArrow(fn, LISTS), "search-lists")
+    return stage(index.blocks.mapInArrow(fn, LISTS), "search-lists", FILE_BLOCKS)
 
 
 class _Top:
